@@ -19,6 +19,7 @@ from glucospan.operators.selection import chronological_split
 from glucospan.operators.slices import measured_width, sliced, with_series_facts
 from glucospan.plans.training import PREDICTION, long_features
 from glucospan.schema import FEATURES, SERIES, TARGET, TIME, VALUE
+from glucospan.storage import checkpointed
 
 
 def _centred(features: Sequence[str]) -> list:
@@ -97,8 +98,16 @@ def predict_each(
     """Test rows (the later part of each series) with the prediction of the series' own model."""
     width_us = width_us or measured_width(table, [series], time)
     needed = dict.fromkeys([series, time, current, target, *features, *tiebreak])
-    split = chronological_split(
-        table.select(*needed), [series], time, train_fraction=train_fraction, tiebreak=tiebreak, width_us=width_us
+    # Read by the medians, the sums of products and the scoring.
+    split = checkpointed(
+        chronological_split(
+            table.select(*needed),
+            [series],
+            time,
+            train_fraction=train_fraction,
+            tiebreak=tiebreak,
+            width_us=width_us,
+        )
     )
     middle = medians.exact_median(
         long_features(split.where("not is_test"), features, [series]), [series, "feature"], "v"

@@ -22,6 +22,7 @@ from glucospan.operators.selection import (
 )
 from glucospan.schema import SERIES, TIME, VALUE, ForecastTable
 from glucospan.sources.sinks import write_text
+from glucospan.storage import checkpointed
 
 # Accepted model names.
 BOOSTED = ["hgb", "hist_gradient_boosting", "histgradientboosting"]
@@ -111,20 +112,17 @@ def _fit(
 ) -> TrainedPredictor:
     """Fit on the training rows, score the test rows, and set the errors beside persistence.
 
-    The split is persisted while fitting: tree training reads it once per level and round.
+    The split is checkpointed: medians, training, sizes and scoring all read it.
     """
-    needed = [SERIES, TIME, *table.feature_columns, table.target_column]
-    rows = split.select(*dict.fromkeys([*needed, "is_test"])).persist()
-    try:
-        train = rows.where("not is_test")
-        stages, used = imputer_stages(train, table.feature_columns)
-        model = Pipeline(stages=[*stages, regressor]).fit(train)
-        sizes = train.agg(
-            F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(SERIES)).alias("series")
-        ).first()
-    finally:
-        rows.unpersist()
-    scored = model.transform(split.where("is_test")).select(
+    needed = [SERIES, TIME, VALUE, *table.feature_columns, table.target_column, "is_test"]
+    rows = checkpointed(split.select(*dict.fromkeys(needed)))
+    train = rows.where("not is_test")
+    stages, used = imputer_stages(train, table.feature_columns)
+    model = Pipeline(stages=[*stages, regressor]).fit(train)
+    sizes = train.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(SERIES)).alias("series")
+    ).first()
+    scored = model.transform(rows.where("is_test")).select(
         SERIES, TIME, VALUE, table.target_column, PREDICTION
     )
     evaluation = error_metrics(
