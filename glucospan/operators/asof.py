@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glucospan.operators.slices import SLICE, US, minutes, sliced, spread, spread_width
+from glucospan.operators.slices import SLICE, US, measured_width, minutes, sliced
 
 
 def asof_nearest(
@@ -23,45 +23,58 @@ def asof_nearest(
 ) -> DataFrame:
     """Left rows with the right row nearest in time (columns prefixed; NULL when none is near).
 
-    The tolerance is inclusive and an equal distance goes to the earlier row. Right rows near a
-    slice edge are copied across it, so a match never lies in another task. Both directions read
-    running "last seen" values, one over ascending and one over descending time; the second needs a
-    sort but no shuffle.
+    The tolerance is inclusive and an equal distance goes to the earlier row. Inside a slice, running
+    "last seen" values over ascending and over descending time give both neighbours with one shuffle
+    and two sorts. Where a neighbour lies in another slice it comes from a table with the first and
+    last right row of each slice, so slices can be as short as the data are dense.
     """
-    reach = minutes(tolerance_minutes)
     keys = list(keys)
-    width_us = spread_width(right, keys, right_time, 2 * reach, width_us)
+    width_us = width_us or min(
+        measured_width(left, keys, left_time), measured_width(right, keys, right_time)
+    )
     payload = [name for name in right.columns if name not in keys]
     probes = sliced(left, left_time, width_us).select(
         *keys, SLICE, US, F.lit(1).alias("_probe"), F.struct(*left.columns).alias("_left")
     )
-    samples = spread(right, right_time, width_us, before_us=reach, after_us=reach).select(
-        *keys,
-        SLICE,
-        US,
-        F.lit(0).alias("_probe"),
-        F.struct(US, *payload).alias("_seen"),
+    samples = sliced(right, right_time, width_us).select(
+        *keys, SLICE, US, F.lit(0).alias("_probe"), F.struct(US, *payload).alias("_seen")
     )
     both = probes.unionByName(samples, allowMissingColumns=True)
-    place = Window.partitionBy(*keys, SLICE)
     run = (Window.unboundedPreceding, Window.currentRow)
-    seen = F.last("_seen", ignorenulls=True)
+    earlier_rows = (Window.unboundedPreceding, -1)
+
+    def seen(column: str) -> Column:
+        return F.last(column, ignorenulls=True)
+
+    along = Window.partitionBy(*keys)
+    edges = (
+        both.groupBy(*keys, SLICE)
+        .agg(F.min("_seen").alias("_first"), F.max("_seen").alias("_last"))
+        .select(
+            *keys,
+            SLICE,
+            seen("_last").over(along.orderBy(SLICE).rowsBetween(*earlier_rows)).alias("_before"),
+            seen("_first").over(along.orderBy(F.col(SLICE).desc()).rowsBetween(*earlier_rows)).alias("_after"),
+        )
+    )
+    place = Window.partitionBy(*keys, SLICE)
     # At equal times samples come before probes in both directions, so an exact hit is seen.
-    earlier = seen.over(place.orderBy(US, "_probe").rowsBetween(*run))
-    later = seen.over(place.orderBy(F.col(US).desc(), "_probe").rowsBetween(*run))
+    inside = both.withColumns(
+        {
+            "_earlier": seen("_seen").over(place.orderBy(US, "_probe").rowsBetween(*run)),
+            "_later": seen("_seen").over(place.orderBy(F.col(US).desc(), "_probe").rowsBetween(*run)),
+        }
+    ).where("_probe = 1")
+    found = inside.join(edges, [*keys, SLICE]).withColumns(
+        {"_earlier": F.coalesce("_earlier", "_before"), "_later": F.coalesce("_later", "_after")}
+    )
     back = F.col(US) - F.col(f"_earlier.{US}")
     ahead = F.col(f"_later.{US}") - F.col(US)
-    nearest = F.when(back.isNotNull() & (ahead.isNull() | (back <= ahead)), F.col("_earlier"))
-    nearest = nearest.otherwise(F.col("_later"))
-    distance = F.least(back, ahead)
-    return (
-        both.withColumns({"_earlier": earlier, "_later": later})
-        .where("_probe = 1")
-        .withColumn("_match", F.when(distance <= reach, nearest))
-        .select(
-            "_left.*",
-            *[F.col(f"_match.{name}").alias(prefix + name) for name in payload],
-        )
+    use_earlier = back.isNotNull() & (ahead.isNull() | (back <= ahead))
+    nearest = F.when(use_earlier, F.col("_earlier")).otherwise(F.col("_later"))
+    near = F.least(back, ahead) <= minutes(tolerance_minutes)
+    return found.withColumn("_match", F.when(near, nearest)).select(
+        "_left.*", *[F.col(f"_match.{name}").alias(prefix + name) for name in payload]
     )
 
 
@@ -78,11 +91,12 @@ def future_matches(
 
     Adds ``matched_timestamp`` and ``hit``; a match at or before the sample itself is no hit.
     """
-    wanted = samples.withColumn("_wanted", F.col(time) + ahead(ahead_minutes))
-    right = samples.select(*keys, F.col(time).alias("timestamp"))
+    width_us = width_us or measured_width(samples, keys, time)
+    whole, rest = divmod(ahead_minutes * 60, 60)
+    shift = F.make_dt_interval(mins=F.lit(int(whole)), secs=F.lit(float(rest)))
     matched = asof_nearest(
-        wanted,
-        right,
+        samples.withColumn("_wanted", F.col(time) + shift),
+        samples.select(*keys, F.col(time).alias("timestamp")),
         keys,
         "_wanted",
         "timestamp",
@@ -91,7 +105,3 @@ def future_matches(
     )
     hit = F.coalesce(F.col("matched_timestamp") > F.col(time), F.lit(False))
     return matched.withColumn("hit", hit).drop("_wanted")
-
-
-def ahead(count: float) -> Column:
-    return F.make_dt_interval(mins=F.lit(int(count)), secs=F.lit((count - int(count)) * 60))

@@ -1,9 +1,15 @@
-"""Effects of a separate event table on samples: trailing sums and decaying responses.
+"""Effects of events on samples: trailing sums and decaying responses.
 
-Nothing here pairs events with samples. Each event becomes a few markers on the time line (it
-starts to count, it changes phase, it stops), each marker carries signed amounts, and a running sum
-over markers and samples together gives every sample the amounts in force at its time. The work is
-one sort of (samples + markers), however many events a window holds.
+Nothing here pairs events with samples. An event is in force for a while (its phases), and every
+sample needs the total of what is in force at its time. Time is cut into slices; a slice knows
+
+* what is already in force when it begins (``standing``): one row per slice, added up map-side;
+* what begins or ends inside it (``changes``): two rows per phase of an event;
+* its samples.
+
+A running sum over these rows gives each sample its total. The work is one sort of samples and
+changes, whatever number of events a window holds, and a slice may be much shorter than the
+window, so a dense series spreads over as many tasks as its rows call for.
 """
 
 from __future__ import annotations
@@ -18,108 +24,124 @@ from glucospan.operators.slices import (
     MINUTE_US,
     SLICE,
     US,
+    measured_width,
     micros,
     minutes,
     slice_of,
     sliced,
-    spread_width,
 )
 
-START = "_start_minutes"  # event time in minutes since the origin of the slice
+START = "_start_minutes"  # event time in minutes since the start of the slice at hand
 # Above this exponent the scaled amounts of a slice would leave the range of a double.
-MAX_EXPONENT = 500.0
+MAX_EXPONENT = 300.0
 
 
 @dataclass(frozen=True)
-class Marker:
-    """``amounts`` come into force ``after_us`` past the event (negative amounts end earlier ones)."""
+class Phase:
+    """``amounts`` are in force from ``begin_us`` past the event until just before ``end_us``.
+
+    An amount may use ``START``; it is worked out anew for each slice that it enters.
+    """
 
-    after_us: Column
+    begin_us: Column
+    end_us: Column
     amounts: dict[str, Column]
 
 
-def add_in_force(
+def in_force(
     samples: DataFrame,
     events: DataFrame,
     series: Sequence[str],
     sample_time: str,
     event_time: str,
     *,
-    reach_us: int,
-    markers: Sequence[Marker],
-    accumulators: Sequence[str],
+    phases: Sequence[Phase],
     width_us: int,
 ) -> DataFrame:
-    """Add to each sample the accumulators in force and ``_now_minutes`` since the slice origin.
+    """Add to each sample the total of every amount in force, how many phases are (``_live``), and
+    its own time in minutes since the start of its slice (``_now_minutes``)."""
+    names = list(dict.fromkeys(name for phase in phases for name in phase.amounts))
+    start_us = F.col(SLICE) * F.lit(width_us)
 
-    An event goes to every slice that its reach touches, with all its markers, so that no slice
-    sees an end without its beginning. A count accumulator ``_live`` tells when nothing is in force.
-    """
-    us = micros(event_time)
-    origin = F.col(SLICE) * F.lit(width_us) - F.lit(reach_us)
-    live = [F.lit(1)] + [F.lit(0)] * (len(markers) - 2) + [F.lit(-1)]
-    marks = F.array(
-        *[
-            F.struct(
-                (F.col("_event_us") + marker.after_us).cast("bigint").alias(US),
-                *[
-                    marker.amounts.get(name, F.lit(0.0)).cast("double").alias(name)
-                    for name in accumulators
-                ],
-                sign.alias("_live"),
-            )
-            for marker, sign in zip(markers, live, strict=True)
-        ]
-    )
-    marked = (
+    def amount(name: str) -> Column:
+        chosen = F.lit(None).cast("double")
+        for number, phase in enumerate(phases):
+            if name in phase.amounts:
+                chosen = F.when(F.col("_phase") == number, phase.amounts[name]).otherwise(chosen)
+        return F.coalesce(chosen, F.lit(0.0))
+
+    spans = F.array(*[
+        F.struct(
+            F.lit(number).alias("_phase"),
+            (F.col("_event_us") + phase.begin_us).cast("bigint").alias("_from"),
+            (F.col("_event_us") + phase.end_us).cast("bigint").alias("_to"),
+        )
+        for number, phase in enumerate(phases)
+    ])
+    placed = (
         events.where(F.col(event_time).isNotNull())
-        .withColumn("_event_us", us)
-        .withColumn(
+        .withColumn("_event_us", micros(event_time))
+        .select("*", F.inline(spans))
+        .where(F.col("_to") > F.col("_from"))
+    )
+    since = ((F.col("_event_us") - start_us) / F.lit(MINUTE_US)).alias(START)
+    first, last = slice_of(F.col("_from"), width_us), slice_of(F.col("_to"), width_us)
+
+    ends = F.array(
+        F.struct(F.col("_from").alias(US), F.lit(1).alias("_sign")),
+        F.struct(F.col("_to").alias(US), F.lit(-1).alias("_sign")),
+    )
+    changes = (
+        placed.select("*", F.inline(ends))
+        .withColumn(SLICE, slice_of(F.col(US), width_us))
+        .select("*", since)
+        .select(
+            *series,
             SLICE,
-            F.explode(
-                F.sequence(
-                    slice_of(F.col("_event_us"), width_us),
-                    slice_of(F.col("_event_us") + F.lit(reach_us), width_us),
-                )
-            ),
+            US,
+            F.col("_sign").cast("bigint").alias("_live"),
+            *[(amount(n) * F.col("_sign")).alias(n) for n in names],
         )
-        .withColumn(START, (F.col("_event_us") - origin) / F.lit(MINUTE_US))
-        .select(*series, SLICE, F.inline(marks))
     )
-    rows = sliced(samples, sample_time, width_us)
-    probes = rows.select(
+    # Sequences run backwards when the end lies before the start, hence the condition.
+    entered = F.when(last > first, F.sequence(first + 1, last))
+    standing = (
+        placed.select("*", F.explode(entered).alias(SLICE))
+        .select("*", since)
+        .groupBy(*series, SLICE)
+        .agg(F.count(F.lit(1)).alias("_live"), *[F.sum(amount(n)).alias(n) for n in names])
+        .withColumn(US, start_us)
+    )
+    probes = sliced(samples, sample_time, width_us).select(
         *series, SLICE, US, F.struct(*samples.columns).alias("_sample")
     )
-    # At equal times all markers come into force before any sample reads them: the frame is by range.
-    order = Window.partitionBy(*series, SLICE).orderBy(US)
-    upto = order.rangeBetween(Window.unboundedPreceding, 0)
-    total = {name: F.sum(name).over(upto) for name in [*accumulators, "_live"]}
-    now = (F.col(US) - origin) / F.lit(MINUTE_US)
+    # The frame goes by value, so at equal times every change counts before a sample reads it.
+    upto = (
+        Window.partitionBy(*series, SLICE)
+        .orderBy(US)
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    total = {name: F.sum(name).over(upto) for name in ["_live", *names]}
     return (
-        probes.unionByName(marked, allowMissingColumns=True)
+        probes.unionByName(changes, allowMissingColumns=True)
+        .unionByName(standing, allowMissingColumns=True)
         .withColumns(total)
         .where(F.col("_sample").isNotNull())
         .select(
             "_sample.*",
-            now.alias("_now_minutes"),
+            ((F.col(US) - start_us) / F.lit(MINUTE_US)).alias("_now_minutes"),
             F.coalesce("_live", F.lit(0)).alias("_live"),
-            *[F.coalesce(name, F.lit(0.0)).alias(name) for name in accumulators],
+            *[F.coalesce(name, F.lit(0.0)).alias(name) for name in names],
         )
     )
 
 
 def shared_width(
-    samples: DataFrame,
-    events: DataFrame,
-    series: Sequence[str],
-    sample_time: str,
-    event_time: str,
-    reach_us: int,
+    samples: DataFrame, events: DataFrame, series: Sequence[str], sample_time: str, event_time: str
 ) -> int:
-    """Slice width that suits the denser of the two tables, but no narrower than the reach."""
+    """Slice width that suits the denser of the two tables."""
     return min(
-        spread_width(samples, series, sample_time, reach_us),
-        spread_width(events, series, event_time, reach_us),
+        measured_width(samples, series, sample_time), measured_width(events, series, event_time)
     )
 
 
@@ -136,33 +158,26 @@ def event_sum(
     width_us: int | None = None,
 ) -> DataFrame:
     """Sum of the amounts of events aged 0 to ``window_minutes`` (both ends count); 0.0 if none."""
-    reach = minutes(window_minutes) + 1
-    width_us = width_us or shared_width(samples, events, series, sample_time, event_time, reach)
-    value = F.col(amount).cast("double")
-    result = add_in_force(
+    width_us = width_us or shared_width(samples, events, series, sample_time, event_time)
+    counted = Phase(
+        F.lit(0), F.lit(minutes(window_minutes) + 1), {"_sum": F.col(amount).cast("double")}
+    )
+    result = in_force(
         samples,
         events.where(F.col(amount).isNotNull()),
         series,
         sample_time,
         event_time,
-        reach_us=reach,
-        markers=[
-            Marker(F.lit(0), {"_sum": value}),
-            Marker(F.lit(reach), {"_sum": -value}),
-        ],
-        accumulators=["_sum"],
+        phases=[counted],
         width_us=width_us,
     )
     total = F.when(F.col("_live") > 0, F.col("_sum")).otherwise(F.lit(0.0))
     return result.withColumn(out, total).drop("_sum", "_live", "_now_minutes")
 
 
-def _safe_width(width_us: int, reach_us: int, exponent_per_minute: float) -> int:
-    """Narrow the slice so that the exponent over slice plus reach stays in range."""
-    most = int(MAX_EXPONENT / exponent_per_minute * MINUTE_US) - reach_us
-    if most < 1_000_000:
-        raise ValueError("the cutoff is too long for these time constants")
-    return min(width_us, most)
+def _exponent_width(width_us: int, exponent_per_minute: float) -> int:
+    """Narrow the slice so that growth over its length stays in the range of a double."""
+    return max(1, min(width_us, int(MAX_EXPONENT / exponent_per_minute * MINUTE_US)))
 
 
 def gamma_response(
@@ -180,33 +195,31 @@ def gamma_response(
 ) -> DataFrame:
     """Sum of amount * (d/peak) * exp(1 - d/peak) over events of age d in [0, cutoff].
 
-    With s the event time and t the sample time, the term is
-    exp(1 - t/p)/p * (t * m*exp(s/p) - m*s*exp(s/p)), so two running sums over events suffice.
+    With s the event time and t the sample time, a term is
+    exp(1 - t/p)/p * (t * m*exp(s/p) - m*s*exp(s/p)): two totals over events, then one product.
     """
-    reach = minutes(cutoff_minutes) + 1
-    width_us = width_us or shared_width(samples, events, series, sample_time, event_time, reach)
-    width_us = _safe_width(width_us, reach, 1.0 / peak_minutes)
+    width_us = width_us or shared_width(samples, events, series, sample_time, event_time)
+    width_us = _exponent_width(width_us, 1.0 / peak_minutes)
     scaled = F.col(amount).cast("double") * F.exp(F.col(START) / peak_minutes)
-    result = add_in_force(
+    result = in_force(
         samples,
         events.where(F.col(amount).isNotNull()),
         series,
         sample_time,
         event_time,
-        reach_us=reach,
-        markers=[
-            Marker(F.lit(0), {"_a": scaled, "_b": scaled * F.col(START)}),
-            Marker(F.lit(reach), {"_a": -scaled, "_b": -scaled * F.col(START)}),
+        phases=[
+            Phase(
+                F.lit(0),
+                F.lit(minutes(cutoff_minutes) + 1),
+                {"_a": scaled, "_b": scaled * F.col(START)},
+            )
         ],
-        accumulators=["_a", "_b"],
         width_us=width_us,
     )
     now = F.col("_now_minutes")
     weight = F.exp(F.lit(1.0) - now / peak_minutes) / peak_minutes
-    total = F.when(
-        F.col("_live") > 0, weight * (now * F.col("_a") - F.col("_b"))
-    ).otherwise(F.lit(0.0))
-    return result.withColumn(out, total).drop("_a", "_b", "_live", "_now_minutes")
+    total = F.when(F.col("_live") > 0, weight * (now * F.col("_a") - F.col("_b")))
+    return result.withColumn(out, F.coalesce(total, F.lit(0.0))).drop("_a", "_b", "_live", "_now_minutes")
 
 
 # Scaling of an activity by its duration (minutes at factor one, and the largest factor).
@@ -232,34 +245,28 @@ def onset_decay_response(
     """Sum over events of age d in [0, cutoff] of scale * (1 - exp(-d/onset)) * decay.
 
     ``scale`` is intensity * min(duration / full duration, 1.6); decay is 1 while the activity lasts
-    and exp(-(d - duration)/decay) afterwards. While it lasts the event feeds two running sums,
-    afterwards two others, each an exponential in the event time.
+    and exp(-(d - duration)/decay) afterwards. The two stretches are two phases with two totals
+    each, all exponentials in the event time.
     """
-    reach = minutes(cutoff_minutes) + 1
-    width_us = width_us or shared_width(samples, events, series, sample_time, event_time, reach)
-    width_us = _safe_width(width_us, reach, 1.0 / onset_minutes + 1.0 / decay_minutes)
+    width_us = width_us or shared_width(samples, events, series, sample_time, event_time)
+    width_us = _exponent_width(width_us, 1.0 / onset_minutes + 1.0 / decay_minutes)
+    reach = F.lit(minutes(cutoff_minutes) + 1)
     duration = F.col(duration_minutes).cast("double")
     lasts = F.greatest(duration, F.lit(1.0))
+    switch = F.least(F.round(lasts * MINUTE_US).cast("bigint"), reach)
     scale = F.col(intensity) * F.least(duration / full_duration_minutes, F.lit(MAX_DURATION_FACTOR))
     grown = F.exp(F.col(START) / onset_minutes)
-    # An activity that outlasts the cutoff never fades, so the bound changes no result.
-    ended = F.exp((F.col(START) + F.least(lasts, F.lit(float(cutoff_minutes)))) / decay_minutes)
-    active = {"_s": scale, "_e": scale * grown}
-    fading = {"_p": scale * ended, "_q": scale * ended * grown}
-    switch = F.least(F.round(lasts * MINUTE_US).cast("bigint"), F.lit(reach))
-    result = add_in_force(
+    ended = F.exp((F.col(START) + lasts) / decay_minutes)
+    result = in_force(
         samples,
         events.where(duration.isNotNull() & F.col(intensity).isNotNull()),
         series,
         sample_time,
         event_time,
-        reach_us=reach,
-        markers=[
-            Marker(F.lit(0), active),
-            Marker(switch, {**{k: -v for k, v in active.items()}, **fading}),
-            Marker(F.lit(reach), {k: -v for k, v in fading.items()}),
+        phases=[
+            Phase(F.lit(0), switch, {"_s": scale, "_e": scale * grown}),
+            Phase(switch, reach, {"_p": scale * ended, "_q": scale * ended * grown}),
         ],
-        accumulators=["_s", "_e", "_p", "_q"],
         width_us=width_us,
     )
     now = F.col("_now_minutes")

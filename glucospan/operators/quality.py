@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glucospan.operators import asof, medians, windows
-from glucospan.operators.slices import MINUTE_US
+from glucospan.operators.slices import MINUTE_US, measured_width
 
 
 @dataclass(frozen=True)
@@ -92,6 +92,7 @@ def sensor_diagnostics(
 
     ``df`` holds every raw row, those without a parsed time included.
     """
+    width_us = width_us or measured_width(df, [series], time)
     report = df.groupBy(series).agg(
         F.count(F.lit(1)).alias("raw_rows"), F.count(time).alias("parsed_rows")
     )

@@ -168,13 +168,6 @@ def spread(df: DataFrame, time: str, width_us: int, before_us: int, after_us: in
     )
 
 
-def spread_width(
-    df: DataFrame, series: Sequence[str], time: str, reach_us: int, width_us: int | None = None
-) -> int:
-    """A width for ``spread``: as measured, but at least the reach, so a row has three copies at most."""
-    return width_us or measured_width(df, series, time, at_least_us=max(reach_us, 1_000_000))
-
-
 def home_rows(spread_df: DataFrame) -> DataFrame:
     return spread_df.where(HOME).drop(US, SLICE, HOME)
 

@@ -12,20 +12,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glucospan.operators import medians
+from glucospan.operators import events, medians
 from glucospan.operators.slices import (
-    HOME,
     MINUTE_US,
     SLICE,
     US,
     home_rows,
+    measured_width,
     minutes,
     ranked,
     slice_table,
     sliced,
-    measured_width,
     spread,
-    spread_width,
     with_series_facts,
 )
 
@@ -77,12 +75,41 @@ def trailing(
     *,
     width_us: int | None = None,
 ) -> DataFrame:
+    """Trailing aggregates of every row.
+
+    As long as a slice can be longer than the longest window, rows near its start are copied into
+    it. A denser series has slices shorter than the window; then each value is an event that stays
+    in force for the window (see ``events``), and no row is copied.
+    """
     reach = max(minutes(spec.minutes) for spec in specs) + 1
-    width_us = spread_width(df, series, time, reach, width_us)
+    width_us = width_us or measured_width(df, series, time)
+    if width_us < reach:
+        return _trailing_in_force(df, series, time, specs, width_us)
     rows = spread(df, time, width_us, before_us=reach)
     return home_rows(add_trailing(rows, series, specs))
 
 
+def _trailing_in_force(
+    df: DataFrame, series: Sequence[str], time: str, specs: Sequence[Trailing], width_us: int
+) -> DataFrame:
+    values = {f"_v{i}": spec.value.cast("double") for i, spec in enumerate(specs)}
+    phases, results = [], {}
+    for i, spec in enumerate(specs):
+        amounts = {
+            f"_sum{i}": F.col(f"_v{i}"),
+            f"_count{i}": F.col(f"_v{i}").isNotNull().cast("double"),
+        }
+        edge = minutes(spec.minutes) + (1 if spec.closed == "both" else 0)
+        phases.append(events.Phase(F.lit(0), F.lit(edge), amounts))
+        total = F.col(f"_sum{i}") / F.col(f"_count{i}") if spec.agg == "mean" else F.col(f"_sum{i}")
+        results[spec.name] = F.when(F.col(f"_count{i}") > 0, total).otherwise(
+            F.lit(spec.default).cast("double")
+        )
+    happened = df.select(*series, time, *[v.alias(n) for n, v in values.items()])
+    totals = events.in_force(df, happened, series, time, time, phases=phases, width_us=width_us)
+    return totals.withColumns(results).select(*df.columns, *results)
+
+
 def steps(span_minutes: float, cadence: Column) -> Column:
     """Rows that make up ``span_minutes`` at a cadence: half rounds to even, one row at least."""
     return F.greatest(F.lit(1), F.bround(F.lit(float(span_minutes)) / cadence, 0).cast("int"))
@@ -165,8 +192,10 @@ def timed_shifts(
 ) -> DataFrame:
     """``add_timed_shifts`` at each series' own cadence; adds ``cadence_minutes``."""
     reach = shift_reach_us(lags, horizon)
-    width_us = spread_width(df, series, time, reach, width_us)
+    width_us = width_us or measured_width(df, series, time)
     pace = cadence(df, series, time, width_us=width_us)
+    # Copies reach over slice edges, so slices are no shorter than that reach.
+    width_us = max(width_us, 2 * reach)
     rows = spread(df, time, width_us, before_us=reach, after_us=reach)
     rows = with_series_facts(rows, pace, series)
     shifted = add_timed_shifts(rows, series, time, value, lags=lags, horizon=horizon, **names)

@@ -10,9 +10,9 @@ from glucospan.operators.slices import (
     SLICE,
     US,
     home_rows,
+    measured_width,
     minutes,
     spread,
-    spread_width,
     with_series_facts,
 )
 from glucospan.operators.windows import (
@@ -84,6 +84,7 @@ def series_facts(
         .agg(F.min_by(F.struct("source", "rows"), "preference").alias("_best"))
         .select(SERIES, "_best.*")
     )
+    width_us = width_us or measured_width(raw, [SERIES], TIME)
     pace = cadence(stamps, [SERIES, "source"], TIME, width_us=width_us)
     return best.join(pace, [SERIES, "source"], "left")
 
@@ -115,7 +116,8 @@ def forecast_rows(
     """
     shift_reach = shift_reach_us((15, 30), horizon_minutes)
     before = max(minutes(EVENT_MINUTES) + 1, shift_reach)
-    width_us = spread_width(raw, [SERIES], TIME, before + shift_reach, width_us)
+    # Copies reach over slice edges, so slices are no shorter than that reach.
+    width_us = max(width_us or measured_width(raw, [SERIES], TIME), before + shift_reach)
     known = (
         facts.where((F.col("rows") >= MIN_ROWS) & F.col("cadence_minutes").isNotNull())
         .select(SERIES, "source", "cadence_minutes")
@@ -175,6 +177,7 @@ def load_series_dataset(
     if staging:
         raw.write.mode("overwrite").parquet(staging)
         raw = spark.read.parquet(staging)
+    width_us = width_us or measured_width(raw, [SERIES], TIME)
     facts = series_facts(raw, glucose_source, width_us=width_us)
     if strict:
         bad = series_status(raw, facts).where("status in ('no_signal', 'no_cadence')").limit(20).collect()

@@ -612,8 +612,10 @@ def static_rows(spark, folder, ids: DataFrame) -> DataFrame:
 
 def forecast_frame(spark, folder) -> DataFrame:
     raw = raw_series(spark, folder)
-    facts = features.series_facts(raw, "dexcom")
-    return features.forecast_rows(raw, static_rows(spark, folder, raw.select("participant_id")), facts)
+    width_us = slices.measured_width(raw, ["participant_id"], "timestamp")
+    facts = features.series_facts(raw, "dexcom", width_us=width_us)
+    static = static_rows(spark, folder, raw.select("participant_id"))
+    return features.forecast_rows(raw, static, facts, width_us=width_us)
 
 
 @query
