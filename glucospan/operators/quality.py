@@ -26,13 +26,51 @@ class Bound:
         return f"{self.column} outside [{self.low:g}, {self.high:g}{')' if self.open_high else ']'}"
 
     def broken(self) -> Column:
-        value = F.col(self.column)
+        return self.broken_value(F.col(self.column))
+
+    def broken_value(self, value: Column) -> Column:
         above = value >= self.high if self.open_high else value > self.high
         return F.coalesce((value < self.low) | above | F.isnan(value), F.lit(True))
 
 
+@dataclass(frozen=True)
+class OneOf:
+    """The column holds one of the allowed texts."""
+
+    column: str
+    allowed: tuple[str, ...]
+
+    @property
+    def reason(self) -> str:
+        return f"{self.column} not one of {', '.join(self.allowed)}"
+
+    def broken(self) -> Column:
+        return ~F.coalesce(F.col(self.column).isin(*self.allowed), F.lit(False))
+
+
+@dataclass(frozen=True)
+class Each:
+    """Every struct in an array column keeps a bound on one of its fields."""
+
+    array: str
+    bound: Bound
+
+    @property
+    def reason(self) -> str:
+        return f"{self.array}: {self.bound.reason}"
+
+    def broken(self) -> Column:
+        field = self.bound.column
+        return F.coalesce(
+            F.exists(self.array, lambda item: self.bound.broken_value(item[field])), F.lit(False)
+        )
+
+
+Rule = Bound | OneOf | Each
+
 # The limits of a profile, of a scenario and of its events.
 PROFILE_BOUNDS = [
+    OneOf("phenotype", ("balanced", "insulin_resistant", "active")),
     Bound("age", 18, 90),
     Bound("baseline_glucose", 70, 220),
     Bound("carb_sensitivity", 0.2, 1.8),
@@ -51,16 +89,17 @@ EXERCISE_BOUNDS = [
     Bound("duration_min", 0, 240),
     Bound("intensity", 0, 1),
 ]
+NESTED_BOUNDS = [Each("meals", b) for b in MEAL_BOUNDS] + [Each("exercise", b) for b in EXERCISE_BOUNDS]
 REQUEST_BOUNDS = [Bound("step_minutes", 1, 30)]
 
 
-def validate(df: DataFrame, bounds: Sequence[Bound]) -> DataFrame:
+def validate(df: DataFrame, bounds: Sequence[Rule]) -> DataFrame:
     """Add ``reasons`` (which limits a row breaks) and ``is_valid``; a missing value breaks its limit."""
     reasons = F.array_compact(F.array(*[F.when(b.broken(), F.lit(b.reason)) for b in bounds]))
     return df.withColumn("reasons", reasons).withColumn("is_valid", F.size("reasons") == 0)
 
 
-def split_valid(df: DataFrame, bounds: Sequence[Bound]) -> tuple[DataFrame, DataFrame]:
+def split_valid(df: DataFrame, bounds: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
     checked = validate(df, bounds)
     valid = checked.where("is_valid").drop("reasons", "is_valid")
     return valid, checked.where("not is_valid").drop("is_valid")

@@ -128,11 +128,16 @@ def predict_each(
 
 
 def evaluate_each(
-    table: DataFrame, *, group: str | None = None, digits: int | None = 2, **options
+    table: DataFrame,
+    *,
+    group: str | None = None,
+    digits: int | None = 2,
+    train_fraction: float = 0.7,
+    **options,
 ) -> DataFrame:
-    """Per-series errors with the group of its first row and the improvement over persistence."""
+    """Per-series errors and sizes with the group of its first row and the gain over persistence."""
     series, time = options.get("series", SERIES), options.get("time", TIME)
-    scored = predict_each(table, **options)
+    scored = predict_each(table, train_fraction=train_fraction, **options)
     errors = error_metrics(
         scored,
         [series],
@@ -143,12 +148,16 @@ def evaluate_each(
         digits=digits,
     ).drop("test_participants")
     gain = F.col("persistence_mae_mg_dl") - F.col("mae_mg_dl")
-    errors = errors.withColumn(
-        "mae_improvement_vs_persistence", F.bround(gain, digits) if digits is not None else gain
+    first = [F.min_by(group, time).alias(group)] if group is not None else []
+    sizes = table.groupBy(series).agg(F.count(time).alias("_rows"), *first)
+    return (
+        errors.join(sizes, series)
+        .withColumns(
+            {
+                "split_strategy": F.lit("within_patient_chronological"),
+                "train_samples": F.col("_rows") - F.col("test_samples"),
+                "mae_improvement_vs_persistence": F.bround(gain, digits) if digits is not None else gain,
+            }
+        )
+        .drop("_rows")
     )
-    if group is not None:
-        first = table.groupBy(series).agg(F.min_by(group, time).alias(group))
-        errors = errors.join(first, series, "left")
-    return errors
-
-

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -160,6 +161,8 @@ def read_series_text(
     untimed = [x for x in found if SERIES_COLUMNS["timestamp_text"][0] not in x.names]
     if untimed and strict:
         raise ValueError(f"no Timestamp column in {untimed[0].paths[:5]}")
+    for layout in untimed:
+        warnings.warn(f"left out, no Timestamp column: {layout.paths[:5]}", stacklevel=2)
     usable = [x for x in found if x not in untimed]
     if not usable:
         raise ValueError("no series file has a Timestamp column")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glucospan.functions.text import nan_to_null, pad_id
-from glucospan.schema import FORECAST_SCHEMA, SERIES, ForecastTable
+from glucospan.schema import FORECAST_SCHEMA, SERIES, TIME, ForecastTable
 
 
 def save_forecast_table(table: ForecastTable, path: str, *, fmt: str = "parquet") -> str:
@@ -57,7 +57,11 @@ def load_forecast_table(spark: SparkSession, path: str) -> ForecastTable:
 
 
 def run_summary(table: ForecastTable, provenance: dict[str, str] | None = None) -> DataFrame:
-    """One row about a table: sizes, source, horizon, features and where the data came from."""
+    """One row about a table: sizes, source, horizon, features and where the data came from.
+
+    The ids themselves are not put into the row, which would grow with them: see
+    ``ForecastTable.participants``.
+    """
     return table.frame.agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct(F.col(SERIES)).alias("participants")
     ).withColumns(
@@ -91,3 +95,37 @@ def write_csv(df: DataFrame, path: str) -> str:
 def write_text(spark: SparkSession, text: str, path: str) -> str:
     spark.createDataFrame([(text,)], "value string").write.mode("overwrite").text(path)
     return path
+
+
+def with_provenance(df: DataFrame, provenance: dict[str, str] | None) -> DataFrame:
+    return df.withColumns({name: F.lit(text) for name, text in (provenance or {}).items()})
+
+
+def save_run(trained, path: str, provenance: dict[str, str] | None = None) -> str:
+    """One training run: model, evaluation as JSON, predictions as CSV."""
+    from glucospan.plans.training import save_model
+
+    save_model(trained, path)
+    write_json(with_provenance(trained.evaluation, provenance), f"{path}/metrics")
+    write_csv(trained.predictions, f"{path}/predictions")
+    return path
+
+
+def save_benchmark(
+    results: DataFrame, summary: DataFrame, path: str, provenance: dict[str, str] | None = None
+) -> str:
+    """Per-series results as CSV in id order and their summary as JSON."""
+    write_csv(results.orderBy(SERIES), f"{path}/by_series")
+    write_json(with_provenance(summary, provenance), f"{path}/summary")
+    return path
+
+
+def save_subset(
+    rows: DataFrame, chosen: DataFrame, path: str, *, hours: float, provenance: dict[str, str] | None = None
+) -> str:
+    """A chosen subset as CSV in (id, time) order with its metadata as JSON."""
+    if hours < 12:
+        raise ValueError("a subset window must be at least 12 hours")
+    write_csv(rows.orderBy(SERIES, TIME), f"{path}/rows")
+    write_json(subset_metadata(chosen, provenance or {}, hours), f"{path}/metadata")
+    return path
