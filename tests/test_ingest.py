@@ -1,6 +1,26 @@
+from datetime import datetime, timedelta
+
+import pytest
+from conftest import SERIES_HEADER, series_rows, write_series, write_static
 from pyspark.sql import functions as F
 
-from glucospan.plans.features import load_series_dataset
+from glucospan.operators import slices
+from glucospan.plans.features import (
+    SeriesError,
+    forecast_rows,
+    load_series_dataset,
+    series_facts,
+    series_status,
+)
+from glucospan.sources.series_csv import (
+    first_readable,
+    read_series,
+    read_series_text,
+    read_static,
+    series_files,
+    timestamp_examples,
+    valid_rows,
+)
 from glucospan.sources.sinks import load_forecast_table, run_summary, save_forecast_table
 
 
@@ -27,8 +47,132 @@ def test_round_trip_keeps_ids_and_descriptor(spark, series_root, tmp_path):
         path = save_forecast_table(table, str(tmp_path / fmt), fmt=fmt)
         again = load_forecast_table(spark, path)
         assert again.glucose_source == "libre"
-        assert again.frame.schema == table.frame.schema
+        assert again.frame.schema.simpleString() == table.frame.schema.simpleString()
         key = ["participant_id", "timestamp"]
         assert again.frame.orderBy(*key).collect() == table.frame.orderBy(*key).collect()
     row = run_summary(again, {"license": "test"}).first()
     assert (row["rows"], row["participants"], row["license"]) == (336, 4, "test")
+
+
+def by_time(frame, person, *columns):
+    rows = frame.where(F.col("participant_id") == person).orderBy("timestamp").select(*columns).collect()
+    return [tuple(r) if len(columns) > 1 else r[0] for r in rows]
+
+
+def test_features_by_hand(spark, series_root):
+    """Person 2 at five-minute cadence: three rows are 15 minutes, six are 30."""
+    rows = series_rows(2)
+    value = [float(r["Dexcom GL"]) for r in rows]
+    rate = [float(r["HR"]) for r in rows]
+    frame = load_series_dataset(spark, str(series_root), width_us=slices.minutes(230)).frame.cache()
+    got = by_time(
+        frame, "002", "timestamp", "glucose_mg_dl", "glucose_lag_15m", "glucose_lag_30m", "target_30m",
+        "target_timestamp", "heart_rate_mean_30m", "activity_calories_60m", "carbs_last_120m", "hour",
+    )
+    assert len(got) == 84
+    for i, row in zip(range(6, 90), got, strict=True):
+        t = datetime(2025, 1, 3, 6) + timedelta(minutes=5 * i)
+        assert row[:6] == (t, value[i], value[i - 3], value[i - 6], value[i + 6], t + timedelta(minutes=30))
+        assert row[6] == pytest.approx(sum(rate[i - 5 : i + 1]) / 6)
+        assert row[7] == pytest.approx(1.2 * min(12, i + 1))
+        assert row[8] == 55.0 * sum(0 <= i - meal <= 24 for meal in (12, 55))
+        assert row[9] == t.hour + t.minute / 60
+    assert set(by_time(frame, "002", "age", "bmi", "fasting_glucose", "fasting_insulin")) == {(32.0, 25.0, 101.0, 10.0)}
+
+
+def test_narrow_and_wide_slices_agree(spark, series_root):
+    raw = read_series(spark, str(series_root)).cache()
+    facts = series_facts(raw)
+    static = read_static(spark, str(series_root), raw)
+    key = ["participant_id", "timestamp"]
+    tables = [
+        forecast_rows(raw, static, facts, width_us=w).select(
+            *[F.round(c, 9).alias(c) if k == "double" else c for c, k in forecast_rows(raw, static, facts).dtypes]
+        ).orderBy(*key).collect()
+        for w in (slices.minutes(1), slices.DAY_US)
+    ]
+    assert tables[0] == tables[1]
+
+
+def test_messy_folder(spark, tmp_path):
+    """Columns in another order, a BOM, both spellings of METs, repeated times, series to leave out."""
+    header = SERIES_HEADER
+    write_series(tmp_path, 1, series_rows(1))
+    shuffled = ["METs", "HR", *[n for n in header if n not in ("HR", "Mets")], "Mets"]
+    rows = series_rows(2)
+    for r in rows:
+        r["METs"], r["Mets"] = "7", "99"
+        r["Dexcom GL"] = "" if r is not rows[5] else "n/a"
+    rows.insert(31, rows[30] | {"Libre GL": "399", "Meal Type": "Snack", "Carbs": "<10 g"})
+    rows.append(dict.fromkeys(shuffled, "") | {"Timestamp": "not a time", "Libre GL": "100"})
+    write_series(tmp_path, 2, rows, shuffled)
+    path = tmp_path / "Person-002" / "Person-002.csv"
+    path.write_bytes(b"\xef\xbb\xbf" + path.read_bytes())
+    write_series(tmp_path, 3, series_rows(3, 59))
+    dark = series_rows(4)
+    for r in dark:
+        r["Dexcom GL"] = r["Libre GL"] = "None"
+    write_series(tmp_path, 4, dark)
+    far = series_rows(5)
+    for i, r in enumerate(far):
+        r["Timestamp"] = (datetime(2025, 1, 1) + timedelta(hours=i)).strftime("%Y-%m-%d %H:%M:%S")
+    write_series(tmp_path, 5, far)
+    (tmp_path / "Person-notes.csv").write_text("a,b\n1,2\n")
+    write_static(tmp_path, 3, id_column=True)
+    with open(tmp_path / "bio.csv", "a") as handle:
+        handle.write("P-2,77,M,,nan,<100,1\n")
+
+    assert [r["participant_id"] for r in series_files(spark, str(tmp_path)).collect()] == ["001", "002", "003", "004", "005"]
+    raw = read_series(spark, str(tmp_path)).cache()
+    assert raw.where("participant_id = '002' and timestamp is null").count() == 1
+    facts = series_facts(raw, "auto").cache()
+    status = {r["participant_id"]: (r["status"], r["source"]) for r in series_status(raw, facts).collect()}
+    assert status == {
+        "001": ("ok", "dexcom"), "002": ("ok", "libre"), "003": ("too_few_rows", "dexcom"),
+        "004": ("no_signal", None), "005": ("no_cadence", "dexcom"),
+    }
+    table = load_series_dataset(spark, str(tmp_path))
+    frame = table.frame.cache()
+    assert table.glucose_source == "mixed"
+    assert {r[0] for r in table.participants().collect()} == {"001", "002"}
+    # The repeated row is no second sample, but its meal counts.
+    assert by_time(frame, "002", "mets")[0] == 7.0
+    assert max(by_time(frame, "002", "glucose_mg_dl")) < 399
+    carbs = by_time(frame, "002", "carbs_last_120m")
+    assert carbs[30 - 6] == 65.0
+    assert set(by_time(frame, "002", "age", "bmi", "hba1c", "fasting_glucose", "diagnosis")) == {
+        (77.0, None, None, 100.0, "unknown")
+    }
+    with pytest.raises(SeriesError, match="004: no_signal|005: no_cadence"):
+        load_series_dataset(spark, str(tmp_path), strict=True)
+    assert timestamp_examples(read_series_text(spark, str(tmp_path))).count() == 8
+
+
+def test_missing_inputs(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(FileNotFoundError):
+        load_series_dataset(spark, str(tmp_path / "empty"))
+    write_series(tmp_path, 1, series_rows(1), ["HR", "Dexcom GL"])
+    with pytest.raises(ValueError, match="no Timestamp column"):
+        read_series_text(spark, str(tmp_path))
+    write_series(tmp_path, 2, series_rows(2))
+    with pytest.warns(UserWarning, match="Person-001"):
+        assert read_series_text(spark, str(tmp_path), strict=False).count() == 96
+    with pytest.raises(ValueError, match="glucose_source"):
+        series_facts(read_series(spark, str(tmp_path), strict=False), "other")
+
+
+def test_valid_rows_and_fallback(spark, tmp_path):
+    rows = [
+        ("7", "2025-01-01 00:00:00", "100"), ("", "2025-01-01 00:00:00", "100"), ("8", " ", "100"),
+        ("8", "soon", "100"), ("8", "2025-01-01T00:05:00", "n/a"), ("8", "2025-01-01T00:05:00", "99.5"), ("9", "2025-01-01", "nan"),
+    ]
+    df = spark.createDataFrame(rows, "participant_id string, timestamp string, glucose_mg_dl string")
+    kept = valid_rows(df, "participant_id", "timestamp", "glucose_mg_dl").orderBy("participant_id").collect()
+    assert [(r[0], r[2]) for r in kept] == [("007", 100.0), ("008", 99.5)]
+    places = [("full", str(tmp_path / "full")), ("demo", str(tmp_path / "demo.csv"))]
+    assert first_readable(spark, places) is None
+    df.write.option("header", True).csv(places[1][1])
+    assert first_readable(spark, places).select("data_mode").distinct().first()[0] == "demo"
+    df.write.parquet(places[0][1])
+    assert first_readable(spark, places).select("data_mode").distinct().first()[0] == "full"
