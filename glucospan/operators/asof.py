@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glucospan.operators.slices import SLICE, US, measured_width, minutes, sliced
+from glucospan.operators.slices import MINUTE_US, SLICE, US, measured_width, sliced
 
 
 def asof_nearest(
@@ -17,13 +17,14 @@ def asof_nearest(
     left_time: str,
     right_time: str,
     *,
-    tolerance_minutes: float,
+    tolerance_minutes: float | Column,
     width_us: int | None = None,
     prefix: str = "matched_",
 ) -> DataFrame:
     """Left rows with the right row nearest in time (columns prefixed; NULL when none is near).
 
-    The tolerance is inclusive and an equal distance goes to the earlier row. Inside a slice, running
+    The tolerance is inclusive, may be a column of ``left``, and an equal distance goes to the
+    earlier row. Inside a slice, running
     "last seen" values over ascending and over descending time give both neighbours with one shuffle
     and two sorts. Where a neighbour lies in another slice it comes from a table with the first and
     last right row of each slice, so slices can be as short as the data are dense.
@@ -33,8 +34,14 @@ def asof_nearest(
         measured_width(left, keys, left_time), measured_width(right, keys, right_time)
     )
     payload = [name for name in right.columns if name not in keys]
+    limit = tolerance_minutes if isinstance(tolerance_minutes, Column) else F.lit(float(tolerance_minutes))
     probes = sliced(left, left_time, width_us).select(
-        *keys, SLICE, US, F.lit(1).alias("_probe"), F.struct(*left.columns).alias("_left")
+        *keys,
+        SLICE,
+        US,
+        F.lit(1).alias("_probe"),
+        F.round(limit * MINUTE_US).cast("bigint").alias("_tolerance_us"),
+        F.struct(*left.columns).alias("_left"),
     )
     samples = sliced(right, right_time, width_us).select(
         *keys, SLICE, US, F.lit(0).alias("_probe"), F.struct(US, *payload).alias("_seen")
@@ -72,7 +79,7 @@ def asof_nearest(
     ahead = F.col(f"_later.{US}") - F.col(US)
     use_earlier = back.isNotNull() & (ahead.isNull() | (back <= ahead))
     nearest = F.when(use_earlier, F.col("_earlier")).otherwise(F.col("_later"))
-    near = F.least(back, ahead) <= minutes(tolerance_minutes)
+    near = F.least(back, ahead) <= F.col("_tolerance_us")
     return found.withColumn("_match", F.when(near, nearest)).select(
         "_left.*", *[F.col(f"_match.{name}").alias(prefix + name) for name in payload]
     )
@@ -84,7 +91,7 @@ def future_matches(
     time: str,
     *,
     ahead_minutes: float = 30,
-    tolerance_minutes: float = 7.5,
+    tolerance_minutes: float | Column = 7.5,
     width_us: int | None = None,
 ) -> DataFrame:
     """Each sample with the sample nearest to ``ahead_minutes`` later.

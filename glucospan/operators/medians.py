@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Coarse buckets per doubling of the magnitude, and fine buckets inside a coarse one.
-COARSE_PER_DOUBLING = 64
+COARSE_PER_DOUBLING = 16
 FINE_BUCKETS = 65_536
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, *, out: str = "median") -> DataFrame:
-    """Median per key: the middle value, or the mean of the two middle values; NULL and NaN skipped.
+    """Median per key: the middle value, or the mean of the two middle values; NULL and NaN skipped,
+    as are rows with a NULL key.
 
     Spark's own exact percentile keeps every distinct value of a group in one buffer. Here the
     values are first counted per (key, value), which spreads a hot key over all tasks. A coarse
@@ -31,6 +32,9 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, *, out: str = "
     # The bound only matters for infinite values, whose logarithm fits no integer.
     magnitude = F.least(F.log2(F.abs("_v") + 1.0) * COARSE_PER_DOUBLING, F.lit(1e6))
     coarse = counts.withColumn("_b1", (F.signum("_v") * F.floor(magnitude)).cast("int"))
+    # Spark adds such filters to one side of a join only; stated for all branches, they leave the
+    # branches equal, so that the counts are worked out and shuffled once.
+    coarse = _complete(coarse, [*keys, "_b1"])
 
     chosen = _middle_buckets(coarse, keys, ["_b1"], first=True)
     fine = coarse.join(chosen, [*keys, "_b1"]).withColumn(
@@ -42,6 +46,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, *, out: str = "
         .otherwise(0)
         .cast("int"),
     )
+    fine = _complete(fine, ["_b2"])
 
     last = _middle_buckets(fine, keys, ["_b1", "_b2"], first=False)
     final = fine.select(*keys, "_b1", "_b2", "_v", "_n").join(last, [*keys, "_b1", "_b2"])
@@ -53,6 +58,12 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, *, out: str = "
     return picked.groupBy(*keys).agg(((F.max(lower) + F.max(upper)) / 2.0).alias(out))
 
 
+def _complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    for name in columns:
+        df = df.where(F.col(name).isNotNull())
+    return df
+
+
 def _lower_rank():
     return F.floor((F.col("_total") - 1) / 2)
 

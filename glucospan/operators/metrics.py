@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from glucospan.functions.clinical import HIGH, LOW, VERY_HIGH, VERY_LOW
 from glucospan.functions.text import label, nan_to_null
 from glucospan.operators import medians
-from glucospan.storage import checkpointed
+from glucospan.storage import stored
 
 
 def _share(condition: Column) -> Column:
@@ -159,7 +159,7 @@ def benchmark_summary(results: DataFrame, *, digits: int | None = 2) -> DataFram
         # A difference of two rounded numbers carries binary noise that would hide a tie.
         gain = F.bround(gain, digits)
     # One row per series, read by the means and by each step of the medians.
-    rows = checkpointed(results.withColumn("mae_improvement_vs_persistence", gain).select(*measures))
+    rows = stored(results.withColumn("mae_improvement_vs_persistence", gain).select(*measures))
     long = rows.select(F.inline(F.array(*[
         F.struct(F.lit(name).alias("measure"), F.col(name).cast("double").alias("v")) for name in measures
     ])))

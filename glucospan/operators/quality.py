@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glucospan.operators import asof, medians, windows
 from glucospan.operators.slices import MINUTE_US, measured_width
+from glucospan.storage import stored
 
 
 @dataclass(frozen=True)
@@ -129,40 +130,58 @@ def sensor_diagnostics(
 ) -> DataFrame:
     """Per series: raw and parsed rows, then per sensor its distinct times, median gap and matches.
 
-    ``df`` holds every raw row, those without a parsed time included.
+    ``df`` holds every raw row, those without a parsed time included. The sample times of all sensors
+    form one table keyed by (series, sensor), so gaps, medians and matches each run once.
     """
     width_us = width_us or measured_width(df, [series], time)
-    report = df.groupBy(series).agg(
+    raw = df.groupBy(series).agg(
         F.count(F.lit(1)).alias("raw_rows"), F.count(time).alias("parsed_rows")
     )
-    for sensor in sensors:
-        stamps = (
-            df.where(F.col(time).isNotNull() & F.col(sensor.value).isNotNull())
-            .select(series, time)
-            .distinct()
+    cells = F.array(*[
+        F.struct(
+            F.lit(s.name).alias("sensor"),
+            F.lit(float(s.tolerance_minutes)).alias("tolerance"),
+            F.col(s.value).isNotNull().alias("_present"),
         )
-        between = windows.gaps(stamps, [series], time, width_us=width_us).where("gap_us is not null")
-        middle = medians.exact_median(between, [series], "gap_us", out="_gap").select(
-            series, (F.col("_gap") / F.lit(MINUTE_US)).alias(f"{sensor.name}_median_gap_minutes")
-        )
-        hits = (
-            asof.future_matches(
-                stamps,
-                [series],
-                time,
-                ahead_minutes=ahead_minutes,
-                tolerance_minutes=sensor.tolerance_minutes,
-                width_us=width_us,
-            )
-            .groupBy(series)
-            .agg(
-                F.count(F.lit(1)).alias(f"{sensor.name}_rows"),
-                F.count_if("hit").alias(f"{sensor.name}_future_pairs"),
-            )
+        for s in sensors
+    ])
+    stamps = stored(
+        df.where(F.col(time).isNotNull())
+        .select(series, time, F.inline(cells))
+        .where("_present")
+        .select(series, "sensor", "tolerance", time)
+        .distinct()
+    )
+    keys = [series, "sensor"]
+    between = windows.gaps(stamps.select(*keys, time), keys, time, width_us=width_us)
+    middle = medians.exact_median(between, keys, "gap_us", out="_gap")
+    hits = (
+        asof.future_matches(
+            stamps,
+            keys,
+            time,
+            ahead_minutes=ahead_minutes,
+            tolerance_minutes=F.col("tolerance"),
+            width_us=width_us,
         )
-        report = report.join(hits, series, "left").join(middle, series, "left")
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_rows"), F.count_if(F.col("hit")).alias("_pairs"))
+    )
+    found = hits.join(middle, keys, "left")
+
+    def of(sensor: Sensor, column: Column) -> Column:
+        return F.max(F.when(F.col("sensor") == sensor.name, column))
+
+    columns = []
+    for s in sensors:
+        columns += [
+            F.coalesce(of(s, F.col("_rows")), F.lit(0)).alias(f"{s.name}_rows"),
+            F.coalesce(of(s, F.col("_pairs")), F.lit(0)).alias(f"{s.name}_future_pairs"),
+            of(s, F.col("_gap") / F.lit(MINUTE_US)).alias(f"{s.name}_median_gap_minutes"),
+        ]
     counts = [n for s in sensors for n in (f"{s.name}_rows", f"{s.name}_future_pairs")]
-    return report.fillna(0, subset=counts)
+    wide = found.groupBy(series).agg(*columns)
+    return raw.join(wide, series, "left").fillna(0, subset=counts)
 
 
 def diagnostics_totals(report: DataFrame, series: str) -> DataFrame:

@@ -54,7 +54,7 @@ def measured_width(
     *,
     at_least_us: int = 1_000_000,
     at_most_us: int = 28 * DAY_US,
-    rows_per_slice: int = 2_000_000,
+    rows_per_slice: int = 250_000,
 ) -> int:
     """Slice width at which the densest hour of any series stays near ``rows_per_slice`` rows.
 

@@ -71,7 +71,7 @@ def series_facts(
         for i, n in enumerate(names)
     ])
     stamps = (
-        raw.where(F.col(TIME).isNotNull())
+        raw.where(F.col(SERIES).isNotNull() & F.col(TIME).isNotNull())
         .select(SERIES, TIME, F.inline(values))
         .where("v is not null")
         .select(SERIES, "preference", "source", TIME)

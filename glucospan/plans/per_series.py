@@ -19,7 +19,7 @@ from glucospan.operators.selection import chronological_split
 from glucospan.operators.slices import measured_width, sliced, with_series_facts
 from glucospan.plans.training import PREDICTION, long_features
 from glucospan.schema import FEATURES, SERIES, TARGET, TIME, VALUE
-from glucospan.storage import checkpointed
+from glucospan.storage import stored
 
 
 def _centred(features: Sequence[str]) -> list:
@@ -99,7 +99,7 @@ def predict_each(
     width_us = width_us or measured_width(table, [series], time)
     needed = dict.fromkeys([series, time, current, target, *features, *tiebreak])
     # Read by the medians, the sums of products and the scoring.
-    split = checkpointed(
+    split = stored(
         chronological_split(
             table.select(*needed),
             [series],
@@ -112,9 +112,12 @@ def predict_each(
     middle = medians.exact_median(
         long_features(split.where("not is_test"), features, [series]), [series, "feature"], "v"
     )
-    # At most one entry per feature, so the list stays short whatever the series.
-    centres = middle.groupBy(series).agg(
-        F.map_from_entries(F.collect_list(F.struct("feature", "median"))).alias("centres")
+    # At most one entry per feature, so the map stays small whatever the series. Training and
+    # scoring both read it.
+    centres = stored(
+        middle.groupBy(series).agg(
+            F.map_from_entries(F.collect_list(F.struct("feature", "median"))).alias("centres")
+        )
     )
     rows = with_series_facts(sliced(split, time, width_us), centres, [series])
     weights = fit_coefficients(rows.where("not is_test"), series, features, target, current, penalty)

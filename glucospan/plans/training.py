@@ -22,7 +22,7 @@ from glucospan.operators.selection import (
 )
 from glucospan.schema import SERIES, TIME, VALUE, ForecastTable
 from glucospan.sources.sinks import write_text
-from glucospan.storage import checkpointed
+from glucospan.storage import stored
 
 # Accepted model names.
 BOOSTED = ["hgb", "hist_gradient_boosting", "histgradientboosting"]
@@ -112,10 +112,10 @@ def _fit(
 ) -> TrainedPredictor:
     """Fit on the training rows, score the test rows, and set the errors beside persistence.
 
-    The split is checkpointed: medians, training, sizes and scoring all read it.
+    The split is stored: medians, training, sizes and scoring all read it.
     """
     needed = [SERIES, TIME, VALUE, *table.feature_columns, table.target_column, "is_test"]
-    rows = checkpointed(split.select(*dict.fromkeys(needed)))
+    rows = stored(split.select(*dict.fromkeys(needed)))
     train = rows.where("not is_test")
     stages, used = imputer_stages(train, table.feature_columns)
     model = Pipeline(stages=[*stages, regressor]).fit(train)

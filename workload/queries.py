@@ -16,6 +16,7 @@ from glucospan.operators.windows import Trailing
 from glucospan.plans import features, per_series, training
 from glucospan.schema import ForecastTable
 from glucospan.sources import series_csv
+from glucospan.storage import stored
 
 QUERIES = {}
 DAY_MINUTES = 1440
@@ -540,9 +541,10 @@ def median_impute(spark, folder):
 def simple_forecast(spark, folder) -> DataFrame:
     """Per user: the next value as target, the mean of the last three days as prediction."""
     rows = table(spark, folder, "events").select("event_id", "user_id", "event_type", "ts", "value")
-    ahead = windows.shift_rows(rows, ["user_id"], "ts", {"target": ("value", -1)}).where("target is not null")
+    width_us = slices.measured_width(rows, ["user_id"], "ts")
+    ahead = windows.shift_rows(rows, ["user_id"], "ts", {"target": ("value", -1)}, width_us=width_us)
     spec = Trailing("prediction", F.col("value"), 3 * DAY_MINUTES, "mean", "right")
-    return windows.trailing(ahead, ["user_id"], "ts", [spec])
+    return windows.trailing(ahead.where("target is not null"), ["user_id"], "ts", [spec], width_us=width_us)
 
 
 def forecast_errors(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -634,9 +636,13 @@ def user_forecast(spark, folder) -> DataFrame:
     )
     sin_time, cos_time = clinical.cyclical(clinical.hour_of_day(F.col("timestamp")))
     shifts = {"lag_1": ("glucose_mg_dl", 1), "lag_2": ("glucose_mg_dl", 2), "target_30m": ("glucose_mg_dl", -1)}
-    ahead = windows.shift_rows(rows, ["participant_id"], "timestamp", shifts).where("target_30m is not null")
+    keys = ["participant_id"]
+    width_us = slices.measured_width(rows, keys, "timestamp")
+    ahead = windows.shift_rows(rows, keys, "timestamp", shifts, width_us=width_us)
     spec = Trailing("mean_3d", F.col("glucose_mg_dl"), 3 * DAY_MINUTES, "mean", "right")
-    return windows.trailing(ahead, ["participant_id"], "timestamp", [spec]).withColumns(
+    ahead = ahead.where("target_30m is not null")
+    # A forecasting table is written once and read by every model, here as in a real run.
+    return stored(windows.trailing(ahead, keys, "timestamp", [spec], width_us=width_us)).withColumns(
         {"sin_time": sin_time, "cos_time": cos_time}
     )
 
