@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,13 +52,30 @@ def parse_timestamp(text: Column, formats: list[str] | None = None) -> Column:
     # The plain cast reads ISO text with a T, fractions or an offset. It also reads bare
     # years, and text with a time only, so it is kept to text that starts with a full date.
     iso = F.when(trimmed.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), trimmed.try_cast("timestamp_ntz"))
+    # A failed parse is costly, so a format is tried only on text of its shape.
     tried = [
-        F.try_to_timestamp(trimmed, F.lit(fmt)).cast("timestamp_ntz")
+        F.when(
+            trimmed.rlike(_shape(fmt)), F.try_to_timestamp(trimmed, F.lit(fmt)).cast("timestamp_ntz")
+        )
         for fmt in (formats or TIMESTAMP_FORMATS)
     ]
     return F.coalesce(iso, *tried)
 
 
+def _shape(fmt: str) -> str:
+    """Regular expression for text that a format could read, field by field."""
+
+    def field(run: re.Match) -> str:
+        letters = run.group()
+        if letters == "a":
+            return "[AaPp][Mm]"
+        if letters == "MMM":
+            return "[A-Za-z]{3}"
+        return r"\d{1,2}" if len(letters) == 1 else rf"\d{{{len(letters)}}}"
+
+    return "^" + re.sub(r"([A-Za-z])\1*", field, fmt) + "$"
+
+
 def pad_id(value: Column, width: int = 3) -> Column:
     """Left-pad with zeros to ``width``; longer ids stay whole (a bare lpad would cut them).
 

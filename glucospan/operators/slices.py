@@ -172,8 +172,16 @@ def home_rows(spread_df: DataFrame) -> DataFrame:
     return spread_df.where(HOME).drop(US, SLICE, HOME)
 
 
-def with_series_facts(rows: DataFrame, facts: DataFrame, series: Sequence[str]) -> DataFrame:
-    """Join per-series facts to sliced rows on (series, slice); series without facts drop out."""
+def with_series_facts(
+    rows: DataFrame, facts: DataFrame, series: Sequence[str], *, place: bool = False
+) -> DataFrame:
+    """Join per-series facts to sliced rows on (series, slice); series without facts drop out.
+
+    ``place`` shuffles the rows by (series, slice) before the join, for windows that follow: should
+    the join turn out to be a broadcast, the first window would otherwise shuffle by its own longer
+    key, and the next one again.
+    """
     home = rows.where(HOME) if HOME in rows.columns else rows
-    keys = home.groupBy(*series, SLICE).agg(F.lit(1).alias("_one")).drop("_one")
-    return rows.join(keys.join(facts, list(series)), [*series, SLICE])
+    slices = home.groupBy(*series, SLICE).agg(F.lit(1).alias("_one")).drop("_one")
+    placed = rows.repartition(*series, SLICE) if place else rows
+    return placed.join(slices.join(facts, list(series)), [*series, SLICE])

@@ -197,7 +197,7 @@ def timed_shifts(
     # Copies reach over slice edges, so slices are no shorter than that reach.
     width_us = max(width_us, 2 * reach)
     rows = spread(df, time, width_us, before_us=reach, after_us=reach)
-    rows = with_series_facts(rows, pace, series)
+    rows = with_series_facts(rows, pace, series, place=True)
     shifted = add_timed_shifts(rows, series, time, value, lags=lags, horizon=horizon, **names)
     return home_rows(shifted)
 

@@ -124,7 +124,7 @@ def forecast_rows(
         .join(static, SERIES, "left")
     )
     rows = spread(raw, TIME, width_us, before_us=before, after_us=shift_reach)
-    rows = with_series_facts(rows.repartition(SERIES, SLICE), known, [SERIES])
+    rows = with_series_facts(rows, known, [SERIES], place=True)
     rows = rows.withColumn(VALUE, F.when(F.col("source") == "dexcom", F.col("dexcom")).otherwise(F.col("libre")))
 
     # Of repeated times only the first row with a value is a sample; any row may record an event.
