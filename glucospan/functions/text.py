@@ -99,4 +99,4 @@ def label(value: Column) -> Column:
 
 def is_event(kind: Column, amount: Column) -> Column:
     """A row records an event when it names a kind or carries a numeric amount."""
-    return F.coalesce(F.trim(kind) != "", F.lit(False)) | amount.isNotNull()
+    return F.coalesce(kind.rlike(r"\S"), F.lit(False)) | amount.isNotNull()

@@ -44,6 +44,13 @@ def test_ids_and_labels(spark):
     assert column(spark, ["P-7", "id 1234", "none"], joins.id_key) == ["007", "123", None]
 
 
+def test_events_need_a_kind_or_an_amount(spark):
+    rows = [("Lunch", None), (" \t", None), (None, None), (None, 0.0), ("", 5.0)]
+    df = spark.createDataFrame(rows, "kind string, amount double")
+    got = [r[0] for r in df.select(text.is_event(F.col("kind"), F.col("amount"))).collect()]
+    assert got == [True, False, False, True, True]
+
+
 def test_bands_and_bounds(spark):
     values = [None, float("nan"), 5.69, 5.7, 6.4, 6.41]
     assert column(spark, values, clinical.diagnosis_band, "double") == [
