@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors reach.
+
+    A session without that setting gets a folder in its warehouse, the other place that all share.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(own or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    return context.getCheckpointDir()
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet below the checkpoint folder and go on from the written table.
+    """Write ``df`` as Parquet below the shared folder and go on from the written table.
 
     Used where several branches read one costly intermediate. Lineage ends here, so a lost executor
     costs a re-read and not a recomputation; unlike a plain checkpoint the table still prunes
-    columns, and equal branches over it share their exchanges. The folder is the one the session
-    names in ``spark.checkpoint.dir``, which all executors reach; only a local session without that
-    setting gets a temporary folder.
+    columns, and equal branches over it share their exchanges. The table is deleted when the session's
+    file system closes.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4()}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
