@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucospan.llm import bpe, packing
+from glucospan.llm import ann, bpe, packing, topk
 from glucospan.storage import stored
 
 QUERIES = {}
@@ -42,3 +42,15 @@ def op7_byte_level_bpe(spark, folder):
     return bpe.id_digests(decoded).select(
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@query
+def op2_pivot_index(spark, folder):
+    """The 20 greatest integer inner products of every twentieth vector, exactly."""
+    return topk.greatest_products(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0)
+
+
+@query
+def op9_hilbert_curves(spark, folder):
+    """The 10 nearest found for every hundredth vector."""
+    return ann.nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0)
