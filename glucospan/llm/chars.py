@@ -108,12 +108,14 @@ class Chars:
 
 @dataclass
 class Words:
-    """Words of several texts in order: text number, span in that text, hash; ``first`` cuts by text."""
+    """Words of several texts in order: text number, span in that text, hash of the word and of its first
+    letters; ``first`` cuts by text."""
 
     text: np.ndarray
     begin: np.ndarray
     end: np.ndarray
     hash: np.ndarray
+    stem: np.ndarray
     first: np.ndarray
 
 
@@ -125,7 +127,7 @@ def chars(texts: list[str]) -> Chars:
     return Chars(codes, ends - lengths - 1, lengths)
 
 
-def words(texts: list[str]) -> Words:
+def words(texts: list[str], stem: int = 0) -> Words:
     c = chars(texts)
     kind = kinds()[c.codes]
     inside = (kind == LETTER) | (kind == NUMBER) | (kind == MARK)
@@ -134,7 +136,8 @@ def words(texts: list[str]) -> Words:
     text = np.searchsorted(c.starts, begin, "right") - 1
     shift = c.starts[text] if len(text) else text
     first = np.searchsorted(text, np.arange(len(texts) + 1))
-    return Words(text, begin - shift, end - shift, c.spans_hash(begin, end), first)
+    stems = c.spans_hash(begin, np.minimum(end, begin + stem)) if stem else np.zeros(0, np.uint64)
+    return Words(text, begin - shift, end - shift, c.spans_hash(begin, end), stems, first)
 
 
 def windows_hash(hashes: np.ndarray, text: np.ndarray, steps: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:

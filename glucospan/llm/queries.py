@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucospan.llm import ann, bpe, packing, topk
+from glucospan.llm import ann, bpe, packing, sharding, topk, toxicity
 from glucospan.storage import stored
 
 QUERIES = {}
@@ -26,6 +26,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def learnt_toxicity(spark: SparkSession, folder: str) -> toxicity.Model:
+    """Learnt from labelled documents whose id's CRC-32 is not divisible by five."""
+    labels = table(spark, folder, "labels").select("doc_id", "toxic")
+    taught = labels.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    return toxicity.fit(table(spark, folder, "documents").select("doc_id", "text"), taught)
+
+
+@query
+def op1_histogram_sort(spark, folder):
+    """All documents in 40 shards of equal bytes, equal texts beside each other."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    # Texts by digest, copies by id.
+    key = F.concat(
+        F.coalesce(F.md5("text"), F.lit("0" * 32)), F.lpad(F.lower(F.hex(F.coalesce("doc_id", F.lit(0)))), 16, "0")
+    )
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    placed = sharding.shards(documents, key, 48, size, 40)
+    return placed.select(
+        "doc_id", "size", F.crc32("text").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query
 def op4_min_bin_slack(spark, folder):
     """Every document's pieces of at most 4096 tokens and their places in packed sequences."""
@@ -54,3 +77,16 @@ def op2_pivot_index(spark, folder):
 def op9_hilbert_curves(spark, folder):
     """The 10 nearest found for every hundredth vector."""
     return ann.nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0)
+
+
+@query
+def op10_ftrl_toxicity(spark, folder):
+    """The toxicity of every document, learnt without the held-out fifth."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    rows = toxicity.scored(documents, learnt_toxicity(spark, folder))
+    return rows.select(
+        "doc_id",
+        (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
