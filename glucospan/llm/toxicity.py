@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glucospan.llm import chars
 
@@ -143,7 +144,7 @@ def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add ``score``, from 0 to 1; a null text counts as empty. A column of that name is replaced."""
     kept = df.drop("score")
     place = kept.columns.index(text)
-    schema = kept.schema.add("score", "double")
+    schema = T.StructType([*kept.schema, T.StructField("score", T.DoubleType())])
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
