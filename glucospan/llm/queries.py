@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucospan.llm import ann, bpe, packing, sharding, topk, toxicity
+from glucospan.llm import ann, bpe, jaccard, packing, sharding, topk, toxicity
 from glucospan.storage import stored
 
 QUERIES = {}
@@ -90,3 +90,35 @@ def op10_ftrl_toxicity(spark, folder):
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query
+def op5_bayes_jaccard(spark, folder):
+    """Each document's group of near copies and number of links: Jaccard of five-word n-grams from 0.8."""
+    return jaccard.similar(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+ORACLE["op5_bayes_jaccard"] = r"""
+    WITH RECURSIVE word AS (
+        SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL
+    ), gram AS (
+        SELECT DISTINCT doc_id, hash(g) AS g FROM (
+            SELECT doc_id, unnest(CASE WHEN len(w) < 5 THEN [w]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) END) AS g
+            FROM word WHERE len(w) > 0
+        )
+    ), size AS (
+        SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id
+    ), pair AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM gram a JOIN gram b ON a.g = b.g AND a.doc_id <> b.doc_id
+        GROUP BY ALL
+    ), link AS (
+        SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+        WHERE common >= 0.8 * (x.n + y.n - common) - 1e-9
+    ), reach AS (
+        SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b
+    )
+    SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(b) FROM reach WHERE a = d.doc_id), d.doc_id)) AS class_id,
+        (SELECT count(*) FROM link WHERE a = d.doc_id) AS n_links
+    FROM documents d
+"""

@@ -47,12 +47,13 @@ def splitters(keys: DataFrame, targets: list[int], digits: int, tolerance: int,
     length = 0
     while open_at:
         parent_length, length = length, min(digits, length + (step if length else first))
-        rows = keys.select(F.substring("key", 1, length).alias("prefix"), "size")
+        rows = keys.select(F.substring("key", 1, length).alias("prefix"), "key", "size")
         if parent_length:
             wanted = keys.sparkSession.createDataFrame([(p,) for p in sorted(open_at)], "parent string")
             rows = rows.withColumn("parent", F.substring("prefix", 1, parent_length))
             rows = rows.join(F.broadcast(wanted), "parent", "left_semi")  # one row for each open splitter at most
-        counts = rows.groupBy("prefix").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
+        one_key = (F.min("key") == F.max("key")).alias("one_key")
+        counts = rows.groupBy("prefix").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), one_key).collect()
         by_parent: dict[str, list] = {p: [] for p in open_at}
         for r in sorted(counts, key=lambda r: r.prefix):
             by_parent[r.prefix[:parent_length]].append(r)
@@ -67,7 +68,7 @@ def splitters(keys: DataFrame, targets: list[int], digits: int, tolerance: int,
                 high = Splitter(r.prefix + PAST, some, rank)
                 while at < len(waiting) and targets[waiting[at]] <= some:
                     target = waiting[at]
-                    if r.bytes <= tolerance or length == digits or targets[target] == some:
+                    if r.bytes <= tolerance or r.one_key or targets[target] == some:
                         out[target] = _closest(targets[target], low, high)
                     else:
                         still.setdefault(r.prefix, []).append(target)
