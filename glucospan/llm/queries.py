@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucospan.llm import ann, bpe, jaccard, packing, sharding, topk, toxicity
+from glucospan.llm import ann, bpe, jaccard, packing, sharding, topk, toxicity, warc
 from glucospan.storage import stored
 
 QUERIES = {}
@@ -122,3 +122,92 @@ ORACLE["op5_bayes_jaccard"] = r"""
         (SELECT count(*) FROM link WHERE a = d.doc_id) AS n_links
     FROM documents d
 """
+
+
+@query
+def op6_warc_derivatives(spark, folder):
+    """Metadata and plain-text records of all pages."""
+    found = warc.responses(table(spark, folder, "pages"), "2025-01-01T00:00:00Z")
+    return warc.derivatives(found).withColumnRenamed("key", "page_id")
+
+
+def _duck_text(text: str) -> str:
+    return text.replace("\\", "\\").replace("'", "''")
+
+
+def _duck_characters(column: str) -> str:
+    number = f"regexp_extract(p, '{warc.NUMERIC}', 1)"
+    code = (
+        f"CASE WHEN {number} = '' THEN 0 WHEN lower({number}[1]) = 'x' THEN ('0x' || {number}[2:])::BIGINT"
+        f" ELSE {number}::BIGINT END"
+    )
+    sign = f"CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr(({code})::INT) ELSE chr(65533) END"
+    part = f"CASE WHEN {number} = '' THEN '&#' || p ELSE {sign} || regexp_replace(p, '{warc.NUMERIC}', '') END"
+    out = f"list_reduce([string_split({column}, '&#')[1]] || list_transform(string_split({column}, '&#')[2:], lambda p: {part}), lambda x, y: x || y)"
+    for name, char in warc.NAMED:
+        out = f"replace({out}, '{name}', '{_duck_text(char)}')"
+    return out
+
+
+def _duck_digest(column: str) -> str:
+    h = f"sha1({column})"
+    parts = " || ".join(f"to_base(('0x' || {h}[{a}:{a + 9}])::BIGINT, 32, 8)" for a in (1, 11, 21, 31))
+    return f"'sha1:' || translate(upper({parts}), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
+
+
+def _duck_identifier(*parts: str) -> str:
+    h = f"md5(concat_ws(chr(31), {', '.join(parts)}))"
+    return f"'<urn:uuid:' || concat_ws('-', {h}[1:8], {h}[9:12], {h}[13:16], {h}[17:20], {h}[21:32]) || '>'"
+
+
+def _duck_replace(column: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({column}, '{_duck_text(pattern)}', {by}, 'g')"
+
+
+def _warc_sql() -> str:
+    line = "chr(10)"
+    end = "chr(13) || chr(10)"
+    blank = "[ \\t\\r\\n\\f]+"
+    text = _duck_replace(_duck_replace("payload", warc.COMMENT, "' '"), warc.QUIET, "' '")
+    text = _duck_replace(_duck_replace(_duck_replace(text, blank, "' '"), warc.BREAK, line), warc.TAG, "''")
+    chars = _duck_characters("stripped")
+    plain = _duck_replace(_duck_replace("called", "[ \\t\\r\\f]+", "' '"), "[ \\n]*\\n[ \\n]*", line)
+    plain = _duck_replace(plain, "^[ \\n]+|[ \\n]+$", "''")
+    title = _duck_replace(_duck_characters(f"regexp_extract(payload, '{_duck_text(warc.TITLE)}', 1)"), blank, "' '")
+    link = _duck_replace(_duck_characters("x"), "[\\r\\n]+", "' '")
+    return f"""
+    WITH page AS (
+        SELECT page_id, url, coalesce(html, '') AS payload FROM pages
+    ), response AS (
+        SELECT page_id, url AS target_uri, payload, {_duck_digest("payload")} AS source_digest,
+            {_duck_identifier("'response'", "coalesce(page_id::VARCHAR, '')", "coalesce(url, '')", "md5(payload)")} AS refers_to,
+            ['HTTP/1.1 200 OK', 'Content-Type: text/html; charset=utf-8', 'Content-Length: ' || strlen(payload)] AS http,
+            {text} AS stripped
+        FROM page
+    ), called AS (
+        SELECT *, {chars} AS called, {title} AS title,
+            regexp_extract_all(payload, '{_duck_text(warc.LINK)}', 1) AS link
+        FROM response
+    ), made AS (
+        SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
+            array_to_string(list_transform(http, lambda x: 'source-http: ' || x), {end}) || {end}
+            || 'source-payload-digest: ' || source_digest || {end} || 'title: ' || title || {end}
+            || array_to_string(list_transform(link, lambda x: 'outlink: ' || {link} || ' L a/@href' || {end}), '') AS block
+        FROM called
+        UNION ALL
+        SELECT *, 'conversion', 'text/plain', {plain} FROM called
+    ), named AS (
+        SELECT *, {_duck_identifier("warc_type", "refers_to")} AS record_id, strlen(block)::BIGINT AS content_length,
+            {_duck_digest("block")} AS block_digest, '2025-01-01T00:00:00Z' AS date
+        FROM made
+    )
+    SELECT page_id, warc_type, record_id, refers_to, target_uri, date, content_type, content_length, source_digest,
+        block_digest, concat_ws({end}, 'WARC/1.0', 'WARC-Type: ' || warc_type, 'WARC-Record-ID: ' || record_id,
+        'WARC-Refers-To: ' || refers_to, 'WARC-Target-URI: ' || target_uri, 'WARC-Date: ' || date,
+        'WARC-Block-Digest: ' || block_digest, 'Content-Type: ' || content_type,
+        'Content-Length: ' || content_length) AS header, block
+    FROM named
+    """
+
+
+ORACLE["op6_warc_derivatives"] = _warc_sql()
