@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucospan.llm import ann, bpe, jaccard, packing, sharding, topk, toxicity, warc
+from glucospan.llm import ann, bpe, jaccard, licenses, packing, secrets, sharding, topk, toxicity, warc
 from glucospan.storage import stored
 
 QUERIES = {}
@@ -26,11 +26,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def learnt_toxicity(spark: SparkSession, folder: str) -> toxicity.Model:
-    """Learnt from labelled documents whose id's CRC-32 is not divisible by five."""
+def taught(spark: SparkSession, folder: str) -> DataFrame:
+    """The labels (doc_id, toxic) to learn from: where the id's CRC-32 is not divisible by five."""
     labels = table(spark, folder, "labels").select("doc_id", "toxic")
-    taught = labels.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    return toxicity.fit(table(spark, folder, "documents").select("doc_id", "text"), taught)
+    return labels.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
 
 
 @query
@@ -49,6 +48,28 @@ def op1_histogram_sort(spark, folder):
     )
 
 
+def learnt_secrets(spark: SparkSession, folder: str, documents: DataFrame) -> tuple[str, list[str]]:
+    """A forest from the documents' own findings, and the benchmark's words as dictionary."""
+    known = secrets.dictionary(table(spark, folder, "benchmark"), "text")
+    return secrets.learnt(documents, known), known
+
+
+@query
+def op3_forest_secrets(spark, folder):
+    """Every candidate of every document with the forest's judgement."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    rows = secrets.judged(documents, *learnt_secrets(spark, folder, documents))
+    each = rows.select("doc_id", F.explode("findings").alias("x"))
+    return each.select(
+        "doc_id",
+        "x.word",
+        F.length("x.value").alias("length"),
+        F.sha2("x.value", 256).alias("value_sha256"),
+        "x.score",
+        (F.col("x.score") >= secrets.Settings().threshold).alias("is_secret"),
+    )
+
+
 @query
 def op4_min_bin_slack(spark, folder):
     """Every document's pieces of at most 4096 tokens and their places in packed sequences."""
@@ -83,7 +104,7 @@ def op9_hilbert_curves(spark, folder):
 def op10_ftrl_toxicity(spark, folder):
     """The toxicity of every document, learnt without the held-out fifth."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    rows = toxicity.scored(documents, learnt_toxicity(spark, folder))
+    rows = toxicity.scored(documents, toxicity.fit(documents, taught(spark, folder)))
     return rows.select(
         "doc_id",
         (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"),
@@ -131,6 +152,12 @@ def op6_warc_derivatives(spark, folder):
     return warc.derivatives(found).withColumnRenamed("key", "page_id")
 
 
+@query
+def op8_winnowed_licenses(spark, folder):
+    """The licence notices of all documents."""
+    return licenses.scan(table(spark, folder, "documents"), "doc_id")
+
+
 def _duck_text(text: str) -> str:
     return text.replace("\\", "\\").replace("'", "''")
 
