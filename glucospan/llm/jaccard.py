@@ -281,7 +281,9 @@ def similar(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         "words", F.col("rep").alias("id"), "copies", "digest",
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.md5("text").alias("digest"))
-    texts = texts.join(members.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
+    # Both sides grow with the corpus: merged at every size.
+    wanted = members.select(F.col("rep").alias("id"), "digest").hint("merge")
+    texts = texts.join(wanted, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
     rows = tiles.join(texts, ["id", "digest"]).select("tile", "cross", "left", "words", "id", "copies", "text")
     # The diagonal tile of a component has the same name as nothing else; cross tiles hold both blocks.
     rows = rows.repartition("tile").sortWithinPartitions("tile", "id")
