@@ -57,7 +57,7 @@ def bytes_of(ids: np.ndarray, path: str) -> bytes:
 
 
 def _with(df: DataFrame, run, needs: str, **columns: T.DataType) -> DataFrame:
-    """Rows with new columns (any of the same name go); ``run`` maps a list of values to lists for them."""
+    """Rows with new columns (any of the same name go); ``run`` maps the values to lists for them, some rows at a time."""
     kept = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in columns or c == needs))
     schema = T.StructType([f for f in kept.schema if f.name not in columns] + [T.StructField(n, t) for n, t in columns.items()])
 
@@ -65,8 +65,7 @@ def _with(df: DataFrame, run, needs: str, **columns: T.DataType) -> DataFrame:
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            column = part.column(part.schema.get_field_index(needs)).to_pylist()
-            for at, lists in run(column):
+            for at, lists in run(part.column(part.schema.get_field_index(needs))):
                 size = len(lists[0])
                 keep = [part.column(i).slice(at, size) for i, f in enumerate(part.schema) if f.name not in columns]
                 made = [
@@ -98,7 +97,9 @@ def decode(df: DataFrame, path: str) -> DataFrame:
     """Add ``decoded``, the bytes of ``ids``; null ids decode to no bytes."""
 
     def run(values):
-        yield 0, ([bytes_of(np.frombuffer(x or b"", "<u4"), path) for x in values],)
+        for at in range(0, len(values), 128):
+            some = values.slice(at, 128).to_pylist()
+            yield at, ([bytes_of(np.frombuffer(x or b"", "<u4"), path) for x in some],)
 
     return _with(df, run, "ids", decoded=T.BinaryType())
 
@@ -113,7 +114,7 @@ def id_digests(df: DataFrame) -> DataFrame:
 
     def run(values):
         digests = []
-        for x in values:
+        for x in chars.values(values):
             ids = np.frombuffer(x or b"", "<u4")
             names = _decimals(1 << max(16, int(ids.max(initial=0)).bit_length()))
             digests.append(hashlib.sha256(" ".join(names[ids].tolist()).encode()).hexdigest())

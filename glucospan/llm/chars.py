@@ -23,7 +23,7 @@ WHITE = (
 )
 OTHER, LETTER, NUMBER, SPACE, MARK, END = range(6)
 #: Codepoints worked on at a time; a single longer text is worked on alone, whole.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 @functools.cache
@@ -152,10 +152,20 @@ def windows_hash(hashes: np.ndarray, text: np.ndarray, steps: tuple[int, ...]) -
     return mixed(total[at]), at
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of whole texts of about ``CHUNK`` codepoints with the place of the first; a null is empty."""
+def values(column) -> Iterator:
+    """The values of a list or an Arrow column, of which only a few are turned into objects at a time."""
+    if isinstance(column, list):
+        yield from column
+        return
+    for low in range(0, len(column), 128):
+        yield from column.slice(low, 128).to_pylist()
+
+
+def chunks(texts) -> Iterator[tuple[int, list[str]]]:
+    """Runs of whole texts, of a list or an Arrow column, of about ``CHUNK`` codepoints with the place of the
+    first; a null is empty."""
     run, size, at = [], 0, 0
-    for i, text in enumerate(texts):
+    for i, text in enumerate(values(texts)):
         text = text or ""
         if run and size + len(text) > CHUNK:
             yield at, run

@@ -104,7 +104,7 @@ def _marked(docs: DataFrame, s: Settings) -> DataFrame:
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for at, some in chars.chunks(part.column(2).to_pylist()):
+            for at, some in chars.chunks(part.column(2)):
                 hashed, first = shingles(some, s.n)
                 keys = band_keys(signatures(hashed, first, s.bands * s.width), s).astype(np.int64)
                 words = np.diff(first)
@@ -235,7 +235,7 @@ def _compare(s: Settings):
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in tile.links()], names=["a", "b", "links"])
 
         for part in parts:
-            for row in zip(*(c.to_pylist() for c in part.columns)):
+            for row in zip(*map(chars.values, part.columns)):
                 if row[0] != current:
                     if rows and (rows[0][1] or row[1] or len(rows) >= s.tile or words >= s.words):
                         yield done()

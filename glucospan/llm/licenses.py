@@ -196,7 +196,7 @@ def scan(df: DataFrame, key: str, text: str = "text", templates: dict[str, str]
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(known, settings)
         for part in parts:
-            for at, some in chars.chunks(part.column(1).to_pylist()):
+            for at, some in chars.chunks(part.column(1)):
                 rows = index.found(some)
                 yield pa.RecordBatch.from_arrays(
                     [

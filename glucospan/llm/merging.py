@@ -116,7 +116,7 @@ class SliceEncoder:
     Two different slices among the limit's number share a hash with a chance below one in ten million.
     """
 
-    def __init__(self, merges: Merges, inner: np.ndarray, last: np.ndarray, whole: dict[str, int], limit: int = 1_000_000):
+    def __init__(self, merges: Merges, inner: np.ndarray, last: np.ndarray, whole: dict[str, int], limit: int = 400_000):
         """``inner`` and ``last``: the id of each byte inside and at the end of a slice. ``whole``: slices
         that are one id, whatever the merges give."""
         self.merges, self.inner, self.last, self.limit = merges, inner, last, limit

@@ -62,7 +62,7 @@ def pieces(
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for at, some in chars.chunks(part.column(1).to_pylist()):
+            for at, some in chars.chunks(part.column(1)):
                 row, piece, length, ids = [], [], [], []
                 for i, own in enumerate(word_ids(some, path)):
                     own = np.append(own, end_id).astype("<u4")

@@ -7,6 +7,7 @@ model is a short list that goes to every task.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -85,7 +86,7 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def score(texts: list[str], model: Model) -> np.ndarray:
+def score(texts, model: Model) -> np.ndarray:
     dense = np.zeros(1 << model.bits)
     dense[model.slots] = model.weights
     out = []
@@ -113,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
     def slots(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for at, some in chars.chunks(part.column(2).to_pylist()):
+            for at, some in chars.chunks(part.column(2)):
                 text, slot = features(some, settings.bits)
                 pairs = np.unique(text << settings.bits | slot)
                 cuts = np.searchsorted(pairs >> settings.bits, np.arange(len(some) + 1))
@@ -127,8 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         for part in parts:
             order += zip(part.column(0).to_pylist(), part.column(1).to_pylist())
             labels += part.column(2).to_pylist()
-            rows += [np.frombuffer(x, "<u4") for x in part.column(3).to_pylist()]
-        by_turn = sorted(range(len(rows)), key=lambda i: (order[i], labels[i], rows[i].tobytes()))
+            rows += [np.frombuffer(x, "<u4") for x in chars.values(part.column(3))]
+        by_turn = sorted(range(len(rows)), key=lambda i: (order[i], labels[i], zlib.crc32(rows[i])))
         model = learn([rows[i] for i in by_turn], np.array([labels[i] for i in by_turn], float), settings)
         columns = [pa.array([model.slots.astype("<i8").tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.constant])]
         yield pa.RecordBatch.from_arrays(columns, names=["slots", "weights", "constant"])
@@ -148,7 +149,7 @@ def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            values = score(part.column(place).to_pylist(), model)
+            values = score(part.column(place), model)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values)], names=[f.name for f in schema])
 
     return kept.mapInArrow(batches, schema)
