@@ -220,9 +220,9 @@ def forest(size: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _compare(s: Settings):
-    """Rows (tile, cross, left, words, id, copies, text) in the order of their tiles -> rows of links.
+    """Rows (tile, alone, cross, left, words, id, copies, text) in the order of their tiles -> rows of links.
 
-    Whole tiles that stand for themselves (not ``cross``) are taken together up to the size of one.
+    Components of one tile (not ``alone``) are taken together up to the size of one.
     """
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +230,8 @@ def _compare(s: Settings):
         current, words = None, 0
 
         def done() -> pa.RecordBatch:
-            ids, copies, left = (np.array([r[i] for r in rows]) for i in (4, 5, 2))
-            tile = Tile(ids.astype(np.int64), copies.astype(np.int64), left.astype(bool), [r[6] for r in rows], rows[0][1], s)
+            ids, copies, left = (np.array([r[i] for r in rows]) for i in (5, 6, 3))
+            tile = Tile(ids.astype(np.int64), copies.astype(np.int64), left.astype(bool), [r[7] for r in rows], rows[0][2], s)
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in tile.links()], names=["a", "b", "links"])
 
         for part in parts:
@@ -242,7 +242,7 @@ def _compare(s: Settings):
                         rows, words = [], 0
                     current = row[0]
                 rows.append(row)
-                words += row[3]
+                words += row[4]
         if rows:
             yield done()
 
@@ -276,6 +276,7 @@ def similar(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiles = placed.withColumn("other", other).select(
         F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("tile"),
+        (F.col("blocks") > 1).alias("alone"),
         (F.col("block") != F.col("other")).alias("cross"),
         (F.col("block") < F.col("other")).alias("left"),
         "words", F.col("rep").alias("id"), "copies", "digest",
@@ -284,8 +285,7 @@ def similar(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     # Both sides grow with the corpus: merged at every size.
     wanted = members.select(F.col("rep").alias("id"), "digest").hint("merge")
     texts = texts.join(wanted, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
-    rows = tiles.join(texts, ["id", "digest"]).select("tile", "cross", "left", "words", "id", "copies", "text")
-    # The diagonal tile of a component has the same name as nothing else; cross tiles hold both blocks.
+    rows = tiles.join(texts, ["id", "digest"]).select("tile", "alone", "cross", "left", "words", "id", "copies", "text")
     rows = rows.repartition("tile").sortWithinPartitions("tile", "id")
     found = stored(rows.mapInArrow(_compare(s), "a long, b long, links long"))
 

@@ -55,7 +55,7 @@ def characters(text: Column) -> Column:
         hexadecimal = F.lower(F.substring(number, 1, 1)) == "x"
         code = F.when(hexadecimal, F.conv(F.regexp_replace(number, "^[xX]", ""), 16, 10)).otherwise(number).cast("int")
         valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        sign = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32BE")
+        sign = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
         rest = F.regexp_replace(part, NUMERIC, "")
         return F.when(number == "", F.concat(F.lit("&#"), part)).otherwise(F.concat(sign, rest))
 

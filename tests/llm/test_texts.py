@@ -1,0 +1,216 @@
+"""Text operators against libraries, brute force and planted cases; nulls, empty and long texts, clashes."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+import public_tokenizers
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from glucospan.llm import bpe, jaccard, licenses, packing, secrets, sharding, toxicity, warc
+from glucospan.llm.merging import rank_file
+from glucospan.llm.queries import BYTE_BPE, WORD_BPE
+
+SIGNS = "aZé'stmdrvel  \n\t  1٣!.%́'İΣ"
+
+
+def odd_texts():
+    draw = random.Random(3)
+    made = ["".join(draw.choice(SIGNS) for _ in range(draw.randint(0, 40))) for _ in range(300)]
+    return [None, "", "'", " ", "%" * 500 + "a" * 3000 + "äb" * 200, "word " * 30_000, *made, *made[:5]]
+
+
+def table(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_byte_bpe_is_tiktoken(spark):
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=rank_file(BYTE_BPE), special_tokens={})
+    texts = odd_texts()
+    clash = table(spark, texts).withColumn("ids", F.lit(1)).withColumn("offsets", F.lit("x"))
+    rows = bpe.id_digests(bpe.decode(bpe.encode(clash, BYTE_BPE), BYTE_BPE)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        ids = known.encode_ordinary(text)
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.n_tokens == len(ids)
+        assert bytes(r.decoded) == text.encode()
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert np.frombuffer(r.offsets, "<u4").tolist()[-1:] == ([len(text.encode())] if ids else [])
+    assert bpe.encode(table(spark, []), BYTE_BPE).count() == 0
+
+
+def test_pieces_are_tokenizers_and_packed_tightly(spark):
+    known = Tokenizer.from_file(WORD_BPE)
+    known.encode_special_tokens = True
+    texts = odd_texts()
+    pieces = packing.pieces(table(spark, texts), WORD_BPE, capacity=64).persist()
+    packed = packing.pack(pieces.withColumn("offset", F.lit(-1)), ["doc_id", "piece"], capacity=64, shards=4).collect()
+    assert len(packed) == pieces.count()
+    by_doc, by_sequence = {}, {}
+    for r in packed:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, text in enumerate(texts):
+        want = [*known.encode(text or "", add_special_tokens=False).ids, 1]
+        got = sorted(by_doc[i], key=lambda r: r.piece)
+        assert np.concatenate([np.frombuffer(r.ids, "<u4") for r in got]).tolist() == want
+        assert all(r.length == 64 for r in got[:-1]) and [r.start for r in got] == list(range(0, len(want), 64))
+    for parts in by_sequence.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))]
+        assert sum(n for _, n in parts) <= 64
+    least = -(-sum(r.length for r in packed) // 64)
+    assert len(by_sequence) <= least + 1
+    assert packing.sequences(spark.createDataFrame(packed)).count() == len(by_sequence)
+
+
+def test_plan_is_exact_on_small_cases():
+    # 6+4, 6+4, 5+5: longest first alone would also fit, but 7+3 must not take the 3 from 4+3+3.
+    rows = packing.plan({7: 1, 4: 1, 3: 3}, 10)
+    assert max(r[3] + r[2] // r[4] for r in rows) == 2
+    assert packing.plan({}, 10) == []
+
+
+def test_empty_tables_pack(spark):
+    assert packing.pack(packing.pieces(table(spark, []), WORD_BPE), ["doc_id", "piece"]).count() == 0
+
+
+def brute_links(texts):
+    def grams(text):
+        import regex
+        w = regex.findall(r"[\p{L}\p{M}\p{N}]+", (text or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [grams(t) for t in texts]
+    return {
+        (i, j) for i, a in enumerate(sets) for j, b in enumerate(sets)
+        if i != j and a and b and len(a & b) >= 0.8 * len(a | b) - 1e-9
+    }
+
+
+def near_texts():
+    draw = random.Random(5)
+    base = [" ".join(f"w{draw.randint(0, 400)}" for _ in range(draw.choice((3, 40, 120)))) for _ in range(30)]
+    out = [None, "", "...", "...", "one two", "One, two!", *base, *base[:8]]
+    for text in base[:20]:
+        words = text.split()
+        for edits in (1, 2, 4):
+            copy = list(words)
+            for _ in range(edits):
+                copy[draw.randrange(len(copy))] = "changed"
+            out.append(" ".join(copy))
+    hub = " ".join(f"h{i}" for i in range(60))
+    return out + [hub + f" end{i}" for i in range(40)] + [hub] * 40
+
+
+@pytest.mark.parametrize("tile", [8, 1024])
+def test_jaccard_join_is_brute_force(spark, tile):
+    texts = near_texts()
+    links = brute_links(texts)
+    group = list(range(len(texts)))
+    for _ in texts:
+        for i, j in links:
+            group[i] = min(group[i], group[j])
+    clash = table(spark, texts).withColumn("digest", F.lit(0)).withColumn("class_id", F.lit(0))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.similar(clash, jaccard.Settings(tile=tile)).collect()}
+    assert got == {i: (group[i], sum(a == i for a, _ in links)) for i in range(len(texts))}
+
+
+def test_jaccard_of_nothing(spark):
+    assert jaccard.similar(table(spark, [])).count() == 0
+    rows = jaccard.similar(spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (None, None)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.class_id or -1, r.n_links) for r in rows) == [(-1, -1, 0), (-1, 3, 1), (3, 3, 1)]
+
+
+def test_shards(spark):
+    texts = [*odd_texts(), *["same text"] * 200]
+    rows = table(spark, texts).withColumn("shard", F.lit("x"))
+    key = F.concat(F.coalesce(F.md5("text"), F.lit("0" * 32)), F.lpad(F.lower(F.hex("doc_id")), 16, "0"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    got = sharding.shards(rows, key, 48, size, 4, range_bytes=20_000).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(texts)))
+    for shard in range(4):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+    order = [(r.shard, r.slot) for r in sorted(got, key=lambda r: (hashlib.md5(r.text.encode()).hexdigest() if r.text is not None else "0" * 32, r.doc_id))]
+    assert order == sorted(order)
+    small = table(spark, [f"text {i}" for i in range(800)])
+    totals = [r.s for r in sharding.shards(small, key, 48, size, 4).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(totals) == 4 and max(totals) - min(totals) <= 60
+    assert sharding.shards(table(spark, []), key, 48, size, 4).count() == 0
+
+
+def test_toxicity_learns_words_and_endings(spark):
+    draw = random.Random(9)
+    texts, marks = [], []
+    for i in range(600):
+        words = [f"plain{draw.randint(0, 300)}" for _ in range(40)]
+        if i % 4 == 0:
+            for _ in range(3):
+                words[draw.randrange(40)] = "nasty" + draw.choice(("en", "er", "ly", "some"))
+        texts.append(" ".join(words))
+        marks.append(int(i % 4 == 0))
+    docs = table(spark, [*texts, None, "", "plain1 " * 30_000, "nastyness " * 4])
+    labels = spark.createDataFrame([(i, m) for i, m in enumerate(marks) if i % 5], "doc_id long, toxic int")
+    odd = labels.union(spark.createDataFrame([(None, 1), (3, None)], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.scored(docs.withColumn("score", F.lit("x")), toxicity.fit(docs, odd)).collect()}
+    held = [i for i in range(600) if i % 5 == 0]
+    assert np.mean([(got[i] >= 0.5) == marks[i] for i in held]) > 0.95
+    assert got[600] == got[601] < 0.5 and got[602] < 0.5 <= got[603]
+    assert toxicity.scored(docs, toxicity.fit(docs, labels.limit(0))).filter("score <> 0.5").count() == 0
+    assert toxicity.scored(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
+
+
+def test_licences(spark):
+    apache, long = licenses.NOTICES["Apache-2.0"], licenses.NOTICES["Apache-2.0-header"]
+    changed = long.replace("in compliance", "in full compliance").replace("either express", "express")
+    texts = [None, "", "x " * 50_000 + apache, f"{apache}. And {licenses.NOTICES['MIT']}!", changed, "the license of it", apache.upper()]
+    rows = licenses.scan(table(spark, [*texts, texts[3]]).withColumn("license", F.lit(1)), "doc_id").collect()
+    found = sorted((r.doc_id, r.license) for r in rows)
+    assert found == [(2, "Apache-2.0"), (3, "Apache-2.0"), (3, "MIT"), (4, "Apache-2.0-header"), (6, "Apache-2.0"), (7, "Apache-2.0"), (7, "MIT")]
+    exact = next(r for r in rows if r.doc_id == 2)
+    assert texts[2][exact.begin : exact.end] == apache and exact.coverage == 1
+    assert 0.9 < next(r.coverage for r in rows if r.doc_id == 4) < 1
+    assert licenses.scan(table(spark, []), "doc_id").count() == 0
+
+
+def test_secrets(spark):
+    draw = random.Random(2)
+    key = lambda n: "".join(draw.choice("0123456789abcdef") for _ in range(n))
+    texts = []
+    for i in range(300):
+        words = [f"word{'' if i % 2 else 'y'}" for _ in range(8)]
+        words.insert(4, [f'token = "{key(40)}"', f"user{i}@mail.example.com", f"10.11.{i}.{i + 100}", str(4 * 10**15 + i), f"password={key(18)}"][i % 5])
+        texts.append(" ".join(words))
+    docs = table(spark, [*texts, None, "", "long " * 40_000 + f'secret = "{key(40)}"', texts[0]]).withColumn("findings", F.lit("mine"))
+    sql = secrets.learnt(docs, ["word"])
+    clean = {r.doc_id: r for r in secrets.redacted(docs, sql, ["word"]).collect()}
+    for i, text in enumerate(texts):
+        assert (clean[i].text == text) == (i % 5 not in (0, 4)), text
+        assert clean[i].findings == "mine"
+    assert clean[300].text is None and clean[301].text == "" and clean[302].text.endswith('"[secret]"')
+    empty = docs.limit(0)
+    assert secrets.redacted(empty, secrets.learnt(empty, []), []).count() == 0
+    plan = secrets.judged(docs, sql, ["word"])._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_warc(spark, tmp_path):
+    html = '<html><title>A &amp; B</title><script>x<p></script><p>Caf&#233; &#x41;&lt;b&gt;<br>two<a href="/l">link</a></p></html>'
+    pages = spark.createDataFrame([(1, "http://a/", html), (2, None, None), (1, "http://a/", html)], "page_id long, url string, html string")
+    rows = warc.derivatives(warc.responses(pages.withColumn("block", F.lit(0)), "2025-01-01T00:00:00Z")).collect()
+    assert len(rows) == 6
+    text = next(r for r in rows if r.key == 1 and r.warc_type == "conversion")
+    facts = next(r for r in rows if r.key == 1 and r.warc_type == "metadata")
+    assert text.block == "A & B\nCafé A<b>\ntwolink" and text.refers_to == facts.refers_to != facts.record_id
+    assert "title: A & B" in facts.block and "outlink: /l L a/@href" in facts.block and "source-http: Content-Type" in facts.block
+    import base64
+    assert text.block_digest == "sha1:" + base64.b32encode(hashlib.sha1(text.block.encode()).digest()).decode()
+    assert text.source_digest == "sha1:" + base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+    assert "WARC-Target-URI" not in next(r.header for r in rows if r.key == 2)
+    warc.write(warc.derivatives(warc.responses(pages, "2025-01-01T00:00:00Z")), str(tmp_path / "out"))
+    assert zlib.crc32(b"") == 0 and list((tmp_path / "out").glob("*.gz"))
