@@ -198,7 +198,7 @@ def compare_models(
     if split not in trainers:
         raise ValueError("split must be grouped or personalized")
     if split == "personalized" and series is None:
-        raise ValueError("a personalized comparison needs a series id")
+        raise ValueError("name the series that a personalized split is made for")
     names = ["hgb", "random_forest"]
     rows = [trainers[split](n, **(overrides or {}).get(n, {})).evaluation for n in names]
     return rank_models(rows[0].unionByName(rows[1]))

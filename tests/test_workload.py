@@ -5,8 +5,10 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check import TABLES, bag
+from workload.oracle import ORACLE
+from workload.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -26,16 +28,16 @@ def test_entry(spark):
 
 
 def test_every_sql_twin_has_a_query():
-    assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {
+    assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) - set(ORACLE) == {
         "rf_predict", "compare_models", "per_series_eval", "per_series_summary"
     }
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_as_sql(spark, duck, name):
-    df = queries()[name](spark, FOLDER)
-    result = duck.execute(oracle_sql()[name])
+    df = QUERIES[name](spark, FOLDER)
+    result = duck.execute(ORACLE[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == sorted(df.columns)
     assert bag(df.collect(), df.columns) == bag(result.fetchall(), names)
