@@ -6,6 +6,8 @@ a lost task makes the same records again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ TAG = "</?[A-Za-z][^>]*>|<![^>]*>"
 END = "\r\n"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out a single time, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def base32(hexadecimal: Column) -> Column:
     """The base-32 spelling of 40 hexadecimal digits, as WARC digests have it."""
     parts = [F.lpad(F.conv(F.substring(hexadecimal, at, 10), 16, 32), 8, "0") for at in (1, 11, 21, 31)]
@@ -38,14 +45,15 @@ def base32(hexadecimal: Column) -> Column:
 
 
 def digest(text: Column) -> Column:
-    return F.concat(F.lit("sha1:"), base32(F.sha1(text.cast("binary"))))
+    return F.concat(F.lit("sha1:"), once(F.sha1(text.cast("binary")), base32))
 
 
 def identifier(*parts: Column) -> Column:
     """A record identifier made from the parts."""
-    h = F.md5(F.concat_ws("\u001f", *parts))
-    cuts = [F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cuts), F.lit(">"))
+    places = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+    whole = F.md5(F.concat_ws("\u001f", *parts))
+    cut = once(whole, lambda h: F.concat_ws("-", *(F.substring(h, at, n) for at, n in places)))
+    return F.concat(F.lit("<urn:uuid:"), cut, F.lit(">"))
 
 
 def characters(text: Column) -> Column:
@@ -59,8 +67,10 @@ def characters(text: Column) -> Column:
         rest = F.regexp_replace(part, NUMERIC, "")
         return F.when(number == "", F.concat(F.lit("&#"), part)).otherwise(F.concat(sign, rest))
 
-    parts = F.split(text, "&#")
-    text = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, 1 << 30), one), ""))
+    def joined(parts: Column) -> Column:
+        return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, 1 << 30), one), ""))
+
+    text = once(F.split(text, "&#"), joined)
     for name, sign in NAMED:
         text = F.replace(text, F.lit(name), F.lit(sign))
     return text
