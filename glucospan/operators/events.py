@@ -1,27 +1,29 @@
 """Effects of events on samples: trailing sums and decaying responses.
 
-Nothing here pairs events with samples. An event is in force for a while (its phases), and every
-sample needs the total of what is in force at its time. Time is cut into slices; a slice knows
+Nothing here pairs events with samples, and an event does not spread over the slices it lasts for. Its
+phases begin and end as two changes of a total, and every sample needs the total at its time:
 
-* what is already in force when it begins (``standing``): one row per slice, added up map-side;
-* what begins or ends inside it (``changes``): two rows per phase of an event;
-* its samples.
+* inside a slice, a running sum over changes and samples;
+* before the slice, but in its block of slices: a running sum over the slice table;
+* before the block: the totals of earlier blocks, brought to this block's clock (``Carry``).
 
-A running sum over these rows gives each sample its total. The work is one sort of samples and
-changes, whatever number of events a window holds, and a slice may be much shorter than the
-window, so a dense series spreads over as many tasks as its rows call for.
+A slice follows the density of the data; a block follows the kernel alone and is as long as the
+exponentials in it stay in the range of a double. Changes are added up map-side, so the tables hold at
+most one row per change, whatever the length of an effect.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glucospan.functions.text import nan_to_null
 from glucospan.operators.slices import (
     MINUTE_US,
+    SERIES_KEY,
     SLICE,
     US,
     measured_width,
@@ -30,24 +32,30 @@ from glucospan.operators.slices import (
     slice_of,
     sliced,
 )
+from glucospan.operators.sums import window_sums
 
-START = "_start_minutes"  # event time in minutes since the start of the slice at hand
-# Above this exponent the scaled amounts of a slice would leave the range of a double.
-MAX_EXPONENT = 300.0
+START = "_start_minutes"  # event time in minutes since the start of the block at hand
+# Above this exponent the scaled amounts of a block would leave the range of a double; below the
+# negative one a term is zero in a double.
+MAX_EXPONENT, ZERO_EXPONENT = 300.0, 750.0
 
 
 @dataclass(frozen=True)
 class Phase:
-    """``amounts`` are in force from ``begin_us`` past the event until just before ``end_us``.
-
-    An amount may use ``START``; it is worked out anew for each slice that it enters.
-    """
+    """``amounts`` are in force from ``begin_us`` past the event until just before ``end_us``, or for
+    good if that is None. An amount may use ``START``."""
 
     begin_us: Column
-    end_us: Column
+    end_us: Column | None
     amounts: dict[str, Column]
 
 
+BLOCK = "_kernel_block"
+
+#: Amount of an earlier block (its totals as a struct) on the clock of a block that starts so many minutes later.
+Carry = Callable[[Column, Column], Column]
+
+
 def in_force(
     samples: DataFrame,
     events: DataFrame,
@@ -56,12 +64,24 @@ def in_force(
     event_time: str,
     *,
     phases: Sequence[Phase],
+    carries: dict[str, Carry],
+    fastest: float,
+    slowest: float,
     width_us: int,
 ) -> DataFrame:
     """Add to each sample the total of every amount in force, how many phases are (``_live``), and
-    its own time in minutes since the start of its slice (``_now_minutes``)."""
+    its own time in minutes since the start of its block (``_now_minutes``).
+
+    ``fastest`` and ``slowest`` are the rates (per minute) between which the amounts of ``carries``
+    fade; an amount without carry does not fade.
+    """
     names = list(dict.fromkeys(name for phase in phases for name in phase.amounts))
-    start_us = F.col(SLICE) * F.lit(width_us)
+    block_us = max(1, int(MAX_EXPONENT / fastest * MINUTE_US))
+    slices_per_block = -(-block_us // width_us)
+    width_us = max(1, block_us // slices_per_block)
+    block_us = width_us * slices_per_block
+    block_minutes = block_us / MINUTE_US
+    start_us = F.col(BLOCK) * F.lit(block_us)
 
     def amount(name: str) -> Column:
         chosen = F.lit(None).cast("double")
@@ -74,46 +94,78 @@ def in_force(
         F.struct(
             F.lit(number).alias("_phase"),
             (F.col("_event_us") + phase.begin_us).cast("bigint").alias("_from"),
-            (F.col("_event_us") + phase.end_us).cast("bigint").alias("_to"),
+            (F.col("_event_us") + (F.lit(None) if phase.end_us is None else phase.end_us)).cast("bigint").alias("_to"),
         )
         for number, phase in enumerate(phases)
     ])
-    placed = (
-        events.where(F.col(event_time).isNotNull())
-        .withColumn("_event_us", micros(event_time))
-        .select("*", F.inline(spans))
-        .where(F.col("_to") > F.col("_from"))
-    )
-    since = ((F.col("_event_us") - start_us) / F.lit(MINUTE_US)).alias(START)
-    first, last = slice_of(F.col("_from"), width_us), slice_of(F.col("_to"), width_us)
-
     ends = F.array(
-        F.struct(F.col("_from").alias(US), F.lit(1).alias("_sign")),
-        F.struct(F.col("_to").alias(US), F.lit(-1).alias("_sign")),
+        F.struct(F.col("_from").alias(US), F.lit(1).cast("bigint").alias("_live")),
+        F.struct(F.col("_to").alias(US), F.lit(-1).cast("bigint").alias("_live")),
     )
     changes = (
-        placed.select("*", F.inline(ends))
-        .withColumn(SLICE, slice_of(F.col(US), width_us))
-        .select("*", since)
+        events.where(F.col(event_time).isNotNull())
+        .withColumn("_event_us", micros(event_time))
+        .select("*", F.inline(spans))
+        .where(F.col("_to").isNull() | (F.col("_to") > F.col("_from")))
+        .select("*", F.inline(ends))
+        .where(F.col(US).isNotNull())
+        .withColumn(BLOCK, slice_of(F.col(US), block_us))
+        .withColumn(START, (F.col("_event_us") - start_us) / F.lit(MINUTE_US))
         .select(
             *series,
-            SLICE,
+            BLOCK,
+            slice_of(F.col(US), width_us).alias(SLICE),
             US,
-            F.col("_sign").cast("bigint").alias("_live"),
-            *[(amount(n) * F.col("_sign")).alias(n) for n in names],
+            "_live",
+            *[(amount(n) * F.col("_live")).alias(n) for n in names],
         )
     )
-    # Sequences run backwards when the end lies before the start, hence the condition.
-    entered = F.when(last > first, F.sequence(first + 1, last))
-    standing = (
-        placed.select("*", F.explode(entered).alias(SLICE))
-        .select("*", since)
-        .groupBy(*series, SLICE)
-        .agg(F.count(F.lit(1)).alias("_live"), *[F.sum(amount(n)).alias(n) for n in names])
-        .withColumn(US, start_us)
+    probes = (
+        sliced(samples, sample_time, width_us)
+        .withColumn(BLOCK, slice_of(F.col(US), block_us))
+        .select(*series, BLOCK, SLICE, US, F.struct(*samples.columns).alias("_sample"))
+    )
+
+    summed = ["_live", *names]
+    zero = {n: F.lit(0).cast("bigint") if n == "_live" else F.lit(0.0) for n in summed}
+    table = (
+        changes.drop(US)
+        .unionByName(probes.drop(US, "_sample").distinct(), allowMissingColumns=True)
+        .groupBy(F.struct(*series).alias(SERIES_KEY), BLOCK, SLICE)
+        .agg(*[F.coalesce(F.sum(n), zero[n]).alias(n) for n in summed])
+    )
+    blocks = Window.partitionBy(SERIES_KEY).orderBy(BLOCK)
+    # Earlier blocks than these add nothing to a double; their number depends on the rates alone.
+    reach = int(ZERO_EXPONENT / (slowest * block_minutes)) + 1
+    recent = F.collect_list(F.struct(BLOCK, *names)).over(blocks.rangeBetween(-reach, -1))
+    past = blocks.rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(name: str) -> Column:
+        def add(total: Column, item: Column) -> Column:
+            age = (F.col(BLOCK) - item[BLOCK]) * F.lit(block_minutes)
+            return total + carries[name](item, age)
+
+        if name not in carries:
+            return F.coalesce(F.sum(name).over(past), zero[name])
+        return F.aggregate("_recent", F.lit(0.0), add)
+
+    before_block = (
+        table.groupBy(SERIES_KEY, BLOCK)
+        .agg(*[F.sum(n).alias(n) for n in summed])
+        .withColumn("_recent", recent)
+        .select(SERIES_KEY, BLOCK, *[carried(n).alias(f"_before_{n}") for n in summed])
     )
-    probes = sliced(samples, sample_time, width_us).select(
-        *series, SLICE, US, F.struct(*samples.columns).alias("_sample")
+    in_block = Window.partitionBy(SERIES_KEY, BLOCK).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    standing = (
+        table.withColumns({n: F.coalesce(F.sum(n).over(in_block), zero[n]) for n in summed})
+        .join(before_block, [SERIES_KEY, BLOCK])
+        .select(
+            f"{SERIES_KEY}.*",
+            BLOCK,
+            SLICE,
+            (F.col(SLICE) * F.lit(width_us)).alias(US),
+            *[(F.col(n) + F.col(f"_before_{n}")).alias(n) for n in summed],
+        )
     )
     # The frame goes by value, so at equal times every change counts before a sample reads it.
     upto = (
@@ -121,17 +173,15 @@ def in_force(
         .orderBy(US)
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    total = {name: F.sum(name).over(upto) for name in ["_live", *names]}
     return (
         probes.unionByName(changes, allowMissingColumns=True)
         .unionByName(standing, allowMissingColumns=True)
-        .withColumns(total)
+        .withColumns({n: F.sum(n).over(upto) for n in summed})
         .where(F.col("_sample").isNotNull())
         .select(
             "_sample.*",
             ((F.col(US) - start_us) / F.lit(MINUTE_US)).alias("_now_minutes"),
-            F.coalesce("_live", F.lit(0)).alias("_live"),
-            *[F.coalesce(name, F.lit(0.0)).alias(name) for name in names],
+            *[F.coalesce(F.col(n), zero[n]).alias(n) for n in summed],
         )
     )
 
@@ -159,25 +209,19 @@ def event_sum(
 ) -> DataFrame:
     """Sum of the amounts of events aged 0 to ``window_minutes`` (both ends count); 0.0 if none."""
     width_us = width_us or shared_width(samples, events, series, sample_time, event_time)
-    counted = Phase(
-        F.lit(0), F.lit(minutes(window_minutes) + 1), {"_sum": F.col(amount).cast("double")}
+    probes = samples.select(
+        *series, F.col(sample_time).alias("_time"), F.struct(*samples.columns).alias("_sample")
     )
-    result = in_force(
-        samples,
-        events.where(F.col(amount).isNotNull()),
-        series,
-        sample_time,
-        event_time,
-        phases=[counted],
-        width_us=width_us,
-    )
-    total = F.when(F.col("_live") > 0, F.col("_sum")).otherwise(F.lit(0.0))
-    return result.withColumn(out, total).drop("_sum", "_live", "_now_minutes")
+    amounts = events.select(
+        *series, F.col(event_time).alias("_time"), nan_to_null(F.col(amount).cast("double")).alias("_sum")
+    ).where(F.col("_sum").isNotNull())
+    rows = probes.unionByName(amounts, allowMissingColumns=True)
+    found = window_sums(rows, series, "_time", "_sample", {"_sum": minutes(window_minutes) + 1}, width_us)
+    return found.select("_sample.*", F.coalesce("_sum", F.lit(0.0)).alias(out))
 
 
-def _exponent_width(width_us: int, exponent_per_minute: float) -> int:
-    """Narrow the slice so that growth over its length stays in the range of a double."""
-    return max(1, min(width_us, int(MAX_EXPONENT / exponent_per_minute * MINUTE_US)))
+def _end(cutoff_minutes: float | None) -> Column | None:
+    return None if cutoff_minutes is None else F.lit(minutes(cutoff_minutes) + 1)
 
 
 def gamma_response(
@@ -189,31 +233,30 @@ def gamma_response(
     amount: str,
     *,
     peak_minutes: float = 50.0,
-    cutoff_minutes: float = 1440.0,
+    cutoff_minutes: float | None = None,
     out: str = "gamma_response",
     width_us: int | None = None,
 ) -> DataFrame:
-    """Sum of amount * (d/peak) * exp(1 - d/peak) over events of age d in [0, cutoff].
+    """Sum of amount * (d/peak) * exp(1 - d/peak) over events of age d >= 0, up to the cutoff if given.
 
     With s the event time and t the sample time, a term is
     exp(1 - t/p)/p * (t * m*exp(s/p) - m*s*exp(s/p)): two totals over events, then one product.
     """
     width_us = width_us or shared_width(samples, events, series, sample_time, event_time)
-    width_us = _exponent_width(width_us, 1.0 / peak_minutes)
     scaled = F.col(amount).cast("double") * F.exp(F.col(START) / peak_minutes)
     result = in_force(
         samples,
-        events.where(F.col(amount).isNotNull()),
+        events.withColumn(amount, nan_to_null(F.col(amount).cast("double"))).where(F.col(amount).isNotNull()),
         series,
         sample_time,
         event_time,
-        phases=[
-            Phase(
-                F.lit(0),
-                F.lit(minutes(cutoff_minutes) + 1),
-                {"_a": scaled, "_b": scaled * F.col(START)},
-            )
-        ],
+        phases=[Phase(F.lit(0), _end(cutoff_minutes), {"_a": scaled, "_b": scaled * F.col(START)})],
+        carries={
+            "_a": lambda x, age: x["_a"] * F.exp(-age / peak_minutes),
+            "_b": lambda x, age: (x["_b"] - age * x["_a"]) * F.exp(-age / peak_minutes),
+        },
+        fastest=1.0 / peak_minutes,
+        slowest=1.0 / peak_minutes,
         width_us=width_us,
     )
     now = F.col("_now_minutes")
@@ -238,28 +281,29 @@ def onset_decay_response(
     onset_minutes: float = 20.0,
     decay_minutes: float = 120.0,
     full_duration_minutes: float = FULL_DURATION_MINUTES,
-    cutoff_minutes: float = 1440.0,
+    cutoff_minutes: float | None = None,
     out: str = "onset_decay_response",
     width_us: int | None = None,
 ) -> DataFrame:
-    """Sum over events of age d in [0, cutoff] of scale * (1 - exp(-d/onset)) * decay.
+    """Sum of scale * (1 - exp(-d/onset)) * decay over events of age d >= 0, up to the cutoff if given.
 
     ``scale`` is intensity * min(duration / full duration, 1.6); decay is 1 while the activity lasts
     and exp(-(d - duration)/decay) afterwards. The two stretches are two phases with two totals
     each, all exponentials in the event time.
     """
     width_us = width_us or shared_width(samples, events, series, sample_time, event_time)
-    width_us = _exponent_width(width_us, 1.0 / onset_minutes + 1.0 / decay_minutes)
-    reach = F.lit(minutes(cutoff_minutes) + 1)
-    duration = F.col(duration_minutes).cast("double")
+    reach = _end(cutoff_minutes)
+    duration, strength = [nan_to_null(F.col(n).cast("double")) for n in (duration_minutes, intensity)]
     lasts = F.greatest(duration, F.lit(1.0))
-    switch = F.least(F.round(lasts * MINUTE_US).cast("bigint"), reach)
-    scale = F.col(intensity) * F.least(duration / full_duration_minutes, F.lit(MAX_DURATION_FACTOR))
+    switch = F.round(lasts * MINUTE_US).cast("bigint")
+    if reach is not None:
+        switch = F.least(switch, reach)
+    scale = strength * F.least(duration / full_duration_minutes, F.lit(MAX_DURATION_FACTOR))
     grown = F.exp(F.col(START) / onset_minutes)
     ended = F.exp((F.col(START) + lasts) / decay_minutes)
     result = in_force(
         samples,
-        events.where(duration.isNotNull() & F.col(intensity).isNotNull()),
+        events.where(duration.isNotNull() & strength.isNotNull()),
         series,
         sample_time,
         event_time,
@@ -267,6 +311,13 @@ def onset_decay_response(
             Phase(F.lit(0), switch, {"_s": scale, "_e": scale * grown}),
             Phase(switch, reach, {"_p": scale * ended, "_q": scale * ended * grown}),
         ],
+        carries={
+            "_e": lambda x, age: x["_e"] * F.exp(-age / onset_minutes),
+            "_p": lambda x, age: x["_p"] * F.exp(-age / decay_minutes),
+            "_q": lambda x, age: x["_q"] * F.exp(-age / decay_minutes - age / onset_minutes),
+        },
+        fastest=1.0 / onset_minutes + 1.0 / decay_minutes,
+        slowest=1.0 / max(onset_minutes, decay_minutes),
         width_us=width_us,
     )
     now = F.col("_now_minutes")

@@ -41,12 +41,19 @@ def observation(
         category=F.array(named(coding=F.array(category))),
         code=named(coding=F.array(coding), text=text),
         subject=named(reference=subject),
-        effectiveDateTime=F.date_format(time.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssxxx"),
+        effectiveDateTime=utc_text(time),
         valueQuantity=named(value=F.bround(value, 1), unit=unit, system=UNIT_SYSTEM, code=unit),
         note=F.array(named(text=note)),
     )
 
 
+def utc_text(time: Column) -> Column:
+    """``2025-01-01T00:00:00+00:00``; a zone-less time counts as UTC, whatever the session's zone."""
+    zoned = F.to_utc_timestamp(time.cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")
+    clock = F.when(F.typeof(time) == "timestamp", zoned).otherwise(time.cast("timestamp_ntz")).cast("string")
+    return F.concat(F.replace(F.substring(clock, 1, 19), F.lit(" "), F.lit("T")), F.lit("+00:00"))
+
+
 def observations(df: DataFrame, series: str, time: str, value: str, **options) -> DataFrame:
     """One JSON resource per sample, built row by row without a shuffle."""
     resource = F.to_json(observation(F.col(time), F.col(value), **options))
@@ -64,27 +71,36 @@ def bundles(
     time: str,
     value: str,
     *,
-    entries_per_bundle: int = 1000,
+    entries_per_bundle: int,
     width_us: int | None = None,
     tag: str = "Synthetic educational data",
     **options,
 ) -> DataFrame:
     """Collection bundles of a series in time order, as many as it needs.
 
-    A bundle is one row, so its size is bounded: a longer series continues in the next ``page``,
-    and no observation is left out. A series of up to ``entries_per_bundle`` samples has one bundle.
+    A bundle is one row, so its size has to be bounded by the caller: a longer series continues in the
+    next ``page``, and no observation is left out. Each page tells the ``total`` of the series and
+    links to itself and to the next page.
     """
     placed = ranked(df, [series], time, width_us=width_us, rank="_rn")
     page = F.floor((F.col("_rn") - 1) / entries_per_bundle).alias("page")
     entry = F.struct(
         F.col("_rn").alias("at"), F.struct(observation(F.col(time), F.col(value), **options).alias("resource")).alias("e")
     )
-    collected = placed.select(series, page, entry.alias("_entry")).groupBy(series, "page").agg(
-        F.array_sort(F.collect_list("_entry")).alias("_entries")
+    collected = placed.select(series, page, "series_rows", entry.alias("_entry")).groupBy(series, "page").agg(
+        F.array_sort(F.collect_list("_entry")).alias("_entries"), F.max("series_rows").alias("_total")
     )
+
+    def link(relation: str, number: Column) -> Column:
+        return F.struct(F.lit(relation).alias("relation"), F.concat(F.lit("page="), number).alias("url"))
+
+    more = (F.col("page") + 1) * entries_per_bundle < F.col("_total")
+    links = F.array(link("self", F.col("page")), F.when(more, link("next", F.col("page") + 1)))
     bundle = F.struct(
         F.lit("Bundle").alias("resourceType"),
         F.lit("collection").alias("type"),
+        F.col("_total").alias("total"),
+        F.array_compact(links).alias("link"),
         F.transform("_entries", lambda x: x["e"]).alias("entry"),
         F.struct(F.array(F.struct(F.lit(tag).alias("display"))).alias("tag")).alias("meta"),
     )

@@ -150,7 +150,7 @@ def benchmark_summary(results: DataFrame, *, digits: int | None = 2) -> DataFram
 
     The improvement is taken from the errors as given: pass rounded errors for a report that agrees
     with its own per-series table, raw ones for exact differences. The median improvement is the
-    median of the differences.
+    median of the differences. ``model_name`` and ``split_strategy`` are kept if the results have them.
     """
     # The summarised columns.
     measures = ["mae_mg_dl", "rmse_mg_dl", "persistence_mae_mg_dl", "mae_improvement_vs_persistence"]
@@ -159,7 +159,8 @@ def benchmark_summary(results: DataFrame, *, digits: int | None = 2) -> DataFram
         # A difference of two rounded numbers carries binary noise that would hide a tie.
         gain = F.bround(gain, digits)
     # One row per series, read by the means and by each step of the medians.
-    rows = stored(results.withColumn("mae_improvement_vs_persistence", gain).select(*measures))
+    labels = [n for n in ("model_name", "split_strategy") if n in results.columns]
+    rows = stored(results.withColumn("mae_improvement_vs_persistence", gain).select(*measures, *labels))
     long = rows.select(F.inline(F.array(*[
         F.struct(F.lit(name).alias("measure"), F.col(name).cast("double").alias("v")) for name in measures
     ])))
@@ -176,6 +177,7 @@ def benchmark_summary(results: DataFrame, *, digits: int | None = 2) -> DataFram
     )
     means_row = rows.agg(
         F.count(F.lit(1)).alias("participants"),
+        *[F.max(name).alias(name) for name in labels],
         *[shown(F.avg(name)).alias(f"mean_{name}") for name in measures],
         F.count_if(F.col("mae_improvement_vs_persistence") > 0).alias("participants_beating_persistence"),
         F.count_if(F.col("mae_improvement_vs_persistence") == 0).alias("participants_tying_persistence"),

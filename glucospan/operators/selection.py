@@ -7,16 +7,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glucospan.functions.text import pad_id
 from glucospan.operators.slices import (
+    SERIES_KEY,
     SLICE,
-    global_rank,
+    US,
     measured_width,
     ranked,
-    slice_table,
     sliced,
+    with_slice_facts,
 )
+from glucospan.storage import stored
 
 
 class UnknownSeriesError(ValueError):
@@ -64,21 +67,43 @@ def last_rows(
 
 
 def one_series(df: DataFrame, series: str, wanted: str) -> DataFrame:
-    """Rows of one series, ids compared after padding. An unknown id names some that exist."""
+    """Rows of one series, ids compared after padding; none for an unknown id.
+
+    A plain comparison with the raw id stands beside the padded one, since only that reaches the scan
+    and, in a table sorted by id, skips its files and row groups.
+    """
     key = str(wanted).strip().zfill(3)
-    rows = df.where(pad_id(F.col(series)) == key)
+    raw = F.col(series)
+    if isinstance(df.schema[series].dataType, T.StringType):
+        sign, digits = (key[0], key[1:]) if key[0] in "+-" else ("", key)
+        bare = digits.lstrip("0")
+        spellings = {sign + bare.zfill(n) for n in range(len(bare), len(digits) + 1)}
+        plain = raw.isin(sorted(spellings - {""}))
+    else:
+        try:
+            plain = raw == F.lit(int(key))
+        except ValueError:
+            plain = F.lit(False)
+    return df.where(plain & (pad_id(raw) == key))
+
+
+def known_series(df: DataFrame, series: str) -> DataFrame:
+    """All ids as ``one_series`` compares them."""
+    return df.select(pad_id(F.col(series)).alias(series)).distinct()
+
+
+def require_series(rows: DataFrame, wanted: str) -> DataFrame:
+    """``rows`` as they are, or an error if there are none."""
     if rows.isEmpty():
-        some = [r[0] for r in df.select(pad_id(F.col(series))).distinct().orderBy(1).limit(20).collect()]
-        raise UnknownSeriesError(f"unknown series {key!r}; available ids start with {some}")
+        raise UnknownSeriesError(f"unknown series {str(wanted).strip().zfill(3)!r}; see known_series")
     return rows
 
 
 def large_enough(df: DataFrame, series: Sequence[str], time: str, at_least: int = 60, *, width_us: int | None = None) -> DataFrame:
     """Rows of series with at least ``at_least`` rows; smaller series drop out without an error."""
     width_us = width_us or measured_width(df, series, time)
-    rows = sliced(df, time, width_us)
-    table = slice_table(rows, series).where(F.col("series_rows") >= at_least)
-    return rows.join(table.select(*series, SLICE), [*series, SLICE], "left_semi").drop("_us", SLICE)
+    rows = with_slice_facts(sliced(df, time, width_us), series, ["series_rows"])
+    return rows.where(F.col("series_rows") >= at_least).drop(US, SLICE, SERIES_KEY, "series_rows")
 
 
 def first_windows(
@@ -99,10 +124,9 @@ def first_windows(
     """
     keys = [group, series]
     width_us = width_us or measured_width(df, keys, time)
-    rows = sliced(df, time, width_us)
-    starts = slice_table(rows, keys).select(*keys, SLICE, "series_start_us")
+    rows = with_slice_facts(sliced(df, time, width_us), keys, ["series_start_us"])
     span_us = int(hours * 3_600_000_000)
-    early = rows.join(starts, [*keys, SLICE]).where(F.col("_us") < F.col("series_start_us") + span_us)
+    early = rows.where(F.col(US) < F.col("series_start_us") + span_us)
     sizes = early.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"), F.min(time).alias("start"), F.max(time).alias("end")
     )
@@ -119,7 +143,7 @@ def first_windows(
             raise ValueError(f"no sufficiently long series for: {', '.join(missing)}")
         best = best.where(F.col(group).isin(list(groups)))
     chosen = early.join(best.select(*keys), keys, "left_semi")
-    return chosen.drop("_us", SLICE, "series_start_us"), best
+    return chosen.drop(US, SLICE, SERIES_KEY, "series_start_us"), best
 
 
 def group_split(
@@ -133,19 +157,28 @@ def group_split(
 ) -> DataFrame:
     """Mark whole series as test: ceil(fraction * series) of them, chosen by a seeded hash.
 
-    Only ids are ranked. Rows are marked by comparing their own hash with the last test hash, so
+    Only ids are looked at: the digest of the last test id is found by counting ids per digest prefix
+    and sorting the one prefix that holds it. Rows are marked by comparing their own hash with the last test hash, so
     they are neither joined nor shuffled.
     """
     digest = F.md5(F.concat_ws(":", F.col(series).cast("string"), F.lit(str(seed))))
-    ids = df.select(series).where(F.col(series).isNotNull()).distinct()
-    order = global_rank(ids.select(digest.alias("_digest")), ["_digest"])
-    count = order.count()
+    digests = stored(df.select(series).where(F.col(series).isNotNull()).distinct().select(digest.alias("_digest")))
+    # Ids by the first three digits of their digest: at most 4096 rows, whatever the number of ids.
+    prefix = F.substring("_digest", 1, 3)
+    sizes = digests.groupBy(prefix.alias("p")).count().orderBy("p").collect()
+    count = sum(r["count"] for r in sizes)
     if at_least is not None and count < at_least:
         raise ValueError(f"a split by series needs at least {at_least} series, got {count}")
     # Guard against 0.2 * 5 coming out a hair above 1 before rounding up.
-    wanted = math.ceil(round(test_fraction * count, 9))
-    last = order.where(F.col("rn") == wanted).first()
-    return df.withColumn(flag, digest <= F.lit(last["_digest"]) if last else F.lit(False))
+    left = math.ceil(round(test_fraction * count, 9))
+    last = None
+    for r in sizes if left > 0 else []:
+        if left <= r["count"]:
+            share = digests.where(prefix == r["p"]).orderBy("_digest").limit(left)
+            last = share.agg(F.max("_digest")).first()[0]
+            break
+        left -= r["count"]
+    return df.withColumn(flag, digest <= F.lit(last) if last else F.lit(False))
 
 
 def chronological_cut(rows: Column, train_fraction: float = 0.7) -> Column:

@@ -4,16 +4,16 @@ A window partitioned by the series id alone puts a whole series into one task, a
 hold a third of all rows. Every ordered operator here therefore partitions by
 ``(series, slice)``, where a slice is a fixed stretch of time:
 
-* an operator that looks back or ahead by a bounded time copies the rows near a slice edge into the
-  neighbouring slice (``spread``) and drops the copies afterwards (``home_rows``);
+* an operator that adds up a bounded stretch of time sends values to the slices they reach (``sums``);
 * an operator that needs the position within the whole series adds up row counts of earlier slices
   in the slice table, which holds one row per (series, slice) (``slice_table``, ``ranked``);
 * a fact known per series (cadence, static attributes) reaches the rows through the slice table as
   well, so the join key is (series, slice) and never the hot series id alone.
 
 The slice width follows the densest hour of the densest series (``measured_width``).
-Times are counted in microseconds; keep ``spark.sql.session.timeZone`` at UTC so that zone-less
-timestamps do not jump at daylight-saving changes.
+Times are counted in microseconds, zone-less ones on a clock without daylight-saving changes whatever
+the session's zone. Rows without an id form one series of their own: joins go by ``SERIES_KEY``, a
+struct of the id columns, which is never NULL itself.
 """
 
 from __future__ import annotations
@@ -22,11 +22,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from glucospan.storage import stored
 
 US = "_us"
 SLICE = "_slice"
-HOME = "_home"
+SERIES_KEY = "_series"
 
 MINUTE_US = 60_000_000
 HOUR_US = 60 * MINUTE_US
@@ -38,7 +39,15 @@ def minutes(count: float) -> int:
 
 
 def micros(time: str) -> Column:
-    return F.unix_micros(F.col(time).cast("timestamp"))
+    """Microseconds since 1970; a zone-less time counts as it stands, whatever the session's zone.
+
+    The type is known when the plan is made, so one of the two forms is left in it.
+    """
+    local = F.col(time).cast("timestamp_ntz")
+    clock = (F.hour(local) * 60 + F.minute(local)).cast("bigint") * MINUTE_US
+    within = (F.extract(F.lit("SECOND"), local) * 1_000_000).cast("bigint")
+    zoneless = F.unix_date(local.cast("date")).cast("bigint") * DAY_US + clock + within
+    return F.when(F.typeof(time) == "timestamp", F.unix_micros(F.col(time).cast("timestamp"))).otherwise(zoneless)
 
 
 def slice_of(us: Column, width_us: int) -> Column:
@@ -107,6 +116,22 @@ def slice_table(rows: DataFrame, series: Sequence[str]) -> DataFrame:
     )
 
 
+def with_slice_facts(
+    rows: DataFrame, series: Sequence[str], columns: Sequence[str], *, facts: DataFrame | None = None
+) -> DataFrame:
+    """Join columns of the slice table, and per-series ``facts``, to sliced rows on (series, slice).
+
+    Adds ``SERIES_KEY`` too: a window by (``SERIES_KEY``, slice) that follows needs no second shuffle.
+    Series without facts drop out.
+    """
+    key = F.struct(*series).alias(SERIES_KEY)
+    table = slice_table(rows, series).select(key, SLICE, *columns)
+    if facts is not None:
+        known = facts.select(key, *[n for n in facts.columns if n not in series])
+        table = table.join(known, SERIES_KEY)
+    return rows.select("*", key).join(table, [SERIES_KEY, SLICE])
+
+
 def ranked(
     df: DataFrame,
     series: Sequence[str],
@@ -115,63 +140,42 @@ def ranked(
     tiebreak: Sequence[str] = (),
     width_us: int | None = None,
     rank: str = "rn",
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """Position of each row in its whole series (from 1) plus ``series_rows``.
 
     Equals ``row_number() over (partition by series order by time, tiebreak)`` without ever
-    sorting a whole series in one task.
+    sorting a whole series in one task. ``facts`` are columns per series to add on the way.
     """
     width_us = width_us or measured_width(df, series, time)
-    rows = sliced(df, time, width_us)
-    table = slice_table(rows, series).select(*series, SLICE, "rows_before", "series_rows")
-    local = Window.partitionBy(*series, SLICE).orderBy(US, *tiebreak)
-    return (
-        rows.withColumn(rank, F.row_number().over(local))
-        .join(table, [*series, SLICE])
-        .withColumn(rank, F.col(rank) + F.col("rows_before"))
-        .drop(US, SLICE, "rows_before")
+    rows = with_slice_facts(sliced(df, time, width_us), series, ["rows_before", "series_rows"], facts=facts)
+    local = Window.partitionBy(SERIES_KEY, SLICE).orderBy(US, *tiebreak)
+    return rows.withColumn(rank, F.row_number().over(local) + F.col("rows_before")).drop(
+        US, SLICE, SERIES_KEY, "rows_before"
     )
 
 
 def global_rank(df: DataFrame, order: Sequence[str | Column], rank: str = "rn") -> DataFrame:
     """Consecutive position from 1 over a full order.
 
-    A range-partitioned sort plus an offset per partition: no single task sees all rows, unlike a
-    window without partition. Meant for id-level tables (one row per series).
+    Rows are range-partitioned by the order and stored, numbered inside each range, and moved on by
+    the number of rows in earlier ranges: one small row per range, no task that sees all rows.
     """
-    spark = df.sparkSession
-    schema = T.StructType([*df.schema.fields, T.StructField(rank, T.LongType())])
-    indexed = df.orderBy(*order).rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1] + 1))
-    return spark.createDataFrame(indexed, schema)
-
-
-def spread(df: DataFrame, time: str, width_us: int, before_us: int, after_us: int = 0) -> DataFrame:
-    """Copy each row into every slice whose neighbourhood it lies in.
-
-    The neighbourhood of a slice reaches ``before_us`` before its start and ``after_us`` past its
-    end. ``_home`` marks the one copy that belongs to the slice itself.
-    """
-    us = F.col(US)
+    keys = {f"_o{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)}
+    keyed = df.withColumns(keys)
+    parts = stored(keyed.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    sizes = parts.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(*keys)
     return (
-        df.where(F.col(time).isNotNull())
-        .withColumn(US, micros(time))
-        .withColumn(
-            SLICE,
-            F.explode(
-                F.sequence(
-                    slice_of(us - F.lit(after_us), width_us),
-                    slice_of(us + F.lit(before_us), width_us),
-                )
-            ),
-        )
-        .withColumn(HOME, F.col(SLICE) == slice_of(us, width_us))
+        parts.withColumn(rank, F.row_number().over(inside))
+        .join(before, "_range")
+        .withColumn(rank, F.col(rank) + F.col("_before"))
+        .drop("_range", "_before", *keys)
     )
 
 
-def home_rows(spread_df: DataFrame) -> DataFrame:
-    return spread_df.where(HOME).drop(US, SLICE, HOME)
-
-
 def with_series_facts(
     rows: DataFrame, facts: DataFrame, series: Sequence[str], *, place: bool = False
 ) -> DataFrame:
@@ -181,7 +185,6 @@ def with_series_facts(
     the join turn out to be a broadcast, the first window would otherwise shuffle by its own longer
     key, and the next one again.
     """
-    home = rows.where(HOME) if HOME in rows.columns else rows
-    slices = home.groupBy(*series, SLICE).agg(F.lit(1).alias("_one")).drop("_one")
+    slices = rows.groupBy(*series, SLICE).agg(F.lit(1).alias("_one")).drop("_one")
     placed = rows.repartition(*series, SLICE) if place else rows
     return placed.join(slices.join(facts, list(series)), [*series, SLICE])

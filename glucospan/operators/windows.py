@@ -1,8 +1,4 @@
-"""Time-bounded windows over a spread layout (see ``slices``).
-
-The ``add_*`` functions work inside an existing spread frame, so several of them share one shuffle;
-the plain functions lay the rows out and finish in one call.
-"""
+"""Time-bounded windows, lags and gaps over the sliced layout (see ``slices`` and ``sums``)."""
 
 from __future__ import annotations
 
@@ -12,20 +8,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glucospan.operators import events, medians
+from glucospan.functions.text import nan_to_null
+from glucospan.operators import medians
 from glucospan.operators.slices import (
     MINUTE_US,
+    SERIES_KEY,
     SLICE,
     US,
-    home_rows,
     measured_width,
+    micros,
     minutes,
     ranked,
-    slice_table,
     sliced,
-    spread,
-    with_series_facts,
+    with_slice_facts,
 )
+from glucospan.operators.sums import window_sums
 
 
 @dataclass(frozen=True)
@@ -44,29 +41,6 @@ class Trailing:
     default: float | None = None
 
 
-def add_trailing(spread_df: DataFrame, series: Sequence[str], specs: Sequence[Trailing]) -> DataFrame:
-    """Trailing sums and means as the difference of two running sums.
-
-    Both running frames start at the first row, which Spark evaluates in one pass over the sorted
-    rows; a sliding frame would add up its whole content again for each row. All specs share one
-    sort. The running sums restart in each slice, so the rounding error stays near 1e-16 times the
-    absolute sum of one slice; the value counts are exact, so an empty window is exactly empty.
-    """
-    order = Window.partitionBy(*series, SLICE).orderBy(US)
-    upto = order.rangeBetween(Window.unboundedPreceding, 0)
-    held = {f"_v{i}": spec.value.cast("double") for i, spec in enumerate(specs)}
-    out = {}
-    for i, spec in enumerate(specs):
-        value = F.col(f"_v{i}")
-        edge = minutes(spec.minutes) + (1 if spec.closed == "both" else 0)
-        past = order.rangeBetween(Window.unboundedPreceding, -edge)
-        total = F.sum(value).over(upto) - F.coalesce(F.sum(value).over(past), F.lit(0.0))
-        count = F.count(value).over(upto) - F.count(value).over(past)
-        result = total / count if spec.agg == "mean" else total
-        out[spec.name] = F.when(count > 0, result).otherwise(F.lit(spec.default).cast("double"))
-    return spread_df.withColumns(held).withColumns(out).drop(*held)
-
-
 def trailing(
     df: DataFrame,
     series: Sequence[str],
@@ -75,39 +49,27 @@ def trailing(
     *,
     width_us: int | None = None,
 ) -> DataFrame:
-    """Trailing aggregates of every row.
+    """Trailing aggregates of every row (see ``sums``); all specs share one shuffle.
 
-    As long as a slice can be longer than the longest window, rows near its start are copied into
-    it. A denser series has slices shorter than the window; then each value is an event that stays
-    in force for the window (see ``events``), and no row is copied.
+    NaN counts as missing, rows without a time drop out, and rows without an id form one series.
     """
-    reach = max(minutes(spec.minutes) for spec in specs) + 1
     width_us = width_us or measured_width(df, series, time)
-    if width_us < reach:
-        return _trailing_in_force(df, series, time, specs, width_us)
-    rows = spread(df, time, width_us, before_us=reach)
-    return home_rows(add_trailing(rows, series, specs))
-
-
-def _trailing_in_force(
-    df: DataFrame, series: Sequence[str], time: str, specs: Sequence[Trailing], width_us: int
-) -> DataFrame:
-    values = {f"_v{i}": spec.value.cast("double") for i, spec in enumerate(specs)}
-    phases, results = [], {}
+    held = {f"_v{i}": nan_to_null(spec.value.cast("double")) for i, spec in enumerate(specs)}
+    # A window that includes its start is one microsecond longer than one that does not.
+    lengths = {
+        f"_v{i}": minutes(spec.minutes) + (1 if spec.closed == "both" else 0) for i, spec in enumerate(specs)
+    }
+    rows = df.select(
+        *[F.col(c) for c in dict.fromkeys([*series, time])],
+        F.struct(*df.columns).alias("_sample"),
+        *[v.alias(n) for n, v in held.items()],
+    )
+    found = window_sums(rows, series, time, "_sample", lengths, width_us)
+    out = {}
     for i, spec in enumerate(specs):
-        amounts = {
-            f"_sum{i}": F.col(f"_v{i}"),
-            f"_count{i}": F.col(f"_v{i}").isNotNull().cast("double"),
-        }
-        edge = minutes(spec.minutes) + (1 if spec.closed == "both" else 0)
-        phases.append(events.Phase(F.lit(0), F.lit(edge), amounts))
-        total = F.col(f"_sum{i}") / F.col(f"_count{i}") if spec.agg == "mean" else F.col(f"_sum{i}")
-        results[spec.name] = F.when(F.col(f"_count{i}") > 0, total).otherwise(
-            F.lit(spec.default).cast("double")
-        )
-    happened = df.select(*series, time, *[v.alias(n) for n, v in values.items()])
-    totals = events.in_force(df, happened, series, time, time, phases=phases, width_us=width_us)
-    return totals.withColumns(results).select(*df.columns, *results)
+        total = F.col(f"_v{i}") / F.col(f"_v{i}_n") if spec.agg == "mean" else F.col(f"_v{i}")
+        out[spec.name] = F.coalesce(total, F.lit(spec.default).cast("double"))
+    return found.select("_sample.*", *[c.alias(n) for n, c in out.items()])
 
 
 def steps(span_minutes: float, cadence: Column) -> Column:
@@ -120,86 +82,72 @@ def tolerance_minutes(cadence: Column) -> Column:
 
 
 MAX_GAP_MINUTES = 30
-# The tolerance grows with the cadence, and no cadence exceeds the largest gap it is taken from.
-MAX_TOLERANCE_MINUTES = 2 * MAX_GAP_MINUTES
-
 
-def shift_reach_us(lags: Sequence[float], horizon: float) -> int:
-    """No accepted lag or lead lies further away than this."""
-    return minutes(max([*lags, horizon]) + MAX_TOLERANCE_MINUTES) + 1
 
-
-def add_timed_shifts(
-    spread_df: DataFrame,
+def timed_shifts(
+    df: DataFrame,
     series: Sequence[str],
     time: str,
     value: str,
     *,
     lags: Sequence[float] = (15, 30),
     horizon: float = 30,
-    cadence: str = "cadence_minutes",
+    pace: DataFrame | None = None,
+    tiebreak: Sequence[str] = (),
+    width_us: int | None = None,
     lag_name: str = "glucose_lag_{}m",
     target: str = "target_30m",
     target_time: str = "target_timestamp",
 ) -> DataFrame:
     """Lags and a lead by a per-series number of rows, kept only where the elapsed time fits.
 
-    The step differs by series, which ``lag`` does not take. Numbering the rows of a slice and
-    partitioning by ``number mod step`` puts rows that are exactly one step apart next to each
-    other, so a lag of one there is a lag of ``step`` rows. (series, slice) still decides where
-    rows live, so this sorts again but does not shuffle. A row further away than ``shift_reach_us``
-    cannot pass the elapsed-time check, so the spread rows decide every case.
+    The step follows the cadence of the series, which comes from ``pace`` (``series``,
+    ``cadence_minutes``) or is measured, and is added to the rows. Each row is numbered in its series
+    and sends its value to the positions that ask for it, so rows meet by (series, position): every
+    such group holds a few rows however dense or long the series is, and a step may have any size.
     """
-    keys = [*series, SLICE]
-    tolerance = tolerance_minutes(F.col(cadence))
-    rows = spread_df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(US)))
-    checks = []
-    for span in lags:
-        chain = Window.partitionBy(*keys, F.pmod(F.col("_n"), steps(span, F.col(cadence)))).orderBy(US)
-        name = lag_name.format(int(span))
-        rows = rows.withColumns(
-            {name: F.lag(value, 1).over(chain), f"_us_{name}": F.lag(US, 1).over(chain)}
+    width_us = width_us or measured_width(df, series, time)
+    if pace is None:
+        pace = cadence(df, series, time, width_us=width_us)
+    pace_column = F.col("cadence_minutes")
+    rows = ranked(df, series, time, tiebreak=tiebreak, width_us=width_us, rank="_at", facts=pace).drop("series_rows")
+    moves = [F.lit(0)]
+    moves += [steps(span, pace_column) for span in lags]
+    moves += [-steps(horizon, pace_column)]
+    sent = rows.select(
+        *series,
+        F.struct(*[n for n in rows.columns if n != "_at"]).alias("_row"),
+        F.struct(F.col(value).alias("v"), F.col(time).alias("t"), micros(time).alias("us")).alias("_seen"),
+        F.array(*[m.cast("bigint") for m in moves]).alias("_moves"),
+        "_at",
+    )
+    # Named structs first: a generator in the same select would strip the names of their fields.
+    sent = sent.select("*", F.posexplode("_moves").alias("_kind", "_move")).select(
+        *series,
+        (F.col("_at") + F.col("_move")).alias("_at"),
+        "_kind",
+        F.when(F.col("_kind") == 0, F.col("_row")).alias("_row"),
+        "_seen",
+    )
+    meet = Window.partitionBy(*series, "_at")
+    seen = {f"_seen{i}": F.max(F.when(F.col("_kind") == i, F.col("_seen"))).over(meet) for i in range(1, len(moves))}
+    tolerance = tolerance_minutes(F.col("_row.cadence_minutes"))
+    fits = F.lit(True)
+    for i, span in enumerate([*lags, horizon], 1):
+        apart = F.abs(F.col(f"_seen{i}.us") - F.col("_seen.us")) / F.lit(MINUTE_US)
+        fits = fits & (F.abs(apart - F.lit(float(span))) <= tolerance)
+    ahead = f"_seen{len(moves) - 1}"
+    return (
+        sent.withColumns(seen)
+        .where(F.col("_kind") == 0)
+        .where(fits)
+        .select(
+            "_row.*",
+            *[F.col(f"_seen{i}.v").alias(lag_name.format(int(span))) for i, span in enumerate(lags, 1)],
+            F.col(f"{ahead}.v").alias(target),
+            F.col(f"{ahead}.t").alias(target_time),
         )
-        elapsed = (F.col(US) - F.col(f"_us_{name}")) / F.lit(MINUTE_US)
-        checks.append(F.abs(elapsed - F.lit(float(span))) <= tolerance)
-    chain = Window.partitionBy(*keys, F.pmod(F.col("_n"), steps(horizon, F.col(cadence)))).orderBy(US)
-    rows = rows.withColumns(
-        {
-            target: F.lead(value, 1).over(chain),
-            target_time: F.lead(time, 1).over(chain),
-            "_us_target": F.lead(US, 1).over(chain),
-        }
     )
-    elapsed = (F.col("_us_target") - F.col(US)) / F.lit(MINUTE_US)
-    checks.append(F.abs(elapsed - F.lit(float(horizon))) <= tolerance)
-    fits = checks[0]
-    for check in checks[1:]:
-        fits = fits & check
-    helpers = ["_n", "_us_target", *(f"_us_{lag_name.format(int(span))}" for span in lags)]
-    return rows.where(fits).drop(*helpers)
-
-
-def timed_shifts(
-    df: DataFrame,
-    series: Sequence[str],
-    time: str,
-    value: str,
-    *,
-    lags: Sequence[float] = (15, 30),
-    horizon: float = 30,
-    width_us: int | None = None,
-    **names: str,
-) -> DataFrame:
-    """``add_timed_shifts`` at each series' own cadence; adds ``cadence_minutes``."""
-    reach = shift_reach_us(lags, horizon)
-    width_us = width_us or measured_width(df, series, time)
-    pace = cadence(df, series, time, width_us=width_us)
-    # Copies reach over slice edges, so slices are no shorter than that reach.
-    width_us = max(width_us, 2 * reach)
-    rows = spread(df, time, width_us, before_us=reach, after_us=reach)
-    rows = with_series_facts(rows, pace, series, place=True)
-    shifted = add_timed_shifts(rows, series, time, value, lags=lags, horizon=horizon, **names)
-    return home_rows(shifted)
 
 
 def gaps(
@@ -211,14 +159,10 @@ def gaps(
     however long ago that was.
     """
     width_us = width_us or measured_width(df, series, time)
-    rows = sliced(df, time, width_us)
-    table = slice_table(rows, series).select(*series, SLICE, "previous_last_us")
-    inside = F.lag(US, 1).over(Window.partitionBy(*series, SLICE).orderBy(US))
-    return (
-        rows.withColumn("_inside", inside)
-        .join(table, [*series, SLICE])
-        .withColumn(name, F.col(US) - F.coalesce("_inside", "previous_last_us"))
-        .drop(US, SLICE, "_inside", "previous_last_us")
+    rows = with_slice_facts(sliced(df, time, width_us), series, ["previous_last_us"])
+    inside = F.lag(US, 1).over(Window.partitionBy(SERIES_KEY, SLICE).orderBy(US))
+    return rows.withColumn(name, F.col(US) - F.coalesce(inside, F.col("previous_last_us"))).drop(
+        US, SLICE, SERIES_KEY, "previous_last_us"
     )
 
 

@@ -1,4 +1,4 @@
-"""From typed raw series to the forecasting table, as one lazy plan."""
+"""From typed raw series to the forecasting table."""
 
 from __future__ import annotations
 
@@ -9,21 +9,14 @@ from glucospan.functions.clinical import cyclical, diagnosis_band, hour_of_day
 from glucospan.operators.slices import (
     SLICE,
     US,
-    home_rows,
     measured_width,
-    minutes,
-    spread,
+    sliced,
     with_series_facts,
 )
-from glucospan.operators.windows import (
-    Trailing,
-    add_timed_shifts,
-    add_trailing,
-    cadence,
-    shift_reach_us,
-)
+from glucospan.operators.windows import Trailing, cadence, timed_shifts, trailing
 from glucospan.schema import FEATURES, FORECAST_SCHEMA, SERIES, TARGET, TARGET_TIME, TIME, VALUE, ForecastTable
 from glucospan.sources.series_csv import POSITION, read_series, read_static
+from glucospan.storage import stored
 
 # Which signals each request may use, best first. A request for the first sensor
 # falls through to the second where a series has no usable value of the first.
@@ -110,39 +103,40 @@ def forecast_rows(
 ) -> DataFrame:
     """The forecasting table of all usable series.
 
-    Raw rows are shuffled once, by (series, slice). All trailing windows, the choice among repeated
-    times, the lags and the lead work on that layout; facts and static attributes arrive through the
-    slice table.
+    Rows find their signal through the slice table, the choice among repeated times and the trailing
+    windows follow, and the samples with their features are stored: positions are counted over them
+    before lags and lead are looked up by position. No step has a shortest slice, so a dense series is
+    cut as finely as its rows call for.
     """
-    shift_reach = shift_reach_us((15, 30), horizon_minutes)
-    before = max(minutes(EVENT_MINUTES) + 1, shift_reach)
-    # Copies reach over slice edges, so slices are no shorter than that reach.
-    width_us = max(width_us or measured_width(raw, [SERIES], TIME), before + shift_reach)
+    width_us = width_us or measured_width(raw, [SERIES], TIME)
     known = (
         facts.where((F.col("rows") >= MIN_ROWS) & F.col("cadence_minutes").isNotNull())
         .select(SERIES, "source", "cadence_minutes")
         .join(static, SERIES, "left")
     )
-    rows = spread(raw, TIME, width_us, before_us=before, after_us=shift_reach)
-    rows = with_series_facts(rows, known, [SERIES], place=True)
+    rows = with_series_facts(sliced(raw, TIME, width_us), known.select(SERIES, "source"), [SERIES], place=True)
     rows = rows.withColumn(VALUE, F.when(F.col("source") == "dexcom", F.col("dexcom")).otherwise(F.col("libre")))
 
     # Of repeated times only the first row with a value is a sample; any row may record an event.
     same_time = Window.partitionBy(SERIES, SLICE, US, F.col(VALUE).isNotNull()).orderBy(*POSITION, VALUE)
-    rows = rows.withColumn("_sample", F.row_number().over(same_time)).withColumn(
-        "_sample", F.col(VALUE).isNotNull() & (F.col("_sample") == 1)
+    rows = rows.withColumn("_sample_no", F.row_number().over(same_time)).withColumn(
+        "_is_sample", F.col(VALUE).isNotNull() & (F.col("_sample_no") == 1)
     )
     specs = [
         Trailing(f"{name}_last_120m", F.when(F.col("is_event"), F.col(name)), EVENT_MINUTES, default=0.0)
         for name in NUTRIENTS
     ] + [
-        Trailing("heart_rate_mean_30m", F.when(F.col("_sample"), F.col("heart_rate")), 30, "mean", "right"),
-        Trailing("mets_mean_60m", F.when(F.col("_sample"), F.col("mets")), 60, "mean", "right"),
-        Trailing("activity_calories_60m", F.when(F.col("_sample"), F.col("activity_calories")), 60, "sum", "right"),
+        Trailing("heart_rate_mean_30m", F.when(F.col("_is_sample"), F.col("heart_rate")), 30, "mean", "right"),
+        Trailing("mets_mean_60m", F.when(F.col("_is_sample"), F.col("mets")), 60, "mean", "right"),
+        Trailing("activity_calories_60m", F.when(F.col("_is_sample"), F.col("activity_calories")), 60, "sum", "right"),
     ]
-    rows = add_trailing(rows, [SERIES], specs).where("_sample")
-    rows = home_rows(
-        add_timed_shifts(rows, [SERIES], TIME, VALUE, horizon=horizon_minutes, target=TARGET, target_time=TARGET_TIME)
+    measured = [SERIES, TIME, VALUE, "heart_rate", "mets", "activity_calories", *[s.name for s in specs]]
+    samples = stored(
+        trailing(rows.drop(US, SLICE), [SERIES], TIME, specs, width_us=width_us).where("_is_sample").select(*measured)
+    )
+    rows = timed_shifts(
+        samples, [SERIES], TIME, VALUE, horizon=horizon_minutes, pace=known.drop("source"), width_us=width_us,
+        target=TARGET, target_time=TARGET_TIME,
     )
     hour = hour_of_day(F.col(TIME))
     sin_time, cos_time = cyclical(hour)
@@ -169,20 +163,23 @@ def load_series_dataset(
 ) -> ForecastTable:
     """Read a folder of series files and its static file into a forecasting table.
 
-    A series without a signal or cadence is left out; ``strict`` makes it an error instead. The plan
-    reads the raw rows several times: for large inputs name a ``staging`` folder on shared storage,
-    where the typed rows are kept as Parquet so that the text is parsed once.
+    A series without a signal or cadence is left out; ``strict`` makes it an error instead. The text is
+    parsed once and the typed rows are kept as Parquet, in ``staging`` if that folder is named and
+    otherwise among the session's intermediates.
     """
     raw = read_series(spark, root, strict=strict)
     if staging:
         raw.write.mode("overwrite").parquet(staging)
         raw = spark.read.parquet(staging)
+    else:
+        raw = stored(raw)
     width_us = width_us or measured_width(raw, [SERIES], TIME)
     facts = series_facts(raw, glucose_source, width_us=width_us)
     if strict:
-        bad = series_status(raw, facts).where("status in ('no_signal', 'no_cadence')").limit(20).collect()
-        if bad:
-            raise SeriesError("; ".join(f"{r[SERIES]}: {r['status']}" for r in bad))
+        bad = series_status(raw, facts).where("status in ('no_signal', 'no_cadence')").groupBy("status").count()
+        found = {r["status"]: r["count"] for r in bad.collect()}
+        if found:
+            raise SeriesError(f"unusable series by status: {found}; series_status has a row for each")
     static = read_static(spark, root, raw.select(SERIES))
     used = facts.where((F.col("rows") >= MIN_ROWS) & F.col("cadence_minutes").isNotNull())
     return ForecastTable(

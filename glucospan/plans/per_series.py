@@ -138,7 +138,10 @@ def evaluate_each(
     train_fraction: float = 0.7,
     **options,
 ) -> DataFrame:
-    """Per-series errors and sizes with the group of its first row and the gain over persistence."""
+    """Per-series errors and sizes with the group of its first row and the gain over persistence.
+
+    ``model_name`` says which model the errors belong to: the ridge regression of this module.
+    """
     series, time = options.get("series", SERIES), options.get("time", TIME)
     scored = predict_each(table, train_fraction=train_fraction, **options)
     errors = error_metrics(
@@ -149,7 +152,7 @@ def evaluate_each(
         current=options.get("current", VALUE),
         series=series,
         digits=digits,
-    ).drop("test_participants")
+    )
     gain = F.col("persistence_mae_mg_dl") - F.col("mae_mg_dl")
     first = [F.min_by(group, time).alias(group)] if group is not None else []
     sizes = table.groupBy(series).agg(F.count(time).alias("_rows"), *first)
@@ -157,7 +160,9 @@ def evaluate_each(
         errors.join(sizes, series)
         .withColumns(
             {
+                "model_name": F.lit("ridge"),
                 "split_strategy": F.lit("within_patient_chronological"),
+                "train_participants": F.lit(1).cast("bigint"),
                 "train_samples": F.col("_rows") - F.col("test_samples"),
                 "mae_improvement_vs_persistence": F.bround(gain, digits) if digits is not None else gain,
             }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -31,16 +31,14 @@ PREDICTION = "prediction_30m"
 
 
 def estimator(name: str, *, target: str, seed: int = 42, **overrides) -> GBTRegressor | RandomForestRegressor:
-    """Tree model by name. Keyword arguments override any parameter, for example ``maxIter=300``.
-
-    Boosting here has no leaf cap or L2 penalty. It defaults to 60 rounds, as each round is several
-    Spark jobs and later rounds move little at this step size.
+    """Tree model by name. Keyword arguments override any parameter, for example ``maxIter=60`` or a
+    ``validationIndicatorCol`` for early stopping. Boosting here has no leaf cap or L2 penalty.
     """
     wanted = name.lower().strip()
     columns = {"featuresCol": "features", "labelCol": target, "predictionCol": PREDICTION, "seed": seed}
     if wanted in BOOSTED:
-        # Step size; depth 5 allows the 31 leaves plus one.
-        settings = {"stepSize": 0.055, "maxDepth": 5, "maxIter": 60}
+        # Rounds and step size; depth 5 allows the 31 leaves plus one.
+        settings = {"stepSize": 0.055, "maxDepth": 5, "maxIter": 300}
         return GBTRegressor(**{**columns, **settings, **overrides})
     if wanted in FOREST:
         # Trees, depth, smallest leaf, share of features and of rows per tree.
@@ -57,7 +55,7 @@ def estimator(name: str, *, target: str, seed: int = 42, **overrides) -> GBTRegr
 
 def day_split_estimator(*, target: str, seed: int = 7, **overrides) -> GBTRegressor:
     """Boosted trees as used with the split by day."""
-    return estimator("hgb", target=target, seed=seed, **{"stepSize": 0.07, **overrides})
+    return estimator("hgb", target=target, seed=seed, **{"stepSize": 0.07, "maxIter": 220, **overrides})
 
 
 def long_features(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -102,26 +100,38 @@ class TrainedPredictor:
     predictions: DataFrame
 
 
-def _fit(
-    table: ForecastTable,
-    split: DataFrame,
-    regressor,
-    *,
-    model_name: str,
-    strategy: str,
-) -> TrainedPredictor:
-    """Fit on the training rows, score the test rows, and set the errors beside persistence.
+@dataclass(frozen=True)
+class Prepared:
+    """A stored split with what every model fitted on it needs: medians as stages, and sizes."""
 
-    The split is stored: medians, training, sizes and scoring all read it.
-    """
+    table: ForecastTable
+    rows: DataFrame
+    strategy: str
+    stages: list
+    used: list[str]
+    train_samples: int
+    train_participants: int
+
+
+def _prepare(table: ForecastTable, split: DataFrame, strategy: str, *, if_empty: str) -> Prepared:
+    """The split is stored and read once for the sizes and once for the medians, however many models
+    are fitted on it."""
     needed = [SERIES, TIME, VALUE, *table.feature_columns, table.target_column, "is_test"]
     rows = stored(split.select(*dict.fromkeys(needed)))
     train = rows.where("not is_test")
-    stages, used = imputer_stages(train, table.feature_columns)
-    model = Pipeline(stages=[*stages, regressor]).fit(train)
     sizes = train.agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(SERIES)).alias("series")
     ).first()
+    if sizes["n"] == 0:
+        raise ValueError(if_empty)
+    stages, used = imputer_stages(train, table.feature_columns)
+    return Prepared(table, rows, strategy, stages, used, sizes["n"], sizes["series"])
+
+
+def _fit(prepared: Prepared, regressor, *, model_name: str) -> TrainedPredictor:
+    """Fit on the training rows, score the test rows, and set the errors beside persistence."""
+    table, rows = prepared.table, prepared.rows
+    model = Pipeline(stages=[*prepared.stages, regressor]).fit(rows.where("not is_test"))
     scored = model.transform(rows.where("is_test")).select(
         SERIES, TIME, VALUE, table.target_column, PREDICTION
     )
@@ -129,16 +139,28 @@ def _fit(
         scored, [], prediction=PREDICTION, target=table.target_column, current=VALUE, series=SERIES
     ).select(
         F.lit(model_name).alias("model_name"),
-        F.lit(strategy).alias("split_strategy"),
+        F.lit(prepared.strategy).alias("split_strategy"),
         "mae_mg_dl",
         "rmse_mg_dl",
         "persistence_mae_mg_dl",
-        F.lit(sizes["n"]).alias("train_samples"),
+        F.lit(prepared.train_samples).alias("train_samples"),
         "test_samples",
-        F.lit(sizes["series"]).alias("train_participants"),
+        F.lit(prepared.train_participants).alias("train_participants"),
         "test_participants",
     )
-    return TrainedPredictor(model, used, evaluation, scored.orderBy(SERIES, TIME))
+    return TrainedPredictor(model, prepared.used, evaluation, scored.orderBy(SERIES, TIME))
+
+
+def prepare_grouped(table: ForecastTable, *, test_fraction: float = 0.2, seed: int = 42) -> Prepared:
+    split = group_split(table.frame, SERIES, test_fraction=test_fraction, seed=seed)
+    return _prepare(table, split, "participant_holdout", if_empty="the split leaves no training rows")
+
+
+def prepare_personalized(table: ForecastTable, series: str, *, train_fraction: float = 0.7) -> Prepared:
+    rows = one_series(table.frame, SERIES, series)
+    split = chronological_split(rows, [SERIES], TIME, train_fraction=train_fraction)
+    message = f"series {series} is unknown or does not have enough usable rows"
+    return _prepare(table, split, "within_patient_chronological", if_empty=message)
 
 
 def train_grouped(
@@ -150,9 +172,8 @@ def train_grouped(
     **overrides,
 ) -> TrainedPredictor:
     """Hold out whole series, so the test only has people the model never saw."""
-    split = group_split(table.frame, SERIES, test_fraction=test_fraction, seed=seed)
     regressor = estimator(model_name, target=table.target_column, seed=seed, **overrides)
-    return _fit(table, split, regressor, model_name=model_name, strategy="participant_holdout")
+    return _fit(prepare_grouped(table, test_fraction=test_fraction, seed=seed), regressor, model_name=model_name)
 
 
 def train_personalized(
@@ -165,12 +186,9 @@ def train_personalized(
     **overrides,
 ) -> TrainedPredictor:
     """Train on the earlier part of one series and test on the later part."""
-    rows = one_series(table.frame, SERIES, series)
-    split = chronological_split(rows, [SERIES], TIME, train_fraction=train_fraction)
-    if split.isEmpty():
-        raise ValueError(f"series {series} does not have enough usable rows")
     regressor = estimator(model_name, target=table.target_column, seed=seed, **overrides)
-    return _fit(table, split, regressor, model_name=model_name, strategy="within_patient_chronological")
+    prepared = prepare_personalized(table, series, train_fraction=train_fraction)
+    return _fit(prepared, regressor, model_name=model_name)
 
 
 def train_by_day(
@@ -179,7 +197,8 @@ def train_by_day(
     """Train on the earlier days of all rows and test on the later days."""
     split = day_split(table.frame.dropna(), day, train_fraction=train_fraction)
     regressor = day_split_estimator(target=table.target_column, seed=seed, **overrides)
-    return _fit(table, split, regressor, model_name="hgb", strategy="day_cutoff")
+    prepared = _prepare(table, split, "day_cutoff", if_empty="the split leaves no training rows")
+    return _fit(prepared, regressor, model_name="hgb")
 
 
 def compare_models(
@@ -190,17 +209,19 @@ def compare_models(
     seed: int = 42,
     overrides: dict[str, dict] | None = None,
 ) -> DataFrame:
-    """Evaluation rows of both models on the same split, best first."""
-    trainers: dict[str, Callable[..., TrainedPredictor]] = {
-        "grouped": lambda name, **kw: train_grouped(table, model_name=name, seed=seed, **kw),
-        "personalized": lambda name, **kw: train_personalized(table, series, model_name=name, seed=seed, **kw),
-    }
-    if split not in trainers:
-        raise ValueError("split must be grouped or personalized")
-    if split == "personalized" and series is None:
-        raise ValueError("name the series that a personalized split is made for")
-    names = ["hgb", "random_forest"]
-    rows = [trainers[split](n, **(overrides or {}).get(n, {})).evaluation for n in names]
+    """Evaluation rows of both models on the same split, best first. The split is made once."""
+    if split == "grouped":
+        prepared = prepare_grouped(table, seed=seed)
+    elif split != "personalized":
+        raise ValueError(f"unknown split {split!r}: choose grouped or personalized")
+    elif series is None:
+        raise ValueError("a personalized comparison needs a series")
+    else:
+        prepared = prepare_personalized(table, series)
+    rows = []
+    for name in ["hgb", "random_forest"]:
+        regressor = estimator(name, target=table.target_column, seed=seed, **(overrides or {}).get(name, {}))
+        rows.append(_fit(prepared, regressor, model_name=name).evaluation)
     return rank_models(rows[0].unionByName(rows[1]))
 
 

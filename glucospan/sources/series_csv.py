@@ -160,9 +160,9 @@ def read_series_text(
         raise FileNotFoundError(f"no series files below {root}")
     untimed = [x for x in found if SERIES_COLUMNS["timestamp_text"][0] not in x.names]
     if untimed and strict:
-        raise ValueError(f"no Timestamp column in {untimed[0].paths[:5]}")
+        raise ValueError(f"{sum(len(x.paths) for x in untimed)} files have no Timestamp column, one is {untimed[0].paths[0]}")
     for layout in untimed:
-        warnings.warn(f"left out, no Timestamp column: {layout.paths[:5]}", stacklevel=2)
+        warnings.warn(f"left out, no Timestamp column: {len(layout.paths)} files like {layout.paths[0]}", stacklevel=2)
     usable = [x for x in found if x not in untimed]
     if not usable:
         raise ValueError("no series file has a Timestamp column")

@@ -6,18 +6,19 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from glucospan.functions.text import nan_to_null, pad_id
-from glucospan.schema import FORECAST_SCHEMA, SERIES, TIME, ForecastTable
+from glucospan.functions.text import nan_to_null
+from glucospan.schema import SERIES, TIME, ForecastTable
 
 
 def save_forecast_table(table: ForecastTable, path: str, *, fmt: str = "parquet") -> str:
     """Write rows below ``path``/rows and the descriptor below ``path``/descriptor.
 
-    Parquet is the default, so later reads prune columns and push filters down; ``fmt="csv"`` writes
-    gzip CSV.
+    Parquet is the default, so later reads prune columns and push filters down; rows are sorted by
+    (id, time), so a filter on an id skips files and row groups. ``fmt="csv"`` writes gzip CSV.
     """
-    writer = table.frame.write.mode("overwrite")
+    writer = table.frame.orderBy(SERIES, TIME).write.mode("overwrite")
     if fmt == "csv":
         writer.option("header", True).option("compression", "gzip").csv(f"{path}/rows")
     elif fmt == "parquet":
@@ -31,24 +32,26 @@ def save_forecast_table(table: ForecastTable, path: str, *, fmt: str = "parquet"
         "horizon_minutes": table.horizon_minutes,
         "feature_columns": table.feature_columns,
         "target_column": table.target_column,
+        "schema": table.frame.schema.jsonValue(),
     }
     write_text(spark, json.dumps(descriptor), f"{path}/descriptor")
     return path
 
 
 def load_forecast_table(spark: SparkSession, path: str) -> ForecastTable:
-    """Read a saved table; source and horizon come from its own descriptor."""
+    """Read a saved table; columns, source and horizon come from its own descriptor."""
     told = json.loads(spark.read.text(f"{path}/descriptor").first()[0])
-    reader = spark.read.schema(FORECAST_SCHEMA)
+    schema = T.StructType.fromJson(told["schema"])
+    reader = spark.read.schema(schema)
     if told["format"] == "csv":
         rows = reader.option("header", True).csv(f"{path}/rows")
-        for field in FORECAST_SCHEMA:
+        for field in schema:
             if field.dataType.typeName() == "double":
                 rows = rows.withColumn(field.name, nan_to_null(F.col(field.name)))
     else:
         rows = reader.parquet(f"{path}/rows")
     return ForecastTable(
-        frame=rows.withColumn(SERIES, pad_id(F.col(SERIES))),
+        frame=rows,
         glucose_source=told["glucose_source"],
         horizon_minutes=told["horizon_minutes"],
         feature_columns=told["feature_columns"],

@@ -113,8 +113,14 @@ def test_sort_nested_is_stable(spark):
 def test_one_series(spark):
     df = spark.createDataFrame([("7", 1), ("008", 2)], "s string, v int")
     assert [r["v"] for r in selection.one_series(df, "s", "007").collect()] == [1]
-    with pytest.raises(selection.UnknownSeriesError, match=r"\['007', '008'\]"):
-        selection.one_series(df, "s", "9")
+    assert [r["v"] for r in selection.one_series(df, "s", "8").collect()] == [2]
+    assert sorted(r["s"] for r in selection.known_series(df, "s").collect()) == ["007", "008"]
+    with pytest.raises(selection.UnknownSeriesError, match="'009'"):
+        selection.require_series(selection.one_series(df, "s", "9"), "9")
+    numbers = spark.createDataFrame([(7, 1), (1234, 2)], "s bigint, v int")
+    assert [r["v"] for r in selection.one_series(numbers, "s", "007").collect()] == [1]
+    assert [r["v"] for r in selection.one_series(numbers, "s", "1234").collect()] == [2]
+    assert selection.one_series(numbers, "s", "x").count() == 0
 
 
 def test_group_split_keeps_groups_whole(spark):
@@ -164,7 +170,11 @@ def test_observations_and_bundles(spark):
     assert [p["entries"] for p in pages] == [3, 3, 1]
     entries = [e["resource"] for p in pages for e in json.loads(p["bundle"])["entry"]]
     assert [e["effectiveDateTime"][14:16] for e in entries] == ["00", "05", "10", "15", "20", "25", "30"]
-    (whole,) = export.bundles(df, "s", "ts", "v").collect()
+    told = [json.loads(p["bundle"]) for p in pages]
+    assert [b["total"] for b in told] == [7, 7, 7]
+    assert [x["url"] for x in told[0]["link"]] == ["page=0", "page=1"]
+    assert [x["relation"] for x in told[2]["link"]] == ["self"]
+    (whole,) = export.bundles(df, "s", "ts", "v", entries_per_bundle=100).collect()
     assert json.loads(whole["bundle"])["type"] == "collection"
     start = F.lit("2025-01-01").cast("timestamp_ntz")
     assert spark.range(1).select(export.sample_time(start, F.lit(90))).first()[0] == datetime(2025, 1, 1, 1, 30)

@@ -182,6 +182,68 @@ from joined
 
 RESOURCE = """'{"resourceType":"Observation","status":"final","category":[{"coding":[{"system":"http://terminology.hl7.org/CodeSystem/observation-category","code":"laboratory","display":"Laboratory"}]}],"code":{"coding":[{"system":"http://loinc.org","code":"15074-8","display":"Glucose [Moles/volume] in Blood"}],"text":"Simulated glucose"},"subject":{"reference":"Patient/' || user_id || '"},"effectiveDateTime":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') || '","valueQuantity":{"value":' || round_even(value, 1)::double::varchar || ',"unit":"mg/dL","system":"http://unitsofmeasure.org","code":"mg/dL"},"note":[{"text":"Synthetic observation; not a clinical measurement."}]}'"""
 
+# The wide table per user for the models.
+USER_FEATURES = ["glucose_mg_dl", "lag_1", "lag_2", "heart_rate", "mean_3d", "sin_time", "cos_time"]
+USERS = f"""with hours as (select *, hour(ts) + minute(ts) / 60.0::double as h from {EK}),
+shifted as (select user_id::varchar as participant_id, ts as timestamp, event_type, value as glucose_mg_dl,
+    lag(value, 1) over w as lag_1, lag(value, 2) over w as lag_2, case when k >= 10 then k end as heart_rate,
+    {trailing('avg(value)', 4320, 'user_id', 'right')} as mean_3d,
+    sin(2 * pi() * h / 24) as sin_time, cos(2 * pi() * h / 24) as cos_time, lead(value, 1) over w as target_30m
+  from hours window w as (partition by user_id order by ts)),
+users as (select * from shifted where target_30m is not null)"""
+HELD_OUT = f"""{USERS},
+ids as (select participant_id, md5(concat_ws(':', participant_id, '42')) as h from (select distinct participant_id from users)),
+marked as (select participant_id, row_number() over (order by h) <= ceil(0.2 * count(*) over ()) as is_test from ids),
+split as (select * from users join marked using (participant_id))"""
+
+
+def _each(make, joined: str = ", ") -> str:
+    return joined.join(make(i, n) for i, n in enumerate(USER_FEATURES))
+
+
+def _ridge() -> str:
+    """Ridge regression per user in closed form: the standardised system is solved by elimination, one
+    column per recursion step. It is positive definite, so no rows are swapped."""
+    size = len(USER_FEATURES)
+    cells = "[" + ", ".join(
+        "[" + ", ".join(
+            f"(avg(z{i} * z{j}) - avg(z{i}) * avg(z{j})) / (stddev_pop(z{i}) * stddev_pop(z{j}))"
+            + (" + 1.0::double / count(*)" if i == j else "")
+            for j in range(size)
+        ) + f", (avg(z{i} * y) - avg(z{i}) * avg(y)) / stddev_pop(z{i})]"
+        for i in range(size)
+    ) + "]"
+    swept = "[" + ", ".join(
+        "[" + ", ".join(
+            f"case when step = {i} then m[step][{j}] / m[step][step] else m[{i}][{j}] - m[{i}][step] * m[step][{j}] / m[step][step] end"
+            for j in range(1, size + 2)
+        ) + "]"
+        for i in range(1, size + 1)
+    ) + "]"
+    weights = "[" + ", ".join(f"m[{i + 1}][{size + 1}] / s{i}" for i in range(size)) + "]"
+    return f"""{USERS.replace('with ', 'with recursive ', 1)},
+numbered as (select *, row_number() over (partition by participant_id order by timestamp) as rn,
+    count(*) over (partition by participant_id) as c from users),
+split as (select *, rn > least(greatest(floor(c * 0.7::double), 30), c - 20) as is_test from numbered where c >= 60),
+middle as (select participant_id, {_each(lambda i, n: f"median({n}) as c{i}")} from split where not is_test group by 1),
+centred as (select split.*, target_30m - glucose_mg_dl as y, {_each(lambda i, n: f"coalesce({n} - c{i}, 0) as z{i}")}
+  from split join middle using (participant_id)),
+systems as (select participant_id, {cells} as m, avg(y) as my, {_each(lambda i, n: f"avg(z{i}) as a{i}, stddev_pop(z{i}) as s{i}")}
+  from centred where not is_test group by 1),
+solving as (select participant_id, 1 as step, m from systems
+  union all select participant_id, step + 1, {swept} from solving where step <= {size}),
+solved as (select participant_id, my, {_each(lambda i, n: f"a{i}")}, {weights} as b
+  from (select participant_id, m from solving where step = {size + 1}) as done join (select * exclude (m) from systems) as known using (participant_id)),
+predicted as (select centred.*, glucose_mg_dl + my + {_each(lambda i, n: f"b[{i + 1}] * (z{i} - a{i})", " + ")} as prediction
+  from centred join solved using (participant_id) where is_test),
+errors as (select participant_id, avg(abs(prediction - target_30m)) as mae, sqrt(avg(power(prediction - target_30m, 2))) as rmse,
+    avg(abs(target_30m - glucose_mg_dl)) as persistence, count(*) as test_samples, any_value(c) - count(*) as train_samples
+  from predicted group by 1)
+"""
+
+
+RIDGE = _ridge()
+
 ORACLE = {
     "numeric_clean": f"select event_id, {K} as number from events",
     "numeric_clean_mixed": r"""
@@ -312,7 +374,6 @@ ORACLE = {
     "static_join": """
         select event_id, user_id, o_orderkey, o_totalprice, o_orderpriority from events left join (
           select o_custkey as user_id, o_orderkey, o_totalprice, o_orderpriority from orders
-          where o_orderpriority <> '5-LOW'
           qualify row_number() over (partition by o_custkey order by o_orderkey desc) = 1) using (user_id)""",
     "static_id_key": """select c_custkey, lpad(substr(c_custkey::varchar, 1, 3), 3, '0') as series_id from customer""",
     "positional_join": """
@@ -416,10 +477,38 @@ ORACLE = {
     "feature_table": FEATURE_TABLE,
     "fhir_observation": f"select event_id, {RESOURCE} as resource from events",
     "fhir_bundle": f"""
-        with placed as (select user_id, {RESOURCE} as resource, row_number() over (partition by user_id order by ts) as n from events)
+        with placed as (select user_id, {RESOURCE} as resource, row_number() over (partition by user_id order by ts) as n,
+            count(*) over (partition by user_id) as c from events)
         select user_id, (n - 1) // 50 as page, count(*) as entries,
-          '{{"resourceType":"Bundle","type":"collection","entry":[' ||
+          '{{"resourceType":"Bundle","type":"collection","total":' || any_value(c) || ',"link":[{{"relation":"self","url":"page=' ||
+          (n - 1) // 50 || '"}}' || case when ((n - 1) // 50 + 1) * 50 < any_value(c)
+            then ',{{"relation":"next","url":"page=' || (n - 1) // 50 + 1 || '"}}' else '' end || '],"entry":[' ||
           string_agg('{{"resource":' || resource || '}}', ',' order by n) ||
           '],"meta":{{"tag":[{{"display":"Synthetic educational data"}}]}}}}' as bundle
-        from placed group by all""",
+        from placed group by user_id, (n - 1) // 50""",
+    "rf_predict": HELD_OUT
+    + " select participant_id, timestamp, glucose_mg_dl, target_30m, true as plausible from split where is_test",
+    "compare_models": HELD_OUT
+    + """ select model_name, 'participant_holdout' as split_strategy, true as rmse_not_below_mae,
+          round_even(avg(abs(target_30m - glucose_mg_dl)) filter (where is_test), 2) as persistence_mae_mg_dl,
+          count(*) filter (where not is_test) as train_samples, count(*) filter (where is_test) as test_samples,
+          count(distinct participant_id) filter (where not is_test) as train_participants,
+          count(distinct participant_id) filter (where is_test) as test_participants
+        from split, (values ('hgb'), ('random_forest')) as models(model_name) group by model_name""",
+    "per_series_eval": RIDGE
+    + f"""select participant_id, 'ridge' as model_name, 'within_patient_chronological' as split_strategy,
+          {r('mae', 6, 'mae_mg_dl')}, {r('rmse', 6, 'rmse_mg_dl')}, {r('persistence', 6, 'persistence_mae_mg_dl')},
+          {r('persistence - mae', 6, 'mae_improvement_vs_persistence')}, train_samples, test_samples,
+          1 as train_participants, 1 as test_participants, event_type
+        from errors join (select participant_id, event_type from split where rn = 1) using (participant_id)""",
+    "per_series_summary": RIDGE
+    + f""", shown as (select round_even(mae, 2) as mae_mg_dl, round_even(rmse, 2) as rmse_mg_dl,
+            round_even(persistence, 2) as persistence_mae_mg_dl from errors),
+        gained as (select *, round_even(persistence_mae_mg_dl - mae_mg_dl, 2) as mae_improvement_vs_persistence from shown)
+        select count(*) as participants, 'ridge' as model_name, 'within_patient_chronological' as split_strategy,
+          {', '.join(f'round_even({kind}({c}), 2) as {name}_{c}' for kind, name in [('avg', 'mean'), ('median', 'median')]
+             for c in ['mae_mg_dl', 'rmse_mg_dl', 'persistence_mae_mg_dl', 'mae_improvement_vs_persistence'])},
+          count(*) filter (where mae_improvement_vs_persistence > 0) as participants_beating_persistence,
+          count(*) filter (where mae_improvement_vs_persistence = 0) as participants_tying_persistence
+        from gained""",
 }
