@@ -22,11 +22,12 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, *, out: str = "
     middle ranks fall; only that bucket is cut again, linearly, and only the chosen fine bucket is
     finally put in order. Each step looks at a bounded number of buckets per key.
     """
-    keys = list(keys)
+    # A struct is never NULL itself, so that rows with a NULL key meet in the joins below as well.
+    whole, keys = F.struct(*keys).alias("_key"), ["_key"]
     number = F.col(value).cast("double")
     counts = (
         df.where(number.isNotNull() & ~F.isnan(number))
-        .groupBy(*keys, number.alias("_v"))
+        .groupBy(whole, number.alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     # The bound only matters for infinite values, whose logarithm fits no integer.
@@ -55,7 +56,8 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, *, out: str = "
     picked = final.withColumn("_to", reached).withColumn("_from", F.col("_to") - F.col("_n"))
     lower = F.when(_holds(_lower_rank()), F.col("_v"))
     upper = F.when(_holds(_upper_rank()), F.col("_v"))
-    return picked.groupBy(*keys).agg(((F.max(lower) + F.max(upper)) / 2.0).alias(out))
+    middle = picked.groupBy(*keys).agg(((F.max(lower) + F.max(upper)) / 2.0).alias(out))
+    return middle.select("_key.*", out)
 
 
 def _complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -26,13 +26,13 @@ def test_grouped_and_personalized(spark, table, tmp_path):
     row = grouped.evaluation.first()
     assert row["split_strategy"] == "participant_holdout"
     assert (row["train_participants"], row["test_participants"]) == (3, 1)
-    assert (row["train_samples"], row["test_samples"]) == (252, 84)
+    assert (row["train_samples"], row["test_samples"]) == (80 + 128 + 77, 81)
     assert row["mae_mg_dl"] >= 0
 
     own = training.train_personalized(table, "1", model_name="rf", seed=3, **SMALL["random_forest"])
     row = own.evaluation.first()
     assert row["split_strategy"] == "within_patient_chronological"
-    assert (row["train_samples"], row["test_samples"], row["train_participants"]) == (58, 26, 1)
+    assert (row["train_samples"], row["test_samples"], row["train_participants"]) == (56, 24, 1)
     assert {r[0] for r in own.predictions.select("participant_id").distinct().collect()} == {"001"}
 
     sinks.save_run(own, str(tmp_path / "run"), {"license": "test"})
@@ -64,8 +64,10 @@ def test_default_estimators():
     forest = training.estimator(" RF ", target="y")
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (120, 18, 8)
     assert (forest.getFeatureSubsetStrategy(), forest.getSubsamplingRate()) == ("0.75", 0.35)
-    assert training.estimator("hist_gradient_boosting", target="y").getStepSize() == 0.055
-    assert training.day_split_estimator(target="y").getStepSize() == 0.07
+    boosted = training.estimator("hist_gradient_boosting", target="y")
+    assert (boosted.getStepSize(), boosted.getMaxIter()) == (0.055, 300)
+    daily = training.day_split_estimator(target="y")
+    assert (daily.getStepSize(), daily.getMaxIter()) == (0.07, 220)
 
 
 def test_imputation_uses_training_rows_only(spark):
@@ -86,7 +88,7 @@ def test_day_cutoff_model(table):
     daily = ForecastTable(table.frame.withColumn("day", F.dayofyear("timestamp")), "dexcom")
     row = training.train_by_day(daily, "day", maxIter=2).evaluation.first()
     assert row["split_strategy"] == "day_cutoff"
-    assert (row["train_participants"], row["test_participants"]) == (2, 2)
+    assert (row["train_participants"], row["test_participants"]) == (2, 3)
 
 
 def ridge(rows, features, penalty=1.0):
@@ -139,19 +141,20 @@ def test_benchmark_of_every_series(spark, table, tmp_path):
     sinks.save_benchmark(results, summary, str(tmp_path / "b"), {"source": "test"})
     rows = spark.read.option("header", True).csv(str(tmp_path / "b" / "by_series")).collect()
     assert sorted((r["participant_id"], r["train_samples"], r["test_samples"]) for r in rows) == [
-        (f"00{i}", "58", "26") for i in range(1, 5)
+        ("001", "56", "24"), ("002", "89", "39"), ("003", "56", "25"), ("004", "53", "24")
     ]
+    assert {(r["model_name"], r["train_participants"], r["test_participants"]) for r in rows} == {("ridge", "1", "1")}
     told = json.loads(spark.read.text(str(tmp_path / "b" / "summary")).first()[0])
-    assert told["participants"] == 4 and told["source"] == "test"
+    assert told["participants"] == 4 and told["source"] == "test" and told["model_name"] == "ridge"
 
 
 def test_series_report(table):
     out = report.series_report(table.frame, "3", max_points=100)
     head = out.header.first()
     assert (head["participant_id"], head["diagnosis_label"]) == ("003", "Type2 Diabetes")
-    assert head["start"] == datetime(2025, 1, 4, 6, 30)
+    assert head["start"] == datetime(2024, 2, 28, 19, 36)
     assert out.metrics.first()["time_in_range_pct"] == 100.0
-    assert out.points.count() == 84
+    assert out.points.count() == 81
     with pytest.raises(ValueError, match="max_points"):
         report.series_report(table.frame, "3", max_points=5)
 
@@ -161,7 +164,7 @@ def test_subset_sink(spark, table, tmp_path):
     sinks.save_subset(rows, best, str(tmp_path / "subset"), hours=12, provenance={"source": "test"})
     about = spark.read.json(str(tmp_path / "subset" / "metadata")).collect()
     assert {(r["diagnosis"], r["participant_id"], r["rows"]) for r in about} == {
-        ("prediabetes", "001", 84), ("type2_diabetes", "003", 84)
+        ("healthy", "001", 80), ("prediabetes", "002", 128), ("type2_diabetes", "003", 81)
     }
     assert about[0]["selection"] == "one series per group, its first 12 hours"
     with pytest.raises(ValueError, match="at least 12 hours"):

@@ -6,7 +6,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from glucospan.operators import asof, events, selection, slices, windows
+from glucospan.operators import asof, events, export, selection, slices, windows
 from glucospan.operators.windows import Trailing
 
 # Seven minutes is shorter than every window here, two days longer than every window.
@@ -49,6 +49,92 @@ def test_window_ends(spark):
         assert out == {0: (1, 1), 1: (1, 2), 2: (1, 3), 3: (2, 3)}
 
 
+def at(minute: float) -> datetime:
+    return datetime(2024, 1, 1) + timedelta(minutes=minute)
+
+
+@pytest.mark.parametrize("width", WIDTHS)
+def test_spike_and_nan_stay_in_their_windows(spark, width):
+    """One large value, a NaN and an infinity change no window that does not hold them."""
+    spike = [(1e9 / 3), (1e9 / 3), (1e9 / 3), 0.1, 0.1, 0.1]
+    df = spark.createDataFrame([("a", at(10 * i), v, i) for i, v in enumerate(spike)], brute.SCHEMA)
+    spec = [Trailing("x", F.col("v"), 20, "sum", "right")]
+    got = {r["row"]: r["x"] for r in windows.trailing(df, ["s"], "ts", spec, width_us=width).collect()}
+    assert got[4] == got[5] == 0.2
+    odd = [float("nan"), 1.0, 2.0, float("inf"), 4.0, 5.0, 6.0]
+    df = spark.createDataFrame([("a", at(10 * i), v, i) for i, v in enumerate(odd)], brute.SCHEMA)
+    spec = [Trailing("x", F.col("v"), 20, "mean", "right")]
+    got = {r["row"]: r["x"] for r in windows.trailing(df, ["s"], "ts", spec, width_us=width).collect()}
+    assert got == {0: None, 1: 1.0, 2: 1.5, 3: float("inf"), 4: float("inf"), 5: 4.5, 6: 5.5}
+
+
+def test_rows_without_id_and_repeated_times(spark):
+    """Rows without an id are a series of their own; a tie-break decides the order of equal times."""
+    rows = [(None, at(5 * i), float(i), i) for i in range(20)] + [("a", at(5 * (i // 2)), float(i), 100 + i) for i in range(40)]
+    df = spark.createDataFrame(rows, brute.SCHEMA).repartition(3)
+    for width in [slices.minutes(7), None]:
+        assert windows.gaps(df, ["s"], "ts", width_us=width).where("s is null and gap_us = 300000000").count() == 19
+        assert selection.every_kth(df, ["s"], "ts", stride=5, tiebreak=["row"]).where("s is null").count() == 4
+        assert selection.large_enough(df, ["s"], "ts", 20).where("s is null").count() == 20
+        out = windows.timed_shifts(df, ["s"], "ts", "v", tiebreak=["row"], width_us=width).collect()
+        alone = {r["row"]: (r["glucose_lag_15m"], r["glucose_lag_30m"], r["target_30m"]) for r in out if r["s"] is None}
+        assert alone[10] == (7.0, 4.0, 16.0)
+        near = windows.timed_shifts(df, ["s"], "ts", "v", lags=[15], horizon=15, tiebreak=["row"], width_us=width)
+        # Three rows of a series with two rows per time.
+        assert {r["row"]: (r["glucose_lag_15m"], r["target_30m"]) for r in near.collect() if r["s"] == "a"}[120] == (17.0, 23.0)
+
+
+def test_times_do_not_follow_the_session_zone(spark):
+    """On the night the clocks go forward in New York two zone-less hours stay two hours."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        times = [datetime(2024, 3, 10, 1, 30), datetime(2024, 3, 10, 3, 30), datetime(1969, 12, 31, 23, 59, 59, 250000)]
+        df = spark.createDataFrame([("a", t, 1.0, i) for i, t in enumerate(times)], brute.SCHEMA)
+        gap = {r["row"]: r["gap_us"] for r in windows.gaps(df, ["s"], "ts").collect()}
+        assert gap[1] == 7_200_000_000
+        assert {r["row"]: r["us"] for r in df.select("row", slices.micros("ts").alias("us")).collect()}[2] == -750_000
+        told = df.select("row", export.utc_text(F.col("ts")).alias("t")).where("row = 1").first()["t"]
+        assert told == "2024-03-10T03:30:00+00:00"
+        zoned = spark.sql("select timestamp'2024-03-10 03:30:00' as t")
+        assert zoned.select(slices.micros("t")).first()[0] == 1710055800 * 10**6
+        assert zoned.select(export.utc_text(F.col("t"))).first()[0] == "2024-03-10T07:30:00+00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_one_series_of_nearly_all_rows(spark):
+    """A hot series is cut into many slices, none of which holds more than a few rows."""
+    df = spark.range(5000).select(
+        F.when(F.col("id") % 10 == 0, "cold").otherwise("hot").alias("s"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id"))).alias("ts"),
+        (F.col("id") % 7).cast("double").alias("v"), F.col("id").cast("int").alias("row"),
+    )
+    width = slices.measured_width(df, ["s"], "ts", rows_per_slice=50)
+    assert width < slices.minutes(1)
+    spec = [Trailing("x", F.col("v"), 5, "sum", "right")]
+    got = {r["row"]: r["x"] for r in windows.trailing(df, ["s"], "ts", spec, width_us=width).collect()}
+    for row in (1, 299, 301, 2500, 4999):
+        mine = [i for i in range(max(0, row - 299), row + 1) if (i % 10 == 0) == (row % 10 == 0)]
+        assert got[row] == sum(i % 7 for i in mine)
+
+
+@pytest.mark.parametrize("width", [slices.minutes(7), None])
+def test_kernels_without_cutoff(spark, width):
+    """Events of a month act on every later sample, across blocks and with the clock re-based."""
+    happened = [("a", at(m), v, 0) for m, v in [(0, 50.0), (7 * 1440, 20.0), (9 * 1440 + 3, 80.0), (33 * 1440, 5.0)]]
+    times = [0, 30, 600, 7 * 1440 + 50, 9 * 1440 + 60, 12 * 1440, 33 * 1440 + 20, 40 * 1440]
+    samples = spark.createDataFrame([("a", at(m), None, i) for i, m in enumerate(times)], brute.SCHEMA)
+    effects = spark.createDataFrame(happened, brute.SCHEMA).select("s", "ts", "v", F.lit(90.0).alias("lasts"))
+    gamma = events.gamma_response(samples, effects, ["s"], "ts", "ts", "v", peak_minutes=300, width_us=width)
+    decay = events.onset_decay_response(samples, effects, ["s"], "ts", "ts", "lasts", "v", onset_minutes=20, decay_minutes=3000, width_us=width)
+    got = {r["row"]: r["gamma_response"] for r in gamma.collect()}
+    late = {r["row"]: r["onset_decay_response"] for r in decay.collect()}
+    for i, m in enumerate(times):
+        ages = [(m - (t - at(0)) / timedelta(minutes=1), v) for _, t, v, _ in happened if t <= at(m)]
+        assert got[i] == pytest.approx(sum(v * brute.gamma(d, 300) for d, v in ages), abs=1e-8)
+        assert late[i] == pytest.approx(sum(v * 1.6 * brute.onset_decay(d, 90, 20, 3000) for d, v in ages), abs=1e-6)
+
+
 def test_repeated_times_all_count(spark):
     t = datetime(1969, 12, 31, 23, 59)
     df = spark.createDataFrame([("a", t, 1.0, 0), ("a", t, 2.0, 1), ("a", t + timedelta(minutes=2), 4.0, 2)], brute.SCHEMA)
