@@ -109,7 +109,8 @@ def forecast_rows(
     cut as finely as its rows call for.
     """
     width_us = width_us or measured_width(raw, [SERIES], TIME)
-    known = (
+    # One row per series, read for the choice of the signal and again for the lags.
+    known = stored(
         facts.where((F.col("rows") >= MIN_ROWS) & F.col("cadence_minutes").isNotNull())
         .select(SERIES, "source", "cadence_minutes")
         .join(static, SERIES, "left")
