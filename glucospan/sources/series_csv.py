@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import json
+import csv
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from glucospan.functions.text import is_event, numeric_clean, pad_id, parse_timestamp
 from glucospan.operators.joins import attach_by_position, id_key, last_per_key
 from glucospan.schema import SERIES, TIME
+from glucospan.storage import stored
 
 # A name, a dash and a three-digit id, in any letter case.
 SERIES_FILE = r"(?i)[a-z]+-(\d{3})\.csv$"
@@ -51,10 +51,12 @@ POSITION = ["_block", "_row"]
 
 @dataclass(frozen=True)
 class Layout:
-    """Files that share one header."""
+    """A header line, its column names, how many files share it, and one of them."""
 
+    line: str
     names: list[str]
-    paths: list[str]
+    files: int
+    example: str
 
 
 def series_files(spark: SparkSession, root: str, pattern: str = SERIES_FILE) -> DataFrame:
@@ -68,11 +70,6 @@ def series_files(spark: SparkSession, root: str, pattern: str = SERIES_FILE) ->
     )
 
 
-def static_file(spark: SparkSession, root: str, name: str = "bio.csv") -> str | None:
-    first = _files(spark, root, name).agg(F.min("path")).first()
-    return first[0]
-
-
 def _files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     return (
         spark.read.format("binaryFile")
@@ -83,101 +80,99 @@ def _files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     )
 
 
-def layouts(files: DataFrame) -> list[Layout]:
-    """Group files by header. Spark maps the columns of several CSV files by position from one
-    header, so files whose columns differ in order must be read apart.
-
-    Only the first line of each file is opened, in parallel tasks; the driver receives the paths
-    and headers, which it needs to plan the scans anyway.
-    """
-
-    def first_lines(batches):
-        import csv
-        import io
-        import json
-        from urllib.parse import quote
-
-        import pandas as pd
-        from pyarrow import fs
-
-        def header(path: str) -> list[str]:
-            if path.startswith("file:"):
-                system, inner = fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
-            else:
-                system, inner = fs.FileSystem.from_uri(quote(path, safe=":/@=+,"))
-            with system.open_input_stream(inner) as stream:
-                text = io.TextIOWrapper(stream, encoding="utf-8-sig", newline="")
-                names = next(csv.reader(text), [])
-            return [name.lstrip("﻿").strip() for name in names]
-
-        for batch in batches:
-            found = [json.dumps(header(path)) for path in batch["path"]]
-            yield pd.DataFrame({"path": batch["path"], "header": found})
-
-    spark = files.sparkSession
-    tasks = max(1, spark.sparkContext.defaultParallelism)
-    headers = files.select("path").repartition(tasks).mapInPandas(first_lines, "path string, header string")
-    grouped = headers.groupBy("header").agg(F.array_sort(F.collect_list("path")).alias("paths"))
-    return [Layout(json.loads(r["header"]), r["paths"]) for r in grouped.orderBy("header").collect()]
-
-
-def _scan(spark: SparkSession, layout: Layout) -> DataFrame:
-    """Every column as text under a positional name, with the file and the position in it."""
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(layout.names))])
+def text_lines(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """Lines below ``root`` with their file and their position in it, from one text scan. Spark opens
+    the files, so any file system it knows will do."""
     return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .csv(layout.paths)
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", glob)
+        .text(root)
         .select(
-            "*",
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_row"),
+            "value",
         )
+        .where(F.trim("value") != "")
     )
 
 
-def _first_present(names: Sequence[str], candidates: Sequence[str]) -> Column:
-    """The first candidate in the header, chosen by presence and not by content."""
-    for candidate in candidates:
-        if candidate in names:
-            cell = F.col(f"c{list(names).index(candidate)}")
-            return F.when(~cell.isin(MISSING_TEXTS), cell)
-    return F.lit(None).cast("string")
+def file_headers(lines: DataFrame) -> DataFrame:
+    """The first line of each file, stored: one row per file."""
+    first = F.min_by("value", F.struct(*POSITION))
+    return stored(lines.where(F.col("_block") == 0).groupBy("_file").agg(first.alias("_header")))
 
 
-def read_series_text(
-    spark: SparkSession, root: str, pattern: str = SERIES_FILE, *, strict: bool = True
+def layouts(headers: DataFrame) -> list[Layout]:
+    """The different header lines. Only these reach the driver, not the files that use them."""
+    shared = headers.groupBy("_header").agg(F.count(F.lit(1)).alias("files"), F.min("_file").alias("example"))
+    found = []
+    for row in shared.orderBy("_header").collect():
+        names = next(csv.reader([row["_header"].lstrip("\ufeff")]))
+        found.append(Layout(row["_header"], [n.strip() for n in names], row["files"], row["example"]))
+    return found
+
+
+def split_lines(
+    lines: DataFrame, headers: DataFrame, found: Sequence[Layout], columns: dict[str, Sequence[str]]
 ) -> DataFrame:
-    """All series files as text in logical columns, one frame.
+    """Data lines cut into logical columns of text, by the header of their own file.
+
+    Of the spellings of a column the first that a header has is used, by presence and not by content.
+    Each file finds its layout by a join with the table of files; lines of other layouts drop out.
+    """
+    width = max(len(x.names) for x in found)
+    known = F.lit(None).cast("int")
+    for i, layout in enumerate(found):
+        known = F.when(F.col("_header") == layout.line, i).otherwise(known)
+    files = headers.select("_file", known.alias("_layout")).where("_layout is not null")
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    is_header = F.lit(False)
+    for i, layout in enumerate(found):
+        is_header = F.when(F.col("_layout") == i, F.col("value") == layout.line).otherwise(is_header)
+    cells = lines.join(files, "_file").where(~is_header).withColumn("_cells", F.from_csv("value", schema))
+
+    def column(spellings: Sequence[str]) -> Column:
+        chosen = F.lit(None).cast("string")
+        for i, layout in enumerate(found):
+            at = next((layout.names.index(n) for n in spellings if n in layout.names), None)
+            if at is not None:
+                chosen = F.when(F.col("_layout") == i, F.col("_cells")[f"c{at}"]).otherwise(chosen)
+        return F.when(~chosen.isin(MISSING_TEXTS), chosen)
+
+    return cells.select("_file", *POSITION, *[column(s).alias(n) for n, s in columns.items()])
+
+
+def series_text(lines: DataFrame, pattern: str = SERIES_FILE, *, strict: bool = True) -> DataFrame:
+    """Lines of series files (``_file``, ``_block``, ``_row``, ``value``) as text in logical columns.
 
     A file without a timestamp column is an error, or left out when not ``strict``.
     """
-    files = series_files(spark, root, pattern)
-    found = layouts(files)
+    name = F.regexp_extract("_file", pattern, 1)
+    lines = lines.where(name != "")
+    headers = file_headers(lines)
+    found = layouts(headers)
     if not found:
-        raise FileNotFoundError(f"no series files below {root}")
+        raise FileNotFoundError("no series files")
     untimed = [x for x in found if SERIES_COLUMNS["timestamp_text"][0] not in x.names]
-    if untimed and strict:
-        raise ValueError(f"{sum(len(x.paths) for x in untimed)} files have no Timestamp column, one is {untimed[0].paths[0]}")
     for layout in untimed:
-        warnings.warn(f"left out, no Timestamp column: {len(layout.paths)} files like {layout.paths[0]}", stacklevel=2)
+        told = f"no Timestamp column in {layout.files} files like {layout.example}"
+        if strict:
+            raise ValueError(told)
+        warnings.warn(f"left out: {told}", stacklevel=2)
     usable = [x for x in found if x not in untimed]
     if not usable:
         raise ValueError("no series file has a Timestamp column")
-    frames = [
-        _scan(spark, layout).select(
-            F.regexp_extract("_file", pattern, 1).alias(SERIES),
-            *[_first_present(layout.names, c).alias(n) for n, c in SERIES_COLUMNS.items()],
-            *POSITION,
-        )
-        for layout in usable
-    ]
-    whole = frames[0]
-    for frame in frames[1:]:
-        whole = whole.unionByName(frame)
-    return whole
+    return split_lines(lines, headers, usable, SERIES_COLUMNS).select(
+        name.alias(SERIES), *SERIES_COLUMNS, *POSITION
+    )
+
+
+def read_series_text(
+    spark: SparkSession, root: str, pattern: str = SERIES_FILE, *, strict: bool = True
+) -> DataFrame:
+    """All series files below ``root`` as text in logical columns, one frame."""
+    return series_text(text_lines(spark, root, "*-*.csv"), pattern, strict=strict)
 
 
 def typed_series(text: DataFrame) -> DataFrame:
@@ -203,20 +198,21 @@ def read_static(spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:
     n-th row belongs to the n-th id in sorted order.
     """
     ids = ids.select(SERIES).distinct()
-    path = static_file(spark, root)
-    empty = [F.lit(None).cast("double").alias(n) for n in STATIC_COLUMNS]
-    if path is None:
-        return ids.select(SERIES, *empty)
-    (layout,) = layouts(spark.createDataFrame([(path,)], "path string"))
-    values = [
-        numeric_clean(_first_present(layout.names, c)).alias(n) for n, c in STATIC_COLUMNS.items()
-    ]
-    scan = _scan(spark, layout)
+    lines = text_lines(spark, root, "bio.csv")
+    headers = file_headers(lines)
+    found = sorted(layouts(headers), key=lambda x: x.example)[:1]
+    if not found:
+        return ids.select(SERIES, *[F.lit(None).cast("double").alias(n) for n in STATIC_COLUMNS])
+    (layout,) = found
     id_name = next((n for n in STATIC_ID_COLUMNS if n in layout.names), None)
+    columns = STATIC_COLUMNS | ({"_id": [id_name]} if id_name else {})
+    # Of several such files the first by path counts.
+    text = split_lines(lines.where(F.col("_file") == layout.example), headers, found, columns)
+    values = [numeric_clean(F.col(n)).alias(n) for n in STATIC_COLUMNS]
     if id_name is None:
-        placed = attach_by_position(ids, scan.select(*values, *POSITION), SERIES, POSITION)
+        placed = attach_by_position(ids, text.select(*values, *POSITION), SERIES, POSITION)
         return placed.drop(*POSITION)
-    keyed = scan.select(id_key(F.col(f"c{layout.names.index(id_name)}")).alias(SERIES), *values, *POSITION)
+    keyed = text.select(id_key(F.col("_id")).alias(SERIES), *values, *POSITION)
     return ids.join(last_per_key(keyed, SERIES, POSITION).drop(*POSITION), SERIES, "left")
 
 
@@ -243,10 +239,10 @@ def first_readable(spark: SparkSession, candidates: Sequence[tuple[str, str]], *
     from pyspark.errors import AnalysisException
 
     for mode, path in candidates:
-        csv = path.endswith((".csv", ".csv.gz"))
-        reader = spark.read.options(header=True, **options) if csv else spark.read.options(**options)
+        as_csv = path.endswith((".csv", ".csv.gz"))
+        reader = spark.read.options(header=True, **options) if as_csv else spark.read.options(**options)
         try:
-            table = reader.csv(path) if csv else reader.parquet(path)
+            table = reader.csv(path) if as_csv else reader.parquet(path)
         except AnalysisException as error:
             if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise

@@ -159,6 +159,46 @@ def valid_rows(spark, folder):
     return series_csv.valid_rows(raw, "user_id", "ts", "value")
 
 
+# Two column orders and spellings of one kind of file.
+HEADERS = [
+    'Timestamp,Libre GL,Dexcom GL,HR,METs,Mets,Meal Type,Carbs',
+    'Carbs, Mets ,"Meal Type",HR,Dexcom GL,Timestamp,Notes',
+]
+
+
+def event_lines(spark, folder) -> DataFrame:
+    """Events as lines of text files, one file per type, whose headers differ in order and spelling."""
+    kinds = ["click", "view", "purchase", "signup", "error"]
+    rows = with_k(table(spark, folder, "events"))
+    number = F.array_position(F.array(*[F.lit(x) for x in kinds]), F.col("event_type"))
+    at = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+    amount = F.when(F.col("k") >= 90, F.concat(F.lit('"'), F.col("k").cast("int"), F.lit(' g, about"'))).otherwise("")
+    value, k = F.col("value").cast("string"), F.col("k").cast("int").cast("string")
+    first = F.concat_ws(",", at, k, value, k, k, F.lit("99"), F.lit(""), amount)
+    second = F.concat_ws(",", amount, k, F.when(F.col("k") < 5, '"Tea, late"').otherwise("None"), k, value, at, F.lit("x"))
+    file = F.concat(F.lit("data/Person-"), F.lpad(number.cast("string"), 3, "0"), F.lit(".csv"))
+    odd = number % 2 == 1
+    lines = rows.select(
+        file.alias("_file"), F.lit(0).alias("_block"), (F.col("event_id") + 1).alias("_row"),
+        F.when(odd, first).otherwise(second).alias("value"),
+    )
+    heads = rows.select(
+        file.alias("_file"), F.lit(0).alias("_block"), F.lit(0).cast("bigint").alias("_row"),
+        F.when(odd, HEADERS[0]).otherwise(HEADERS[1]).alias("value"),
+    ).distinct()
+    return heads.unionByName(lines)
+
+
+@query
+def ingest_lines(spark, folder):
+    """Headers, first present column, id from the file name and typed rows, by the parser of the files."""
+    rows = series_csv.typed_series(series_csv.series_text(event_lines(spark, folder)))
+    return rows.select(
+        (F.col("_row") - 1).alias("event_id"), "participant_id", "timestamp", "dexcom", "libre", "heart_rate", "mets",
+        "activity_calories", "carbs", "is_event",
+    )
+
+
 @query
 def drop_incomplete(spark, folder):
     rows = with_k(table(spark, folder, "events"))
