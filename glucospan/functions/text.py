@@ -20,12 +20,31 @@ TIMESTAMP_FORMATS = [
     "M/d/yy H:m",
     "yyyy/M/d H:m:s",
     "yyyy/M/d H:m",
+    "yyyy/M/d",
+    "M-d-yyyy H:m:s",
+    "M-d-yyyy H:m",
+    "M-d-yyyy",
     "d-MMM-yyyy H:m:s",
     "d-MMM-yyyy H:m",
+    "d-MMM-yyyy",
+    "d MMM yyyy H:m:s",
+    "d MMM yyyy H:m",
+    "d MMM yyyy",
+    "MMM d yyyy H:m:s",
+    "MMM d yyyy H:m",
+    "MMM d yyyy h:m:s a",
+    "MMM d yyyy h:m a",
+    "MMM d yyyy",
+    "yyyyMMdd HHmmss",
+    "yyyyMMdd H:m:s",
+    "yyyyMMdd H:m",
+    "yyyyMMdd",
     "yyyy-M-d",
     "M/d/yyyy",
     "M/d/yy",
 ]
+# Month names, of which the first three letters count.
+MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 
 
 def numeric_clean(text: Column) -> Column:
@@ -47,19 +66,29 @@ def nan_to_null(value: Column) -> Column:
 
 
 def parse_timestamp(text: Column, formats: list[str] | None = None) -> Column:
-    """Mixed-format timestamp without zone; text no format accepts gives NULL."""
+    """Mixed-format timestamp without zone; text no format accepts gives NULL.
+
+    Before the formats are tried, commas go, month names are cut to three letters, a T after a compact
+    date becomes a blank, and a fraction of a second is set aside and added to the result.
+    """
     trimmed = F.trim(text.cast("string"))
+    fraction = F.regexp_extract(trimmed, r":\d{1,2}\.(\d{1,6})", 1)
+    plain = F.regexp_replace(trimmed, r"(:\d{1,2})\.\d+", "$1")
+    plain = F.regexp_replace(plain, rf"(?i)\b({MONTHS})[a-z]*\.?", "$1")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"\s*,\s*|\s+", " "), r"^(\d{8})T", "$1 ")
     # The plain cast reads ISO text with a T, fractions or an offset. It also reads bare
     # years, and text with a time only, so it is kept to text that starts with a full date.
     iso = F.when(trimmed.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), trimmed.try_cast("timestamp_ntz"))
     # A failed parse is costly, so a format is tried only on text of its shape.
     tried = [
         F.when(
-            trimmed.rlike(_shape(fmt)), F.try_to_timestamp(trimmed, F.lit(fmt)).cast("timestamp_ntz")
+            plain.rlike(_shape(fmt)), F.try_to_timestamp(plain, F.lit(fmt)).cast("timestamp_ntz")
         )
         for fmt in (formats or TIMESTAMP_FORMATS)
     ]
-    return F.coalesce(iso, *tried)
+    part = F.concat(F.lit("0."), fraction).try_cast("decimal(8,6)")
+    seconds = F.coalesce(*tried)
+    return F.coalesce(iso, F.when(fraction == "", seconds).otherwise(seconds + F.make_dt_interval(secs=part)))
 
 
 def _shape(fmt: str) -> str:

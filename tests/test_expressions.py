@@ -29,7 +29,16 @@ def test_parse_timestamp(spark):
         "1/2/2025 6:05:00 AM", "1/2/25 6:05", "2025/01/02 06:05", "2-Jan-2025 06:05",
     ]
     assert column(spark, values, text.parse_timestamp) == [t] * len(values)
-    bad = ["", None, "soon", "2025-13-45 00:00", "12", "06:05", "31/31/2025 06:05"]
+    named = [
+        "Jan 2, 2025 06:05", "January 2 2025 6:05 am", "2 jan 2025 06:05", "02-JAN-2025 6:05:00", "20250102T060500",
+        "20250102 6:05", "01-02-2025 6:05:00", "Jan. 2, 2025, 6:05:00 AM", "1/2/2025  6:05",
+    ]
+    assert column(spark, named, text.parse_timestamp) == [t] * len(named)
+    days = ["20250102", "Jan 2, 2025", "2025/1/2", "1-2-2025", "2 January 2025"]
+    assert column(spark, days, text.parse_timestamp) == [datetime(2025, 1, 2)] * len(days)
+    parts = ["1/2/2025 6:05:07.5", "2025/1/2 6:05:07.500000", "Jan 2 2025 6:05:07.500 AM"]
+    assert column(spark, parts, text.parse_timestamp) == [datetime(2025, 1, 2, 6, 5, 7, 500000)] * len(parts)
+    bad = ["", None, "soon", "Foo 2, 2025", "99991399", "2025-13-45 00:00", "12", "06:05", "31/31/2025 06:05"]
     assert column(spark, bad, text.parse_timestamp) == [None] * len(bad)
     assert column(spark, ["2025-01-02", "2025-01-02 06:05:01.25"], text.parse_timestamp) == [
         datetime(2025, 1, 2), datetime(2025, 1, 2, 6, 5, 1, 250000)
