@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glucospan.operators.slices import MINUTE_US, SLICE, US, measured_width, sliced
+from glucospan.operators.slices import MINUTE_US, SERIES_KEY, SLICE, US, measured_width, sliced
 
 
 def asof_nearest(
@@ -46,25 +46,26 @@ def asof_nearest(
     samples = sliced(right, right_time, width_us).select(
         *keys, SLICE, US, F.lit(0).alias("_probe"), F.struct(US, *payload).alias("_seen")
     )
-    both = probes.unionByName(samples, allowMissingColumns=True)
+    # One struct for all keys: it is never NULL, so rows without an id find each other as well.
+    both = probes.unionByName(samples, allowMissingColumns=True).withColumn(SERIES_KEY, F.struct(*keys))
     run = (Window.unboundedPreceding, Window.currentRow)
     earlier_rows = (Window.unboundedPreceding, -1)
 
     def seen(column: str) -> Column:
         return F.last(column, ignorenulls=True)
 
-    along = Window.partitionBy(*keys)
+    along = Window.partitionBy(SERIES_KEY)
     edges = (
-        both.groupBy(*keys, SLICE)
+        both.groupBy(SERIES_KEY, SLICE)
         .agg(F.min("_seen").alias("_first"), F.max("_seen").alias("_last"))
         .select(
-            *keys,
+            SERIES_KEY,
             SLICE,
             seen("_last").over(along.orderBy(SLICE).rowsBetween(*earlier_rows)).alias("_before"),
             seen("_first").over(along.orderBy(F.col(SLICE).desc()).rowsBetween(*earlier_rows)).alias("_after"),
         )
     )
-    place = Window.partitionBy(*keys, SLICE)
+    place = Window.partitionBy(SERIES_KEY, SLICE)
     # At equal times samples come before probes in both directions, so an exact hit is seen.
     inside = both.withColumns(
         {
@@ -72,7 +73,7 @@ def asof_nearest(
             "_later": seen("_seen").over(place.orderBy(F.col(US).desc(), "_probe").rowsBetween(*run)),
         }
     ).where("_probe = 1")
-    found = inside.join(edges, [*keys, SLICE]).withColumns(
+    found = inside.join(edges, [SERIES_KEY, SLICE]).withColumns(
         {"_earlier": F.coalesce("_earlier", "_before"), "_later": F.coalesce("_later", "_after")}
     )
     back = F.col(US) - F.col(f"_earlier.{US}")

@@ -79,6 +79,8 @@ def test_rows_without_id_and_repeated_times(spark):
         out = windows.timed_shifts(df, ["s"], "ts", "v", tiebreak=["row"], width_us=width).collect()
         alone = {r["row"]: (r["glucose_lag_15m"], r["glucose_lag_30m"], r["target_30m"]) for r in out if r["s"] is None}
         assert alone[10] == (7.0, 4.0, 16.0)
+        ahead = asof.future_matches(df, ["s"], "ts", ahead_minutes=10, tolerance_minutes=1, width_us=width)
+        assert ahead.where("s is null and hit").count() == 18
         near = windows.timed_shifts(df, ["s"], "ts", "v", lags=[15], horizon=15, tiebreak=["row"], width_us=width)
         # Three rows of a series with two rows per time.
         assert {r["row"]: (r["glucose_lag_15m"], r["target_30m"]) for r in near.collect() if r["s"] == "a"}[120] == (17.0, 23.0)
