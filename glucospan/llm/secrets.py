@@ -20,9 +20,22 @@ SHAPES = (
     "xox[abprs]-[0-9A-Za-z-]{10,}", "AIza[0-9A-Za-z_-]{35}",
     "eyJ[0-9A-Za-z_-]+[.]eyJ[0-9A-Za-z_-]+[.][0-9A-Za-z_-]+",
 )
-#: A word: what comes before the value, and the value itself. A value holds a digit.
-VALUE = "^(.*?[=:]+)?([\"'`(<{]*)([A-Za-z0-9+/_.~@:-]{12,}={0,2})"
-FEATURES = ("length", "transitions", "digits", "upper", "distinct", "hexadecimal", "dictionary", "paths", "own_word", "near_words")
+#: What may stand before a value in its word: the end of a name, a sign of assignment, quotes and brackets. The
+#: bounds keep a search linear in words of any length.
+LEAD = "[^\\s\"'`,;|&<>(){}\\[\\]\\\\=:]{0,64}[\"'`\\\\\\]]{0,8}[=:]{1,8}>?[\"'`\\\\(<{\\[]{0,8}"
+#: A value that an announcing name or word assigns: any signs up to a space, quote, bracket or separator.
+SAID = (
+    "(?i)((?:token|secret|passw|passphrase|pwd|api[_-]?key|credential|private[_-]?key|access[_-]?key|auth(?!or))[A-Za-z0-9_-]{0,64}"
+    "[\"'`\\\\\\]]{0,8}\\s?(?:[=:]{1,8}>?|\\bis\\s)\\s?(?:(?:bearer|basic)\\s)?[\"'`\\\\(<{\\[]{0,8}|bearer\\s[\"'`\\\\(<{\\[]{0,8})"
+    "([^\\s\"'`\\\\,;|&<>(){}\\[\\]]{6,})"
+)
+#: A provider's shape anywhere, also after an escaped line end.
+SHAPED = f"({LEAD}|)(?:(?<![A-Za-z0-9])|(?<=\\\\[nrt]))({'|'.join(SHAPES)})(?![A-Za-z0-9])"
+#: A run of 12 or more value characters.
+RUN = f"({LEAD}|)([A-Za-z0-9+/_.~@:-]{{12,}}={{0,2}})"
+#: The end of the words before, where it announces what comes next.
+TAIL = "(?i)(?:token|secret|passw|passphrase|pwd|api[_-]?key|credential|private[_-]?key|access[_-]?key|auth|bearer)[^\\s,;]{0,64}(?:\\s(?:[=:]+>?|is|bearer|basic))*$"
+FEATURES = ("length", "transitions", "digits", "upper", "distinct", "hexadecimal", "dictionary", "paths", "own_word", "near_words", "said")
 
 
 @dataclass(frozen=True)
@@ -56,10 +69,32 @@ def _share(value: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(value, pattern, "")) / F.length(value)
 
 
-def _finding(word: Column, at: Column, words: Column, known: list[str]) -> Column:
-    value = F.rtrim(F.regexp_extract(word, VALUE, 3), F.lit("."))
-    own = F.coalesce(F.regexp_extract(word, VALUE, 1), F.lit(""))
-    near = F.array_join(F.slice(words, F.greatest(at - 2, F.lit(1)), F.least(at, F.lit(3))), " ")
+def _near(words: Column, at: Column) -> Column:
+    """The three words before a place counted from 0."""
+    return F.array_join(F.slice(words, F.greatest(at - 2, F.lit(1)), F.least(at, F.lit(3))), " ")
+
+
+def _values(word: Column, near: Column) -> Column:
+    """The (lead, value, said) of a word: values assigned by an announcing word, provider shapes, other runs.
+
+    Each value once, with the lead of the first kind that finds it. A run holds a digit.
+    """
+    told = F.concat_ws(" ", F.regexp_extract(F.substring(near, -200, 200), TAIL, 0), word)
+
+    def all_of(text: Column, pattern: str, said: int) -> Column:
+        leads, values = (F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) for group in (1, 2))
+        return F.zip_with(leads, values, lambda lead, value: F.struct(
+            lead.alias("lead"), F.rtrim(value, F.lit(".")).alias("value"), F.lit(said).alias("said")
+        ))
+
+    runs = F.filter(all_of(word, RUN, 0), lambda x: x["value"].rlike("[0-9]"))
+    found = F.concat(all_of(told, SAID, 1), all_of(word, SHAPED, 0), runs)
+    both = F.transform(F.array(found), lambda f: F.struct(f.alias("f"), F.transform(f, lambda y: y["value"]).alias("values")))
+    first = F.transform(both, lambda b: F.filter(b["f"], lambda x, i: F.array_position(b["values"], x["value"]) == i + 1))
+    return F.element_at(first, 1)
+
+
+def _finding(lead: Column, value: Column, said: Column, place: Column, known: list[str]) -> Column:
     pieces = F.split(F.lower(value), "[^a-z]+")
     covered = F.aggregate(
         F.filter(pieces, lambda p: F.array_contains(F.lit(known) if known else F.array(F.lit("")), p)),
@@ -73,35 +108,51 @@ def _finding(word: Column, at: Column, words: Column, known: list[str]) -> Colum
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.length(value),
         "hexadecimal": F.when(value.rlike("^[0-9a-fA-F]+$"), 1).otherwise(0),
         "dictionary": covered / F.length(value),
-        "paths": F.length(F.regexp_replace(word, "[^/.@:\\\\]", "")),
-        "own_word": F.when(own.rlike(ANNOUNCE), 1).otherwise(0),
-        "near_words": F.when(near.rlike(ANNOUNCE), 1).otherwise(0),
+        "paths": F.length(F.regexp_replace(F.concat(lead, value), "[^/.@:\\\\]", "")),
+        "own_word": F.when(lead.rlike(ANNOUNCE), 1).otherwise(0),
+        "near_words": place["announced"],
+        "said": said,
     }
     features = F.array(*(numbers[name].cast("double") for name in FEATURES))
-    return F.struct((at + 1).cast("int").alias("word"), value.alias("value"), near.alias("near"), features.alias("features"))
+    word, near = (place["at"] + 1).cast("int"), F.substring(place["near"], -1000, 1000)
+    return F.struct(word.alias("word"), value.alias("value"), near.alias("near"), features.alias("features"))
 
 
 def candidates(text: Column, known: list[str]) -> Column:
-    """An array of (word, value, near, features): the strings of 12 signs or more with a digit, in their order."""
+    """An array of (word, value, near, features): every candidate of a text, by the words they stand in.
+
+    ``near`` is the end of the three words before, of 1,000 signs at most; the features are from the whole words.
+    Candidates are runs of 12 value characters or more with a digit, provider shapes anywhere, and what an
+    announcing word assigns from 6 signs on, whatever its signs. A word may hold any number of them.
+    """
     words = F.split(text, "\\s+")
-    marked = F.transform(words, lambda w, i: F.when(
-        (F.length(w) >= 12) & w.rlike("[0-9]"), F.struct(i.alias("at"), w.alias("word"))
-    ))
-    picked = F.filter(marked, lambda x: x.isNotNull())
-    found = F.transform(picked, lambda x: _finding(x["word"], x["at"], words, known))
-    return F.filter(found, lambda x: x["value"].rlike("[0-9]"))
+
+    def held(w: Column, i: Column) -> Column:
+        long = (F.length(w) >= 12) & (w.rlike("[0-9]") | w.rlike(SHAPED))
+        before = F.concat_ws(" ", F.get(words, i - 3), F.get(words, i - 2), F.get(words, i - 1), w)
+        kept = long | (F.length(w) >= 6) & before.rlike(SAID)
+        return F.when(kept, F.struct(i.alias("at"), w.alias("word"), _near(words, i).alias("near")))
+
+    picked = F.filter(F.transform(words, held), lambda x: x.isNotNull())
+    picked = F.transform(picked, lambda x: x.withField("announced", F.when(x["near"].rlike(ANNOUNCE), 1).otherwise(0)))
+    return F.flatten(F.transform(picked, lambda x: F.transform(
+        _values(x["word"], x["near"]), lambda v: _finding(v["lead"], v["value"], v["said"], x, known)
+    )))
 
 
 def labelled(findings: DataFrame) -> DataFrame:
     """Add ``label`` to findings (value, near, features) by what is known for sure.
 
-    1: the shape of a provider's key, or a long value right after an announcing word. 0: every other.
+    1: the shape of a provider's key, a long value near an announcing word, or a value of 8 signs or more with
+    letters and digits that such a word assigns and that is no address. 0: every other.
     """
     announced = F.col("features")[FEATURES.index("own_word")] + F.col("features")[FEATURES.index("near_words")] > 0
     long = F.length("value") >= 16
     mixed = F.col("value").rlike("[A-Za-z]") & ~F.col("value").rlike("@")
     sure = F.col("value").rlike("^(" + "|".join(SHAPES) + ")$")
-    return findings.withColumn("label", (sure | announced & long & mixed).cast("int"))
+    said = (F.col("features")[FEATURES.index("said")] > 0) & (F.length("value") >= 8) & F.col("value").rlike("[A-Za-z]")
+    said = said & F.col("value").rlike("[0-9]") & ~F.col("value").rlike("^[^@]+@[^@]+[.][A-Za-z]+$|://")
+    return findings.withColumn("label", (sure | announced & long & mixed | said).cast("int"))
 
 
 def forest(findings: DataFrame, s: Settings = Settings()) -> str:
@@ -152,6 +203,8 @@ def redacted(df: DataFrame, probability: str, known: list[str], s: Settings = Se
     names = df.columns
     rows = judged(df.withColumn("_findings", F.col("findings")) if "findings" in names else df, probability, known, text)
     secrets = F.filter("findings", lambda x: x["score"] >= s.threshold)
+    # The longest first: one may be part of another.
+    secrets = F.array_sort(secrets, lambda a, b: F.length(b["value"]) - F.length(a["value"]))
     clean = F.aggregate(secrets, place, lambda t, x: F.replace(t, x["value"], F.lit("[secret]")))
     rows = rows.withColumn(text, F.when(F.size(secrets) > 0, clean).otherwise(place)).drop("findings")
     return rows.withColumnRenamed("_findings", "findings").select(*(F.col(f"`{n}`") for n in names))
