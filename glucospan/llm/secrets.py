@@ -13,6 +13,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glucospan.storage import stored
+
 #: Words that announce a secret, and the published shapes of some providers' keys.
 ANNOUNCE = "(?i)(token|secret|passw|pwd|api_?-?key|apikey|credential|bearer|private|access_?-?key|auth)"
 SHAPES = (
@@ -20,6 +22,7 @@ SHAPES = (
     "xox[abprs]-[0-9A-Za-z-]{10,}", "AIza[0-9A-Za-z_-]{35}",
     "eyJ[0-9A-Za-z_-]+[.]eyJ[0-9A-Za-z_-]+[.][0-9A-Za-z_-]+",
 )
+EXACT = "^(" + "|".join(SHAPES) + ")$"
 #: What may stand before a value in its word: the end of a name, a sign of assignment, quotes and brackets. The
 #: bounds keep a search linear in words of any length.
 LEAD = "[^\\s\"'`,;|&<>(){}\\[\\]\\\\=:]{0,64}[\"'`\\\\\\]]{0,8}[=:]{1,8}>?[\"'`\\\\(<{\\[]{0,8}"
@@ -35,12 +38,12 @@ SHAPED = f"({LEAD}|)(?:(?<![A-Za-z0-9])|(?<=\\\\[nrt]))({'|'.join(SHAPES)})(?![A
 RUN = f"({LEAD}|)([A-Za-z0-9+/_.~@:-]{{12,}}={{0,2}})"
 #: The end of the words before, where it announces what comes next.
 TAIL = "(?i)(?:token|secret|passw|passphrase|pwd|api[_-]?key|credential|private[_-]?key|access[_-]?key|auth|bearer)[^\\s,;]{0,64}(?:\\s(?:[=:]+>?|is|bearer|basic))*$"
-FEATURES = ("length", "transitions", "digits", "upper", "distinct", "hexadecimal", "dictionary", "paths", "own_word", "near_words", "said")
+FEATURES = ("length", "transitions", "digits", "upper", "distinct", "hexadecimal", "dictionary", "paths", "own_word", "near_words", "said", "shape")
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the labelled findings learnt from and ``words`` the dictionary."""
+    """``sample`` bounds the findings of each label learnt from and ``words`` the dictionary."""
 
     sample: int = 20_000
     words: int = 20_000
@@ -112,6 +115,7 @@ def _finding(lead: Column, value: Column, said: Column, place: Column, known: li
         "own_word": F.when(lead.rlike(ANNOUNCE), 1).otherwise(0),
         "near_words": place["announced"],
         "said": said,
+        "shape": F.when(value.rlike(EXACT), 1).otherwise(0),
     }
     features = F.array(*(numbers[name].cast("double") for name in FEATURES))
     word, near = (place["at"] + 1).cast("int"), F.substring(place["near"], -1000, 1000)
@@ -149,7 +153,7 @@ def labelled(findings: DataFrame) -> DataFrame:
     announced = F.col("features")[FEATURES.index("own_word")] + F.col("features")[FEATURES.index("near_words")] > 0
     long = F.length("value") >= 16
     mixed = F.col("value").rlike("[A-Za-z]") & ~F.col("value").rlike("@")
-    sure = F.col("value").rlike("^(" + "|".join(SHAPES) + ")$")
+    sure = F.col("value").rlike(EXACT)
     said = (F.col("features")[FEATURES.index("said")] > 0) & (F.length("value") >= 8) & F.col("value").rlike("[A-Za-z]")
     said = said & F.col("value").rlike("[0-9]") & ~F.col("value").rlike("^[^@]+@[^@]+[.][A-Za-z]+$|://")
     return findings.withColumn("label", (sure | announced & long & mixed | said).cast("int"))
@@ -158,18 +162,20 @@ def labelled(findings: DataFrame) -> DataFrame:
 def forest(findings: DataFrame, s: Settings = Settings()) -> str:
     """SQL for the probability that a finding ``x`` is a secret, learnt from (features, label).
 
-    Of the findings ``s.sample`` are learnt from: distinct ones, those with the least hash. Rows with a null are
-    left out. Findings of one label alone give that label to all, and no findings give 0.
+    Of each label ``s.sample`` findings are learnt from: distinct ones, those with the least hash; however rare a
+    label is, both weigh the same. Rows with a null are left out. Findings of one label alone give that label to all,
+    and no findings give 0.
     """
-    distinct = findings.select("features", "label").dropna().distinct()
-    some = distinct.orderBy(F.xxhash64("features", "label")).limit(s.sample)
-    rows = some.select(array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"))
-    rows = rows.persist()
-    labels = sorted(r.label for r in rows.select("label").distinct().collect())
-    if len(labels) < 2:
+    distinct = stored(findings.select("features", F.col("label").cast("int").alias("label")).dropna().distinct())
+    least = [distinct.filter(F.col("label") == x).orderBy(F.xxhash64("features")).limit(s.sample) for x in (0, 1)]
+    rows = least[0].unionByName(least[1]).persist()
+    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(counts) < 2:
         rows.unpersist()
-        return f"{labels[0] if labels else 0.0}D"
-    model = RandomForestClassifier(numTrees=s.trees, maxDepth=s.depth, seed=s.seed).fit(rows)
+        return f"{float(next(iter(counts), 0))}D"
+    weight = F.when(F.col("label") == 1, sum(counts.values()) / (2 * counts[1])).otherwise(sum(counts.values()) / (2 * counts[0]))
+    learning = rows.select(array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"), weight.alias("weight"))
+    model = RandomForestClassifier(numTrees=s.trees, maxDepth=s.depth, seed=s.seed, weightCol="weight").fit(learning)
     rows.unpersist()
     return "(" + " + ".join(_tree(t._call_java("rootNode")) for t in model.trees) + f") / {s.trees}D"
 
@@ -192,9 +198,9 @@ def judged(df: DataFrame, probability: str, known: list[str], text: str = "text"
 
 
 def learnt(df: DataFrame, known: list[str], s: Settings = Settings(), text: str = "text") -> str:
-    """A forest from the labelled findings of a table's own texts."""
+    """A forest from the labelled findings of a table's own texts; what has a provider's shape is sure, whatever it says."""
     each = df.select(F.explode(candidates(F.col(f"`{text}`"), known)).alias("x")).select("x.*")
-    return forest(labelled(each), s)
+    return f"CASE WHEN x.features[{FEATURES.index('shape')}] = 1D THEN 1.0D ELSE {forest(labelled(each), s)} END"
 
 
 def redacted(df: DataFrame, probability: str, known: list[str], s: Settings = Settings(), text: str = "text") -> DataFrame:

@@ -217,6 +217,20 @@ def test_every_candidate_of_a_word(spark):
     assert [len(r.x) for r in plain.select(secrets.candidates(F.col("text"), []).alias("x")).collect()][:2] == [0, 0]
 
 
+def test_rare_secrets_are_found(spark):
+    draw = random.Random(4)
+    hexadecimal = lambda n: "".join(draw.choice("0123456789abcdef") for _ in range(n))
+    plain = [f"at 2024-01-{i % 28 + 1:02} {hexadecimal(12 + i % 29)} from host-{i}.example.com" for i in range(4000)]
+    keys = [f'token = "{hexadecimal(40)}"' for _ in range(5)]
+    docs = table(spark, [*plain, *keys, f"unannounced {AWS} key"])
+    sql = secrets.learnt(docs, ["from"], secrets.Settings(sample=200))
+    clean = {r.doc_id: r.text for r in secrets.redacted(docs, sql, ["from"]).filter("doc_id >= 4000").collect()}
+    assert all(clean[4000 + i] == 'token = "[secret]"' for i in range(5)) and clean[4005] == "unannounced [secret] key"
+    masked = secrets.redacted(docs, sql, ["from"]).filter("doc_id < 4000 and text like '%[secret]%'").count()
+    assert masked <= 40
+    assert secrets.forest(docs.limit(0).selectExpr("array(1D) features", "1 label")) == "0.0D"
+
+
 def test_warc(spark, tmp_path):
     html = '<html><title>A &amp; B</title><script>x<p></script><p>Caf&#233; &#x41;&lt;b&gt;<br>two<a href="/l">link</a></p></html>'
     pages = spark.createDataFrame([(1, "http://a/", html), (2, None, None), (1, "http://a/", html)], "page_id long, url string, html string")
