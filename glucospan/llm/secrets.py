@@ -54,12 +54,14 @@ class Settings:
 
 
 def dictionary(texts: DataFrame, text: str, s: Settings = Settings()) -> list[str]:
-    """The lower-case words of four letters or more of a table of clean text; at most ``s.words`` of them."""
-    word = F.explode(F.split(F.lower(F.col(f"`{text}`")), "[^\\p{L}]+")).alias("word")
-    words = texts.select(word).filter(F.length("word") > 3).distinct().limit(s.words + 1).collect()
-    if len(words) > s.words:
-        raise ValueError(f"the dictionary has more than {s.words} words")
-    return sorted(r.word for r in words)
+    """The lower-case words of four letters or more that most texts of a table hold; ties by word.
+
+    At most ``s.words`` of them: an input of the forest's one feature, whatever the table's size.
+    """
+    words = F.array_distinct(F.split(F.lower(F.col(f"`{text}`")), "[^\\p{L}]+"))
+    each = texts.select(F.explode(words).alias("word")).filter(F.length("word") > 3)
+    most = each.groupBy("word").count().orderBy(F.desc("count"), "word").limit(s.words)
+    return sorted(r.word for r in most.select("word").collect())
 
 
 def _kinds(value: Column) -> Column:

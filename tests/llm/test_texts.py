@@ -217,6 +217,13 @@ def test_every_candidate_of_a_word(spark):
     assert [len(r.x) for r in plain.select(secrets.candidates(F.col("text"), []).alias("x")).collect()][:2] == [0, 0]
 
 
+def test_dictionary_keeps_the_words_of_most_texts(spark):
+    texts = table(spark, ["alpha gamma Alpha", "alpha beta-beta beta", "delta, the gamma", None, ""])
+    assert secrets.dictionary(texts, "text", secrets.Settings(words=2)) == ["alpha", "gamma"]
+    assert secrets.dictionary(texts, "text", secrets.Settings(words=3)) == ["alpha", "beta", "gamma"]
+    assert secrets.dictionary(texts, "text") == ["alpha", "beta", "delta", "gamma"]
+
+
 def test_rare_secrets_are_found(spark):
     draw = random.Random(4)
     hexadecimal = lambda n: "".join(draw.choice("0123456789abcdef") for _ in range(n))
