@@ -131,19 +131,21 @@ def candidates(text: Column, known: list[str]) -> Column:
     Candidates are runs of 12 value characters or more with a digit, provider shapes anywhere, and what an
     announcing word assigns from 6 signs on, whatever its signs. A word may hold any number of them.
     """
-    words = F.split(text, "\\s+")
-
-    def held(w: Column, i: Column) -> Column:
+    def held(words: Column, w: Column, i: Column) -> Column:
         long = (F.length(w) >= 12) & (w.rlike("[0-9]") | w.rlike(SHAPED))
         before = F.concat_ws(" ", F.get(words, i - 3), F.get(words, i - 2), F.get(words, i - 1), w)
         kept = long | (F.length(w) >= 6) & before.rlike(SAID)
-        return F.when(kept, F.struct(i.alias("at"), w.alias("word"), _near(words, i).alias("near")))
+        near = _near(words, i)
+        return F.when(kept, F.struct(i.alias("at"), w.alias("word"), near.alias("near"), F.when(near.rlike(ANNOUNCE), 1).otherwise(0).alias("announced")))
+
+    def within(words: Column) -> Column:
+        picked = F.filter(F.transform(words, lambda w, i: held(words, w, i)), lambda x: x.isNotNull())
+        return F.flatten(F.transform(picked, lambda x: F.transform(
+            _values(x["word"], x["near"]), lambda v: _finding(v["lead"], v["value"], v["said"], x, known)
+        )))
 
-    picked = F.filter(F.transform(words, held), lambda x: x.isNotNull())
-    picked = F.transform(picked, lambda x: x.withField("announced", F.when(x["near"].rlike(ANNOUNCE), 1).otherwise(0)))
-    return F.flatten(F.transform(picked, lambda x: F.transform(
-        _values(x["word"], x["near"]), lambda v: _finding(v["lead"], v["value"], v["said"], x, known)
-    )))
+    # The words are split once for each text: a lambda works out again whatever is not a variable of its own.
+    return F.element_at(F.transform(F.array(F.split(text, "\\s+")), within), 1)
 
 
 def labelled(findings: DataFrame) -> DataFrame:
