@@ -10,6 +10,8 @@ pieces; Spark counts the lengths, ranks the pieces of a length, and joins the ra
 from __future__ import annotations
 
 import functools
+import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -30,8 +32,28 @@ def _encoder(path: str):
     return merge_file_encoder(path)
 
 
+@functools.cache
+def _added(path: str) -> tuple[re.Pattern | None, dict[str, int]]:
+    """A pattern for the file's added tokens, the longest first, and their ids."""
+    with open(path, encoding="utf-8") as file:
+        ids = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    return re.compile("(" + "|".join(map(re.escape, sorted(ids, key=len, reverse=True))) + ")") if ids else None, ids
+
+
 def word_ids(texts: list[str], path: str) -> list[np.ndarray]:
-    """The ids of each text: composed form, lower case, words, merges."""
+    """The ids of each text: cut at the file's added tokens, which are ids of their own, and the parts between."""
+    pattern, added = _added(path)
+    cut = [pattern.split(t) if pattern else [t] for t in texts]
+    ids = iter(_plain_ids([part for parts in cut for part in parts[::2]], path))
+    out = []
+    for parts in cut:
+        own = [next(ids) if i % 2 == 0 else np.array([added[part]], np.int32) for i, part in enumerate(parts)]
+        out.append(own[0] if len(own) == 1 else np.concatenate(own))
+    return out
+
+
+def _plain_ids(texts: list[str], path: str) -> list[np.ndarray]:
+    """The ids of each text without added tokens: composed form, lower case, words, merges."""
     texts = [t if t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t) for t in texts]
     # The one letter whose lower case is two codepoints.
     c = chars.chars([t.replace("İ", "i̇") if "İ" in t else t for t in texts])

@@ -69,6 +69,14 @@ def test_pieces_are_tokenizers_and_packed_tightly(spark):
     assert packing.sequences(spark.createDataFrame(packed)).count() == len(by_sequence)
 
 
+def test_added_tokens_are_the_librarys():
+    known = Tokenizer.from_file(WORD_BPE)
+    end, start = "<|endoftext|>", "<|startoftext|>"
+    texts = [f"x {end} y", end, f"{start}a{end}{end}b's", f"é{end}́ {start}", "<|ENDOFTEXT|>", f"<{end}>", f"<|endoftext{end}", "", "plain"]
+    want = [known.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in packing.word_ids(texts, WORD_BPE)] == want and want[0] == [343, 49407, 344]
+
+
 def test_plan_is_exact_on_small_cases():
     # 6+4, 6+4, 5+5: longest first alone would also fit, but 7+3 must not take the 3 from 4+3+3.
     rows = packing.plan({7: 1, 4: 1, 3: 3}, 10)
