@@ -19,6 +19,14 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new place in the shared folder, deleted when the session's file system closes."""
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4()}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and go on from the written table.
 
@@ -28,8 +36,6 @@ def stored(df: DataFrame) -> DataFrame:
     file system closes.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4()}"
+    path = fresh_folder(spark)
     df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
