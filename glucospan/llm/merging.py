@@ -112,42 +112,37 @@ class Merges:
 class SliceEncoder:
     """Slice -> ids, through a cache that starts anew when it holds ``limit`` slices.
 
-    The cache is keyed by 64-bit hashes: sorted arrays of hashes beside the place and number of the ids.
-    Two different slices among the limit's number share a hash with a chance below one in ten million.
+    Slices are looked up by 64-bit hashes, and each hit is compared sign by sign with the slice that the cache
+    holds: one that only shares its hash is merged by itself.
     """
 
     def __init__(self, merges: Merges, inner: np.ndarray, last: np.ndarray, whole: dict[str, int], limit: int = 400_000):
         """``inner`` and ``last``: the id of each byte inside and at the end of a slice. ``whole``: slices
         that are one id, whatever the merges give."""
         self.merges, self.inner, self.last, self.limit = merges, inner, last, limit
-        self.whole = list(whole), np.array(list(whole.values()), np.int32)
+        self.whole, self.single = whole, {text.encode(): i for text, i in whole.items()}
         self._empty()
 
     def _empty(self) -> None:
         self.hash, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        texts, ids = self.whole
-        if texts:
-            c = chars.chars(texts)
+        self.ids, self.signs = _Lists(np.int32), _Lists(np.uint32)
+        if self.whole:
+            c = chars.chars(list(self.whole))
             keys = c.spans_hash(c.starts, c.starts + c.lengths, fold=False)
             order = np.argsort(keys)
-            self._keep(keys[order], [ids[order]], [np.ones(len(ids), np.int32)], np.arange(len(ids)))
+            ids = np.array(list(self.whole.values()), np.int32)[order]
+            entries = self.ids.add(ids, np.ones(len(ids), np.int64))
+            self._keep(keys[order], entries, c, c.starts[order], c.lengths[order])
 
-    def _keep(self, keys: np.ndarray, flat: list[np.ndarray], counts: list[np.ndarray], order: np.ndarray) -> None:
-        """New slices: sorted hashes; ids and counts in some order; each hash's place in that order."""
-        ids, count = np.concatenate(flat), np.concatenate(counts)
-        while len(self.flat) < self.used + len(ids):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        first = len(self.begin)
-        self.begin = np.append(self.begin, self.used + np.cumsum(count) - count)
-        self.count = np.append(self.count, count)
-        self.used += len(ids)
+    def _keep(self, keys: np.ndarray, entries: np.ndarray, c: chars.Chars, begin: np.ndarray, size: np.ndarray) -> None:
+        """New slices: sorted hashes, the entries of their ids, and their signs."""
+        signs = self.signs.add(c.codes[_places(begin, size)], size)
+        assert np.array_equal(signs, entries)
         at = np.searchsorted(self.hash, keys)
-        self.hash, self.entry = np.insert(self.hash, at, keys), np.insert(self.entry, at, first + order)
+        self.hash, self.entry = np.insert(self.hash, at, keys), np.insert(self.entry, at, entries)
 
-    def _add(self, keys: np.ndarray, text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+    def _merged(self, text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The entries of the ids of slices, given by their bytes."""
         flat, counts, rows = [], [], []
         for low, width in zip((0, 4, 8, 12, 16, 24, 32), (4, 8, 12, 16, 24, 32, SHORT)):
             some = np.flatnonzero((size > low) & (size <= width))
@@ -161,35 +156,88 @@ class SliceEncoder:
             merged = self.merges.short(grid)
             valid = merged >= 0
             flat.append(merged[valid])
-            counts.append(valid.sum(axis=1).astype(np.int32))
+            counts.append(valid.sum(axis=1).astype(np.int64))
             rows.append(some)
         for i in np.flatnonzero(size > SHORT):
-            piece = text[begin[i] : begin[i] + size[i]]
-            ids = self.merges.long([*self.inner[piece[:-1]].tolist(), int(self.last[piece[-1]])])
+            ids = self._alone(text[begin[i] : begin[i] + size[i]])
             flat.append(np.array(ids, np.int32))
-            counts.append(np.array([len(ids)], np.int32))
+            counts.append(np.array([len(ids)], np.int64))
             rows.append(np.array([i]))
-        order = np.empty(len(keys), np.int64)
-        order[np.concatenate(rows)] = np.arange(len(keys))
-        self._keep(keys, flat, counts, order)
+        ids, counts, rows = np.concatenate(flat), np.concatenate(counts), np.concatenate(rows)
+        order = np.argsort(rows)
+        starts = np.cumsum(counts) - counts
+        return self.ids.add(ids[_places(starts[order], counts[order])], counts[order])
+
+    def _alone(self, piece: np.ndarray) -> list[int]:
+        """The ids of one slice, given by its bytes."""
+        if (own := self.single.get(piece.tobytes())) is not None:
+            return [own]
+        return self.merges.long([*self.inner[piece[:-1]].tolist(), int(self.last[piece[-1]])])
 
     def encode(self, c: chars.Chars, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all slices in order, and how many each slice has."""
         if not len(begin):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        size = end - begin
         keys, where, which = np.unique(c.spans_hash(begin, end, fold=False), return_index=True, return_inverse=True)
         if len(self.hash) + len(keys) > self.limit:
             self._empty()
         new = ~np.isin(keys, self.hash, assume_unique=True) if len(self.hash) else np.ones(len(keys), bool)
+        # What shares a hash with other signs: within these texts, then with the cache.
+        other = _differ(c.codes, begin, size, c.codes, begin[where[which]], size[where[which]])
+        if not new.all():
+            old, held = where[~new], self.entry[np.searchsorted(self.hash, keys[~new])]
+            wrong = np.zeros(len(keys), bool)
+            wrong[~new] = _differ(c.codes, begin[old], size[old], self.signs.flat, self.signs.begin[held], self.signs.count[held])
+            other |= wrong[which]
+        text, offset = c.utf8() if new.any() or other.any() else (None, None)
         if new.any():
-            text, offset = c.utf8()
-            first = offset[begin[where[new]]]
-            self._add(keys[new], text, first, offset[end[where[new]]] - first)
+            b, e = begin[where[new]], end[where[new]]
+            entries = self._merged(text, offset[b], offset[e] - offset[b])
+            self._keep(keys[new], entries, c, b, e - b)
         entry = self.entry[np.searchsorted(self.hash, keys)][which]
-        counts = self.count[entry].astype(np.int64)
-        ends = np.cumsum(counts)
-        places = np.repeat(self.begin[entry] - ends + counts, counts) + np.arange(ends[-1])
-        return self.flat[places], counts
+        for i in np.flatnonzero(other):  # kept under no hash
+            ids = self._alone(text[offset[begin[i]] : offset[end[i]]])
+            entry[i] = self.ids.add(np.array(ids, np.int32), np.array([len(ids)]))[0]
+            self.signs.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        counts = self.ids.count[entry]
+        return self.ids.flat[_places(self.ids.begin[entry], counts)], counts
+
+
+class _Lists:
+    """Numbered lists in one growing array."""
+
+    def __init__(self, kind: type):
+        self.flat, self.used = np.zeros(1 << 16, kind), 0
+        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Lists one after the other; their numbers."""
+        while len(self.flat) < self.used + len(values):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(values)] = values
+        first = len(self.begin)
+        self.begin = np.append(self.begin, self.used + np.cumsum(counts) - counts)
+        self.count = np.append(self.count, counts)
+        self.used += len(values)
+        return np.arange(first, len(self.begin))
+
+
+def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the spans, one span after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _differ(a: np.ndarray, a_begin, a_size, b: np.ndarray, b_begin, b_size) -> np.ndarray:
+    """Whether the spans of ``a`` are others than those of ``b``."""
+    out = a_size != b_size
+    some = np.flatnonzero(~out & ((a_begin != b_begin) | (a is not b)))
+    size = a_size[some]
+    unlike = np.flatnonzero(a[_places(a_begin[some], size)] != b[_places(b_begin[some], size)])
+    if len(unlike):
+        out[some[np.searchsorted(np.cumsum(size), unlike, "right")]] = True
+    return out
 
 
 def byte_names() -> dict[int, str]:

@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucospan.llm import ann, bpe, jaccard, licenses, packing, secrets, sharding, topk, toxicity, warc
-from glucospan.storage import stored
+from glucospan.llm import alignment, ann, bpe, jaccard, licenses, negatives, packing, records, secrets, sharding, topk
+from glucospan.llm import toxicity, warc
+from glucospan.storage import fresh_folder, stored
 
 QUERIES = {}
 #: DuckDB twins of the queries that SQL can express.
@@ -15,6 +16,8 @@ ORACLE: dict[str, str] = {}
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(function):
@@ -158,6 +161,52 @@ def op8_winnowed_licenses(spark, folder):
     return licenses.scan(table(spark, folder, "documents"), "doc_id")
 
 
+@query
+def op11_record_files(spark, folder):
+    """Every document's ids written to record files in order of the ids, read back through the offset index."""
+    place = fresh_folder(spark)
+    records.write(table(spark, folder, "documents"), place, WORD_BPE)
+    rows = records.read(spark, place)
+    return rows.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op12_galloping_alignment(spark, folder):
+    """How the tokens of two tokenizers overlap in every document."""
+    return alignment.linked(table(spark, folder, "documents"), BYTE_LEVEL, PIECES)
+
+
+@query
+def op13_lemp_negatives(spark, folder):
+    """The hardest negatives of every hundredth vector and its five positives; every seventh label is moved on."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.withColumn("label", moved)
+    return negatives.hard_negatives(rows, "vec_id", "embedding", "label", F.col("id") % 100 == 0)
+
+
+ORACLE["op13_lemp_negatives"] = """
+    WITH e AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+        FROM e a JOIN e b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id
+    ), p AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank,
+        vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+    QUALIFY rank <= 5
+"""
+
+
 def _duck_text(text: str) -> str:
     return text.replace("\\", "\\").replace("'", "''")
 

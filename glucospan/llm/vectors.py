@@ -24,8 +24,8 @@ def rows_of(values: np.ndarray) -> pa.Array:
     return pa.array([row.tobytes() for row in np.ascontiguousarray(values, "<f8")], pa.binary())
 
 
-def packed(df: DataFrame, key: str, vector: str, change: Callable[[np.ndarray], np.ndarray], width: int, zero: bool) -> DataFrame:
-    """(id, v): the usable vectors, changed, as binary doubles.
+def packed(df: DataFrame, key: str, vector: str, change: Callable[[np.ndarray], np.ndarray], width: int, zero: bool, also: tuple[str, ...] = ()) -> DataFrame:
+    """(id, v): the usable vectors, changed, as binary doubles, and the long columns ``also``.
 
     Rows with a null id, a null vector, or null or non-finite components are left out, and vectors of zeros
     only unless ``zero``. Shorter vectors are filled up with zeros to ``width``.
@@ -45,12 +45,13 @@ def packed(df: DataFrame, key: str, vector: str, change: Callable[[np.ndarray],
                 good &= (grid != 0).any(axis=1)
             at = np.flatnonzero(good)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(at)), rows_of(change(grid[at]))], names=["id", "v"]
+                [part.column(0).take(pa.array(at)), rows_of(change(grid[at])), *(c.take(pa.array(at)) for c in part.columns[2:])],
+                names=["id", "v", *also],
             )
 
     usable = F.col(f"`{key}`").isNotNull() & F.col(f"`{vector}`").isNotNull()
-    rows = df.filter(usable).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`"))
-    return rows.mapInArrow(batches, "id long, v binary")
+    rows = df.filter(usable).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`"), *also)
+    return rows.mapInArrow(batches, ", ".join(["id long", "v binary", *(f"{c} long" for c in also)]))
 
 
 def longest(df: DataFrame, vector: str) -> int:

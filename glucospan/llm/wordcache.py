@@ -1,0 +1,60 @@
+"""Whole texts through the tokenizers library, each different run of visible characters only once.
+
+A byte-level or word vocabulary's split never puts a visible character and white space after it into one
+piece, so a text's ids are those of its runs (white space and the visible characters after it), one after
+the other.
+"""
+
+from __future__ import annotations
+
+import functools
+import os
+import re
+
+import numpy as np
+
+from glucospan.llm.chars import WHITE
+
+_WHITE = "".join(f"{chr(a)}-{chr(b)}" for a, b in WHITE)
+#: White space and the visible characters after it; white space at a text's end.
+RUNS = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+#: Longer runs are encoded anew each time, and a cache of this many runs starts anew.
+LONGEST, MOST = 48, 200_000
+
+
+class Cached:
+    """Text -> ids of a tokenizer file, as little-endian unsigned 32-bit numbers."""
+
+    def __init__(self, path: str, plain: bool):
+        """``plain``: strings of special tokens are ordinary text."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
+        self.known: dict[str, bytes] = {}
+
+    def _fresh(self, runs: list[str]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in made]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [RUNS.findall(t) for t in texts]
+        if len(self.known) > MOST:
+            self.known = {}
+        known, new, long = self.known, set(), set()
+        for runs in cut:
+            for run in set(runs):
+                if run not in known:
+                    (new if len(run) <= LONGEST else long).add(run)
+        new, long = list(new), list(long)
+        known.update(zip(new, self._fresh(new)))
+        once = dict(zip(long, self._fresh(long)))
+        if once:
+            return [np.frombuffer(b"".join([known.get(r) or once.get(r, b"") for r in runs]), "<u4") for runs in cut]
+        return [np.frombuffer(b"".join([known[r] for r in runs]), "<u4") for runs in cut]
+
+
+@functools.cache
+def cached(path: str, plain: bool) -> Cached:
+    return Cached(path, plain)
