@@ -1,7 +1,7 @@
 """A model of its own for every series, all series in one plan.
 
-The model is a standardised ridge regression: a linear stand-in for one tree ensemble per person,
-which Spark would have to fit one after the other. Its training data reduce to sums of products,
+``hgb`` are boosted trees (``operators.boosting``): many series together in a task, long ones spread over all.
+``ridge`` is a standardised ridge regression, a cheap linear stand-in. Its training data reduce to sums of products,
 which combine map-side, so a series of any length never has to fit into one task. Only the solved
 system (one row per series) goes through Python.
 """
@@ -13,11 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glucospan.operators import medians
+from glucospan.operators import boosting, medians
 from glucospan.operators.metrics import error_metrics
 from glucospan.operators.selection import chronological_split
 from glucospan.operators.slices import measured_width, sliced, with_series_facts
-from glucospan.plans.training import PREDICTION, long_features
+from glucospan.plans.training import BOOSTED, PREDICTION, long_features
 from glucospan.schema import FEATURES, SERIES, TARGET, TIME, VALUE
 from glucospan.storage import stored
 
@@ -91,11 +91,19 @@ def predict_each(
     target: str = TARGET,
     current: str = VALUE,
     train_fraction: float = 0.7,
+    model: str = "ridge",
     penalty: float = 1.0,
+    settings: boosting.Settings = boosting.Settings(),
     tiebreak: Sequence[str] = (),
     width_us: int | None = None,
 ) -> DataFrame:
-    """Test rows (the later part of each series) with the prediction of the series' own model."""
+    """Test rows (the later part of each series) with the prediction of the series' own model.
+
+    ``model``: ``ridge`` (with ``penalty``) or ``hgb`` (with ``settings``). Missing features take the training
+    median of their series.
+    """
+    if model not in ("ridge", *BOOSTED):
+        raise ValueError("model must be ridge or hgb")
     width_us = width_us or measured_width(table, [series], time)
     needed = dict.fromkeys([series, time, current, target, *features, *tiebreak])
     # Read by the medians, the sums of products and the scoring.
@@ -120,6 +128,16 @@ def predict_each(
         )
     )
     rows = with_series_facts(sliced(split, time, width_us), centres, [series])
+    if model != "ridge":
+        filled = {n: F.coalesce(F.col(n).cast("double"), F.col("centres")[n], F.lit(0.0)) for n in features}
+        names = [f"_f{i}" for i in range(len(features))]
+        filled = [
+            F.coalesce(F.col(n).cast("double"), F.col("centres")[n], F.lit(0.0)).alias(new)
+            for n, new in zip(features, names, strict=True)
+        ]
+        rows = stored(rows.select(series, time, current, F.col(target).cast("double"), "is_test", *filled))
+        scored = boosting.predictions(rows, F.col(series), names, target, "is_test", PREDICTION, settings)
+        return scored.select(series, time, current, target, PREDICTION)
     weights = fit_coefficients(rows.where("not is_test"), series, features, target, current, penalty)
     test = with_series_facts(rows.where("is_test"), weights, [series])
     change = F.col("weights")[0]
@@ -140,7 +158,7 @@ def evaluate_each(
 ) -> DataFrame:
     """Per-series errors and sizes with the group of its first row and the gain over persistence.
 
-    ``model_name`` says which model the errors belong to: the ridge regression of this module.
+    ``model_name`` says which model (``model``, see ``predict_each``) the errors belong to.
     """
     series, time = options.get("series", SERIES), options.get("time", TIME)
     scored = predict_each(table, train_fraction=train_fraction, **options)
@@ -160,7 +178,7 @@ def evaluate_each(
         errors.join(sizes, series)
         .withColumns(
             {
-                "model_name": F.lit("ridge"),
+                "model_name": F.lit(options.get("model", "ridge")),
                 "split_strategy": F.lit("within_patient_chronological"),
                 "train_participants": F.lit(1).cast("bigint"),
                 "train_samples": F.col("_rows") - F.col("test_samples"),

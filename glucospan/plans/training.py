@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +20,7 @@ from glucospan.operators.selection import (
     group_split,
     one_series,
 )
+from glucospan.plans.leafwise import LeafwiseRegressor
 from glucospan.schema import SERIES, TIME, VALUE, ForecastTable
 from glucospan.sources.sinks import write_text
 from glucospan.storage import stored
@@ -30,16 +31,12 @@ FOREST = ["rf", "random_forest", "randomforest"]
 PREDICTION = "prediction_30m"
 
 
-def estimator(name: str, *, target: str, seed: int = 42, **overrides) -> GBTRegressor | RandomForestRegressor:
-    """Tree model by name. Keyword arguments override any parameter, for example ``maxIter=60`` or a
-    ``validationIndicatorCol`` for early stopping. Boosting here has no leaf cap or L2 penalty.
-    """
+def estimator(name: str, *, target: str, seed: int = 42, **overrides) -> LeafwiseRegressor | RandomForestRegressor:
+    """Tree model by name. Keyword arguments override any parameter, for example ``maxIter=60``."""
     wanted = name.lower().strip()
     columns = {"featuresCol": "features", "labelCol": target, "predictionCol": PREDICTION, "seed": seed}
     if wanted in BOOSTED:
-        # Rounds and step size; depth 5 allows the 31 leaves plus one.
-        settings = {"stepSize": 0.055, "maxDepth": 5, "maxIter": 300}
-        return GBTRegressor(**{**columns, **settings, **overrides})
+        return LeafwiseRegressor(**{**columns, **overrides})
     if wanted in FOREST:
         # Trees, depth, smallest leaf, share of features and of rows per tree.
         settings = {
@@ -53,9 +50,11 @@ def estimator(name: str, *, target: str, seed: int = 42, **overrides) -> GBTRegr
     raise ValueError("model name must be one of: hgb, random_forest")
 
 
-def day_split_estimator(*, target: str, seed: int = 7, **overrides) -> GBTRegressor:
+def day_split_estimator(*, target: str, seed: int = 7, **overrides) -> LeafwiseRegressor:
     """Boosted trees as used with the split by day."""
-    return estimator("hgb", target=target, seed=seed, **{"stepSize": 0.07, "maxIter": 220, **overrides})
+    # Step size, rounds and L2 penalty.
+    settings = {"stepSize": 0.07, "maxIter": 220, "l2": 0.4}
+    return estimator("hgb", target=target, seed=seed, **{**settings, **overrides})
 
 
 def long_features(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -163,6 +162,12 @@ def prepare_personalized(table: ForecastTable, series: str, *, train_fraction: f
     return _prepare(table, split, "within_patient_chronological", if_empty=message)
 
 
+def train_prepared(prepared: Prepared, *, model_name: str = "hgb", seed: int = 42, **overrides) -> TrainedPredictor:
+    """Fit one more model on a split that was made before."""
+    regressor = estimator(model_name, target=prepared.table.target_column, seed=seed, **overrides)
+    return _fit(prepared, regressor, model_name=model_name)
+
+
 def train_grouped(
     table: ForecastTable,
     *,

@@ -244,6 +244,59 @@ errors as (select participant_id, avg(abs(prediction - target_30m)) as mae, sqrt
 
 RIDGE = _ridge()
 
+
+def _boosted(split: str, model: str, rounds: int, leaves: int, least: int, bins: int, step: float, l2: float) -> str:
+    """Boosted trees by their definition: the leaf of greatest gain is split, one leaf after the other, over and over.
+
+    ``predicted`` holds the test rows. ``model`` tells the rows of one model from another's.
+    """
+    size = len(USER_FEATURES)
+    ctes = [f"""{split},
+rows_ as materialized (select *, {model} as m, row_number() over (order by participant_id, timestamp) as id from split),
+middle as (select m, {_each(lambda i, n: f"median({n}) as c{i}")} from rows_ where not is_test group by m),
+filled as materialized (select rows_.*, {_each(lambda i, n: f"coalesce({n}, c{i}, 0.0) as x{i}")} from rows_ join middle using (m)),
+cells as materialized ({" union all ".join(f"select id, m, is_test, {i} as f, x{i} as x from filled" for i in range(size))}),
+ranked as (select m, f, x, row_number() over (partition by m, f order by x) as rn, count(*) over (partition by m, f) as c
+  from cells where not is_test),
+edges as materialized (select distinct m, f, x as edge from ranked, range(1, {bins}) as t(i) where rn = ceil(i::double / {bins}.0::double * c)),
+binned as materialized (select id, cells.m, cells.f, count(edge) as b from cells left join edges
+  on edges.m = cells.m and edges.f = cells.f and edge < x group by all),
+units as (select m, power(2.0::double, 28 - ceil(log2(max(abs(target_30m))))) as sc from rows_ where not is_test group by m),
+state0 as materialized (select id, m, is_test, target_30m as y, sc, (select sum(round_even(o.target_30m * units.sc, 0)) / count(*) / units.sc
+  from rows_ as o where o.m = rows_.m and not o.is_test) as now from rows_ join units using (m))"""]
+    for t in range(rounds):
+        ctes.append(f"n{t}_0 as materialized (select id, m, is_test, sc, round_even((y - now) * sc, 0) as g, 0 as node from state{t})")
+        for s in range(leaves - 1):
+            ctes.append(f"""h{t}_{s} as (select r.m, node, f, b, sum(g) as g, count(*) as k from n{t}_{s} as r join binned using (id)
+  where not is_test group by all),
+c{t}_{s} as (select m, node, f, b, sum(g) over w as gl, sum(k) over w as kl, sum(g) over p as gt, sum(k) over p as kt
+  from h{t}_{s} window w as (partition by m, node, f order by b), p as (partition by m, node, f)),
+v{t}_{s} as (select *, gl * gl / (kl + {l2}::double) + (gt - gl) * (gt - gl) / (kt - kl + {l2}::double) - gt * gt / (kt + {l2}::double) as gain
+  from c{t}_{s} where kl >= {least} and kt - kl >= {least}),
+s{t}_{s} as materialized (select m, node, f, b from v{t}_{s} where gain > 0
+  qualify row_number() over (partition by m order by gain desc, node, f, b) = 1),
+n{t}_{s + 1} as materialized (select r.id, r.m, is_test, sc, g, case when x.f is null then r.node when z.b > x.b then {2 * s + 2}
+  else {2 * s + 1} end as node from n{t}_{s} as r left join s{t}_{s} as x on x.m = r.m and x.node = r.node
+  left join binned as z on z.id = r.id and z.f = x.f)""")
+        last = f"n{t}_{leaves - 1}"
+        ctes.append(f"""l{t} as (select m, node, {step}::double * (sum(g) / (count(*) + {l2}::double)) * (1.0::double / any_value(sc)) as value
+  from {last} where not is_test group by m, node),
+state{t + 1} as materialized (select o.id, o.m, o.is_test, o.y, o.sc, o.now + l{t}.value as now
+  from state{t} as o join {last} as r using (id) join l{t} on l{t}.m = r.m and l{t}.node = r.node)""")
+    ctes.append(f"predicted as (select rows_.*, now as prediction from rows_ join state{rounds} using (id) where rows_.is_test)\n")
+    return ",\n".join(ctes)
+
+
+#: Both sides round what is not exact, so that equal values stay equal.
+ROUNDED = USERS.replace("users as (select * from", "users as (select * replace (round(mean_3d, 6) as mean_3d, "
+    "round(sin_time, 6) as sin_time, round(cos_time, 6) as cos_time) from")
+LATER = f"""{ROUNDED},
+numbered as (select *, row_number() over (partition by participant_id order by timestamp) as rn,
+    count(*) over (partition by participant_id) as c from users),
+split as (select *, rn > least(greatest(floor(c * 0.7::double), 30), c - 20) as is_test from numbered where c >= 60)"""
+EACH_BOOSTED = _boosted(LATER, "participant_id", rounds=4, leaves=4, least=5, bins=16, step=0.3, l2=0.6)
+ALL_BOOSTED = _boosted(HELD_OUT.replace(USERS, ROUNDED), "0", rounds=5, leaves=6, least=20, bins=64, step=0.2, l2=0.6)
+
 ORACLE = {
     "numeric_clean": f"select event_id, {K} as number from events",
     "numeric_clean_mixed": r"""
@@ -501,6 +554,20 @@ ORACLE = {
           {r('persistence - mae', 6, 'mae_improvement_vs_persistence')}, train_samples, test_samples,
           1 as train_participants, 1 as test_participants, event_type
         from errors join (select participant_id, event_type from split where rn = 1) using (participant_id)""",
+    "boosted_grouped": ALL_BOOSTED
+    + f"select participant_id, timestamp, glucose_mg_dl, target_30m, {r('prediction', 6, 'prediction_30m')} from predicted",
+    "boosted_per_series": EACH_BOOSTED
+    + f"select participant_id, timestamp, glucose_mg_dl, target_30m, {r('prediction', 6, 'prediction_30m')} from predicted",
+    "boosted_per_series_eval": EACH_BOOSTED
+    + f"""select participant_id, 'hgb' as model_name, 'within_patient_chronological' as split_strategy, mae_mg_dl, rmse_mg_dl,
+          persistence_mae_mg_dl, {r('gain', 6, 'mae_improvement_vs_persistence')}, train_samples, test_samples,
+          1 as train_participants, 1 as test_participants, event_type
+        from (select participant_id, {r('avg(abs(prediction - target_30m))', 6, 'mae_mg_dl')},
+            {r('sqrt(avg(power(prediction - target_30m, 2)))', 6, 'rmse_mg_dl')},
+            {r('avg(abs(target_30m - glucose_mg_dl))', 6, 'persistence_mae_mg_dl')}, count(*) as test_samples,
+            avg(abs(target_30m - glucose_mg_dl)) - avg(abs(prediction - target_30m)) as gain,
+            any_value(c) - count(*) as train_samples from predicted group by 1)
+          join (select participant_id, event_type from split where rn = 1) using (participant_id)""",
     "per_series_summary": RIDGE
     + f""", shown as (select round_even(mae, 2) as mae_mg_dl, round_even(rmse, 2) as rmse_mg_dl,
             round_even(persistence, 2) as persistence_mae_mg_dl from errors),

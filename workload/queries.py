@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glucospan.functions import clinical, text
-from glucospan.operators import asof, events, export, joins, metrics, quality, selection, slices, windows
+from glucospan.operators import asof, boosting, events, export, joins, metrics, quality, selection, slices, windows
 from glucospan.operators.windows import Trailing
 from glucospan.plans import features, per_series, training
 from glucospan.schema import ForecastTable
@@ -698,9 +698,8 @@ def user_table(spark, folder) -> ForecastTable:
 def rf_predict(spark, folder):
     """Whole series held out. What a forest predicts is a mean of training targets, so each prediction
     must lie between their extremes; the rows and everything but the prediction are known beforehand."""
-    whole = user_table(spark, folder)
-    prepared = training.prepare_grouped(whole)
-    trained = training.train_grouped(whole, model_name="random_forest")
+    prepared = training.prepare_grouped(user_table(spark, folder))
+    trained = training.train_prepared(prepared, model_name="random_forest")
     known = prepared.rows.where("not is_test").agg(F.min("target_30m").alias("least"), F.max("target_30m").alias("most"))
     plausible = F.col("prediction_30m").between(known.select("least").scalar(), known.select("most").scalar())
     return trained.predictions.withColumn("plausible", plausible).drop("prediction_30m")
@@ -727,6 +726,40 @@ def per_series_eval(spark, folder):
     return rounded_all(found, 6)
 
 
+def rounded_users(spark, folder) -> DataFrame:
+    """The wide table with what is not exact rounded, so that equal values are in one bin everywhere."""
+    rows = user_forecast(spark, folder)
+    return rows.withColumns({n: F.round(n, 6) for n in ["mean_3d", "sin_time", "cos_time"]})
+
+
+@query
+def boosted_grouped(spark, folder):
+    """What a few rounds of leaf-wise trees, fitted on the other users, predict for the users held out."""
+    whole = ForecastTable(rounded_users(spark, folder), "dexcom", feature_columns=list(USER_FEATURES))
+    small = {"maxIter": 5, "maxLeaves": 6, "maxBins": 64, "stepSize": 0.2}
+    return rounded_all(training.train_grouped(whole, model_name="hgb", **small).predictions, 6)
+
+
+FEW_ROUNDS = boosting.Settings(rounds=4, leaves=4, least=5, bins=16, step=0.3)
+
+
+@query
+def boosted_per_series(spark, folder):
+    """What a few rounds of each user's own leaf-wise trees predict for the user's later rows."""
+    rows = rounded_users(spark, folder)
+    found = per_series.predict_each(rows, features=USER_FEATURES, model="hgb", settings=FEW_ROUNDS)
+    return rounded_all(found, 6)
+
+
+@query
+def boosted_per_series_eval(spark, folder):
+    rows = rounded_users(spark, folder)
+    found = per_series.evaluate_each(
+        rows, group="event_type", features=USER_FEATURES, model="hgb", settings=FEW_ROUNDS, digits=None
+    )
+    return rounded_all(found, 6)
+
+
 @query
 def per_series_summary(spark, folder):
     found = per_series.evaluate_each(user_forecast(spark, folder), features=USER_FEATURES)
