@@ -211,18 +211,20 @@ def _duck_text(text: str) -> str:
     return text.replace("\\", "\\").replace("'", "''")
 
 
+#: The twin's own patterns, for pages as the tables hold them: closed markup, double quotes, few references.
+WARC_NAMED = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+WARC_LINK = '(?is)<a[ \\t\\r\\n][^>]*?href="([^"]*)"'
+WARC_TITLE = "(?is)<title[^>]*>(.*?)</title>"
+WARC_COMMENT = "(?s)<!--.*?-->"
+WARC_QUIET = "(?is)" + "|".join(f"<{t}[ >].*?</{t}>" for t in warc.SILENT)
+WARC_BREAK = f"(?i)</?(?:{warc.BLOCKS})(?:[ /\\t\\r\\n][^>]*)?>"
+WARC_TAG = "</?[A-Za-z][^>]*>|<![^>]*>"
+
+
 def _duck_characters(column: str) -> str:
-    number = f"regexp_extract(p, '{warc.NUMERIC}', 1)"
-    code = (
-        f"CASE WHEN {number} = '' THEN 0 WHEN lower({number}[1]) = 'x' THEN ('0x' || {number}[2:])::BIGINT"
-        f" ELSE {number}::BIGINT END"
-    )
-    sign = f"CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr(({code})::INT) ELSE chr(65533) END"
-    part = f"CASE WHEN {number} = '' THEN '&#' || p ELSE {sign} || regexp_replace(p, '{warc.NUMERIC}', '') END"
-    out = f"list_reduce([string_split({column}, '&#')[1]] || list_transform(string_split({column}, '&#')[2:], lambda p: {part}), lambda x, y: x || y)"
-    for name, char in warc.NAMED:
-        out = f"replace({out}, '{name}', '{_duck_text(char)}')"
-    return out
+    for name, char in WARC_NAMED:
+        column = f"replace({column}, '{name}', '{_duck_text(char)}')"
+    return column
 
 
 def _duck_digest(column: str) -> str:
@@ -244,12 +246,12 @@ def _warc_sql() -> str:
     line = "chr(10)"
     end = "chr(13) || chr(10)"
     blank = "[ \\t\\r\\n\\f]+"
-    text = _duck_replace(_duck_replace("payload", warc.COMMENT, "' '"), warc.QUIET, "' '")
-    text = _duck_replace(_duck_replace(_duck_replace(text, blank, "' '"), warc.BREAK, line), warc.TAG, "''")
+    text = _duck_replace(_duck_replace("payload", WARC_COMMENT, "' '"), WARC_QUIET, "' '")
+    text = _duck_replace(_duck_replace(_duck_replace(text, blank, "' '"), WARC_BREAK, line), WARC_TAG, "''")
     chars = _duck_characters("stripped")
     plain = _duck_replace(_duck_replace("called", "[ \\t\\r\\f]+", "' '"), "[ \\n]*\\n[ \\n]*", line)
     plain = _duck_replace(plain, "^[ \\n]+|[ \\n]+$", "''")
-    title = _duck_replace(_duck_characters(f"regexp_extract(payload, '{_duck_text(warc.TITLE)}', 1)"), blank, "' '")
+    title = _duck_replace(_duck_characters(f"regexp_extract(payload, '{_duck_text(WARC_TITLE)}', 1)"), blank, "' '")
     link = _duck_replace(_duck_characters("x"), "[\\r\\n]+", "' '")
     return f"""
     WITH page AS (
@@ -262,7 +264,7 @@ def _warc_sql() -> str:
         FROM page
     ), called AS (
         SELECT *, {chars} AS called, {title} AS title,
-            regexp_extract_all(payload, '{_duck_text(warc.LINK)}', 1) AS link
+            regexp_extract_all(payload, '{_duck_text(WARC_LINK)}', 1) AS link
         FROM response
     ), made AS (
         SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,

@@ -1,35 +1,47 @@
 """Derivative WARC records: metadata and plain-text conversions that refer to their responses.
 
-All work is row by row in built-in functions. A record's identifier follows from what it is made from, so
-a lost task makes the same records again.
+A page is cut at its markup once, by one pattern; its title, links and text come from the pieces. Records are
+put together in built-in functions. A record's identifier follows from what it is made from, so a lost task makes
+the same records again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import html
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glucospan.llm import chars
+
 #: Elements whose tags end a line of text, and those without text of their own.
 BLOCKS = (
     "address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|head|header|"
     "hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 )
 SILENT = ("script", "style", "noscript", "template")
-#: Named character references; the ampersand comes last.
-NAMED = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&copy;", "©"),
-    ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"),
-    ("&ndash;", "–"), ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"), ("&amp;", "&"),
-)
-NUMERIC = "^([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
-LINK = "(?is)<a[ \\t\\r\\n][^>]*?href[ ]*=[ ]*\"([^\"]*)\""
-TITLE = "(?is)<title[^>]*>(.*?)</title[ ]*>"
-COMMENT = "(?s)<!--.*?-->"
-QUIET = "(?is)" + "|".join(f"<{t}[ >].*?</{t}[ ]*>" for t in SILENT)
-BREAK = f"(?i)</?(?:{BLOCKS})(?:[ /\\t\\r\\n][^>]*)?>"
-TAG = "</?[A-Za-z][^>]*>|<![^>]*>"
+#: What follows a tag's name: a quoted value begins after an equals sign alone and may hold any sign.
+_REST = r"""(?:[^>=]++|=[ \t\r\n\f]*+(?:"[^"]*+"|'[^']*+')?+)*+(?:>|\Z)"""
+_EDGE = r"(?=[ \t\r\n\f/>]|\Z)"
+#: One piece of markup. What is not closed reaches to the end of the page, so that a page is read once.
+MARKUP = re.compile(
+    rf"<!--.*?(?:-->|\Z)"
+    rf"|<(?P<silent>{'|'.join(SILENT)}){_EDGE}{_REST}.*?(?:</(?P=silent){_EDGE}[^>]*+(?:>|\Z)|\Z)"
+    rf"|<title{_EDGE}{_REST}(?P<title>.*?)(?:</title{_EDGE}[^>]*+(?:>|\Z)|\Z)"
+    rf"|</?(?P<name>[A-Za-z][^ \t\r\n\f/>]*+)(?P<rest>{_REST})"
+    r"|<[!?/][^>]*+(?:>|\Z)",
+    re.S | re.I,
+)
+BLOCK = re.compile(f"(?:{BLOCKS})", re.I)
+ATTRIBUTE = re.compile(
+    r"""([^ \t\r\n\f/>=]+)[ \t\r\n\f]*(?:=[ \t\r\n\f]*(?:"([^"]*)"|'([^']*)'|([^ \t\r\n\f>]*)))?"""
+)
+#: References in attributes: without their semicolon they end where no letter, digit or equals sign follows.
+IN_VALUE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*(?:;|(?![=A-Za-z0-9])))")
+SPACE = re.compile(r"[ \t\r\n\f]+")
 END = "\r\n"
 
 
@@ -56,33 +68,58 @@ def identifier(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), cut, F.lit(">"))
 
 
-def characters(text: Column) -> Column:
-    """Character references replaced: numeric ones first, then the named. What is no character becomes U+FFFD."""
-    def one(part: Column) -> Column:
-        number = F.regexp_extract(part, NUMERIC, 1)
-        hexadecimal = F.lower(F.substring(number, 1, 1)) == "x"
-        code = F.when(hexadecimal, F.conv(F.regexp_replace(number, "^[xX]", ""), 16, 10)).otherwise(number).cast("int")
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        sign = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
-        rest = F.regexp_replace(part, NUMERIC, "")
-        return F.when(number == "", F.concat(F.lit("&#"), part)).otherwise(F.concat(sign, rest))
+def _link(rest: str) -> str | None:
+    """The first href among a tag's attributes, as an address: no white space around it, no line breaks in it."""
+    for name, double, single, bare in ATTRIBUTE.findall(rest):
+        if name.lower() == "href":
+            value = double or single or bare
+            if "&" in value:
+                value = IN_VALUE.sub(lambda m: html.unescape(m[0]), value)
+            return re.sub("[\t\r\n]+", "", value.strip(" \t\r\n\f"))
+    return None
 
-    def joined(parts: Column) -> Column:
-        return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, 1 << 30), one), ""))
 
-    text = once(F.split(text, "&#"), joined)
-    for name, sign in NAMED:
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    return text
+def extract(page: str) -> tuple[str, list[str], str]:
+    """The title, the links in their order and the visible text of a page.
 
-
-def plain_text(html: Column) -> Column:
-    """The visible text: a line for each block element, single spaces, no empty lines."""
-    text = F.regexp_replace(F.regexp_replace(html, COMMENT, " "), QUIET, " ")
-    text = F.regexp_replace(F.regexp_replace(text, "[ \\t\\r\\n\\f]+", " "), BREAK, "\n")
-    text = characters(F.regexp_replace(text, TAG, ""))
-    text = F.regexp_replace(F.regexp_replace(text, "[ \\t\\r\\f]+", " "), "[ \\n]*\\n[ \\n]*", "\n")
-    return F.regexp_replace(text, "^[ \\n]+|[ \\n]+$", "")
+    The text has a line for each block element, single spaces and no empty lines. Scripts, styles, templates and
+    comments have no text, also where they are not closed. Character references are replaced once.
+    """
+    title, links, parts, at = None, [], [], 0
+
+    def add(text: str) -> None:
+        text = SPACE.sub(" ", text)
+        parts.append(html.unescape(text) if "&" in text else text)
+
+    for mark in MARKUP.finditer(page):
+        if mark.start() > at:
+            add(page[at : mark.start()])
+        at = mark.end()
+        if name := mark["name"]:
+            if BLOCK.fullmatch(name):
+                parts.append("\n")
+            elif name in ("a", "A") and page[mark.start() + 1] != "/" and (link := _link(mark["rest"])) is not None:
+                links.append(link)
+        elif (own := mark["title"]) is not None:
+            title = own if title is None else title
+            parts.append("\n")
+            add(own)
+            parts.append("\n")
+        else:
+            parts.append(" ")
+    add(page[at:])
+    lines = (SPACE.sub(" ", line).strip(" ") for line in "".join(parts).split("\n"))
+    title = SPACE.sub(" ", html.unescape(title or ""))
+    return title, links, "\n".join(line for line in lines if line)
+
+
+def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with (title, links, text) instead of their last column, the payload."""
+    for batch in batches:
+        made = [extract(page or "") for page in chars.values(batch.column(batch.num_columns - 1))]
+        columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.string(), pa.list_(pa.string()), pa.string()))]
+        names = [*batch.schema.names[:-1], "title", "links", "text"]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=names)
 
 
 def responses(pages: DataFrame, date: str) -> DataFrame:
@@ -112,16 +149,16 @@ def derivatives(records: DataFrame) -> DataFrame:
     links in their order; a conversion's block is the text. ``records``: as ``responses`` makes them; other columns
     are ignored, nulls count as empty, a null target leaves its header line out.
     """
-    r = records.select(
-        "key", "record_id", "target_uri", "date",
-        F.coalesce("http", F.lit("")).alias("http"), F.coalesce("payload", F.lit("")).alias("payload"), "payload_digest",
-    )
-    title = F.regexp_replace(characters(F.regexp_extract("payload", TITLE, 1)), "[ \\t\\r\\n\\f]+", " ")
-    links = F.transform(F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), F.regexp_replace(characters(x), "[\\r\\n]+", " "), F.lit(f" L a/@href{END}")))
-    kept = F.regexp_replace(F.regexp_replace("http", "(\\r\\n)+$", ""), "(^|\\r\\n)", "$1source-http: ")
+    named = ["key", "record_id", "target_uri", "date", "http", "payload_digest"]
+    r = records.select(*named, F.col("payload").cast("string"))
+    schema = ", ".join(f"{n} {records.schema[n].dataType.simpleString()}" for n in named)
+    r = r.mapInArrow(_extracted, f"{schema}, title string, links array<string>, text string")
+    http = F.coalesce("http", F.lit(""))
+    links = F.transform("links", lambda x: F.concat(F.lit("outlink: "), x, F.lit(f" L a/@href{END}")))
+    kept = F.regexp_replace(F.regexp_replace(http, "(\\r\\n)+$", ""), "(^|\\r\\n)", "$1source-http: ")
     metadata = F.concat(
         kept, F.lit(f"{END}source-payload-digest: "), F.coalesce("payload_digest", F.lit("")),
-        F.lit(f"{END}title: "), title, F.lit(END), F.array_join(links, ""),
+        F.lit(f"{END}title: "), F.col("title"), F.lit(END), F.array_join(links, ""),
     )
 
     def record(kind: str, content: str, block: Column) -> Column:
@@ -129,7 +166,7 @@ def derivatives(records: DataFrame) -> DataFrame:
 
     made = F.array(
         record("metadata", "application/warc-fields", metadata),
-        record("conversion", "text/plain", plain_text(F.col("payload"))),
+        record("conversion", "text/plain", F.col("text")),
     )
     each = r.withColumn("_made", F.explode(made)).select("*", "_made.*").drop("_made")
     each = each.withColumns(
