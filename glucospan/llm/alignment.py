@@ -19,13 +19,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glucospan.llm import chars, wordcache
-from glucospan.llm.merging import byte_names
+from glucospan.llm import chars
+from glucospan.llm.bpe import sliced_ids
+from glucospan.llm.merging import byte_names, merge_file_encoder
 from glucospan.storage import stored
 
 #: Successive ends of one text that are searched one after the other; the runs are searched side by side.
@@ -58,7 +60,7 @@ def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 @functools.cache
-def _byte_level(path: str) -> Vocabulary:
+def _byte_level(path: str):
     with open(path, encoding="utf-8") as file:
         data = json.load(file)
     byte = {name: b for b, name in byte_names().items()}
@@ -67,7 +69,7 @@ def _byte_level(path: str) -> Vocabulary:
         tokens[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
     for token in data["added_tokens"]:
         tokens[token["id"]] = token["content"].encode()
-    return Vocabulary.of(tokens)
+    return merge_file_encoder(path), Vocabulary.of(tokens)
 
 
 @functools.cache
@@ -162,7 +164,8 @@ def align(ids_a: list[np.ndarray], ids_b: list[np.ndarray], a_length: np.ndarray
         link.append(np.stack(pairs[1]))
     none = np.zeros((2, 0), np.int64)
     last, link = (np.concatenate([none, *x], axis=1) for x in (last, link))
-    last, link = last[:, np.argsort(last[0])], link[:, np.lexsort((link[1], link[0]))]
+    # Both sides' lists rise already; texts of either side take turns.
+    last, link = (x[:, np.argsort(x[0], kind="stable")] for x in (last, link))
     return Aligned(a, b, a_cuts, b_cuts, last[0], last[1], link[0], link[1])
 
 
@@ -173,10 +176,16 @@ def _names(a_size: int, b_size: int) -> np.ndarray:
     return np.array([f"{i}{sign}" for size, sign in sides for i in range(size)], object)
 
 
+def _before(places: np.ndarray, size: int) -> np.ndarray:
+    """How many of the places lie before each place."""
+    marks = np.zeros(size + 1, np.int64)
+    marks[places + 1] = 1
+    return np.cumsum(marks)[:size]
+
+
 def spelled(x: Aligned, a_size: int, b_size: int) -> list[str]:
     """Each text's groups as ``a1,a2|b1;a3|b2,b3``."""
-    a_group = np.searchsorted(x.a_last, np.arange(len(x.a)))
-    b_group = np.searchsorted(x.b_last, np.arange(len(x.b)))
+    a_group, b_group = _before(x.a_last, len(x.a)), _before(x.b_last, len(x.b))
     codes = np.empty(len(x.a) + len(x.b), np.int64)
     code_a, code_b = x.a.copy(), x.b + 2 * a_size
     code_a[x.a_last] += a_size
@@ -192,21 +201,24 @@ class Tokens:
     """Both tokenizers' ids of texts with a space before them."""
 
     def __init__(self, byte_level: str, pieces: str):
-        self.cached, self.a = wordcache.cached(byte_level, True), _byte_level(byte_level)
+        self.encoder, self.a = _byte_level(byte_level)
         self.model, self.b = _pieces(pieces)
 
     def ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """None at all for a text that is empty or whose tokens' bytes are not those of the text."""
-        none = np.zeros(0, np.uint32)
-        left = self.cached.encode([" " + t if t else "" for t in texts])
-        right = [np.array(x, np.uint32) for x in self.model.encode(texts, num_threads=1)]
-        for i, text in enumerate(texts):
-            want = (" " + text).encode()
-            if not text or self.a.bytes(left[i]) != want or self.b.bytes(right[i]) != want:
-                left[i] = right[i] = none
+        spaced = [" " + t if t else "" for t in texts]
+        left = sliced_ids(spaced, self.encoder)
+        right = [np.array(x, np.int32) for x in self.model.encode(texts, num_threads=1)]
+        wanted = [t.encode() for t in spaced]
+        whole = b"".join(wanted)
+        if any(vocabulary.bytes(np.concatenate([_NONE, *ids])) != whole for vocabulary, ids in ((self.a, left), (self.b, right))):
+            for i, want in enumerate(wanted):
+                if self.a.bytes(left[i]) != want or self.b.bytes(right[i]) != want:
+                    left[i] = right[i] = _NONE
         return left, right
 
 
+_NONE = np.zeros(0, np.int32)
 STORED = (
     "kind int, chunk long, key long, n long, doc_id long, n_a long, n_b long, n_groups long, n_links long, "
     "groups_sha256 string, links binary"
@@ -224,7 +236,12 @@ class _Chunk:
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(k) for k in self.keys], np.int64)
-        keys, which, count = np.unique(np.concatenate(self.keys), return_inverse=True, return_counts=True)
+        which, keys = pd.factorize(np.concatenate(self.keys))
+        order = np.argsort(keys)
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        keys, which = keys[order], rank[which]
+        count = np.bincount(which, minlength=len(keys))
         yield _rows(len(keys), {"kind": np.zeros(len(keys), np.int32), "chunk": np.full(len(keys), self.number), "key": keys, "n": count})
         which, links = which.astype("<u4"), []
         for end, size in zip(np.cumsum(sizes), sizes):

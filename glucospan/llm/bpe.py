@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glucospan.llm import chars
-from glucospan.llm.merging import rank_encoder, rank_file
+from glucospan.llm.merging import SliceEncoder, rank_encoder, rank_file
 from glucospan.llm.pretokens import BYTE_LEVEL
 
 
@@ -35,12 +35,17 @@ def _bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def ids_of(texts: list[str], path: str) -> list[np.ndarray]:
     """The ids of each text."""
+    return sliced_ids(texts, _encoder(path))
+
+
+def sliced_ids(texts: list[str], encoder: SliceEncoder) -> list[np.ndarray]:
+    """The ids of each text: its slices by the byte-level rule, one after the other."""
     c = chars.chars(texts)
     begin = np.flatnonzero(BYTE_LEVEL.starts(c))
     stop = np.append(begin[1:], len(c.codes))
     visible = c.codes[begin] != chars.SEPARATOR
     begin, stop = begin[visible], stop[visible]
-    ids, counts = _encoder(path).encode(c, begin, stop)
+    ids, counts = encoder.encode(c, begin, stop)
     upto = np.append(0, np.cumsum(counts))
     cuts = upto[np.searchsorted(begin, np.append(c.starts, len(c.codes)))]
     return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
