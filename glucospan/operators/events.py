@@ -1,29 +1,31 @@
-"""Effects of events on samples: trailing sums and decaying responses.
+"""Effects of events on samples: trailing sums and decaying responses, by addition alone.
 
-Nothing here pairs events with samples, and an event does not spread over the slices it lasts for. Its
-phases begin and end as two changes of a total, and every sample needs the total at its time:
+Nothing here pairs events with samples, and nothing is taken away again when an effect ends: a difference
+would leave the rounding error of a large effect in every later value. An effect is in force over stretches
+of time (``Phase``), and its share of the response at any later time follows from two numbers by a rule
+that only adds (``Fade``). Effects of one stretch add up as soon as they are brought to one time.
 
-* inside a slice, a running sum over changes and samples;
-* before the slice, but in its block of slices: a running sum over the slice table;
-* before the block: the totals of earlier blocks, brought to this block's clock (``Carry``).
+* The slices that a stretch covers from end to end are split into aligned runs of 1, 2, 4, ... slices, a
+  segment tree over the time axis: the effects of a run add up map-side, and a slice reads its few runs.
+* In the slices where it begins or ends it meets the samples in one task, in a segment tree over them.
 
-A slice follows the density of the data; a block follows the kernel alone and is as long as the
-exponentials in it stay in the range of a double. Changes are added up map-side, so the tables hold at
-most one row per change, whatever the length of an effect.
+So an effect costs the logarithm of the slices it lasts for, a sample the logarithm of its slice's samples.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glucospan.functions.text import nan_to_null
 from glucospan.operators.slices import (
     MINUTE_US,
-    SERIES_KEY,
     SLICE,
     US,
     measured_width,
@@ -34,26 +36,41 @@ from glucospan.operators.slices import (
 )
 from glucospan.operators.sums import window_sums
 
-START = "_start_minutes"  # event time in minutes since the start of the block at hand
-# Above this exponent the scaled amounts of a block would leave the range of a double; below the
-# negative one a term is zero in a double.
-MAX_EXPONENT, ZERO_EXPONENT = 300.0, 750.0
+
+@dataclass(frozen=True)
+class Fade:
+    """What becomes of an effect (u, v) as it ages: v is its response.
+
+    u decays at the rate ``decay`` a minute and feeds v, which decays as well: by the age in minutes if
+    ``onset`` is None, else towards u at the rate ``onset``.
+    """
+
+    decay: float
+    onset: float | None = None
+
+    def columns(self, u: Column, v: Column, age: Column) -> tuple[Column, Column]:
+        keep = F.exp(-age * self.decay)
+        if self.onset is None:
+            return u * keep, (v + u * age) * keep
+        return u * keep, (v * F.exp(-age * self.onset) - u * F.expm1(-age * self.onset)) * keep
+
+    def arrays(self, u: np.ndarray, v: np.ndarray, age: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = np.exp(-age * self.decay)
+        if self.onset is None:
+            return u * keep, (v + u * age) * keep
+        return u * keep, (v * np.exp(-age * self.onset) - u * np.expm1(-age * self.onset)) * keep
 
 
 @dataclass(frozen=True)
 class Phase:
-    """``amounts`` are in force from ``begin_us`` past the event until just before ``end_us``, or for
-    good if that is None. An amount may use ``START``."""
+    """An effect is (``u``, ``v``) at ``begin_us`` past its event and in force until just before ``end_us``, or
+    for good if that is None."""
 
     begin_us: Column
     end_us: Column | None
-    amounts: dict[str, Column]
-
-
-BLOCK = "_kernel_block"
-
-#: Amount of an earlier block (its totals as a struct) on the clock of a block that starts so many minutes later.
-Carry = Callable[[Column, Column], Column]
+    u: Column
+    v: Column
+    fade: Fade
 
 
 def in_force(
@@ -64,126 +81,201 @@ def in_force(
     event_time: str,
     *,
     phases: Sequence[Phase],
-    carries: dict[str, Carry],
-    fastest: float,
-    slowest: float,
+    longest_us: int | None,
     width_us: int,
+    out: str,
 ) -> DataFrame:
-    """Add to each sample the total of every amount in force, how many phases are (``_live``), and
-    its own time in minutes since the start of its block (``_now_minutes``).
+    """Add to each sample with a time the sum ``out`` of the responses in force at it.
 
-    ``fastest`` and ``slowest`` are the rates (per minute) between which the amounts of ``carries``
-    fade; an amount without carry does not fade.
+    ``longest_us``: no phase is longer; None if they have no end.
     """
-    names = list(dict.fromkeys(name for phase in phases for name in phase.amounts))
-    block_us = max(1, int(MAX_EXPONENT / fastest * MINUTE_US))
-    slices_per_block = -(-block_us // width_us)
-    width_us = max(1, block_us // slices_per_block)
-    block_us = width_us * slices_per_block
-    block_minutes = block_us / MINUTE_US
-    start_us = F.col(BLOCK) * F.lit(block_us)
-
-    def amount(name: str) -> Column:
-        chosen = F.lit(None).cast("double")
-        for number, phase in enumerate(phases):
-            if name in phase.amounts:
-                chosen = F.when(F.col("_phase") == number, phase.amounts[name]).otherwise(chosen)
-        return F.coalesce(chosen, F.lit(0.0))
-
-    spans = F.array(*[
+    stretches = F.array(*[
         F.struct(
             F.lit(number).alias("_phase"),
             (F.col("_event_us") + phase.begin_us).cast("bigint").alias("_from"),
-            (F.col("_event_us") + (F.lit(None) if phase.end_us is None else phase.end_us)).cast("bigint").alias("_to"),
+            (F.lit(None) if phase.end_us is None else F.col("_event_us") + phase.end_us).cast("bigint").alias("_to"),
+            phase.u.cast("double").alias("_u"),
+            phase.v.cast("double").alias("_v"),
         )
         for number, phase in enumerate(phases)
-    ])
-    ends = F.array(
-        F.struct(F.col("_from").alias(US), F.lit(1).cast("bigint").alias("_live")),
-        F.struct(F.col("_to").alias(US), F.lit(-1).cast("bigint").alias("_live")),
-    )
-    changes = (
+    ])
+    fades = [phase.fade for phase in phases]
+    probes = sliced(samples, sample_time, width_us)
+    probes = probes.select(*series, SLICE, US, F.struct(*samples.columns).alias("_sample"))
+    # What has no end lasts until the last sample.
+    last = samples.agg(F.max(micros(sample_time))).first()[0]
+    if longest_us is None:
+        began = events.agg(F.min(micros(event_time))).first()[0]
+        longest_us = 0 if last is None or began is None else max(0, last - began)
+    levels = (longest_us // width_us + 1).bit_length()
+    effects = (
         events.where(F.col(event_time).isNotNull())
         .withColumn("_event_us", micros(event_time))
-        .select("*", F.inline(spans))
-        .where(F.col("_to").isNull() | (F.col("_to") > F.col("_from")))
-        .select("*", F.inline(ends))
-        .where(F.col(US).isNotNull())
-        .withColumn(BLOCK, slice_of(F.col(US), block_us))
-        .withColumn(START, (F.col("_event_us") - start_us) / F.lit(MINUTE_US))
-        .select(
-            *series,
-            BLOCK,
-            slice_of(F.col(US), width_us).alias(SLICE),
-            US,
-            "_live",
-            *[(amount(n) * F.col("_live")).alias(n) for n in names],
-        )
-    )
-    probes = (
-        sliced(samples, sample_time, width_us)
-        .withColumn(BLOCK, slice_of(F.col(US), block_us))
-        .select(*series, BLOCK, SLICE, US, F.struct(*samples.columns).alias("_sample"))
+        .select(*series, F.inline(stretches))
+        .withColumn("_to", F.least(F.coalesce("_to", F.lit(2**62)), F.lit(None if last is None else last + 1).cast("bigint")))
+        .where(F.col("_to") > F.col("_from"))
+        .withColumn("_first", slice_of(F.col("_from"), width_us))
+        .withColumn("_last", slice_of(F.col("_to") - 1, width_us))
     )
-
-    summed = ["_live", *names]
-    zero = {n: F.lit(0).cast("bigint") if n == "_live" else F.lit(0.0) for n in summed}
-    table = (
-        changes.drop(US)
-        .unionByName(probes.drop(US, "_sample").distinct(), allowMissingColumns=True)
-        .groupBy(F.struct(*series).alias(SERIES_KEY), BLOCK, SLICE)
-        .agg(*[F.coalesce(F.sum(n), zero[n]).alias(n) for n in summed])
-    )
-    blocks = Window.partitionBy(SERIES_KEY).orderBy(BLOCK)
-    # Earlier blocks than these add nothing to a double; their number depends on the rates alone.
-    reach = int(ZERO_EXPONENT / (slowest * block_minutes)) + 1
-    recent = F.collect_list(F.struct(BLOCK, *names)).over(blocks.rangeBetween(-reach, -1))
-    past = blocks.rowsBetween(Window.unboundedPreceding, -1)
-
-    def carried(name: str) -> Column:
-        def add(total: Column, item: Column) -> Column:
-            age = (F.col(BLOCK) - item[BLOCK]) * F.lit(block_minutes)
-            return total + carries[name](item, age)
-
-        if name not in carries:
-            return F.coalesce(F.sum(name).over(past), zero[name])
-        return F.aggregate("_recent", F.lit(0.0), add)
-
-    before_block = (
-        table.groupBy(SERIES_KEY, BLOCK)
-        .agg(*[F.sum(n).alias(n) for n in summed])
-        .withColumn("_recent", recent)
-        .select(SERIES_KEY, BLOCK, *[carried(n).alias(f"_before_{n}") for n in summed])
-    )
-    in_block = Window.partitionBy(SERIES_KEY, BLOCK).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    standing = (
-        table.withColumns({n: F.coalesce(F.sum(n).over(in_block), zero[n]) for n in summed})
-        .join(before_block, [SERIES_KEY, BLOCK])
-        .select(
-            f"{SERIES_KEY}.*",
-            BLOCK,
-            SLICE,
-            (F.col(SLICE) * F.lit(width_us)).alias(US),
-            *[(F.col(n) + F.col(f"_before_{n}")).alias(n) for n in summed],
-        )
-    )
-    # The frame goes by value, so at equal times every change counts before a sample reads it.
-    upto = (
-        Window.partitionBy(*series, SLICE)
-        .orderBy(US)
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        probes.unionByName(changes, allowMissingColumns=True)
-        .unionByName(standing, allowMissingColumns=True)
-        .withColumns({n: F.sum(n).over(upto) for n in summed})
-        .where(F.col("_sample").isNotNull())
-        .select(
-            "_sample.*",
-            ((F.col(US) - start_us) / F.lit(MINUTE_US)).alias("_now_minutes"),
-            *[F.coalesce(F.col(n), zero[n]).alias(n) for n in summed],
+    begins = effects.withColumn(SLICE, F.col("_first"))
+    ends = effects.where(F.col("_last") > F.col("_first")).withColumn(SLICE, F.col("_last"))
+    start = F.col(SLICE) * F.lit(width_us)
+    ends = _aged(ends, fades, start).withColumn("_from", start)
+    columns = [*series, SLICE, "_phase", "_from", "_to", "_u", "_v"]
+    standing = _standing(effects, probes, series, fades, width_us, levels).select(*columns)
+    local = begins.select(*columns).unionByName(ends.select(*columns)).unionByName(standing)
+    rows = probes.withColumn("_from", F.col(US)).unionByName(local, allowMissingColumns=True).drop(US)
+    placed = rows.repartition(*series, SLICE).sortWithinPartitions(*series, SLICE, "_from")
+    keyed = placed.select(F.xxhash64(*series).alias("_key"), *series, SLICE, "_from", "_to", "_phase", "_u", "_v", "_sample")
+    schema = T.StructType([placed.schema["_sample"], T.StructField(out, T.DoubleType())])
+    return keyed.mapInArrow(_responses(len(series), fades, out), schema).select("_sample.*", out)
+
+
+def _aged(effects: DataFrame, fades: Sequence[Fade], until: Column) -> DataFrame:
+    """The effects at a time after ``_from``."""
+    age = (until - F.col("_from")) / F.lit(MINUTE_US)
+    u, v = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for number, fade in enumerate(fades):
+        mine = F.col("_phase") == number
+        later = fade.columns(F.col("_u"), F.col("_v"), age)
+        u, v = F.when(mine, later[0]).otherwise(u), F.when(mine, later[1]).otherwise(v)
+    return effects.withColumns({"_u": u, "_v": v})
+
+
+def _runs(first: Column, last: Column) -> Column:
+    """The aligned runs (level, number) that make up the slices from ``first`` to ``last``; none if there are none.
+
+    From below, a run is taken where the stretch begins with a right half or ends with a left half.
+    """
+    nothing = F.array().cast("array<struct<level:int,run:bigint>>")
+    state = F.struct(first.alias("low"), (last + 1).alias("high"), nothing.alias("runs"))  # high is not in
+
+    def run(level: Column, number: Column) -> Column:
+        return F.struct(level.cast("int").alias("level"), number.alias("run"))
+
+    def step(state: Column, level: Column) -> Column:
+        low, high = state["low"], state["high"]
+        left = (low < high) & (F.pmod(low, F.lit(2)) == 1)
+        low = F.when(left, low + 1).otherwise(low)
+        right = (low < high) & (F.pmod(high, F.lit(2)) == 1)
+        high = F.when(right, high - 1).otherwise(high)
+        found = F.concat(
+            state["runs"],
+            F.when(left, F.array(run(level, low - 1))).otherwise(nothing),
+            F.when(right, F.array(run(level, high))).otherwise(nothing),
         )
+        return F.struct(F.shiftright(low, 1).alias("low"), F.shiftright(high, 1).alias("high"), found.alias("runs"))
+
+    levels = F.sequence(F.lit(0), F.length(F.bin(F.greatest(last - first, F.lit(0)))))
+    return F.aggregate(levels, state, step, lambda state: state["runs"])
+
+
+def _standing(effects: DataFrame, probes: DataFrame, series: Sequence[str], fades: Sequence[Fade], width_us: int, levels: int) -> DataFrame:
+    """At the start of each slice with samples, the sums of the effects that cover it from end to end."""
+    start = F.expr("shiftleft(_run, _level)") * F.lit(width_us)
+    inner = effects.where(F.col("_last") - F.col("_first") > 1)
+    spread = inner.select(
+        *series, "_phase", "_from", "_u", "_v", F.inline(_runs(F.col("_first") + 1, F.col("_last") - 1)).alias("_level", "_run")
     )
+    spread = spread.withColumn("_run", F.col("_run").cast("bigint"))
+    runs = _aged(spread, fades, start).groupBy(*series, "_phase", "_level", "_run").agg(F.sum("_u").alias("_u"), F.sum("_v").alias("_v"))
+    runs = runs.withColumn("_from", start)
+    key = F.struct(*series).alias("_series")
+    slices = probes.groupBy(key, SLICE).agg(F.lit(1).alias("_one")).drop("_one")
+    # Runs of more slices than the longest stretch has do not come up.
+    slices = slices.select("_series", SLICE, F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_level"))
+    slices = slices.withColumn("_run", F.expr(f"shiftright({SLICE}, _level)"))
+    read = slices.join(runs.select(key, "_phase", "_level", "_run", "_from", "_u", "_v"), ["_series", "_level", "_run"])
+    read = _aged(read, fades, F.col(SLICE) * F.lit(width_us))
+    summed = read.groupBy("_series", SLICE, "_phase").agg(F.sum("_u").alias("_u"), F.sum("_v").alias("_v"))
+    summed = summed.withColumn("_from", F.col(SLICE) * F.lit(width_us))
+    return summed.select("_series.*", SLICE, "_phase", "_from", (F.col("_from") + F.lit(width_us)).alias("_to"), "_u", "_v")
+
+
+def responses(at: np.ndarray, begin: np.ndarray, end: np.ndarray, u: np.ndarray, v: np.ndarray, fade: Fade) -> np.ndarray:
+    """The sum of the responses at rising times ``at`` of effects that are (u, v) at ``begin`` and in force before ``end``.
+
+    A segment tree over the times: an effect adds itself to the nodes that make up its times, brought to a node's
+    first time; a time adds up its nodes.
+    """
+    n = len(at)
+    low, high = np.searchsorted(at, begin), np.searchsorted(at, end)
+    size = 1 << max(0, (n - 1).bit_length())
+    first = np.zeros(2 * size, np.int64)
+    first[size : size + n] = at
+    first[size + n :] = at[-1]
+    width = size
+    while width > 1:
+        first[width // 2 : width] = first[width : 2 * width : 2]
+        width //= 2
+    sums = np.zeros((2, 2 * size))
+    low, high, live = low + size, high + size, np.flatnonzero(low < high)
+
+    def add(effect: np.ndarray, node: np.ndarray) -> None:
+        later = fade.arrays(u[effect], v[effect], (first[node] - begin[effect]) / MINUTE_US)
+        for total, part in zip(sums, later):
+            total += np.bincount(node, part, 2 * size)
+
+    while len(live):
+        left = live[low[live] & 1 == 1]
+        add(left, low[left])
+        low[left] += 1
+        right = live[high[live] & 1 == 1]
+        right = right[low[right] < high[right]]
+        high[right] -= 1
+        add(right, high[right])
+        low[live] >>= 1
+        high[live] >>= 1
+        live = live[low[live] < high[live]]
+    total, node = np.zeros(n), np.arange(size, size + n)
+    while node[0]:
+        total += fade.arrays(sums[0][node], sums[1][node], (at - first[node]) / MINUTE_US)[1]
+        node >>= 1
+    return total
+
+
+def _responses(keys: int, fades: Sequence[Fade], out: str):
+    """Batches of (_key, series..., slice, _from, _to, _phase, _u, _v, _sample), sorted, to (_sample, out)."""
+
+    def finished(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        if not table.num_rows:
+            return
+        batch = table.to_batches()[0]
+        column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        probe = column["_phase"].is_null().to_numpy(zero_copy_only=False)
+        if not probe.any():
+            return
+        whole = {n: column[n].fill_null(0).to_numpy(zero_copy_only=False) for n in ("_from", "_to", "_phase", "_u", "_v")}
+        at, total = whole["_from"][probe], np.zeros(int(probe.sum()))
+        for number, fade in enumerate(fades):
+            mine = ~probe & (whole["_phase"] == number)
+            if mine.any():
+                total += responses(at, *(whole[n][mine] for n in ("_from", "_to", "_u", "_v")), fade)
+        yield pa.RecordBatch.from_arrays([column["_sample"].filter(pa.array(probe)), pa.array(total)], names=["_sample", out])
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current = [], None
+        for part in parts:
+            if not part.num_rows:
+                continue
+            # A slice of a series: rows of two series can only share a hash, so their ids are compared too.
+            changes = np.zeros(part.num_rows, bool)
+            for i in range(1, keys + 2):
+                values = part.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                changes[1:] |= values[1:] != values[:-1]
+            edges = [0, *np.flatnonzero(changes).tolist(), part.num_rows]
+            for a, b in zip(edges[:-1], edges[1:]):
+                name = tuple(part.column(i)[a].as_py() for i in range(1, keys + 2))
+                if held and name != current:
+                    yield from finished(held)
+                    held = []
+                current = name
+                held.append(part.slice(a, b - a))
+        if held:
+            yield from finished(held)
+
+    return batches
 
 
 def shared_width(
@@ -237,32 +329,20 @@ def gamma_response(
     out: str = "gamma_response",
     width_us: int | None = None,
 ) -> DataFrame:
-    """Sum of amount * (d/peak) * exp(1 - d/peak) over events of age d >= 0, up to the cutoff if given.
-
-    With s the event time and t the sample time, a term is
-    exp(1 - t/p)/p * (t * m*exp(s/p) - m*s*exp(s/p)): two totals over events, then one product.
-    """
+    """Sum of amount * (d/peak) * exp(1 - d/peak) over events of age d >= 0, up to the cutoff if given."""
     width_us = width_us or shared_width(samples, events, series, sample_time, event_time)
-    scaled = F.col(amount).cast("double") * F.exp(F.col(START) / peak_minutes)
-    result = in_force(
+    value = nan_to_null(F.col(amount).cast("double"))
+    return in_force(
         samples,
-        events.withColumn(amount, nan_to_null(F.col(amount).cast("double"))).where(F.col(amount).isNotNull()),
+        events.where(value.isNotNull()),
         series,
         sample_time,
         event_time,
-        phases=[Phase(F.lit(0), _end(cutoff_minutes), {"_a": scaled, "_b": scaled * F.col(START)})],
-        carries={
-            "_a": lambda x, age: x["_a"] * F.exp(-age / peak_minutes),
-            "_b": lambda x, age: (x["_b"] - age * x["_a"]) * F.exp(-age / peak_minutes),
-        },
-        fastest=1.0 / peak_minutes,
-        slowest=1.0 / peak_minutes,
+        phases=[Phase(F.lit(0), _end(cutoff_minutes), value * (np.e / peak_minutes), F.lit(0.0), Fade(1.0 / peak_minutes))],
+        longest_us=None if cutoff_minutes is None else minutes(cutoff_minutes) + 1,
         width_us=width_us,
+        out=out,
     )
-    now = F.col("_now_minutes")
-    weight = F.exp(F.lit(1.0) - now / peak_minutes) / peak_minutes
-    total = F.when(F.col("_live") > 0, weight * (now * F.col("_a") - F.col("_b")))
-    return result.withColumn(out, F.coalesce(total, F.lit(0.0))).drop("_a", "_b", "_live", "_now_minutes")
 
 
 # Scaling of an activity by its duration (minutes at factor one, and the largest factor).
@@ -288,8 +368,7 @@ def onset_decay_response(
     """Sum of scale * (1 - exp(-d/onset)) * decay over events of age d >= 0, up to the cutoff if given.
 
     ``scale`` is intensity * min(duration / full duration, 1.6); decay is 1 while the activity lasts
-    and exp(-(d - duration)/decay) afterwards. The two stretches are two phases with two totals
-    each, all exponentials in the event time.
+    and exp(-(d - duration)/decay) afterwards: two phases.
     """
     width_us = width_us or shared_width(samples, events, series, sample_time, event_time)
     reach = _end(cutoff_minutes)
@@ -299,30 +378,19 @@ def onset_decay_response(
     if reach is not None:
         switch = F.least(switch, reach)
     scale = strength * F.least(duration / full_duration_minutes, F.lit(MAX_DURATION_FACTOR))
-    grown = F.exp(F.col(START) / onset_minutes)
-    ended = F.exp((F.col(START) + lasts) / decay_minutes)
-    result = in_force(
+    ended = switch / MINUTE_US
+    over = scale * F.exp((lasts - ended) / decay_minutes)
+    return in_force(
         samples,
         events.where(duration.isNotNull() & strength.isNotNull()),
         series,
         sample_time,
         event_time,
         phases=[
-            Phase(F.lit(0), switch, {"_s": scale, "_e": scale * grown}),
-            Phase(switch, reach, {"_p": scale * ended, "_q": scale * ended * grown}),
+            Phase(F.lit(0), switch, scale, F.lit(0.0), Fade(0.0, 1.0 / onset_minutes)),
+            Phase(switch, reach, over, -over * F.expm1(-ended / onset_minutes), Fade(1.0 / decay_minutes, 1.0 / onset_minutes)),
         ],
-        carries={
-            "_e": lambda x, age: x["_e"] * F.exp(-age / onset_minutes),
-            "_p": lambda x, age: x["_p"] * F.exp(-age / decay_minutes),
-            "_q": lambda x, age: x["_q"] * F.exp(-age / decay_minutes - age / onset_minutes),
-        },
-        fastest=1.0 / onset_minutes + 1.0 / decay_minutes,
-        slowest=1.0 / max(onset_minutes, decay_minutes),
+        longest_us=None if cutoff_minutes is None else minutes(cutoff_minutes) + 1,
         width_us=width_us,
+        out=out,
     )
-    now = F.col("_now_minutes")
-    onset = F.exp(-now / onset_minutes)
-    decay = F.exp(-now / decay_minutes)
-    total = F.col("_s") - onset * F.col("_e") + decay * (F.col("_p") - onset * F.col("_q"))
-    total = F.when(F.col("_live") > 0, total).otherwise(F.lit(0.0))
-    return result.withColumn(out, total).drop("_s", "_e", "_p", "_q", "_live", "_now_minutes")

@@ -8,8 +8,8 @@ are only added. Time is cut into slices no longer than the shortest window; for
 * values of the slice in which the window begins, from there on: each value is sent ahead by the
   window length, where it marks its own end, and a running sum over descending time adds up what
   has not ended yet;
-* values whose stay covers s from before its start to after its end: sums per slice, added up over
-  the slice table.
+* values whose stay covers s from before its start to after its end: sums per slice, added up from both
+  ends of blocks of slices.
 
 Each row is sent once per different window length, whatever number of rows a window holds. The slice
 width only moves work between tasks.
@@ -84,27 +84,52 @@ def _standing(placed: DataFrame, series: Sequence[str], lengths: dict[str, int],
     """Per slice, at its start: sums of the values that began before it and end after it.
 
     A value of slice a ends in slice a + k or a + k + 1, where k is the number of whole slices in its
-    window; it stands throughout the slices between.
+    window; it stands throughout the slices between. The k - 1 slices before a slice lie in at most two blocks of
+    k - 1 slices: the end of one and the beginning of the next, running sums within a block from either side.
+    So a slice costs the same whatever k is, and no task sees more of a series than a block.
     """
-    sums, frames = [], {}
-    order = Window.partitionBy(*series).orderBy(SLICE)
-    for name, length in lengths.items():
-        k = length // width_us
-        late = slice_of(F.col(US) + length, width_us) > F.col(SLICE) + k
-        for column, value, zero in [
-            (name, F.col(name), F.lit(0.0)),
-            (f"{name}_n", F.col(name).isNotNull().cast("long"), F.lit(0).cast("long")),
-        ]:
-            sums += [F.sum(value).alias(column), F.sum(F.when(late, value)).alias(f"_late_{column}")]
-            total = F.coalesce(F.sum(f"_late_{column}").over(order.rangeBetween(-k, -k)), zero)
-            if k > 1:
-                total = total + F.coalesce(F.sum(column).over(order.rangeBetween(1 - k, -1)), zero)
-            frames[column] = total
-    table = placed.groupBy(*series, SLICE).agg(*sums)
-    return table.select(
+    columns = {c: n for n in lengths for c in (n, f"{n}_n")}
+    counted = {c: F.col(n) if c == n else F.col(n).isNotNull().cast("long") for c, n in columns.items()}
+    late = {n: slice_of(F.col(US) + length, width_us) > F.col(SLICE) + length // width_us for n, length in lengths.items()}
+    table = placed.groupBy(*series, SLICE).agg(
+        *[F.sum(v).alias(c) for c, v in counted.items()],
+        *[F.sum(F.when(late[columns[c]], v)).alias(f"_late_{c}") for c, v in counted.items()],
+    )
+
+    def row(at: Column, block: Column | None, kind: int, values: dict[str, Column], target: bool) -> Column:
+        """At ``at``, in running order (backwards for ends of blocks), some columns' values."""
+        return F.struct(
+            F.lit(kind).alias("_kind"),
+            F.coalesce(block if block is not None else F.lit(None), at).cast("long").alias("_block"),
+            (-at if kind % 3 == 2 else at).cast("long").alias("_order"),
+            F.lit(target).alias("_target"),
+            *[values.get(c, F.lit(None)).cast("long" if c != n else "double").alias(c) for c, n in columns.items()],
+        )
+
+    rows, s = [row(F.col(SLICE), None, 0, {}, True)], F.col(SLICE)
+    for number, (name, length) in enumerate(lengths.items()):
+        k, own = length // width_us, [c for c, n in columns.items() if n == name]
+        rows.append(row(s + k, None, 0, {c: F.col(f"_late_{c}") for c in own}, False))
+        if k > 1:
+            size, sums = k - 1, {c: F.col(c) for c in own}
+            begins, ends = 3 * number + 1, 3 * number + 2
+            rows += [
+                row(s + 1, slice_of(s, size), begins, sums, False),
+                row(s, slice_of(s - 1, size), begins, {}, True),
+                row(s + size, slice_of(s, size), ends, sums, False),
+                # Where the slices before are exactly a block, its beginning is all of it.
+                F.when(F.pmod(s, F.lit(size)) != 0, row(s, slice_of(s - size, size), ends, {}, True)),
+            ]
+    spread = table.select(*series, F.inline(F.filter(F.array(*rows), lambda x: x.isNotNull())))
+    upto = Window.partitionBy(*series, "_kind", "_block").orderBy("_order").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = spread.withColumns({c: F.sum(c).over(upto) for c in columns}).where("_target")
+    found = found.withColumn(SLICE, F.when(F.col("_kind") % 3 == 2, -F.col("_order")).otherwise(F.col("_order")))
+    zero = {c: F.lit(0.0) if c == n else F.lit(0).cast("long") for c, n in columns.items()}
+    summed = found.groupBy(*series, SLICE).agg(*[F.coalesce(F.sum(c), zero[c]).alias(c) for c in columns])
+    return summed.select(
         *series,
         SLICE,
         (F.col(SLICE) * F.lit(width_us)).alias(US),
         F.lit(True).alias("_home_row"),
-        *[total.alias(column) for column, total in frames.items()],
+        *columns,
     )
