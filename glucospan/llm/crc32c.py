@@ -66,13 +66,17 @@ def spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     span = np.repeat(np.arange(len(size)), blocks)
     after = blocks[span] - 1 - (np.arange(len(span)) - first[span])
     low, columns = end[span] - BLOCK * (after + 1), np.arange(BLOCK)
-    data = data if len(data) else np.zeros(1, np.uint8)
+    # All blocks end with a span's byte; a first block begins before its span, with zeros in the place of others'.
+    padded = np.concatenate([np.zeros(BLOCK, np.uint8), data])
+    blocks_at, row = np.lib.stride_tricks.sliding_window_view(padded, BLOCK), (columns * 256).astype(np.int32)
     total = np.empty(len(span), np.uint32)
     for a in range(0, len(span), SLICE):
-        at = low[a : a + SLICE, None] + columns
-        inside = at >= begin[span[a : a + SLICE], None]
-        byte = np.where(inside, data[np.where(inside, at, 0)], 0).astype(np.int64)
-        total[a : a + SLICE] = np.bitwise_xor.reduce(place[columns * 256 + byte], axis=1)
+        some = slice(a, a + SLICE)
+        byte = blocks_at[low[some] + BLOCK]
+        short = np.flatnonzero(low[some] < begin[span[some]])
+        outside = begin[span[some]][short] - low[some][short]
+        byte[short] *= columns >= outside[:, None]
+        total[some] = np.bitwise_xor.reduce(place[byte + row], axis=1)
     total = np.bitwise_xor.reduceat(_moved(total, after, BLOCK.bit_length() - 1), first)
     start = _moved(np.full(len(size), 0xFFFFFFFF, np.uint32), size, 0)
     return total ^ start ^ np.uint32(0xFFFFFFFF)

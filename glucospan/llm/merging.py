@@ -7,6 +7,7 @@ import heapq
 import json
 
 import numpy as np
+import pandas as pd
 
 from glucospan.llm import chars
 
@@ -179,10 +180,12 @@ class SliceEncoder:
         if not len(begin):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         size = end - begin
-        keys, where, which = np.unique(c.spans_hash(begin, end, fold=False), return_index=True, return_inverse=True)
+        keys, where, which = _distinct(c.spans_hash(begin, end, fold=False))
         if len(self.hash) + len(keys) > self.limit:
             self._empty()
-        new = ~np.isin(keys, self.hash, assume_unique=True) if len(self.hash) else np.ones(len(keys), bool)
+        new = np.ones(len(keys), bool)
+        if len(self.hash):
+            new = self.hash[np.minimum(np.searchsorted(self.hash, keys), len(self.hash) - 1)] != keys
         # What shares a hash with other signs: within these texts, then with the cache.
         other = _differ(c.codes, begin, size, c.codes, begin[where[which]], size[where[which]])
         if not new.all():
@@ -223,6 +226,17 @@ class _Lists:
         return np.arange(first, len(self.begin))
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys in order, a place of each, and which one each key is."""
+    which, found = pd.factorize(keys)
+    where = np.empty(len(found), np.int64)
+    where[which] = np.arange(len(keys))
+    order = np.argsort(found)
+    rank = np.empty(len(found), np.int64)
+    rank[order] = np.arange(len(found))
+    return found[order], where[order], rank[which]
+
+
 def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All places of the spans, one span after the other."""
     ends = np.cumsum(size)
@@ -234,7 +248,9 @@ def _differ(a: np.ndarray, a_begin, a_size, b: np.ndarray, b_begin, b_size) -> n
     out = a_size != b_size
     some = np.flatnonzero(~out & ((a_begin != b_begin) | (a is not b)))
     size = a_size[some]
-    unlike = np.flatnonzero(a[_places(a_begin[some], size)] != b[_places(b_begin[some], size)])
+    step = _places(np.zeros(len(some), np.int64), size).astype(np.int32)
+    left, right = (np.repeat(x[some].astype(np.int32), size) for x in (a_begin, b_begin))
+    unlike = np.flatnonzero(a[left + step] != b[right + step])
     if len(unlike):
         out[some[np.searchsorted(np.cumsum(size), unlike, "right")]] = True
     return out

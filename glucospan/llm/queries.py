@@ -110,7 +110,7 @@ def op10_ftrl_toxicity(spark, folder):
     rows = toxicity.scored(documents, toxicity.fit(documents, taught(spark, folder)))
     return rows.select(
         "doc_id",
-        (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )

@@ -2,6 +2,9 @@
 
 Everything on the way from a text to its findings is a column expression, the forest too: the trained
 trees become nested conditions. So a scan is one pass over the texts, without a shuffle.
+
+The forest learns from labelled findings: by default from a table of cases (``CASES``), ways in which secrets
+and other long values are written, each with many values. Labels come from the cases, not from what the forest sees.
 """
 
 from __future__ import annotations
@@ -10,13 +13,13 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glucospan.storage import stored
 
 #: Words that announce a secret, and the published shapes of some providers' keys.
-ANNOUNCE = "(?i)(token|secret|passw|pwd|api_?-?key|apikey|credential|bearer|private|access_?-?key|auth)"
+ANNOUNCE = "(?i)(token|secret|passw|pwd|api_?-?key|apikey|credential|bearer|private[ _-]?key|access_?-?key|auth(?!or))"
 SHAPES = (
     "AKIA[0-9A-Z]{16}", "ASIA[0-9A-Z]{16}", "gh[pousr]_[0-9A-Za-z]{36}", "sk_live_[0-9A-Za-z]{16,}",
     "xox[abprs]-[0-9A-Za-z-]{10,}", "AIza[0-9A-Za-z_-]{35}",
@@ -39,13 +42,35 @@ RUN = f"({LEAD}|)([A-Za-z0-9+/_.~@:-]{{12,}}={{0,2}})"
 #: The end of the words before, where it announces what comes next.
 TAIL = "(?i)(?:token|secret|passw|passphrase|pwd|api[_-]?key|credential|private[_-]?key|access[_-]?key|auth|bearer)[^\\s,;]{0,64}(?:\\s(?:[=:]+>?|is|bearer|basic))*$"
 FEATURES = ("length", "transitions", "digits", "upper", "distinct", "hexadecimal", "dictionary", "paths", "own_word", "near_words", "said", "shape")
+#: The forest sees all but the last: a provider's shape is sure.
+SEEN = len(FEATURES) - 1
+#: Labelled cases: 1 for secrets. The name in braces is the kind of value that stands there (``kinds``).
+CASES = (
+    (1, "token = {hex40}"), (1, "TOKEN = {HEX40}"), (1, 'token: "{base40}"'), (1, '"token":"{hex40}"'), (1, "access_token={base24}"),
+    (1, "api_key = {hex32}"), (1, 'apikey: "{base40}"'), (1, "api-key is {base24}"), (1, "X-Api-Key: {hex32}"),
+    (1, "secret = {base40}"), (1, "client_secret={hex32}"), (1, 'SECRET_KEY = "{pass}"'), (1, "the secret is {pass}"),
+    (1, "password={pass}"), (1, "password: {pass}"), (1, "passwd = {hex18}"), (1, "pwd={pass}"), (1, "DB_PASSWORD='{pass}'"),
+    (1, "password={hex18}"), (1, "passphrase: {pass}"), (1, "password: {short}"), (1, "pwd is {short}"), (1, "login_password={short}"), (1, "Authorization: Bearer {base40}"), (1, "auth = {base24}"),
+    (1, "auth_token => {hex40}"), (1, "credential: {base40}"), (1, "private_key = {base40}"), (1, "aws_secret_access_key = {base40}"),
+    (1, "access-key: {hex32}"), (1, "bearer {hex40}"),
+    (0, "commit {hex40}"), (0, "merged as {hex40}"), (0, "sha1: {hex40}"), (0, "sha256={hex64}"), (0, "etag = {hex32}"), (0, "md5 {hex32}"),
+    (0, "checksum: {HEX40}"), (0, "digest {base40}"), (0, "blob {base24}"), (0, "at 10:00 {hex18} from"), (0, "id={uuid}"), (0, "request {uuid}"),
+    (0, "author={hex18}"), (0, "author: {hex32}"), (0, "authored {date}"), (0, "card {digits16}"), (0, "number {digits16}"), (0, "paid {digits16}"),
+    (0, "on {date}"), (0, "since {time}"), (0, "write to {mail}"), (0, "or {mail}"), (0, "see {url}"), (0, "from {ip}"), (0, "host {host}"),
+    (0, "version {version}"), (0, "in {path}"), (0, "call {phone}"), (0, "a private garden, {part}"), (0, "part {part}"),
+    (0, "the secret garden of {part}"), (0, "order={digits16}"), (0, "key {words}"), (0, "named {words}"),
+    (0, "token_url = {url}"), (0, "token expires: {time}"), (0, "tokens: {digits16}"), (0, "auth = {mail}"), (0, "password reset on {date}"),
+    (0, "password_file = {path}"), (0, "secret_version: {version}"), (0, "api_key_rotated={date}"), (0, "credential host: {host}"),
+    (0, "access_key_id: {uuid}"), (0, "secret = {words}"), (0, "auth: {url}"), (0, "private_key = {path}"),
+)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the findings of each label learnt from and ``words`` the dictionary."""
+    """``sample`` bounds the findings of each label learnt from, ``values`` those of each case, ``words`` the dictionary."""
 
     sample: int = 20_000
+    values: int = 40
     words: int = 20_000
     trees: int = 20
     depth: int = 6
@@ -84,7 +109,7 @@ def _values(word: Column, near: Column) -> Column:
 
     Each value once, with the lead of the first kind that finds it. A run holds a digit.
     """
-    told = F.concat_ws(" ", F.regexp_extract(F.substring(near, -200, 200), TAIL, 0), word)
+    told = F.concat_ws(" ", F.regexp_extract(near, TAIL, 0), word)
 
     def all_of(text: Column, pattern: str, said: int) -> Column:
         leads, values = (F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) for group in (1, 2))
@@ -102,7 +127,7 @@ def _values(word: Column, near: Column) -> Column:
 def _finding(lead: Column, value: Column, said: Column, place: Column, known: list[str]) -> Column:
     pieces = F.split(F.lower(value), "[^a-z]+")
     covered = F.aggregate(
-        F.filter(pieces, lambda p: F.array_contains(F.lit(known) if known else F.array(F.lit("")), p)),
+        F.filter(pieces, lambda p: p.isin(known)),
         F.lit(0), lambda n, p: n + F.length(p),
     )
     numbers = {
@@ -148,19 +173,45 @@ def candidates(text: Column, known: list[str]) -> Column:
     return F.element_at(F.transform(F.array(F.split(text, "\\s+")), within), 1)
 
 
-def labelled(findings: DataFrame) -> DataFrame:
-    """Add ``label`` to findings (value, near, features) by what is known for sure.
-
-    1: the shape of a provider's key, a long value near an announcing word, or a value of 8 signs or more with
-    letters and digits that such a word assigns and that is no address. 0: every other.
-    """
-    announced = F.col("features")[FEATURES.index("own_word")] + F.col("features")[FEATURES.index("near_words")] > 0
-    long = F.length("value") >= 16
-    mixed = F.col("value").rlike("[A-Za-z]") & ~F.col("value").rlike("@")
-    sure = F.col("value").rlike(EXACT)
-    said = (F.col("features")[FEATURES.index("said")] > 0) & (F.length("value") >= 8) & F.col("value").rlike("[A-Za-z]")
-    said = said & F.col("value").rlike("[0-9]") & ~F.col("value").rlike("^[^@]+@[^@]+[.][A-Za-z]+$|://")
-    return findings.withColumn("label", (sure | announced & long & mixed | said).cast("int"))
+def kinds(number: Column) -> dict[str, Column]:
+    """A value of each kind that ``CASES`` name, made from a number."""
+    sha, md5 = F.sha1(number.cast("string").cast("binary")), F.md5(number.cast("string"))
+    base = F.regexp_replace(F.base64(F.unhex(F.sha2(number.cast("string"), 256))), "[+=]", "x")
+    digits = F.lpad(F.conv(F.substring(sha, 1, 13), 16, 10), 16, "4")
+    small = F.pmod(F.xxhash64(number), F.lit(90)) + 10
+    n = small.cast("string")
+    day = F.date_format(F.date_add(F.lit("2015-01-01").cast("date"), F.pmod(F.xxhash64(number), F.lit(4000)).cast("int")), "yyyy-MM-dd")
+    name = F.translate(F.substring(md5, 1, 7), "0123456789", "ghijklmnop")
+    mark = F.substring(F.lit("!@#$%^*_"), (small % 8 + 1).cast("int"), F.lit(1))
+    return {
+        "hex18": F.substring(sha, 1, 18), "hex32": md5, "hex40": sha, "HEX40": F.upper(sha), "hex64": F.sha2(number.cast("string"), 256),
+        "base24": F.substring(base, 1, 24), "base40": F.substring(base, 1, 40), "digits16": digits,
+        "pass": F.concat(F.initcap(name), mark, F.substring(digits, 9, 4), F.substring(base, 3, 3)),
+        "short": F.concat(F.substring(name, 1, 6), n), "uuid": F.concat_ws("-", *(F.substring(md5, a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))),
+        "date": day, "time": F.concat(day, F.lit("T10:"), n, F.lit(":00Z")), "mail": F.concat(name, F.lit("."), n, F.lit("@mail.example.com")),
+        "url": F.concat(F.lit("https://www.example.com/"), name, F.lit("/"), n), "ip": F.concat(n, F.lit(".51."), n, F.lit(".173")),
+        "host": F.concat(F.lit("db-"), n, F.lit("."), name, F.lit(".example.com")), "version": F.concat(n, F.lit(".12.4-rc.1-"), name),
+        "path": F.concat(F.lit("/var/lib/"), name, F.lit("/file-"), n, F.lit(".txt")), "phone": F.concat(F.lit("+49-30-"), F.substring(digits, 9, 8)),
+        "part": F.concat(day, F.lit("-"), n, F.lit("a")), "words": F.concat(name, F.lit("-"), F.reverse(name), F.lit("-"), n),
+    }
+
+
+def labelled(spark: SparkSession, known: list[str], s: Settings = Settings()) -> DataFrame:
+    """Labelled findings (value, near, features, label): what ``candidates`` makes of each case's values."""
+    rows = []
+    for number, (label, text) in enumerate(CASES):
+        before, kind, after = text.replace("{", "\0").replace("}", "\0").split("\0")
+        rows.append((number, label, before, kind, after))
+    cases = spark.createDataFrame(rows, "number int, label int, before string, kind string, after string")
+    each = cases.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(s.values - 1))))
+    value = F.lit(None).cast("string")
+    for kind, made in kinds(F.col("number") * 1000 + F.col("i")).items():
+        value = F.when(F.col("kind") == kind, made).otherwise(value)
+    each = each.withColumn("value", value)
+    # Other words before and after, as in a text.
+    text = F.concat(F.lit("some words here "), F.col("before"), F.col("value"), F.col("after"), F.lit(" and more"))
+    found = each.withColumn("x", F.explode(candidates(text, known)))
+    return found.filter(F.col("x.value") == F.col("value")).select("x.value", "x.near", "x.features", "label")
 
 
 def forest(findings: DataFrame, s: Settings = Settings()) -> str:
@@ -168,7 +219,7 @@ def forest(findings: DataFrame, s: Settings = Settings()) -> str:
 
     Of each label ``s.sample`` findings are learnt from: distinct ones, those with the least hash; however rare a
     label is, both weigh the same. Rows with a null are left out. Findings of one label alone give that label to all,
-    and no findings give 0.
+    and no findings give 0. The last feature, a provider's shape, is not learnt from.
     """
     distinct = stored(findings.select("features", F.col("label").cast("int").alias("label")).dropna().distinct())
     least = [distinct.filter(F.col("label") == x).orderBy(F.xxhash64("features")).limit(s.sample) for x in (0, 1)]
@@ -178,7 +229,7 @@ def forest(findings: DataFrame, s: Settings = Settings()) -> str:
         rows.unpersist()
         return f"{float(next(iter(counts), 0))}D"
     weight = F.when(F.col("label") == 1, sum(counts.values()) / (2 * counts[1])).otherwise(sum(counts.values()) / (2 * counts[0]))
-    learning = rows.select(array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"), weight.alias("weight"))
+    learning = rows.select(array_to_vector(F.slice("features", 1, SEEN)).alias("features"), F.col("label").cast("double").alias("label"), weight.alias("weight"))
     model = RandomForestClassifier(numTrees=s.trees, maxDepth=s.depth, seed=s.seed, weightCol="weight").fit(learning)
     rows.unpersist()
     return "(" + " + ".join(_tree(t._call_java("rootNode")) for t in model.trees) + f") / {s.trees}D"
@@ -194,27 +245,32 @@ def _tree(node) -> str:
 
 
 def judged(df: DataFrame, probability: str, known: list[str], text: str = "text") -> DataFrame:
-    """Add ``findings``: an array of (word, value, score), of every candidate. A null text has none."""
+    """Add ``findings``: an array of (word, value, score), of every candidate. A null text has none. A column of
+    that name is replaced; others come back as they were, whatever their names."""
     found = F.coalesce(candidates(F.col(f"`{text}`"), known), F.array())
-    df = df.drop("findings").withColumn("_found", found)
-    judge = F.expr(f"transform(_found, x -> named_struct('word', x.word, 'value', x.value, 'score', {probability}))")
-    return df.withColumn("findings", judge).drop("_found")
+    own = [name for name in df.columns if name != "findings"]
+    rows = df.select(F.struct(*(F.col(f"`{n}`") for n in own)).alias("row"), found.alias("found"))
+    judge = F.expr(f"transform(found, x -> named_struct('word', x.word, 'value', x.value, 'score', {probability}))")
+    return rows.select("row.*", judge.alias("findings"))
+
 
+def learnt(df: DataFrame, known: list[str], s: Settings = Settings()) -> str:
+    """SQL for the probability of a finding in the texts of ``df``: the forest of the labelled cases.
 
-def learnt(df: DataFrame, known: list[str], s: Settings = Settings(), text: str = "text") -> str:
-    """A forest from the labelled findings of a table's own texts; what has a provider's shape is sure, whatever it says."""
-    each = df.select(F.explode(candidates(F.col(f"`{text}`"), known)).alias("x")).select("x.*")
-    return f"CASE WHEN x.features[{FEATURES.index('shape')}] = 1D THEN 1.0D ELSE {forest(labelled(each), s)} END"
+    What has a provider's shape is sure, whatever the forest says. The cases do not depend on the table, so neither
+    does the forest; findings of your own with a label go to ``forest``.
+    """
+    return f"CASE WHEN x.features[{SEEN}] = 1D THEN 1.0D ELSE {forest(labelled(df.sparkSession, known, s), s)} END"
 
 
 def redacted(df: DataFrame, probability: str, known: list[str], s: Settings = Settings(), text: str = "text") -> DataFrame:
     """The rows with every secret in the text replaced by ``[secret]``; other texts stay as they are."""
-    place = F.col(f"`{text}`")
     names = df.columns
-    rows = judged(df.withColumn("_findings", F.col("findings")) if "findings" in names else df, probability, known, text)
+    own = df.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"), F.col(f"`{text}`").alias("text"))
+    rows = judged(own, probability, known)
     secrets = F.filter("findings", lambda x: x["score"] >= s.threshold)
     # The longest first: one may be part of another.
     secrets = F.array_sort(secrets, lambda a, b: F.length(b["value"]) - F.length(a["value"]))
-    clean = F.aggregate(secrets, place, lambda t, x: F.replace(t, x["value"], F.lit("[secret]")))
-    rows = rows.withColumn(text, F.when(F.size(secrets) > 0, clean).otherwise(place)).drop("findings")
-    return rows.withColumnRenamed("_findings", "findings").select(*(F.col(f"`{n}`") for n in names))
+    clean = F.aggregate(secrets, F.col("text"), lambda t, x: F.replace(t, x["value"], F.lit("[secret]")))
+    clean = F.when(F.size(secrets) > 0, clean).otherwise(F.col("text"))
+    return rows.select(*(clean.alias(n) if n == text else F.col("row").getField(n).alias(n) for n in names))

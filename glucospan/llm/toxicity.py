@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         columns = [pa.array([model.slots.astype("<i8").tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.constant])]
         yield pa.RecordBatch.from_arrays(columns, names=["slots", "weights", "constant"])
 
-    made = rows.mapInArrow(slots, "turn long, doc_id long, toxic int, slots binary").coalesce(1)
+    made = rows.mapInArrow(slots, "turn long, doc_id long, toxic int, slots binary")
     found = made.repartition(1).mapInArrow(fitted, "slots binary, weights binary, constant double").first()
     if found is None:
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, settings.bits)

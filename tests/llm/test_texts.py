@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -44,6 +45,26 @@ def test_byte_bpe_is_tiktoken(spark):
     assert bpe.encode(table(spark, []), BYTE_BPE).count() == 0
 
 
+def complements(size):
+    """Two texts of a and b whose polynomial hashes modulo a power of two are equal, whatever the base."""
+    text = "a"
+    while len(text) < size:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text, text.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("size", [512, 1024, 4096])
+def test_slices_that_share_a_hash_keep_their_own_ids(spark, size):
+    texts = list(complements(size))
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=rank_file(BYTE_BPE), special_tokens={})
+    words = Tokenizer.from_file(WORD_BPE)
+    for some in (texts, texts[::-1], texts[1:], texts):  # beside each other, and against the cache
+        assert [x.tolist() for x in bpe.ids_of(some, BYTE_BPE)] == [known.encode_ordinary(t) for t in some]
+        assert [x.tolist() for x in packing.word_ids(some, WORD_BPE)] == [words.encode(t, add_special_tokens=False).ids for t in some]
+    rows = bpe.decode(bpe.encode(table(spark, texts).coalesce(1), BYTE_BPE), BYTE_BPE).collect()
+    assert {bytes(r.decoded).decode() for r in rows} == set(texts)
+
+
 def test_pieces_are_tokenizers_and_packed_tightly(spark):
     known = Tokenizer.from_file(WORD_BPE)
     known.encode_special_tokens = True
@@ -246,6 +267,18 @@ def test_rare_secrets_are_found(spark):
     assert secrets.forest(docs.limit(0).selectExpr("array(1D) features", "1 label")) == "0.0D"
 
 
+def test_the_forest_removes_false_positives(spark):
+    other = ["author=0123456789abcdef0123", "the private garden 2024-01-05-77a", f"commit {HEX}", "password reset on 2024-05-06-12", "token_url = https://www.site.org/a/b-17"]
+    sure = [f"token = {HEX}", "password: hunter22", "client_secret=9f86d081884c7d659a2feaa0c55ad015"]
+    docs = table(spark, [*other, *sure])
+    sql = secrets.learnt(docs, ["garden", "reset"])
+    scores = {r.doc_id: [x.score for x in r.findings] for r in secrets.judged(docs.withColumn("_found", F.lit(1)), sql, ["garden", "reset"]).collect()}
+    assert all(x < 0.5 for i in range(len(other)) for x in scores[i]) and sum(len(scores[i]) for i in range(len(other))) >= 4
+    assert all(max(scores[len(other) + i]) >= 0.5 for i in range(len(sure)))
+    learning = secrets.labelled(spark, []).groupBy("label").count().collect()
+    assert {r.label for r in learning} == {0, 1} and min(r["count"] for r in learning) > 1000
+
+
 def test_warc(spark, tmp_path):
     html = '<html><title>A &amp; B</title><script>x<p></script><p>Caf&#233; &#x41;&lt;b&gt;<br>two<a href="/l">link</a></p></html>'
     pages = spark.createDataFrame([(1, "http://a/", html), (2, None, None), (1, "http://a/", html)], "page_id long, url string, html string")
@@ -261,3 +294,65 @@ def test_warc(spark, tmp_path):
     assert "WARC-Target-URI" not in next(r.header for r in rows if r.key == 2)
     warc.write(warc.derivatives(warc.responses(pages, "2025-01-01T00:00:00Z")), str(tmp_path / "out"))
     assert zlib.crc32(b"") == 0 and list((tmp_path / "out").glob("*.gz"))
+
+
+class Reader(HTMLParser):
+    """Title, links and text of a page by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.links, self.parts, self.title, self.silent = [], [], None, 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a" and (href := dict(reversed(attrs)).get("href")) is not None:
+            self.links.append(href.strip())
+        self.silent += tag in warc.SILENT
+        self.in_title = tag == "title"
+        self.parts.append("\n" if warc.BLOCK.fullmatch(tag) else " " if tag in warc.SILENT else "")
+
+    def handle_endtag(self, tag):
+        self.silent -= tag in warc.SILENT and self.silent > 0
+        self.in_title = False
+        self.parts.append("\n" if warc.BLOCK.fullmatch(tag) else "")
+
+    def handle_comment(self, data):
+        self.parts.append(" ")
+
+    handle_decl = handle_comment
+
+    def handle_data(self, data):
+        if self.silent:
+            return
+        if getattr(self, "in_title", False) and self.title is None:
+            self.title = " ".join(data.split())
+        self.parts.append(data)
+
+    def text(self):
+        lines = (" ".join(line.split()) for line in "".join(self.parts).split("\n"))
+        return "\n".join(line for line in lines if line)
+
+
+def test_pages_read_as_by_a_parser():
+    draw = random.Random(6)
+    tags = [
+        "<p>", "</p>", "<br/>", "<b>", "</b>", "<div class='x y'>", "</div>", "<li>", "<!-- <a href='/no'> -->", "<script>var t='</p>';</script>",
+        "<style>p{margin:0}</style>", '<a href="/d">', "<a href='/s'>", "<a href=/u>", '<a\nhref\n=\n"/n">', '<A CLASS=q HREF="/c?a=1&amp;b=2">', "</a>",
+        '<a title="href=\'/no\' >">', "<a data-href='/no'>", "<a href='/first' href='/second'>",
+    ]
+    words = ["word", "&eacute;", "&rsquo;", "&#38;lt;", "&amp;amp;", "&#x41;", "&hearts;", "a < b", "5 > 4", "&copy;", "Ünder"]
+    for _ in range(400):
+        page = "<title>T &amp; &eacute;</title>" + "".join(draw.choice(draw.choice((tags, words, [" "]))) for _ in range(40))
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        assert warc.extract(page) == (reader.title, reader.links, reader.text()), page
+
+
+def test_broken_pages():
+    assert warc.extract("<p>a<script>var x = 1; <p>b") == ("", [], "a")
+    assert warc.extract("a<!-- never closed <a href='/x'>") == ("", [], "a")
+    assert warc.extract("<a href='/x'>1</a><a href=/y>2</a><a href\n=\"/z\">3</a> &#38;lt; &eacute;")[1:] == (["/x", "/y", "/z"], "123 &lt; é")
+    assert warc.extract("<title>a<b>c") == ("a<b>c", [], "a<b>c") and warc.extract("") == ("", [], "")
+    assert warc.extract("<a href='?a=1&copy=2&lt;'>")[1] == ["?a=1&copy=2<"]
+    for part in ("<a ", '<a ="x>', "<!--", "<script>", "&", "<", "<title>"):
+        warc.extract(part * 100_000)  # in a time that grows with the length

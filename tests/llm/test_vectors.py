@@ -83,3 +83,35 @@ def test_curve_visits_neighbours(axes, bits):
     place = hilbert.places(grid, bits)
     assert sorted(place) == list(range(len(grid)))
     assert (np.abs(np.diff(grid[np.argsort(place)], axis=0)).sum(1) == 1).all()
+
+
+def spread(count, width=24, seed=3):
+    draw = np.random.default_rng(seed)
+    x = draw.normal(size=(count, width))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("factor", [1, 1e3, 1e6, 1e300])
+def test_recall_holds_beside_a_long_vector(spark, factor, monkeypatch):
+    v = spread(1500)
+    v[7] *= factor
+    windows, fit = [], ann.fitting_window
+
+    def fitted(*args):
+        windows.append(fit(*args))
+        return windows[-1]
+
+    monkeypatch.setattr(ann, "fitting_window", fitted)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, "vec_id", "embedding", F.col("id") % 20 == 0, curves=32).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    hits = 0
+    for q in range(0, 1500, 20):
+        with np.errstate(over="ignore"):
+            away = np.sqrt(((v - v[q]) ** 2).sum(1))
+        away[q] = np.inf
+        hits += len(set(np.argsort(away, kind="stable")[:10].tolist()) & set(found[q]))
+    assert hits / 750 >= 0.9
+    assert 2 * 32 * windows[0] < 1.0  # distances for each query and row
