@@ -6,46 +6,71 @@ Parquet and read again as the next one's docs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glucospan.llm import jaccard, packing, queries, secrets, toxicity
 from glucospan.storage import stored
 
 
+def whole(docs: DataFrame) -> Column:
+    """A row's own columns in one struct, out of the way of any name that a stage adds."""
+    return F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("row")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below one half. A null text counts as empty, and empty texts stay."""
+    """Documents that score below one half.
+
+    A null text counts as empty, and empty texts stay, as do rows without an id. Repeated rows are judged alike;
+    extra columns come back as they were, whatever their names; an empty table stays empty.
+    """
     labels = queries.taught(spark, sf_dir)
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    rows = toxicity.scored(docs.select(whole(docs), "text"), model)
     empty = F.coalesce(F.trim("text"), F.lit("")) == ""
-    rows = toxicity.scored(docs.withColumn("_empty", empty), model)
-    return rows.filter((F.col("score") < 0.5) | F.col("_empty")).select(*docs.columns)
+    return rows.filter((F.col("score") < 0.5) | empty).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies; texts without words and rows without id stay.
+    """One document of each group of near copies: the one of least id, rows without id last.
 
-    Rows that agree in id and text are one document.
+    Texts with words are grouped by the n-gram join, rows without id too; equal texts without words, such as lines
+    of signs, are copies of each other. Null, empty and blank texts stay. Extra columns come back as they were,
+    whatever their names; an empty table stays empty.
     """
-    kept = jaccard.similar(docs.select("doc_id", "text"))
-    kept = kept.filter(F.col("class_id") == F.col("doc_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("_digest", F.md5("text"))
-    named = named.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
-    return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    rows = stored(docs.select(whole(docs), "doc_id", "text", F.monotonically_increasing_id().alias("number")))
+    groups = jaccard.similar(rows.select(F.col("number").alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias("number"), F.col("class_id").cast("string").alias("class"))
+    wordless = ~F.col("text").rlike("[\\p{L}\\p{M}\\p{N}]") & (F.trim("text") != "")
+    same = F.when(wordless, F.concat(F.lit("="), F.md5("text"))).otherwise(F.col("class"))
+    placed = rows.select("number", "doc_id", "text").join(groups, "number").select("number", "doc_id", same.alias("class"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("number")))
+    kept = placed.groupBy("class").agg(first.alias("first")).select("first.number")
+    return rows.join(kept, "number", "left_semi").select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced; ``n_chars`` follows the text where it changes."""
-    before = docs.withColumn("_before", F.col("text"))
-    rows = secrets.redacted(before, *queries.learnt_secrets(spark, sf_dir, docs))
-    changed = ~F.col("text").eqNullSafe(F.col("_before"))
-    rows = rows.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    """All documents, secrets in their texts replaced.
+
+    A column ``n_chars``, if there is one, follows the text where it changes. Null and empty texts stay as they are,
+    repeated rows are masked alike; other columns come back as they were, whatever their names.
+    """
+    rows = secrets.redacted(docs.select(whole(docs), "text"), *queries.learnt_secrets(spark, sf_dir, docs.select("text")))
+    changed = ~F.col("text").eqNullSafe(F.col("row.text"))
+    row = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        row = row.withField("n_chars", F.when(changed, length).otherwise(F.col("row.n_chars")))
+    return rows.select(row.alias("row")).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces of at most 4096 tokens with their sequence and place in it."""
-    pieces = packing.pieces(docs, queries.WORD_BPE)
+    """Every document's pieces of at most 4096 tokens with their sequence and place in it.
+
+    A null text counts as empty: one piece of the end id. Rows of one id are packed each for itself. Columns but the
+    id and the text are left out; an empty table has no pieces.
+    """
+    pieces = packing.pieces(docs.select("doc_id", "text"), queries.WORD_BPE)
     pieces = stored(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
     return packing.pack(pieces, ["doc_id", "piece", "ids_crc32"])
 
