@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -236,7 +235,8 @@ class _Chunk:
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(k) for k in self.keys], np.int64)
-        which, keys = pd.factorize(np.concatenate(self.keys))
+        coded = pa.array(np.concatenate(self.keys)).dictionary_encode()
+        which, keys = coded.indices.to_numpy(), coded.dictionary.to_numpy()
         order = np.argsort(keys)
         rank = np.empty(len(keys), np.int64)
         rank[order] = np.arange(len(keys))

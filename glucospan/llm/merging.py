@@ -7,7 +7,7 @@ import heapq
 import json
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 from glucospan.llm import chars
 
@@ -228,7 +228,8 @@ class _Lists:
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different keys in order, a place of each, and which one each key is."""
-    which, found = pd.factorize(keys)
+    coded = pa.array(keys).dictionary_encode()
+    which, found = coded.indices.to_numpy(), coded.dictionary.to_numpy()
     where = np.empty(len(found), np.int64)
     where[which] = np.arange(len(keys))
     order = np.argsort(found)
