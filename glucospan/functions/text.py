@@ -2,49 +2,29 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The timestamp spellings seen in device exports, tried in this order.
-# A single pattern letter accepts padded and unpadded numbers alike.
-TIMESTAMP_FORMATS = [
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d H:m",
-    "M/d/yyyy H:m:s",
-    "M/d/yyyy H:m",
-    "M/d/yyyy h:m:s a",
-    "M/d/yyyy h:m a",
-    "M/d/yy H:m:s",
-    "M/d/yy H:m",
-    "yyyy/M/d H:m:s",
-    "yyyy/M/d H:m",
-    "yyyy/M/d",
-    "M-d-yyyy H:m:s",
-    "M-d-yyyy H:m",
-    "M-d-yyyy",
-    "d-MMM-yyyy H:m:s",
-    "d-MMM-yyyy H:m",
-    "d-MMM-yyyy",
-    "d MMM yyyy H:m:s",
-    "d MMM yyyy H:m",
-    "d MMM yyyy",
-    "MMM d yyyy H:m:s",
-    "MMM d yyyy H:m",
-    "MMM d yyyy h:m:s a",
-    "MMM d yyyy h:m a",
-    "MMM d yyyy",
-    "yyyyMMdd HHmmss",
-    "yyyyMMdd H:m:s",
-    "yyyyMMdd H:m",
-    "yyyyMMdd",
-    "yyyy-M-d",
-    "M/d/yyyy",
-    "M/d/yy",
-]
-# Month names, of which the first three letters count.
+# Month names, of which the first three letters count, and days of the week.
 MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
+WEEKDAYS = "mon|tue|wed|thu|fri|sat|sun"
+_MONTH = rf"({MONTHS})[a-z]*\.?"
+_NTH = "(?:st|nd|rd|th)?"
+# Dates as year-month-day, month-day-year, day-month name-year, month name-day-year and eight digits.
+_DATE = "|".join([
+    r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})",
+    r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})",
+    rf"(\d{{1,2}}){_NTH}[-\s]+{_MONTH}[-\s,]+(\d{{4}})",
+    rf"{_MONTH}[-\s]*(\d{{1,2}}){_NTH}(?:\s*,\s*|[-\s]+)(\d{{4}})",
+    r"(\d{4})(\d{2})(\d{2})",
+])
+# Times with colons, a fraction and a half of the day, or as six digits; an offset is read over.
+_TIME = (
+    r"(?:(?:\s*T\s*|\s*,\s*|\s+)(?:(\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:[.,](\d{1,9}))?)?\s*([ap]m)?|(\d{2})(\d{2})(\d{2}))"
+    r"(?:\s*(?:Z|UTC|[-+]\d{2}:?\d{2}))?)?"
+)
+TIMESTAMP = rf"(?i)^\s*(?:(?:{WEEKDAYS})[a-z]*\.?\s*,?\s+)?(?:{_DATE}){_TIME}\s*$"
+_FIELDS = 23
 
 
 def numeric_clean(text: Column) -> Column:
@@ -65,44 +45,45 @@ def nan_to_null(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def parse_timestamp(text: Column, formats: list[str] | None = None) -> Column:
-    """Mixed-format timestamp without zone; text no format accepts gives NULL.
+def parse_timestamp(text: Column) -> Column:
+    """Mixed-format timestamp without zone; text of no known shape, or no real time, gives NULL.
 
-    Before the formats are tried, commas go, month names are cut to three letters, a T after a compact
-    date becomes a blank, and a fraction of a second is set aside and added to the result.
+    One pattern reads all shapes at once and lays their fields out side by side; the fields of the shape that
+    fitted are not blank. Where the month of a month-day-year date exceeds 12, day and month change places. Years of
+    two digits are of this century. Fractions count to the microsecond.
     """
-    trimmed = F.trim(text.cast("string"))
-    fraction = F.regexp_extract(trimmed, r":\d{1,2}\.(\d{1,6})", 1)
-    plain = F.regexp_replace(trimmed, r"(:\d{1,2})\.\d+", "$1")
-    plain = F.regexp_replace(plain, rf"(?i)\b({MONTHS})[a-z]*\.?", "$1")
-    plain = F.regexp_replace(F.regexp_replace(plain, r"\s*,\s*|\s+", " "), r"^(\d{8})T", "$1 ")
-    # The plain cast reads ISO text with a T, fractions or an offset. It also reads bare
-    # years, and text with a time only, so it is kept to text that starts with a full date.
-    iso = F.when(trimmed.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), trimmed.try_cast("timestamp_ntz"))
-    # A failed parse is costly, so a format is tried only on text of its shape.
-    tried = [
-        F.when(
-            plain.rlike(_shape(fmt)), F.try_to_timestamp(plain, F.lit(fmt)).cast("timestamp_ntz")
+    fields = "|".join(f"${i}" for i in range(1, _FIELDS + 1))
+    laid = F.regexp_replace(text.cast("string"), TIMESTAMP, fields)
+
+    def first(f: Column, *places: int) -> Column:
+        """The field that is not blank among some, counted from 1."""
+        return F.concat(*(f[i - 1] for i in places)) if len(places) > 1 else f[places[0] - 1]
+
+    def number(value: Column) -> Column:
+        return F.nullif(value, F.lit("")).cast("int")
+
+    def made(f: Column) -> Column:
+        year = number(first(f, 1, 6, 9, 12, 13))
+        year = F.when(F.length(f[5]) == 2, year + 2000).otherwise(year)
+        name = F.lower(first(f, 8, 10))
+        month = F.when(name != "", (F.instr(F.lit(MONTHS.replace("|", "")), name) + 2) / 3).otherwise(number(first(f, 2, 4, 14)))
+        day = number(first(f, 3, 5, 7, 11, 15))
+        turned = (f[3] != "") & (month > 12)
+        half, hour = F.lower(f[19]), F.coalesce(number(first(f, 16, 21)), F.lit(0))
+        hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
+        second = F.concat(F.lpad(first(f, 18, 23), 2, "0"), F.lit("."), F.rpad(f[18], 6, "0"))
+        return F.try_make_timestamp_ntz(
+            year,
+            F.when(turned, day).otherwise(month).cast("int"),
+            F.when(turned, month).otherwise(day).cast("int"),
+            hour,
+            F.coalesce(number(first(f, 17, 22)), F.lit(0)),
+            second.cast("decimal(8,6)"),
         )
-        for fmt in (formats or TIMESTAMP_FORMATS)
-    ]
-    part = F.concat(F.lit("0."), fraction).try_cast("decimal(8,6)")
-    seconds = F.coalesce(*tried)
-    return F.coalesce(iso, F.when(fraction == "", seconds).otherwise(seconds + F.make_dt_interval(secs=part)))
-
-
-def _shape(fmt: str) -> str:
-    """Regular expression for text that a format could read, field by field."""
-
-    def field(run: re.Match) -> str:
-        letters = run.group()
-        if letters == "a":
-            return "[AaPp][Mm]"
-        if letters == "MMM":
-            return "[A-Za-z]{3}"
-        return r"\d{1,2}" if len(letters) == 1 else rf"\d{{{len(letters)}}}"
 
-    return "^" + re.sub(r"([A-Za-z])\1*", field, fmt) + "$"
+    # Text that does not fit stays as it is, in one field. The fields are worked out once for all their uses.
+    parts = F.transform(F.array(F.split(laid, r"\|", -1)), lambda f: F.when(F.size(f) == _FIELDS, made(f)))
+    return F.element_at(parts, 1)
 
 
 def pad_id(value: Column, width: int = 3) -> Column:

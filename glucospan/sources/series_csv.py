@@ -7,7 +7,7 @@ import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glucospan.functions.text import is_event, numeric_clean, pad_id, parse_timestamp
@@ -81,9 +81,9 @@ def _files(spark: SparkSession, root: str, glob: str) -> DataFrame:
 
 
 def text_lines(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """Lines below ``root`` with their file and their position in it, from one text scan. Spark opens
+    """Records below ``root`` with their file and their position in it, from a text scan. Spark opens
     the files, so any file system it knows will do."""
-    return (
+    lines = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .text(root)
@@ -93,8 +93,50 @@ def text_lines(spark: SparkSession, root: str, glob: str) -> DataFrame:
             F.monotonically_increasing_id().alias("_row"),
             "value",
         )
-        .where(F.trim("value") != "")
     )
+    return whole_records(lines)
+
+
+def whole_records(lines: DataFrame) -> DataFrame:
+    """Lines (``_file``, ``_block``, ``_row``, ``value``) joined where a quoted cell holds line breaks; blank records go.
+
+    A line begins a record if the quotes before it in its file are even in number. Parities add up: over the lines
+    of a block, over the blocks of a file, so neither a file nor a record has to lie in one split. Only files with
+    a line of odd parity are shuffled. A file whose quotes do not close cannot be joined: its lines stay as
+    they are, with a warning.
+    """
+    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2
+    counted = lines.groupBy("_file").agg(F.max(odd).alias("most"), F.sum(odd).alias("sum")).where("most > 0")
+    files = stored(counted.select("_file", (F.col("sum") % 2 == 0).alias("_closed")))
+    broken = files.where("_closed").select("_file")
+    for row in files.where("not _closed").agg(F.count(F.lit(1)).alias("n"), F.min("_file").alias("example")).collect():
+        if row["n"]:
+            warnings.warn(f"unclosed quotes in {row['n']} files like {row['example']}", stacklevel=2)
+    nonblank = F.trim("value") != ""
+    if broken.isEmpty():
+        return lines.where(nonblank)
+    plain = lines.join(broken, "_file", "left_anti")
+    cut = lines.join(broken, "_file", "left_semi").withColumn("_odd", odd)
+    before = Window.partitionBy("_file", "_block").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("_inside", F.coalesce(F.sum("_odd").over(before), F.lit(0)) % 2)
+    # Per block: its parity, and how many lines begin a record if the quotes before the block are even or odd.
+    blocks = cut.groupBy("_file", "_block").agg(
+        F.sum("_odd").alias("odd"), F.sum(1 - F.col("_inside")).alias("even_starts"), F.sum("_inside").alias("odd_starts")
+    )
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_turned", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2)
+    starts = F.when(F.col("_turned") == 0, F.col("even_starts")).otherwise(F.col("odd_starts"))
+    blocks = blocks.withColumn("_begun", F.coalesce(F.sum(starts).over(earlier), F.lit(0)))
+    placed = cut.join(blocks.select("_file", "_block", "_turned", "_begun"), ["_file", "_block"])
+    begins = F.when(F.col("_inside") == F.col("_turned"), 1).otherwise(0)
+    upto = Window.partitionBy("_file", "_block").orderBy("_row")
+    placed = placed.withColumn("_record", F.col("_begun") + F.sum(begins).over(upto))
+    parts = F.sort_array(F.collect_list(F.struct("_block", "_row", "value")))  # the lines of one record
+    joined = placed.groupBy("_file", "_record").agg(parts.alias("parts")).select(
+        "_file", F.col("parts")[0]["_block"].alias("_block"), F.col("parts")[0]["_row"].alias("_row"),
+        F.array_join(F.transform("parts", lambda x: x["value"]), "\n").alias("value"),
+    )
+    return plain.unionByName(joined).where(nonblank)
 
 
 def file_headers(lines: DataFrame) -> DataFrame:
@@ -130,7 +172,7 @@ def split_lines(
     is_header = F.lit(False)
     for i, layout in enumerate(found):
         is_header = F.when(F.col("_layout") == i, F.col("value") == layout.line).otherwise(is_header)
-    cells = lines.join(files, "_file").where(~is_header).withColumn("_cells", F.from_csv("value", schema))
+    cells = lines.join(files, "_file").where(~is_header).withColumn("_cells", F.from_csv("value", schema, {"escape": '"', "multiLine": "true"}))
 
     def column(spellings: Sequence[str]) -> Column:
         chosen = F.lit(None).cast("string")

@@ -45,6 +45,18 @@ def test_parse_timestamp(spark):
     ]
 
 
+def test_timestamps_are_those_of_pandas(spark):
+    import pandas as pd
+
+    values = [
+        "13/01/2025 10:00", "2025-01-01 3:04 PM", "Sunday, January 5, 2025", "Sun Jan 5 2025 10:00", "1st Feb 2025", "1/2/2025 12:05 AM",
+        "1/2/2025 12:05 PM", "1/2/2025 13:05 PM", "2024-02-30", "02/29/2024", "1.2.2025 6:05", "5-Jan-2025 10:00:01.5 pm", "2025-06-07T08:09:10.123456",
+        "31/12/1999", "12/31/1999 23:59:59", "2025/13/01", "Feb 30, 2025", "2025-1-2 3:4", "June 7, 2025 8:09 pm", "0/1/2025", "1/2/2025 25:00",
+    ]
+    want = [None if pd.isna(t := pd.to_datetime(v, errors="coerce")) else t.to_pydatetime() for v in values]
+    assert column(spark, values, text.parse_timestamp) == want
+
+
 def test_ids_and_labels(spark):
     ids = ["7", "42", "123", "1234", "", "-7"]
     assert column(spark, ids, text.pad_id) == [i.zfill(3) for i in ids]

@@ -196,3 +196,31 @@ def test_valid_rows_and_fallback(spark, tmp_path):
     assert first_readable(spark, places).select("data_mode").distinct().first()[0] == "demo"
     df.write.parquet(places[0][1])
     assert first_readable(spark, places).select("data_mode").distinct().first()[0] == "full"
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    """Records as the standard library reads them, whatever lies in their quotes."""
+    import csv
+
+    header = ["Timestamp", "Dexcom GL", "Libre GL", "Meal Type", "Carbs"]
+    rows = [
+        ["01/01/2025 06:00", "100", "90", "Tea\nlate", "5"], ["01/01/2025 06:05", "101", "91", "", ""],
+        ["01/01/2025 06:10", "102", "92", 'A "big"\n\nmeal, hot\n', "7"], ["01/01/2025 06:15", "103", "93", "x", "8"],
+    ]
+    for person in (1, 2):
+        folder = tmp_path / f"Person-{person:03d}"
+        folder.mkdir()
+        with open(folder / f"Person-{person:03d}.csv", "w", newline="", encoding="utf-8") as handle:
+            csv.writer(handle).writerows([header, *(rows if person == 1 else rows[1:2])])
+    got = read_series_text(spark, str(tmp_path)).where("participant_id = '001'").orderBy("timestamp_text").collect()
+    assert [(r.timestamp_text, r.dexcom, r.libre, r.meal_type or "", r.carbs or "") for r in got] == [tuple(r) for r in rows]
+    typed = read_series(spark, str(tmp_path)).where("participant_id = '001'").orderBy("timestamp").collect()
+    assert [r.carbs for r in typed] == [5.0, None, 7.0, 8.0] and all(r.timestamp for r in typed)
+    assert read_series(spark, str(tmp_path)).count() == 5
+
+
+def test_unclosed_quotes_are_told(spark, tmp_path):
+    (tmp_path / "Person-001").mkdir()
+    (tmp_path / "Person-001" / "Person-001.csv").write_text('Timestamp,Libre GL\n01/01/2025 06:00,"9\n01/01/2025 06:05,91\n')
+    with pytest.warns(UserWarning, match="unclosed quotes in 1 files"):
+        assert read_series(spark, str(tmp_path)).count() == 2

@@ -297,6 +297,15 @@ split as (select *, rn > least(greatest(floor(c * 0.7::double), 30), c - 20) as
 EACH_BOOSTED = _boosted(LATER, "participant_id", rounds=4, leaves=4, least=5, bins=16, step=0.3, l2=0.6)
 ALL_BOOSTED = _boosted(HELD_OUT.replace(USERS, ROUNDED), "0", rounds=5, leaves=6, least=20, bins=64, step=0.2, l2=0.6)
 
+INGESTED = f"""
+with numbered as (select *, list_position(['click', 'view', 'purchase', 'signup', 'error'], event_type) as n, trunc(k) as i
+  from {EK})
+select event_id, lpad(n::varchar, 3, '0') as participant_id, date_trunc('second', ts) as timestamp, value as dexcom,
+  case when n % 2 = 1 then i end as libre, i as heart_rate, i as mets, null::double as activity_calories,
+  case when k >= 90 then i end as carbs,
+  k >= 90 or (n % 2 = 0 and k < 5) as is_event
+from numbered"""
+
 ORACLE = {
     "numeric_clean": f"select event_id, {K} as number from events",
     "numeric_clean_mixed": r"""
@@ -578,12 +587,6 @@ ORACLE = {
           count(*) filter (where mae_improvement_vs_persistence > 0) as participants_beating_persistence,
           count(*) filter (where mae_improvement_vs_persistence = 0) as participants_tying_persistence
         from gained""",
-    "ingest_lines": f"""
-        with numbered as (select *, list_position(['click', 'view', 'purchase', 'signup', 'error'], event_type) as n, trunc(k) as i
-          from {EK})
-        select event_id, lpad(n::varchar, 3, '0') as participant_id, date_trunc('second', ts) as timestamp, value as dexcom,
-          case when n % 2 = 1 then i end as libre, i as heart_rate, i as mets, null::double as activity_calories,
-          case when k >= 90 then i end as carbs,
-          k >= 90 or (n % 2 = 0 and k < 5) as is_event
-        from numbered""",
+    "ingest_lines": INGESTED,
+    "ingest_quoted": INGESTED,
 }

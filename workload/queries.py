@@ -199,6 +199,22 @@ def ingest_lines(spark, folder):
     )
 
 
+@query
+def ingest_quoted(spark, folder):
+    """The same files where some quoted cells hold line breaks and doubled quotes, cut at every line break."""
+    rows = event_lines(spark, folder)
+    marked = F.regexp_replace("value", '"Tea, late"', '"Tea\n\nwith ""milk"", late\n"')
+    spread = rows.select("_file", "_row", F.posexplode(F.split(F.regexp_replace(marked, " g, about", "\n g, about"), "\n")).alias("n", "value"))
+    # Splits of a file end anywhere, also within a record.
+    at = F.col("_row") * 16 + F.col("n")
+    lines = spread.select("_file", F.floor(at / 700).alias("_block"), at.alias("_row"), "value")
+    typed = series_csv.typed_series(series_csv.series_text(series_csv.whole_records(lines)))
+    return typed.select(
+        (F.col("_row") / 16 - 1).cast("bigint").alias("event_id"), "participant_id", "timestamp", "dexcom", "libre", "heart_rate",
+        "mets", "activity_calories", "carbs", "is_event",
+    )
+
+
 @query
 def drop_incomplete(spark, folder):
     rows = with_k(table(spark, folder, "events"))
