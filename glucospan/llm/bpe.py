@@ -114,15 +114,15 @@ def _decimals(size: int) -> np.ndarray:
     return np.array([str(i) for i in range(size)], object)
 
 
-def id_digests(df: DataFrame) -> DataFrame:
-    """Add ``ids_sha256``: of the decimal ids joined by single spaces."""
+def digests(df: DataFrame, path: str) -> DataFrame:
+    """Add ``ids_sha256``, of the decimal ids joined by single spaces, and ``decoded_sha256``, of the bytes that they
+    decode to; null ids are none. Columns of the new names are replaced."""
 
     def run(values):
-        digests = []
-        for x in chars.values(values):
-            ids = np.frombuffer(x or b"", "<u4")
-            names = _decimals(1 << max(16, int(ids.max(initial=0)).bit_length()))
-            digests.append(hashlib.sha256(" ".join(names[ids].tolist()).encode()).hexdigest())
-        yield 0, (digests,)
-
-    return _with(df, run, "ids", ids_sha256=T.StringType())
+        for at in range(0, len(values), 128):
+            found = [np.frombuffer(x or b"", "<u4") for x in values.slice(at, 128).to_pylist()]
+            names = _decimals(1 << max(16, int(max((x.max(initial=0) for x in found), default=0)).bit_length()))
+            of_ids = [hashlib.sha256(" ".join(names[x].tolist()).encode()).hexdigest() for x in found]
+            yield at, (of_ids, [hashlib.sha256(bytes_of(x, path)).hexdigest() for x in found])
+
+    return _with(df, run, "ids", ids_sha256=T.StringType(), decoded_sha256=T.StringType())

@@ -85,10 +85,7 @@ def op4_min_bin_slack(spark, folder):
 def op7_byte_level_bpe(spark, folder):
     """Every document's ids and the bytes that they decode to, as digests."""
     encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), BYTE_BPE)
-    decoded = bpe.decode(encoded.select("doc_id", "n_tokens", "ids"), BYTE_BPE)
-    return bpe.id_digests(decoded).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    return bpe.digests(encoded.select("doc_id", "n_tokens", "ids"), BYTE_BPE).drop("ids")
 
 
 @query

@@ -33,13 +33,14 @@ def test_byte_bpe_is_tiktoken(spark):
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=rank_file(BYTE_BPE), special_tokens={})
     texts = odd_texts()
     clash = table(spark, texts).withColumn("ids", F.lit(1)).withColumn("offsets", F.lit("x"))
-    rows = bpe.id_digests(bpe.decode(bpe.encode(clash, BYTE_BPE), BYTE_BPE)).collect()
+    rows = bpe.digests(bpe.decode(bpe.encode(clash, BYTE_BPE), BYTE_BPE), BYTE_BPE).collect()
     assert len(rows) == len(texts)
     for r in rows:
         text = texts[r.doc_id] or ""
         ids = known.encode_ordinary(text)
         assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.n_tokens == len(ids)
         assert bytes(r.decoded) == text.encode()
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert np.frombuffer(r.offsets, "<u4").tolist()[-1:] == ([len(text.encode())] if ids else [])
     assert bpe.encode(table(spark, []), BYTE_BPE).count() == 0
