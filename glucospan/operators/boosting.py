@@ -151,7 +151,8 @@ def best_splits(g: np.ndarray, n: np.ndarray, l2: float, least: int) -> list[tup
     total, count = g[:, :1].sum(2, keepdims=True), n[:, :1].sum(2, keepdims=True)
     left, rows = np.cumsum(g, axis=2)[:, :, :-1], np.cumsum(n, axis=2)[:, :, :-1]
     right, others = total - left, count - rows
-    gain = left * left / (rows + l2) + right * right / (others + l2) - total * total / (count + l2)
+    with np.errstate(invalid="ignore"):  # without a penalty an empty side is no number
+        gain = left * left / (rows + l2) + right * right / (others + l2) - total * total / (count + l2)
     gain = np.where((rows >= least) & (others >= least), gain, 0.0).reshape(len(g), -1)
     if not gain.shape[1]:
         return [None] * len(g)
@@ -491,13 +492,13 @@ def fit_spread(rows, known, features, target, is_test, settings: Settings, keep:
                 k = batch.column(0)[row].as_py()
                 bins = np.frombuffer(batch.column(1)[row].as_py(), np.uint8).reshape(-1, count)
                 y, now = (np.frombuffer(batch.column(i)[row].as_py()) for i in (2, 3))
-                yield k, bins, y, predict(bins, base[k] if fresh else now, past[k])
+                yield k, bins, y, predict(bins, base[k] if fresh else now, past[k]), batch.schema.field(0).type
 
     def stored_now(work: DataFrame, past: dict, fresh: bool) -> DataFrame:
         def moved(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for k, bins, y, now in blocks(parts, past, fresh):
+            for k, bins, y, now, kind in blocks(parts, past, fresh):
                 yield pa.RecordBatch.from_pydict({
-                    "_key": pa.array([k]), "bins": [bins.tobytes()], "y": [y.tobytes()], "now": [now.tobytes()],
+                    "_key": pa.array([k], kind), "bins": [bins.tobytes()], "y": [y.tobytes()], "now": [now.tobytes()],
                 })
 
         return stored(work.select("_key", "bins", "y", "now").mapInArrow(moved, f"_key {key_type}, bins binary, y binary, now binary"))
@@ -535,7 +536,8 @@ def _searched(work, blocks, exponent, growth, asked, settings, width, count, key
 
     def added(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        for k, bins, y, now in blocks(parts):
+        kind = None
+        for k, bins, y, now, kind in blocks(parts):
             if k not in slots:
                 continue
             node = np.zeros(len(y), np.int64)
@@ -555,15 +557,15 @@ def _searched(work, blocks, exponent, growth, asked, settings, width, count, key
             else:
                 held[k] = sums.astype(np.int64), counts.astype(np.int64)
             if len(held) * len(slots[k]) * count * width > settings.cells:
-                yield from told(held)
+                yield from told(held, kind)
                 held = {}
-        yield from told(held)
+        yield from told(held, kind)
 
-    def told(held: dict) -> Iterator[pa.RecordBatch]:
+    def told(held: dict, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         for k, (sums, counts) in held.items():
             nodes = [v for v in slots[k] for _ in range(count)]
             yield pa.RecordBatch.from_pydict({
-                "_key": pa.array([k] * len(nodes)),
+                "_key": pa.array([k] * len(nodes), kind),
                 "node": pa.array(nodes, pa.int64()),
                 "feature": pa.array(list(range(count)) * len(slots[k]), pa.int64()),
                 "g": pa.array([x.tobytes() for x in sums.reshape(-1, width)], pa.binary()),

@@ -137,6 +137,50 @@ def test_kernels_without_cutoff(spark, width):
         assert late[i] == pytest.approx(sum(v * 1.6 * brute.onset_decay(d, 90, 20, 3000) for d, v in ages), abs=1e-6)
 
 
+@pytest.mark.parametrize("width", [slices.minutes(1) // 6, slices.minutes(7), slices.DAY_US, None])
+def test_ended_effects_leave_nothing_behind(spark, width):
+    """A huge effect that has ended, beside a small one: the small one is exact."""
+    effects = spark.createDataFrame([("a", at(0), 1e12, 0), ("a", at(100), 0.1, 1)], brute.SCHEMA).withColumn("lasts", F.lit(30.0))
+    samples = spark.createDataFrame([("a", at(m), None, m) for m in (0, 100, 120, 121, 150, 220, 221)], brute.SCHEMA)
+    gamma = events.gamma_response(samples, effects, ["s"], "ts", "ts", "v", cutoff_minutes=120, width_us=width)
+    decay = events.onset_decay_response(samples, effects, ["s"], "ts", "ts", "lasts", "v", cutoff_minutes=120, width_us=width)
+    got = {r["row"]: r["gamma_response"] for r in gamma.collect()}
+    late = {r["row"]: r["onset_decay_response"] for r in decay.collect()}
+    assert got[150] == pytest.approx(0.1, rel=1e-12) and got[0] == late[0] == got[221] == late[221] == 0
+    for m in (121, 150, 220):
+        assert got[m] == pytest.approx(0.1 * brute.gamma(m - 100, 50), rel=1e-9)
+        assert late[m] == pytest.approx(0.1 * 30 / 45 * brute.onset_decay(m - 100, 30, 20, 120), rel=1e-9)
+    assert got[120] == pytest.approx(1e12 * brute.gamma(120, 50) + 0.1 * brute.gamma(20, 50), rel=1e-12)
+
+
+def test_runs_of_slices(spark):
+    """Every stretch of slices is made up of aligned runs, each slice once."""
+    import random
+
+    draw = random.Random(5)
+    ends = [(a, a + draw.randint(-3, 90)) for a in (draw.randint(-200, 10**8) for _ in range(200))] + [(0, 0), (-1, 0), (7, 6), (0, 4095)]
+    found = spark.createDataFrame(ends, "a long, b long").select("a", "b", events._runs(F.col("a"), F.col("b")).alias("runs"))
+    for r in found.collect():
+        assert sorted(i for x in r.runs for i in range(x.run << x.level, (x.run + 1) << x.level)) == list(range(r.a, r.b + 1))
+        assert len(r.runs) <= 14
+
+
+def test_windows_of_many_slices(spark):
+    """Windows of up to some hundred slices, among them gaps of empty ones."""
+    import random
+
+    draw = random.Random(8)
+    rows = [("a" if i % 3 else "b", at(draw.choice((0, 5000)) + draw.randint(0, 900)), float(draw.randint(-5, 9)), i) for i in range(150)]
+    frame = spark.createDataFrame(rows, brute.SCHEMA).repartition(3).cache()
+    cases = [(700, "sum", "both", 0.0), (33, "sum", "right", None), (121, "mean", "right", None), (3, "sum", "both", 0.0)]
+    specs = [Trailing(f"x{i}", F.col("v"), m, agg, closed, default) for i, (m, agg, closed, default) in enumerate(cases)]
+    for width in (slices.minutes(1), slices.minutes(2), slices.minutes(5)):
+        got = {r["row"]: r for r in windows.trailing(frame, ["s"], "ts", specs, width_us=width).collect()}
+        for i, case in enumerate(cases):
+            want = brute.trailing(rows, *case)
+            assert all(close(got[row][f"x{i}"], want[row]) for row in want), (width, case)
+
+
 def test_repeated_times_all_count(spark):
     t = datetime(1969, 12, 31, 23, 59)
     df = spark.createDataFrame([("a", t, 1.0, 0), ("a", t, 2.0, 1), ("a", t + timedelta(minutes=2), 4.0, 2)], brute.SCHEMA)
