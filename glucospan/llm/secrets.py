@@ -266,7 +266,7 @@ def learnt(df: DataFrame, known: list[str], s: Settings = Settings()) -> str:
 def redacted(df: DataFrame, probability: str, known: list[str], s: Settings = Settings(), text: str = "text") -> DataFrame:
     """The rows with every secret in the text replaced by ``[secret]``; other texts stay as they are."""
     names = df.columns
-    own = df.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"), F.col(f"`{text}`").alias("text"))
+    own = df.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{n}`") for n in names if n != text)).alias("row"), F.col(f"`{text}`").alias("text"))
     rows = judged(own, probability, known)
     secrets = F.filter("findings", lambda x: x["score"] >= s.threshold)
     # The longest first: one may be part of another.
