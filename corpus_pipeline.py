@@ -13,9 +13,14 @@ from glucospan.llm import jaccard, packing, queries, secrets, toxicity
 from glucospan.storage import stored
 
 
-def whole(docs: DataFrame) -> Column:
-    """A row's own columns in one struct, out of the way of any name that a stage adds."""
-    return F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("row")
+def others(docs: DataFrame) -> Column:
+    """A row's columns but the text in one struct, out of the way of any name that a stage adds."""
+    return F.struct(*(F.col(f"`{name}`") for name in docs.columns if name != "text")).alias("row")
+
+
+def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from ``row`` and ``text``."""
+    return rows.select(*(F.col("text") if n == "text" else F.col("row").getField(n).alias(n) for n in docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +31,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = queries.taught(spark, sf_dir)
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
-    rows = toxicity.scored(docs.select(whole(docs), "text"), model)
+    rows = toxicity.scored(docs.select(others(docs), "text"), model)
     empty = F.coalesce(F.trim("text"), F.lit("")) == ""
-    return rows.filter((F.col("score") < 0.5) | empty).select("row.*")
+    return restored(rows.filter((F.col("score") < 0.5) | empty), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,15 +43,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     of signs, are copies of each other. Null, empty and blank texts stay. Extra columns come back as they were,
     whatever their names; an empty table stays empty.
     """
-    rows = stored(docs.select(whole(docs), "doc_id", "text", F.monotonically_increasing_id().alias("number")))
+    wordless = ~F.col("text").rlike("[\\p{L}\\p{M}\\p{N}]") & (F.trim("text") != "")
+    same = F.when(wordless, F.md5("text")).alias("same")
+    rows = stored(docs.select(others(docs), "text", same, F.monotonically_increasing_id().alias("number")))
     groups = jaccard.similar(rows.select(F.col("number").alias("doc_id"), "text"))
     groups = groups.select(F.col("doc_id").alias("number"), F.col("class_id").cast("string").alias("class"))
-    wordless = ~F.col("text").rlike("[\\p{L}\\p{M}\\p{N}]") & (F.trim("text") != "")
-    same = F.when(wordless, F.concat(F.lit("="), F.md5("text"))).otherwise(F.col("class"))
-    placed = rows.select("number", "doc_id", "text").join(groups, "number").select("number", "doc_id", same.alias("class"))
+    placed = rows.select("number", "row.doc_id", "same").join(groups, "number")
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("number")))
-    kept = placed.groupBy("class").agg(first.alias("first")).select("first.number")
-    return rows.join(kept, "number", "left_semi").select("row.*")
+    kept = placed.groupBy(F.coalesce("same", "class").alias("class")).agg(first.alias("first")).select("first.number")
+    return restored(rows.join(kept, "number", "left_semi"), docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,13 +60,15 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A column ``n_chars``, if there is one, follows the text where it changes. Null and empty texts stay as they are,
     repeated rows are masked alike; other columns come back as they were, whatever their names.
     """
-    rows = secrets.redacted(docs.select(whole(docs), "text"), *queries.learnt_secrets(spark, sf_dir, docs.select("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("row.text"))
-    row = F.col("row").withField("text", F.col("text"))
-    if "n_chars" in docs.columns:
-        length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        row = row.withField("n_chars", F.when(changed, length).otherwise(F.col("row.n_chars")))
-    return rows.select(row.alias("row")).select("row.*")
+    if "n_chars" not in docs.columns:
+        return secrets.redacted(docs, *queries.learnt_secrets(spark, sf_dir, docs))
+    # The mask is shorter or longer than what it replaces, so a change of length alone tells nothing: compare digests.
+    rows = docs.select(others(docs), "text", F.xxhash64("text").alias("before"))
+    rows = secrets.redacted(rows, *queries.learnt_secrets(spark, sf_dir, docs))
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    changed = F.xxhash64("text") != F.col("before")
+    row = F.col("row").withField("n_chars", F.when(changed, length).otherwise(F.col("row.n_chars")))
+    return restored(rows.withColumn("row", row), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
