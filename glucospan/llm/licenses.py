@@ -50,6 +50,42 @@ NOTICES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
         "that the following conditions are met"
     ),
+    "AGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT "
+        "ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    ),
+    "LGPL-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+        "(at your option) any later version. This library is distributed in the hope that it will be useful, but "
+        "WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    ),
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "CC0-1.0": (
+        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights "
+        "to this software to the public domain worldwide. This software is distributed without any warranty."
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+        "2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "Unlicense": "This is free and unencumbered software released into the public domain",
+    "BSL-1.0": (
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at "
+        "https://www.boost.org/LICENSE_1_0.txt)"
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be "
+        "held liable for any damages arising from the use of this software. Permission is granted to anyone to use this "
+        "software for any purpose, including commercial applications, and to alter it and redistribute it freely"
+    ),
+    "BSD-3-Clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission"
+    ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
         "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
@@ -59,11 +95,13 @@ NOTICES = {
 
 @dataclass(frozen=True)
 class Settings:
-    """Any ``gram + window - 1`` words in common share a fingerprint; ``band`` words may be put in or left out."""
+    """Any ``gram + window - 1`` words in common share a fingerprint; ``band`` words may be put in or left out in one
+    place, in long templates one for every ``stretch`` words."""
 
     gram: int = 3
     window: int = 3
     band: int = 6
+    stretch: int = 4
     coverage: float = 0.8
 
 
@@ -118,28 +156,37 @@ class Index:
     def found(self, texts: list[str]) -> list[tuple[int, str, int, int, int, int, float]]:
         """(text, licence, begin, end, first word, matched words, coverage), the better of overlapping ones."""
         w = chars.words(texts)
-        hits = self.hits(w)
-        out = []
-        i = 0
-        while i < len(hits):
-            text, template, start = hits[i]
-            j = i + 1
-            # Beginnings within the band belong to one place.
-            while j < len(hits) and tuple(hits[j, :2]) == (text, template) and hits[j, 2] - hits[j - 1, 2] <= self.s.band:
-                j += 1
-            out.append((int(text), int(template), int(start), int(hits[j - 1, 2])))
-            i = j
         rows = []
-        for text, template, low, high in out:
+        for text, template, low, high, band in self._chains(self.hits(w)):
             first = int(w.first[text])
             own = w.hash[first : int(w.first[text + 1])]
-            matched, begin, end = aligned(self.words[template], own, low, high, self.s.band)
+            matched, begin, end = aligned(self.words[template], own, low, high, band)
             coverage = matched / len(self.words[template])
             if matched and coverage >= self.s.coverage:
                 span = int(w.begin[first + begin]), int(w.end[first + end])
                 rows.append((text, self.names[template], *span, begin, matched, coverage))
         return _best(rows)
 
+    def _chains(self, hits: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, template, first and last beginning, band): beginnings that can be of one notice.
+
+        What is put into a notice moves the later beginnings on, by the band at a place. Two notices begin at least
+        as far apart as the words that the coverage asks for, so a chain of beginnings is shorter than that; the same
+        beginnings may stand in the chains of two notices.
+        """
+        at, n = 0, len(hits)
+        while at < n:
+            text, template, start = (int(x) for x in hits[at])
+            size = len(self.words[template])
+            band, stop = max(self.s.band, size // self.s.stretch), at + 1
+            least = max(1, int(np.ceil(self.s.coverage * size)))
+            while stop < n and tuple(hits[stop, :2]) == (text, template):
+                if hits[stop, 2] - hits[stop - 1, 2] > band or hits[stop, 2] - start >= least:
+                    break
+                stop += 1
+            yield text, template, start, int(hits[stop - 1, 2]), band
+            at = stop
+
 
 def aligned(template: np.ndarray, own: np.ndarray, low: int, high: int, band: int) -> tuple[int, int, int]:
     """Most words in common order, with the template beginning at ``low`` to ``high``, give or take the band.
@@ -164,7 +211,8 @@ def aligned(template: np.ndarray, own: np.ndarray, low: int, high: int, band: in
                 here = max(here, row[-1], key=lambda x: (x[0], x[1]))
             row.append(here)
         best = row
-    count, first, last = max(best, key=lambda x: (x[0], x[1], -x[2]))
+    # Of equals the one nearest to where it should begin: the notices beside it have chains of their own.
+    count, first, last = max(best, key=lambda x: (x[0], -max(low - x[1], x[1] - high, 0), x[1] - x[2]))
     return count, first, last
 
 

@@ -202,7 +202,9 @@ def labelled(spark: SparkSession, known: list[str], s: Settings = Settings()) ->
     for number, (label, text) in enumerate(CASES):
         before, kind, after = text.replace("{", "\0").replace("}", "\0").split("\0")
         rows.append((number, label, before, kind, after))
-    cases = spark.createDataFrame(rows, "number int, label int, before string, kind string, after string")
+    names = ("number", "label", "before", "kind", "after")
+    cases = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(names, row))) for row in rows))
+    cases = spark.range(1).select(F.inline(cases))
     each = cases.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(s.values - 1))))
     value = F.lit(None).cast("string")
     for kind, made in kinds(F.col("number") * 1000 + F.col("i")).items():

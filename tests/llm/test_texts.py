@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from html.parser import HTMLParser
 
@@ -208,6 +209,44 @@ def test_licences(spark):
     assert licenses.scan(table(spark, []), "doc_id").count() == 0
 
 
+def test_every_planted_notice_is_found(spark):
+    """Each notice by a plain search for its words, alone, in a row, between other words and in upper case."""
+    draw = random.Random(11)
+    texts, want = [], []
+    for i in range(150):
+        parts, own = [], []
+        for _ in range(draw.randint(1, 4)):
+            parts.append(" ".join(f"filler{draw.randint(0, 999)}" for _ in range(draw.randint(0, 12))))
+            name = draw.choice(list(licenses.NOTICES))
+            notice = licenses.NOTICES[name]
+            begin = len(" ".join(parts)) + 1
+            parts.append(notice.upper() if i % 3 == 0 else notice)
+            own.append((name, begin))
+        texts.append(" ".join(parts))
+        want.append(own)
+    got = {}
+    for r in licenses.scan(table(spark, texts), "doc_id").collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for i, own in enumerate(want):
+        found = {(r.license, r.begin): r for r in got[i]}
+        for name, begin in own:
+            size = len(licenses.NOTICES[name].rstrip(".)/"))
+            assert (name, begin) in found, (texts[i], name)
+            r = found[name, begin]
+            assert abs(r.end - begin - size) <= 1 and r.coverage == 1 and r.matched == len(re.findall(r"\w+", licenses.NOTICES[name].replace("_", " ")))
+        assert len(found) == len(own)
+
+
+def test_notices_in_rows_and_with_words_put_in(spark):
+    mit, long = licenses.NOTICES["MIT"], licenses.NOTICES["MIT-text"]
+    words = long.split()
+    put_in = " ".join([*words[:30], *(f"inserted{i}" for i in range(8)), *words[30:]])
+    left_out = " ".join([*words[:20], *words[26:50], *words[53:]])
+    texts = ["\n".join([mit] * 6), put_in, left_out, f"{long} {long}", " ".join(words[: len(words) // 2])]
+    found = [(r.doc_id, r.license) for r in licenses.scan(table(spark, texts), "doc_id").collect()]
+    assert sorted(found) == [(0, "MIT")] * 6 + [(1, "MIT-text"), (2, "MIT-text"), (3, "MIT-text"), (3, "MIT-text")]
+
+
 def test_secrets(spark):
     draw = random.Random(2)
     key = lambda n: "".join(draw.choice("0123456789abcdef") for _ in range(n))
