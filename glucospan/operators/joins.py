@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glucospan.functions.text import pad_id
 from glucospan.operators.slices import global_rank
@@ -28,13 +29,19 @@ def last_per_key(static: DataFrame, key: str, position: Sequence[str | Column])
     )
 
 
-def attach_static(rows: DataFrame, static: DataFrame, key: str) -> DataFrame:
+def attach_static(rows: DataFrame, static: DataFrame, key: str, spread: int = 16) -> DataFrame:
     """Left join; unmatched series keep NULL attributes.
 
-    No broadcast is forced: Spark broadcasts the static side when its size allows, and otherwise
-    AQE splits the partition of a hot series.
+    The rows of a series are dealt over ``spread`` parts by a hash of their other columns, and each static
+    row stands in all of them, so neither a hot series nor rows without an id meet in one task. No broadcast
+    is forced: Spark broadcasts the static side when its size allows.
     """
-    return rows.join(static, key, "left")
+    rest = [F.col(f"`{f.name}`") for f in rows.schema if f.name != key and not isinstance(f.dataType, T.MapType)]
+    part = F.pmod(F.xxhash64(*rest) if rest else F.monotonically_increasing_id(), F.lit(spread)).cast("int")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
+    names = [*rows.columns, *[n for n in static.columns if n != key]]
+    joined = rows.withColumn("_spread_part", part).join(static.withColumn("_spread_part", parts), [key, "_spread_part"], "left")
+    return joined.select(*(F.col(f"`{n}`") for n in names))
 
 
 def attach_by_position(

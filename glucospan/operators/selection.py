@@ -51,19 +51,29 @@ def every_kth(
 
 
 def last_rows(
-    df: DataFrame, series: Sequence[str], time: str, count: int = 48, tiebreak: Sequence[str] = ()
+    df: DataFrame,
+    series: Sequence[str],
+    time: str,
+    count: int = 48,
+    tiebreak: Sequence[str] = (),
+    width_us: int | None = None,
 ) -> DataFrame:
-    """Last ``count`` rows of each series. Spark cuts each map task to ``count`` rows per series
-    before the shuffle, so a hot series arrives already thinned."""
-    order = Window.partitionBy(*series).orderBy(
-        F.col(time).desc(), *[F.col(name).desc() for name in tiebreak]
-    )
-    return (
-        df.where(F.col(time).isNotNull())
-        .withColumn("_rn", F.row_number().over(order))
-        .where(F.col("_rn") <= count)
-        .drop("_rn")
+    """Last ``count`` rows of each series, whatever the count.
+
+    The rows of each (series, slice) are counted map-side; the counts of later slices tell which slices can
+    hold one of the last rows. Only their rows are ranked, slice by slice, so a hot series is never in one task.
+    """
+    width_us = width_us or measured_width(df, series, time)
+    rows = sliced(df, time, width_us).withColumn(SERIES_KEY, F.struct(*series))
+    later = Window.partitionBy(SERIES_KEY).orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+    slices = rows.groupBy(SERIES_KEY, SLICE).agg(F.count(F.lit(1)).alias("_rows"))
+    slices = slices.withColumn("_later", F.coalesce(F.sum("_rows").over(later), F.lit(0)))
+    near = slices.where(F.col("_later") < count).select(SERIES_KEY, SLICE, "_later")
+    order = Window.partitionBy(SERIES_KEY, SLICE).orderBy(
+        F.col(US).desc(), *[F.col(name).desc() for name in tiebreak]
     )
+    ranked_rows = rows.join(near, [SERIES_KEY, SLICE]).withColumn("_rn", F.row_number().over(order) + F.col("_later"))
+    return ranked_rows.where(F.col("_rn") <= count).select(*(F.col(f"`{n}`") for n in df.columns))
 
 
 def one_series(df: DataFrame, series: str, wanted: str) -> DataFrame:

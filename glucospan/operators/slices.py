@@ -61,24 +61,31 @@ def measured_width(
     series: Sequence[str],
     time: str,
     *,
-    at_least_us: int = 1_000_000,
     at_most_us: int = 28 * DAY_US,
     rows_per_slice: int = 250_000,
 ) -> int:
-    """Slice width at which the densest hour of any series stays near ``rows_per_slice`` rows.
+    """Slice width at which no slice of any series has many more than ``rows_per_slice`` rows.
 
-    One pass over the id and time columns with a map-side count; a single number reaches the driver.
+    Rows are counted by the hour. Where an hour has too many, the width follows the time that its rows really
+    take up, and is counted again, so that a burst of any density is cut; rows of a single time cannot be. Each
+    pass reads the id and time columns and counts map-side; a single row reaches the driver.
     """
-    hour = slice_of(micros(time), HOUR_US)
-    densest = (
-        df.where(F.col(time).isNotNull())
-        .groupBy(*series, hour.alias("_hour"))
-        .count()
-        .agg(F.max("count"))
-        .first()[0]
-    )
-    width = HOUR_US * rows_per_slice // densest if densest else at_most_us
-    return max(at_least_us, min(at_most_us, int(width)))
+    rows = df.where(F.col(time).isNotNull()).select(*series, micros(time).alias(US))
+    cell = HOUR_US
+    while True:
+        cells = rows.groupBy(*series, slice_of(F.col(US), cell).alias("_cell")).agg(
+            F.count(F.lit(1)).alias("n"), (F.max(US) - F.min(US) + 1).alias("span")
+        )
+        crowded = (F.col("n") > rows_per_slice) & (F.col("span") > 1)
+        room = F.floor(F.col("span") * F.lit(rows_per_slice) / F.col("n"))
+        found = cells.agg(F.max("n").alias("n"), F.min(F.when(crowded, room)).alias("room")).first()
+        if found["n"] is None:
+            return at_most_us
+        if found["room"] is None:
+            if cell == HOUR_US:
+                cell = max(cell, HOUR_US * rows_per_slice // found["n"])
+            return min(at_most_us, cell)
+        cell = max(1, min(cell // 2, int(found["room"])))
 
 
 def sliced(df: DataFrame, time: str, width_us: int) -> DataFrame:

@@ -354,3 +354,38 @@ def test_size_gate_and_tail(spark, frame, rows):
     for s in "ab":
         mine = sorted((r for r in rows if r[0] == s), key=lambda r: (r[1], r[3]))
         assert {r[3] for r in mine} & tail == {r[3] for r in mine[-48:]}
+
+
+@pytest.mark.parametrize("count", [3, 60, 1500])
+@pytest.mark.parametrize("width", [slices.minutes(95), None])
+def test_tails_of_any_length(spark, frame, rows, count, width):
+    tail = {r["row"] for r in selection.last_rows(frame, ["s"], "ts", count, ["row"], width_us=width).collect()}
+    for s in "ab":
+        mine = sorted((r for r in rows if r[0] == s), key=lambda r: (r[1], r[3]))
+        assert {r[3] for r in mine} & tail == {r[3] for r in mine[-count:]}
+
+
+def test_bursts_are_cut(spark):
+    """600,000 rows, one microsecond apart, beside a sparse series."""
+    burst = spark.range(600_000).select(
+        F.lit("a").alias("s"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") / 1e6)).alias("ts")
+    )
+    sparse = spark.createDataFrame([("b", at(m)) for m in range(0, 5000, 300)], "s string, ts timestamp_ntz")
+    both = burst.unionByName(sparse)
+    width = slices.measured_width(both, ["s"], "ts", rows_per_slice=50_000)
+    found = slices.sliced(both, "ts", width).groupBy("s", slices.SLICE).count()
+    assert found.agg(F.max("count")).first()[0] <= 50_000
+    same = burst.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    assert slices.measured_width(same, ["s"], "ts", rows_per_slice=50_000) > 0
+    assert slices.measured_width(sparse, ["s"], "ts") == 28 * slices.DAY_US
+    assert slices.measured_width(sparse.limit(0), ["s"], "ts") == 28 * slices.DAY_US
+
+
+def test_static_rows_reach_hot_and_unnamed_series(spark):
+    from glucospan.operators import joins
+
+    rows = spark.createDataFrame([("a", i) for i in range(50)] + [(None, 50), ("c", 51)], "s string, `n x` long").withColumn("_part", F.lit(9))
+    static = spark.createDataFrame([("a", 1.5), (None, 2.0), ("d", 3.0)], "s string, age double")
+    out = joins.attach_static(rows, static, "s")
+    assert out.columns == ["s", "n x", "_part", "age"]
+    assert sorted((r["n x"], r["_part"], r["age"]) for r in out.collect()) == [(i, 9, 1.5) for i in range(50)] + [(50, 9, None), (51, 9, None)]

@@ -491,6 +491,9 @@ ORACLE = {
     "tail_n": """
         select event_id, user_id, ts, value from events
         qualify row_number() over (partition by user_id order by ts desc) <= 48""",
+    "tail_many": """
+        select event_id, event_type, ts, value from events
+        qualify row_number() over (partition by event_type order by ts desc) <= 1500""",
     "subset_first_window": FIRST_WINDOWS
     + "select event_id, user_id, diagnosis, ts from early semi join best using (diagnosis, user_id)",
     "subset_metadata": FIRST_WINDOWS + 'select diagnosis, user_id, rows, "start", "end" from best',

@@ -514,6 +514,13 @@ def tail_n(spark, folder):
     return selection.last_rows(rows, ["user_id"], "ts", 48)
 
 
+@query
+def tail_many(spark, folder):
+    """More rows than a map task would cut to before a shuffle."""
+    rows = table(spark, folder, "events").select("event_id", "event_type", "ts", "value")
+    return selection.last_rows(rows, ["event_type"], "ts", 1500)
+
+
 def grouped_series(spark, folder) -> DataFrame:
     """Events with a diagnosis-like group per user, taken from the customer's balance."""
     rows = table(spark, folder, "events").select("event_id", "user_id", "ts")
