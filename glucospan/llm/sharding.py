@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -39,26 +40,24 @@ def splitters(keys: DataFrame, targets: list[int], digits: int, tolerance: int,
 
     ``keys``: a stored table (key, size); keys are ``digits`` lower-case hexadecimal digits. A boundary is
     off by ``tolerance`` at most, or by what lies on a single key. A round sends the driver the counts of
-    ``16 ** first`` candidates, and of ``16 ** step`` more for each splitter still open.
+    ``16 ** first`` candidates, and of ``16 ** step`` more for each splitter still open. It reads only the keys
+    of open splitters and begins where those of a splitter first differ, so that many keys of one beginning cost
+    no rounds of their own.
     """
     out: list[Splitter | None] = [None] * len(targets)
     open_at = {"": list(range(len(targets)))}
     below = {"": (0, 0)}
-    length = 0
+    rows, grain = keys.select("key", "size", F.lit(0).alias("at")), first
     while open_at:
-        parent_length, length = length, min(digits, length + (step if length else first))
-        rows = keys.select(F.substring("key", 1, length).alias("prefix"), "key", "size")
-        if parent_length:
-            wanted = keys.sparkSession.createDataFrame([(p,) for p in sorted(open_at)], "parent string")
-            rows = rows.withColumn("parent", F.substring("prefix", 1, parent_length))
-            rows = rows.join(F.broadcast(wanted), "parent", "left_semi")  # one row for each open splitter at most
-        one_key = (F.min("key") == F.max("key")).alias("one_key")
-        counts = rows.groupBy("prefix").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), one_key).collect()
+        rows = rows.withColumn("prefix", F.col("key").substr(F.lit(1), F.least(F.col("at") + grain, F.lit(digits))))
+        counts = rows.groupBy("at", "prefix").agg(
+            F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.min("key").alias("low"), F.max("key").alias("high")
+        ).collect()
         by_parent: dict[str, list] = {p: [] for p in open_at}
         for r in sorted(counts, key=lambda r: r.prefix):
-            by_parent[r.prefix[:parent_length]].append(r)
+            by_parent[r.prefix[: r.at]].append(r)
         still: dict[str, list[int]] = {}
-        further = {}
+        further, jumps = {}, []
         for parent, waiting in open_at.items():
             some, rank = below[parent]
             at = 0
@@ -66,21 +65,27 @@ def splitters(keys: DataFrame, targets: list[int], digits: int, tolerance: int,
                 low = Splitter(r.prefix, some, rank)
                 some, rank = some + r.bytes, rank + r.rows
                 high = Splitter(r.prefix + PAST, some, rank)
+                common = commonprefix([r.low, r.high])
                 while at < len(waiting) and targets[waiting[at]] <= some:
                     target = waiting[at]
-                    if r.bytes <= tolerance or r.one_key or targets[target] == some:
+                    if r.bytes <= tolerance or r.low == r.high or targets[target] == some:
                         out[target] = _closest(targets[target], low, high)
                     else:
-                        still.setdefault(r.prefix, []).append(target)
-                        further[r.prefix] = (low.bytes, low.rows)
+                        if common not in still:
+                            jumps.append((r.prefix, len(common)))
+                        still.setdefault(common, []).append(target)
+                        further[common] = (low.bytes, low.rows)
                     at += 1
-        open_at, below = still, further
+        open_at, below, grain = still, further, step
+        if open_at:
+            wanted = keys.sparkSession.createDataFrame(jumps, "prefix string, jump int")  # one row for each open splitter at most
+            rows = stored(rows.join(F.broadcast(wanted), "prefix").select("key", "size", F.col("jump").alias("at")))
     return out
 
 
 def shards(
     df: DataFrame, key: Column, digits: int, size: Column, count: int,
-    tolerance: float = 0.001, range_bytes: int = 1 << 30,
+    tolerance: float = 0.001, range_bytes: int = 128 << 20,
 ) -> DataFrame:
     """Add ``size``, ``shard`` (from 0) and ``slot`` (its place in the shard, gapless from 0).
 
