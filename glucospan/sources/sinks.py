@@ -12,6 +12,10 @@ from glucospan.functions.text import nan_to_null
 from glucospan.schema import SERIES, TIME, ForecastTable
 
 
+# Times in text keep their microseconds; by default they would lose three digits.
+TEXT_TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def save_forecast_table(table: ForecastTable, path: str, *, fmt: str = "parquet") -> str:
     """Write rows below ``path``/rows and the descriptor below ``path``/descriptor.
 
@@ -20,7 +24,7 @@ def save_forecast_table(table: ForecastTable, path: str, *, fmt: str = "parquet"
     """
     writer = table.frame.orderBy(SERIES, TIME).write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", True).option("compression", "gzip").csv(f"{path}/rows")
+        writer.options(header=True, compression="gzip", **TEXT_TIMES).csv(f"{path}/rows")
     elif fmt == "parquet":
         writer.parquet(f"{path}/rows")
     else:
@@ -44,7 +48,7 @@ def load_forecast_table(spark: SparkSession, path: str) -> ForecastTable:
     schema = T.StructType.fromJson(told["schema"])
     reader = spark.read.schema(schema)
     if told["format"] == "csv":
-        rows = reader.option("header", True).csv(f"{path}/rows")
+        rows = reader.options(header=True, **TEXT_TIMES).csv(f"{path}/rows")
         for field in schema:
             if field.dataType.typeName() == "double":
                 rows = rows.withColumn(field.name, nan_to_null(F.col(field.name)))
@@ -62,8 +66,7 @@ def load_forecast_table(spark: SparkSession, path: str) -> ForecastTable:
 def run_summary(table: ForecastTable, provenance: dict[str, str] | None = None) -> DataFrame:
     """One row about a table: sizes, source, horizon, features and where the data came from.
 
-    The ids themselves are not put into the row, which would grow with them: see
-    ``ForecastTable.participants``.
+    The ids themselves are not put into the row, which would grow with them: ``save_summary`` writes them beside it.
     """
     return table.frame.agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct(F.col(SERIES)).alias("participants")
@@ -77,6 +80,13 @@ def run_summary(table: ForecastTable, provenance: dict[str, str] | None = None)
     )
 
 
+def save_summary(table: ForecastTable, path: str, provenance: dict[str, str] | None = None) -> str:
+    """The summary as JSON in ``path``/summary and the ids, in order, as JSON lines in ``path``/participants."""
+    write_json(run_summary(table, provenance), f"{path}/summary")
+    write_json(table.participants().orderBy(SERIES), f"{path}/participants")
+    return path
+
+
 def subset_metadata(chosen: DataFrame, provenance: dict[str, str], hours: float) -> DataFrame:
     """The chosen windows with the rule that chose them, one row per group."""
     rule = f"one series per group, its first {hours:g} hours"
@@ -86,12 +96,12 @@ def subset_metadata(chosen: DataFrame, provenance: dict[str, str], hours: float)
 
 
 def write_json(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").options(**TEXT_TIMES).json(path)
     return path
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(header=True, **TEXT_TIMES).csv(path)
     return path
 
 

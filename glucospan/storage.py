@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,12 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which all executors reach.
 
-    A session without that setting gets a folder in its warehouse, the other place that all share.
+    A session without that setting gets a folder in its warehouse, the other place that all share; on a cluster
+    a warehouse on plain files is told, as it may lie on the driver's disk alone.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         own = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(own or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if own is None and warehouse.startswith(("file:", "/")) and not context.master.startswith("local"):
+            warnings.warn(f"spark.checkpoint.dir is not set; intermediates go to {warehouse}, which all executors must reach", stacklevel=2)
+        context.setCheckpointDir(own or f"{warehouse}/_checkpoints")
     return context.getCheckpointDir()
 
 

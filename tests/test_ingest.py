@@ -23,7 +23,7 @@ from glucospan.sources.series_csv import (
     timestamp_examples,
     valid_rows,
 )
-from glucospan.sources.sinks import load_forecast_table, run_summary, save_forecast_table
+from glucospan.sources.sinks import load_forecast_table, run_summary, save_forecast_table, save_summary
 
 
 def expected(person, sensor="Dexcom GL"):
@@ -198,6 +198,14 @@ def test_valid_rows_and_fallback(spark, tmp_path):
     assert first_readable(spark, places).select("data_mode").distinct().first()[0] == "full"
 
 
+def test_summary_and_ids(spark, series_root, tmp_path):
+    table = load_series_dataset(spark, str(series_root))
+    path = save_summary(table, str(tmp_path / "run"), {"license": "test"})
+    row = spark.read.json(f"{path}/summary").first()
+    assert (row["participants"], row["license"]) == (4, "test")
+    assert [r[0] for r in spark.read.schema("participant_id string").json(f"{path}/participants").collect()] == ["001", "002", "003", "004"]
+
+
 def test_quoted_line_breaks(spark, tmp_path):
     """Records as the standard library reads them, whatever lies in their quotes."""
     import csv

@@ -540,6 +540,11 @@ ORACLE = {
           select 'trailing_mean' as model_name, {errors()} from forecast
           union all select 'persistence', {errors('value')} from forecast) order by mae_mg_dl""",
     "feature_table": FEATURE_TABLE,
+    "saved_table": FEATURE_TABLE,
+    "saved_summary": USERS
+    + f""" select participant_id, n as rows, p as participants, 'dexcom' as glucose_source, 30::bigint as horizon_minutes,
+          {len(USER_FEATURES)} as features, 'test' as license
+        from (select distinct participant_id from users), (select count(*) as n, count(distinct participant_id) as p from users)""",
     "fhir_observation": f"select event_id, {RESOURCE} as resource from events",
     "fhir_bundle": f"""
         with placed as (select user_id, {RESOURCE} as resource, row_number() over (partition by user_id order by ts) as n,
@@ -568,6 +573,8 @@ ORACLE = {
         from errors join (select participant_id, event_type from split where rn = 1) using (participant_id)""",
     "boosted_grouped": ALL_BOOSTED
     + f"select participant_id, timestamp, glucose_mg_dl, target_30m, {r('prediction', 6, 'prediction_30m')} from predicted",
+    "boosted_saved": ALL_BOOSTED
+    + f"select participant_id, timestamp, glucose_mg_dl, target_30m, {r('prediction', 6, 'prediction_30m')} from predicted",
     "boosted_per_series": EACH_BOOSTED
     + f"select participant_id, timestamp, glucose_mg_dl, target_30m, {r('prediction', 6, 'prediction_30m')} from predicted",
     "boosted_per_series_eval": EACH_BOOSTED

@@ -15,8 +15,8 @@ from glucospan.operators import asof, boosting, events, export, joins, metrics,
 from glucospan.operators.windows import Trailing
 from glucospan.plans import features, per_series, training
 from glucospan.schema import ForecastTable
-from glucospan.sources import series_csv
-from glucospan.storage import stored
+from glucospan.sources import series_csv, sinks
+from glucospan.storage import fresh_folder, stored
 
 QUERIES = {}
 DAY_MINUTES = 1440
@@ -688,6 +688,25 @@ def feature_table(spark, folder):
     return rounded_all(forecast_frame(spark, folder), 6)
 
 
+@query
+def saved_table(spark, folder):
+    """The forecasting table written as gzip CSV and read back by its descriptor."""
+    path = fresh_folder(spark)
+    sinks.save_forecast_table(ForecastTable(rounded_all(forecast_frame(spark, folder), 6), "dexcom"), path, fmt="csv")
+    return sinks.load_forecast_table(spark, path).frame
+
+
+@query
+def saved_summary(spark, folder):
+    """The written summary of a run, once for each of the written ids."""
+    path, whole = fresh_folder(spark), user_table(spark, folder)
+    sinks.save_summary(whole, path, {"license": "test"})
+    summary = spark.read.json(f"{path}/summary").select(
+        "rows", "participants", "glucose_source", "horizon_minutes", F.size("features").alias("features"), "license"
+    )
+    return spark.read.schema("participant_id string").json(f"{path}/participants").join(summary, F.lit(True))
+
+
 def user_forecast(spark, folder) -> DataFrame:
     """A wide table per user for the models: the value, its past, and the next value as target."""
     rows = with_k(table(spark, folder, "events")).select(
@@ -763,6 +782,18 @@ def boosted_grouped(spark, folder):
     return rounded_all(training.train_grouped(whole, model_name="hgb", **small).predictions, 6)
 
 
+@query
+def boosted_saved(spark, folder):
+    """The same after the model was saved and loaded: the held-out users' rows scored all at once."""
+    whole = ForecastTable(rounded_users(spark, folder), "dexcom", feature_columns=list(USER_FEATURES))
+    prepared = training.prepare_grouped(whole)
+    small = {"maxIter": 5, "maxLeaves": 6, "maxBins": 64, "stepSize": 0.2}
+    path = training.save_model(training.train_prepared(prepared, model_name="hgb", **small), fresh_folder(spark))
+    model, _ = training.load_model(spark, path)
+    scored = training.score(model, prepared.rows.where("is_test"))
+    return rounded_all(scored.select("participant_id", "timestamp", "glucose_mg_dl", "target_30m", "prediction_30m"), 6)
+
+
 FEW_ROUNDS = boosting.Settings(rounds=4, leaves=4, least=5, bins=16, step=0.3)
 
 
