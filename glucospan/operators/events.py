@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glucospan.functions.text import nan_to_null
+from glucospan.operators.arrow import whole_groups
 from glucospan.operators.slices import (
     MINUTE_US,
     SLICE,
@@ -126,9 +127,8 @@ def in_force(
     local = begins.select(*columns).unionByName(ends.select(*columns)).unionByName(standing)
     rows = probes.withColumn("_from", F.col(US)).unionByName(local, allowMissingColumns=True).drop(US)
     placed = rows.repartition(*series, SLICE).sortWithinPartitions(*series, SLICE, "_from")
-    keyed = placed.select(F.xxhash64(*series).alias("_key"), *series, SLICE, "_from", "_to", "_phase", "_u", "_v", "_sample")
     schema = T.StructType([placed.schema["_sample"], T.StructField(out, T.DoubleType())])
-    return keyed.mapInArrow(_responses(len(series), fades, out), schema).select("_sample.*", out)
+    return placed.mapInArrow(_responses([*series, SLICE], fades, out), schema).select("_sample.*", out)
 
 
 def _aged(effects: DataFrame, fades: Sequence[Fade], until: Column) -> DataFrame:
@@ -234,14 +234,10 @@ def responses(at: np.ndarray, begin: np.ndarray, end: np.ndarray, u: np.ndarray,
     return total
 
 
-def _responses(keys: int, fades: Sequence[Fade], out: str):
-    """Batches of (_key, series..., slice, _from, _to, _phase, _u, _v, _sample), sorted, to (_sample, out)."""
+def _responses(keys: list[str], fades: Sequence[Fade], out: str):
+    """Batches of (keys..., _from, _to, _phase, _u, _v, _sample), sorted, to (_sample, out)."""
 
-    def finished(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).combine_chunks()
-        if not table.num_rows:
-            return
-        batch = table.to_batches()[0]
+    def finished(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         probe = column["_phase"].is_null().to_numpy(zero_copy_only=False)
         if not probe.any():
@@ -255,25 +251,10 @@ def _responses(keys: int, fades: Sequence[Fade], out: str):
         yield pa.RecordBatch.from_arrays([column["_sample"].filter(pa.array(probe)), pa.array(total)], names=["_sample", out])
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, current = [], None
-        for part in parts:
-            if not part.num_rows:
-                continue
-            # A slice of a series: rows of two series can only share a hash, so their ids are compared too.
-            changes = np.zeros(part.num_rows, bool)
-            for i in range(1, keys + 2):
-                values = part.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy()
-                changes[1:] |= values[1:] != values[:-1]
-            edges = [0, *np.flatnonzero(changes).tolist(), part.num_rows]
+        for rows, group in whole_groups(parts, keys):
+            edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), rows.num_rows]
             for a, b in zip(edges[:-1], edges[1:]):
-                name = tuple(part.column(i)[a].as_py() for i in range(1, keys + 2))
-                if held and name != current:
-                    yield from finished(held)
-                    held = []
-                current = name
-                held.append(part.slice(a, b - a))
-        if held:
-            yield from finished(held)
+                yield from finished(rows.slice(a, b - a))
 
     return batches
 

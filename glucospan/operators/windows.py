@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glucospan.functions.text import nan_to_null
 from glucospan.operators import medians
+from glucospan.operators.arrow import whole_groups
 from glucospan.operators.slices import (
     MINUTE_US,
     SERIES_KEY,
@@ -102,54 +106,77 @@ def timed_shifts(
     """Lags and a lead by a per-series number of rows, kept only where the elapsed time fits.
 
     The step follows the cadence of the series, which comes from ``pace`` (``series``,
-    ``cadence_minutes``) or is measured, and is added to the rows. Each row is numbered in its series
-    and sends its value to the positions that ask for it, so rows meet by (series, position): every
-    such group holds a few rows however dense or long the series is, and a step may have any size.
+    ``cadence_minutes``) or is measured, and is added to the rows. Each row is numbered in its series, and the
+    series is cut into blocks of at least four steps. Rows near an edge of a block are copied, values alone, to the
+    block beside it; everything else is sent once, and a step may have any size.
     """
     width_us = width_us or measured_width(df, series, time)
     if pace is None:
         pace = cadence(df, series, time, width_us=width_us)
     pace_column = F.col("cadence_minutes")
     rows = ranked(df, series, time, tiebreak=tiebreak, width_us=width_us, rank="_at", facts=pace).drop("series_rows")
-    moves = [F.lit(0)]
-    moves += [steps(span, pace_column) for span in lags]
-    moves += [-steps(horizon, pace_column)]
-    sent = rows.select(
+    moves = [-steps(span, pace_column) for span in lags] + [steps(horizon, pace_column)]
+    rows = rows.select(
         *series,
         F.struct(*[n for n in rows.columns if n != "_at"]).alias("_row"),
         F.struct(F.col(value).alias("v"), F.col(time).alias("t"), micros(time).alias("us")).alias("_seen"),
         F.array(*[m.cast("bigint") for m in moves]).alias("_moves"),
-        "_at",
+        F.col("_at").cast("bigint").alias("_at"),
     )
-    # Named structs first: a generator in the same select would strip the names of their fields.
-    sent = sent.select("*", F.posexplode("_moves").alias("_kind", "_move")).select(
-        *series,
-        (F.col("_at") + F.col("_move")).alias("_at"),
-        "_kind",
-        F.when(F.col("_kind") == 0, F.col("_row")).alias("_row"),
-        "_seen",
+    size = F.greatest(F.lit(BLOCK_ROWS), F.array_max(F.transform("_moves", F.abs)) * 4)
+    home = F.floor(F.col("_at") / size)
+    # A row is read by those that lie as far behind it as their lag, or as far before it as their lead.
+    readers = F.transform("_moves", lambda m: F.floor((F.col("_at") - m) / size))
+    rows = rows.withColumn("_home", home).withColumn("_block", F.explode(F.array_distinct(F.concat(F.array(home), readers))))
+    at_home = F.col("_block") == F.col("_home")
+    placed = rows.select(
+        *series, "_block", "_at", at_home.alias("_here"), F.when(at_home, F.col("_row")).alias("_row"), "_seen", "_moves"
+    )
+    keys = [*series, "_block"]
+    placed = placed.repartition(*keys).sortWithinPartitions(*keys, "_at")
+    kind = placed.schema["_seen"].dataType
+    schema = T.StructType(
+        [T.StructField("_row", placed.schema["_row"].dataType), T.StructField("_seen", kind)]
+        + [T.StructField(f"_seen{i}", kind) for i in range(len(moves))]
     )
-    meet = Window.partitionBy(*series, "_at")
-    seen = {f"_seen{i}": F.max(F.when(F.col("_kind") == i, F.col("_seen"))).over(meet) for i in range(1, len(moves))}
+    met = placed.mapInArrow(_looked_up(keys, len(moves)), schema)
     tolerance = tolerance_minutes(F.col("_row.cadence_minutes"))
     fits = F.lit(True)
-    for i, span in enumerate([*lags, horizon], 1):
+    for i, span in enumerate([*lags, horizon]):
         apart = F.abs(F.col(f"_seen{i}.us") - F.col("_seen.us")) / F.lit(MINUTE_US)
         fits = fits & (F.abs(apart - F.lit(float(span))) <= tolerance)
     ahead = f"_seen{len(moves) - 1}"
-    return (
-        sent.withColumns(seen)
-        .where(F.col("_kind") == 0)
-        .where(fits)
-        .select(
-            "_row.*",
-            *[F.col(f"_seen{i}.v").alias(lag_name.format(int(span))) for i, span in enumerate(lags, 1)],
-            F.col(f"{ahead}.v").alias(target),
-            F.col(f"{ahead}.t").alias(target_time),
-        )
+    return met.where(fits).select(
+        "_row.*",
+        *[F.col(f"_seen{i}.v").alias(lag_name.format(int(span))) for i, span in enumerate(lags)],
+        F.col(f"{ahead}.v").alias(target),
+        F.col(f"{ahead}.t").alias(target_time),
     )
 
 
+#: Positions of a series that are looked up together, at least.
+BLOCK_ROWS = 4096
+
+
+def _looked_up(keys: Sequence[str], moves: int):
+    """For each row at home what lies at its position plus each move, within the same block."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, group in whole_groups(parts, list(keys)):
+            column = {n: rows.column(i) for i, n in enumerate(rows.schema.names)}
+            place = group << 40 | column["_at"].to_numpy()
+            here = column["_here"].to_numpy(zero_copy_only=False)
+            steps = column["_moves"].flatten().to_numpy().reshape(-1, moves)[here]
+            out = [column["_row"].filter(pa.array(here)), column["_seen"].filter(pa.array(here))]
+            for i in range(moves):
+                wanted = place[here] + steps[:, i]
+                found = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
+                out.append(column["_seen"].take(pa.array(found, mask=place[found] != wanted)))
+            yield pa.RecordBatch.from_arrays(out, names=["_row", "_seen", *(f"_seen{i}" for i in range(moves))])
+
+    return batches
+
+
 def gaps(
     df: DataFrame, series: Sequence[str], time: str, *, width_us: int | None = None, name: str = "gap_us"
 ) -> DataFrame:

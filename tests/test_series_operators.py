@@ -389,3 +389,29 @@ def test_static_rows_reach_hot_and_unnamed_series(spark):
     out = joins.attach_static(rows, static, "s")
     assert out.columns == ["s", "n x", "_part", "age"]
     assert sorted((r["n x"], r["_part"], r["age"]) for r in out.collect()) == [(i, 9, 1.5) for i in range(50)] + [(50, 9, None), (51, 9, None)]
+
+
+def test_groups_of_arrow_batches():
+    import random
+
+    import pyarrow as pa
+
+    from glucospan.operators.arrow import whole_groups
+
+    draw = random.Random(4)
+    for _ in range(60):
+        keys = sorted((draw.choice("abcd"), draw.randint(0, 2)) for _ in range(draw.randint(0, 40)))
+        names = [None if a == "a" else a for a, _ in keys]
+        rows = pa.record_batch({"s": pa.array(names, pa.string()), "n": pa.array([b for _, b in keys], pa.int64()), "i": pa.array(range(len(keys)), pa.int64())})
+        cuts = sorted({0, len(keys), *(draw.randint(0, len(keys)) for _ in range(6))})
+        parts = [rows.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:])]
+        seen, found = [], {}
+        for k, (batch, group) in enumerate(whole_groups(iter(parts), ["s", "n"])):
+            seen += batch.column(2).to_pylist()
+            for i, g in zip(batch.column(2).to_pylist(), group.tolist()):
+                found.setdefault((k, g), set()).add(i)
+        assert seen == list(range(len(keys)))
+        want = {}
+        for i, key in enumerate(keys):
+            want.setdefault(key, set()).add(i)
+        assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
