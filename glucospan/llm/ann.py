@@ -79,6 +79,7 @@ def _along(curve: DataFrame) -> DataFrame:
     pieces = ordered.groupBy("curve", "part").agg(F.count("*").alias("_n"), F.min("at").alias("_least"))
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select("curve", "part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_least")).alias("_shift"))
+    pieces = F.broadcast(pieces)  # no more rows than partitions and curves together
     return ordered.join(pieces, ["curve", "part"]).select("curve", "c", "asked", "w", (F.col("at") + F.col("_shift")).alias("pos"))
 
 
