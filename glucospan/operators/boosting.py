@@ -123,6 +123,10 @@ class _Growth:
 
     def tree(self, order: list[int], unit: float, step: float, l2: float) -> Tree:
         """The tree of the splits in ``order``."""
+        return self.settled(order, unit, step, l2)[0]
+
+    def settled(self, order: list[int], unit: float, step: float, l2: float) -> tuple[Tree, np.ndarray]:
+        """The tree, and the value of each node as numbered here; what lies below a leaf has the leaf's."""
         out, number, queue, taken = Tree(), {0: 0}, [0], set(order)
         while queue:
             node = queue.pop(0)
@@ -140,7 +144,14 @@ class _Growth:
             else:
                 total, count = self.total[node]
                 out.value[at] = step * (total / (count + l2)) * unit
-        return out
+        values = np.zeros(len(self.total))
+        for node, at in number.items():
+            values[node] = out.value[at]
+        for node, low in sorted(self.left.items()):
+            for child in (low, low + 1):
+                if child not in number:
+                    values[child] = values[node]
+        return out, values
 
 
 def best_splits(g: np.ndarray, n: np.ndarray, l2: float, least: int) -> list[tuple | None]:
@@ -199,7 +210,7 @@ def fit_batch(bins: np.ndarray, y: np.ndarray, model: np.ndarray, exponents: np.
         rows = np.arange(len(y))
         _search(bins, g, model, node, rows, ask, known, growth, width, settings, most)
         order: list[list[int]] = [[] for _ in range(models)]
-        live = list(range(models))
+        live, moved = list(range(models)), set()
         while live:
             ask, parents, still = [], [], []
             for m in live:
@@ -210,31 +221,43 @@ def fit_batch(bins: np.ndarray, y: np.ndarray, model: np.ndarray, exponents: np.
             if not parents:
                 break
             rows = _descend(bins, model, node, growth, parents, models)
+            moved.update(parents)
             for m, p in parents:  # search the smaller child, the other one is the rest
                 low = growth[m].left[p]
                 ask.append((m, low if growth[m].total[low][1] <= growth[m].total[low + 1][1] else low + 1))
             _search(bins, g, model, node, rows, ask, known, growth, width, settings, most, parents)
             live = still
+        last = [(m, p) for m in range(models) for p in order[m] if (m, p) not in moved]
+        if last:  # children that were not searched
+            _descend(bins, model, node, growth, last, models)
+        values = np.zeros((models, max(len(g.total) for g in growth)))
         for m in range(models):
-            trees[m].append(growth[m].tree(order[m], 1 / scale[m], settings.step, settings.l2))
-        cuts = np.append(0, np.cumsum(size))
-        for m in range(models):
-            part = slice(cuts[m], cuts[m + 1])
-            now[part] += trees[m][-1].apply(bins[part])
+            tree, own = growth[m].settled(order[m], 1 / scale[m], settings.step, settings.l2)
+            trees[m].append(tree)
+            values[m, : len(own)] = own
+        now += values.ravel()[_place(model, node, values.shape[1], models)]
     return list(zip(base.tolist(), trees))
 
 
+def _place(model, node, width: int, models: int) -> np.ndarray:
+    """Where a row's node stands in a flat table of ``width`` nodes a model."""
+    return node if models == 1 else model * width + node
+
+
 def _descend(bins, model, node, growth, parents, models: int) -> np.ndarray:
     """Move the rows of the nodes split now to their children; which rows moved."""
     most = max(p for _, p in parents) + 1
-    table = np.full((models, most, 3), -1, np.int64)
+    # The last column is for all other nodes.
+    left, feature, cut = (np.full((models, most + 1), -1, np.int32) for _ in range(3))
     for m, p in parents:
-        table[m, p] = growth[m].split[p][1], growth[m].split[p][2], growth[m].left[p]
-    inside = np.flatnonzero(node < most)
-    step = table[model[inside], node[inside]]
-    moved = step[:, 2] >= 0
-    rows, step = inside[moved], step[moved]
-    node[rows] = step[:, 2] + (bins[rows, step[:, 0]] > step[:, 1])
+        _, feature[m, p], cut[m, p], _, _ = growth[m].split[p]
+        left[m, p] = growth[m].left[p]
+    place = _place(model, np.minimum(node, most), most + 1, models)
+    low = left.ravel()[place]
+    rows = np.flatnonzero(low >= 0)
+    place = place[rows]
+    beyond = bins.ravel()[rows * bins.shape[1] + feature.ravel()[place]] > cut.ravel()[place]
+    node[rows] = low[rows] + beyond
     return rows
 
 
@@ -244,13 +267,13 @@ def _search(bins, g, model, node, rows, ask, known, growth, width, settings, mos
         part = ask[low : low + most]
         number = {a: i for i, a in enumerate(part)}
         deepest = max(v for _, v in part) + 1
-        table = np.full((len(growth), deepest), -1, np.int64)
+        table = np.full((len(growth), deepest + 1), -1, np.int32)
         for (m, v), i in number.items():
             table[m, v] = i
-        inside = rows[node[rows] < deepest]
-        slot = table[model[inside], node[inside]]
-        chosen = inside[slot >= 0]
-        sums, counts = _histograms(bins[chosen], slot[slot >= 0], g[chosen], len(part), width)
+        slot = table.ravel()[_place(model[rows], np.minimum(node[rows], deepest), deepest + 1, len(growth))]
+        asked = np.flatnonzero(slot >= 0)
+        chosen = rows[asked]
+        sums, counts = _histograms(bins[chosen], slot[asked].astype(np.int64), g[chosen], len(part), width)
         keys = list(part)
         if parents is not None:
             above = [known.pop(p) for p in parents[low : low + most]]
