@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +20,7 @@ from glucospan.operators.selection import (
     group_split,
     one_series,
 )
+from glucospan.plans.forest import ForestRegressor
 from glucospan.plans.leafwise import LeafwiseRegressor
 from glucospan.schema import SERIES, TIME, VALUE, ForecastTable
 from glucospan.sources.sinks import write_text
@@ -31,7 +32,7 @@ FOREST = ["rf", "random_forest", "randomforest"]
 PREDICTION = "prediction_30m"
 
 
-def estimator(name: str, *, target: str, seed: int = 42, **overrides) -> LeafwiseRegressor | RandomForestRegressor:
+def estimator(name: str, *, target: str, seed: int = 42, **overrides) -> LeafwiseRegressor | ForestRegressor:
     """Tree model by name. Keyword arguments override any parameter, for example ``maxIter=60``."""
     wanted = name.lower().strip()
     columns = {"featuresCol": "features", "labelCol": target, "predictionCol": PREDICTION, "seed": seed}
@@ -46,7 +47,7 @@ def estimator(name: str, *, target: str, seed: int = 42, **overrides) -> Leafwis
             "featureSubsetStrategy": "0.75",
             "subsamplingRate": 0.35,
         }
-        return RandomForestRegressor(**{**columns, **settings, **overrides})
+        return ForestRegressor(**{**columns, **settings, **overrides})
     raise ValueError("model name must be one of: hgb, random_forest")
 
 
@@ -214,7 +215,10 @@ def compare_models(
     seed: int = 42,
     overrides: dict[str, dict] | None = None,
 ) -> DataFrame:
-    """Evaluation rows of both models on the same split, best first. The split is made once."""
+    """Evaluation rows of both models on the same split, best first. The split is made once.
+
+    The models are fitted side by side, since boosting is one task after the other and a forest is many at a time.
+    """
     if split == "grouped":
         prepared = prepare_grouped(table, seed=seed)
     elif split != "personalized":
@@ -223,11 +227,13 @@ def compare_models(
         raise ValueError("a personalized comparison needs a series")
     else:
         prepared = prepare_personalized(table, series)
-    rows = []
-    for name in ["hgb", "random_forest"]:
+    def fitted(name: str) -> DataFrame:
         regressor = estimator(name, target=table.target_column, seed=seed, **(overrides or {}).get(name, {}))
-        rows.append(_fit(prepared, regressor, model_name=name).evaluation)
-    return rank_models(rows[0].unionByName(rows[1]))
+        return _fit(prepared, regressor, model_name=name).evaluation
+
+    with ThreadPoolExecutor() as both:
+        boosted, forest = both.map(fitted, ["hgb", "random_forest"])
+    return rank_models(boosted.unionByName(forest))
 
 
 def rank_models(evaluations: DataFrame) -> DataFrame:
