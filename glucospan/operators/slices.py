@@ -74,10 +74,11 @@ def measured_width(
     cell = HOUR_US
     while True:
         cells = rows.groupBy(*series, slice_of(F.col(US), cell).alias("_cell")).agg(
-            F.count(F.lit(1)).alias("n"), (F.max(US) - F.min(US) + 1).alias("span")
+            F.count(F.lit(1)).alias("n"), (F.max(US) - F.min(US)).alias("span")
         )
-        crowded = (F.col("n") > rows_per_slice) & (F.col("span") > 1)
-        room = F.floor(F.col("span") * F.lit(rows_per_slice) / F.col("n"))
+        crowded = (F.col("n") > rows_per_slice) & (F.col("span") > 0)
+        # n rows have n - 1 gaps.
+        room = F.floor(F.col("span") * F.lit(rows_per_slice) / (F.col("n") - 1))
         found = cells.agg(F.max("n").alias("n"), F.min(F.when(crowded, room)).alias("room")).first()
         if found["n"] is None:
             return at_most_us
@@ -88,6 +89,15 @@ def measured_width(
         cell = max(1, min(cell // 2, int(found["room"])))
 
 
+#: Raw rows for each task of a wide shuffle.
+ROWS_PER_TASK = 100_000
+
+
+def tasks_for(spark, rows: int) -> int:
+    """Partitions of a wide shuffle. Spark would merge them by compressed bytes, which say little about memory."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+
+
 def sliced(df: DataFrame, time: str, width_us: int) -> DataFrame:
     """Add microseconds and slice number; rows without a time are dropped."""
     return (
@@ -124,19 +134,26 @@ def slice_table(rows: DataFrame, series: Sequence[str]) -> DataFrame:
 
 
 def with_slice_facts(
-    rows: DataFrame, series: Sequence[str], columns: Sequence[str], *, facts: DataFrame | None = None
+    rows: DataFrame,
+    series: Sequence[str],
+    columns: Sequence[str],
+    *,
+    facts: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Join columns of the slice table, and per-series ``facts``, to sliced rows on (series, slice).
 
     Adds ``SERIES_KEY`` too: a window by (``SERIES_KEY``, slice) that follows needs no second shuffle.
-    Series without facts drop out.
+    Series without facts drop out. ``tasks`` is the number of partitions of that shuffle, or Spark's own choice.
     """
     key = F.struct(*series).alias(SERIES_KEY)
     table = slice_table(rows, series).select(key, SLICE, *columns)
     if facts is not None:
         known = facts.select(key, *[n for n in facts.columns if n not in series])
         table = table.join(known, SERIES_KEY)
-    return rows.select("*", key).join(table, [SERIES_KEY, SLICE])
+    keyed = rows.select("*", key)
+    placed = keyed.repartition(tasks, SERIES_KEY, SLICE) if tasks else keyed
+    return placed.join(table, [SERIES_KEY, SLICE])
 
 
 def ranked(
@@ -148,6 +165,7 @@ def ranked(
     width_us: int | None = None,
     rank: str = "rn",
     facts: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Position of each row in its whole series (from 1) plus ``series_rows``.
 
@@ -155,7 +173,7 @@ def ranked(
     sorting a whole series in one task. ``facts`` are columns per series to add on the way.
     """
     width_us = width_us or measured_width(df, series, time)
-    rows = with_slice_facts(sliced(df, time, width_us), series, ["rows_before", "series_rows"], facts=facts)
+    rows = with_slice_facts(sliced(df, time, width_us), series, ["rows_before", "series_rows"], facts=facts, tasks=tasks)
     local = Window.partitionBy(SERIES_KEY, SLICE).orderBy(US, *tiebreak)
     return rows.withColumn(rank, F.row_number().over(local) + F.col("rows_before")).drop(
         US, SLICE, SERIES_KEY, "rows_before"
@@ -184,14 +202,14 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], rank: str = "rn")
 
 
 def with_series_facts(
-    rows: DataFrame, facts: DataFrame, series: Sequence[str], *, place: bool = False
+    rows: DataFrame, facts: DataFrame, series: Sequence[str], *, place: bool = False, tasks: int | None = None
 ) -> DataFrame:
     """Join per-series facts to sliced rows on (series, slice); series without facts drop out.
 
     ``place`` shuffles the rows by (series, slice) before the join, for windows that follow: should
     the join turn out to be a broadcast, the first window would otherwise shuffle by its own longer
-    key, and the next one again.
+    key, and the next one again. ``tasks`` is the number of partitions then.
     """
     slices = rows.groupBy(*series, SLICE).agg(F.lit(1).alias("_one")).drop("_one")
-    placed = rows.repartition(*series, SLICE) if place else rows
+    placed = rows.repartition(*([tasks] if tasks else []), *series, SLICE) if place else rows
     return placed.join(slices.join(facts, list(series)), [*series, SLICE])

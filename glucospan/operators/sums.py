@@ -32,12 +32,14 @@ def window_sums(
     sample: str,
     lengths: dict[str, int],
     width_us: int,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Every row whose ``sample`` struct is present, with two columns per name in ``lengths``.
 
     ``lengths`` maps a double column of ``rows`` to its window length in microseconds. The column is
     replaced by the sum of its values in (t - length, t], NULL without values, and ``<name>_n`` counts
     them. Values come from all rows, also from those without ``sample``. Rows without a time drop out.
+    ``tasks`` is the number of partitions that rows are dealt over, or Spark's own choice.
     """
     width_us = min(width_us, *lengths.values())
     placed = sliced(rows, time, width_us).select(*series, SLICE, US, sample, *lengths)
@@ -63,7 +65,9 @@ def window_sums(
             *[counted(F.col(n)).alias(f"{n}_n") for n in lengths],
         )
     )
-    both = moved.unionByName(_standing(placed, series, lengths, width_us), allowMissingColumns=True)
+    both = moved.unionByName(_standing(placed, series, lengths, width_us, tasks), allowMissingColumns=True)
+    if tasks:
+        both = both.repartition(tasks, *series, SLICE)
     place = Window.partitionBy(*series, SLICE)
     begun = place.orderBy(US).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     lasting = place.orderBy(F.col(US).desc()).rangeBetween(Window.unboundedPreceding, -1)
@@ -80,7 +84,7 @@ def window_sums(
     )
 
 
-def _standing(placed: DataFrame, series: Sequence[str], lengths: dict[str, int], width_us: int) -> DataFrame:
+def _standing(placed: DataFrame, series: Sequence[str], lengths: dict[str, int], width_us: int, tasks: int | None = None) -> DataFrame:
     """Per slice, at its start: sums of the values that began before it and end after it.
 
     A value of slice a ends in slice a + k or a + k + 1, where k is the number of whole slices in its
@@ -121,6 +125,8 @@ def _standing(placed: DataFrame, series: Sequence[str], lengths: dict[str, int],
                 F.when(F.pmod(s, F.lit(size)) != 0, row(s, slice_of(s - size, size), ends, {}, True)),
             ]
     spread = table.select(*series, F.inline(F.filter(F.array(*rows), lambda x: x.isNotNull())))
+    if tasks:
+        spread = spread.repartition(tasks, *series, "_kind", "_block")
     upto = Window.partitionBy(*series, "_kind", "_block").orderBy("_order").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     found = spread.withColumns({c: F.sum(c).over(upto) for c in columns}).where("_target")
     found = found.withColumn(SLICE, F.when(F.col("_kind") % 3 == 2, -F.col("_order")).otherwise(F.col("_order")))

@@ -52,10 +52,15 @@ def trailing(
     specs: Sequence[Trailing],
     *,
     width_us: int | None = None,
+    keep: Sequence[str] | None = None,
+    where: Column | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Trailing aggregates of every row (see ``sums``); all specs share one shuffle.
 
-    NaN counts as missing, rows without a time drop out, and rows without an id form one series.
+    NaN counts as missing, rows without a time drop out, and rows without an id form one series. Only columns in
+    ``keep`` and rows ``where`` a condition holds are sent along and returned; the windows hold the values of all rows.
+    ``tasks`` is the number of partitions of the shuffle, or Spark's own choice.
     """
     width_us = width_us or measured_width(df, series, time)
     held = {f"_v{i}": nan_to_null(spec.value.cast("double")) for i, spec in enumerate(specs)}
@@ -63,12 +68,13 @@ def trailing(
     lengths = {
         f"_v{i}": minutes(spec.minutes) + (1 if spec.closed == "both" else 0) for i, spec in enumerate(specs)
     }
+    sample = F.struct(*(df.columns if keep is None else keep))
     rows = df.select(
         *[F.col(c) for c in dict.fromkeys([*series, time])],
-        F.struct(*df.columns).alias("_sample"),
+        (sample if where is None else F.when(where, sample)).alias("_sample"),
         *[v.alias(n) for n, v in held.items()],
     )
-    found = window_sums(rows, series, time, "_sample", lengths, width_us)
+    found = window_sums(rows, series, time, "_sample", lengths, width_us, tasks)
     out = {}
     for i, spec in enumerate(specs):
         total = F.col(f"_v{i}") / F.col(f"_v{i}_n") if spec.agg == "mean" else F.col(f"_v{i}")
@@ -102,6 +108,7 @@ def timed_shifts(
     lag_name: str = "glucose_lag_{}m",
     target: str = "target_30m",
     target_time: str = "target_timestamp",
+    tasks: int | None = None,
 ) -> DataFrame:
     """Lags and a lead by a per-series number of rows, kept only where the elapsed time fits.
 
@@ -114,7 +121,7 @@ def timed_shifts(
     if pace is None:
         pace = cadence(df, series, time, width_us=width_us)
     pace_column = F.col("cadence_minutes")
-    rows = ranked(df, series, time, tiebreak=tiebreak, width_us=width_us, rank="_at", facts=pace).drop("series_rows")
+    rows = ranked(df, series, time, tiebreak=tiebreak, width_us=width_us, rank="_at", facts=pace, tasks=tasks).drop("series_rows")
     moves = [-steps(span, pace_column) for span in lags] + [steps(horizon, pace_column)]
     rows = rows.select(
         *series,
@@ -133,7 +140,7 @@ def timed_shifts(
         *series, "_block", "_at", at_home.alias("_here"), F.when(at_home, F.col("_row")).alias("_row"), "_seen", "_moves"
     )
     keys = [*series, "_block"]
-    placed = placed.repartition(*keys).sortWithinPartitions(*keys, "_at")
+    placed = placed.repartition(*([tasks] if tasks else []), *keys).sortWithinPartitions(*keys, "_at")
     kind = placed.schema["_seen"].dataType
     schema = T.StructType(
         [T.StructField("_row", placed.schema["_row"].dataType), T.StructField("_seen", kind)]
@@ -178,7 +185,13 @@ def _looked_up(keys: Sequence[str], moves: int):
 
 
 def gaps(
-    df: DataFrame, series: Sequence[str], time: str, *, width_us: int | None = None, name: str = "gap_us"
+    df: DataFrame,
+    series: Sequence[str],
+    time: str,
+    *,
+    width_us: int | None = None,
+    name: str = "gap_us",
+    tasks: int | None = None,
 ) -> DataFrame:
     """Microseconds since the previous row of the series; NULL on its first row.
 
@@ -186,7 +199,7 @@ def gaps(
     however long ago that was.
     """
     width_us = width_us or measured_width(df, series, time)
-    rows = with_slice_facts(sliced(df, time, width_us), series, ["previous_last_us"])
+    rows = with_slice_facts(sliced(df, time, width_us), series, ["previous_last_us"], tasks=tasks)
     inside = F.lag(US, 1).over(Window.partitionBy(SERIES_KEY, SLICE).orderBy(US))
     return rows.withColumn(name, F.col(US) - F.coalesce(inside, F.col("previous_last_us"))).drop(
         US, SLICE, SERIES_KEY, "previous_last_us"
@@ -200,9 +213,10 @@ def cadence(
     *,
     max_gap_minutes: float = MAX_GAP_MINUTES,
     width_us: int | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Median of the positive gaps up to ``max_gap_minutes``, one row per series that has any."""
-    between = gaps(df.select(*series, time), series, time, width_us=width_us)
+    between = gaps(df.select(*series, time), series, time, width_us=width_us, tasks=tasks)
     usable = between.where((F.col("gap_us") > 0) & (F.col("gap_us") <= minutes(max_gap_minutes)))
     middle = medians.exact_median(usable, series, "gap_us", out="_median_us")
     return middle.select(*series, (F.col("_median_us") / F.lit(MINUTE_US)).alias("cadence_minutes"))

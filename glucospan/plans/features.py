@@ -11,6 +11,7 @@ from glucospan.operators.slices import (
     US,
     measured_width,
     sliced,
+    tasks_for,
     with_series_facts,
 )
 from glucospan.operators.windows import Trailing, cadence, timed_shifts, trailing
@@ -63,7 +64,8 @@ def series_facts(
         F.struct(F.lit(i).alias("preference"), F.lit(n).alias("source"), F.col(n).alias("v"))
         for i, n in enumerate(names)
     ])
-    stamps = (
+    # Counted, numbered and compared below: three readers.
+    stamps = stored(
         raw.where(F.col(SERIES).isNotNull() & F.col(TIME).isNotNull())
         .select(SERIES, TIME, F.inline(values))
         .where("v is not null")
@@ -78,7 +80,8 @@ def series_facts(
         .select(SERIES, "_best.*")
     )
     width_us = width_us or measured_width(raw, [SERIES], TIME)
-    pace = cadence(stamps, [SERIES, "source"], TIME, width_us=width_us)
+    tasks = tasks_for(raw.sparkSession, stamps.count())
+    pace = cadence(stamps, [SERIES, "source"], TIME, width_us=width_us, tasks=tasks)
     return best.join(pace, [SERIES, "source"], "left")
 
 
@@ -109,13 +112,14 @@ def forecast_rows(
     cut as finely as its rows call for.
     """
     width_us = width_us or measured_width(raw, [SERIES], TIME)
+    tasks = tasks_for(raw.sparkSession, raw.count())
     # One row per series, read for the choice of the signal and again for the lags.
     known = stored(
         facts.where((F.col("rows") >= MIN_ROWS) & F.col("cadence_minutes").isNotNull())
         .select(SERIES, "source", "cadence_minutes")
         .join(static, SERIES, "left")
     )
-    rows = with_series_facts(sliced(raw, TIME, width_us), known.select(SERIES, "source"), [SERIES], place=True)
+    rows = with_series_facts(sliced(raw, TIME, width_us), known.select(SERIES, "source"), [SERIES], place=True, tasks=tasks)
     rows = rows.withColumn(VALUE, F.when(F.col("source") == "dexcom", F.col("dexcom")).otherwise(F.col("libre")))
 
     # Of repeated times only the first row with a value is a sample; any row may record an event.
@@ -131,13 +135,15 @@ def forecast_rows(
         Trailing("mets_mean_60m", F.when(F.col("_is_sample"), F.col("mets")), 60, "mean", "right"),
         Trailing("activity_calories_60m", F.when(F.col("_is_sample"), F.col("activity_calories")), 60, "sum", "right"),
     ]
-    measured = [SERIES, TIME, VALUE, "heart_rate", "mets", "activity_calories", *[s.name for s in specs]]
+    measured = [SERIES, TIME, VALUE, "heart_rate", "mets", "activity_calories"]
     samples = stored(
-        trailing(rows.drop(US, SLICE), [SERIES], TIME, specs, width_us=width_us).where("_is_sample").select(*measured)
+        trailing(
+            rows.drop(US, SLICE), [SERIES], TIME, specs, width_us=width_us, keep=measured, where=F.col("_is_sample"), tasks=tasks
+        )
     )
     rows = timed_shifts(
         samples, [SERIES], TIME, VALUE, horizon=horizon_minutes, pace=known.drop("source"), width_us=width_us,
-        target=TARGET, target_time=TARGET_TIME,
+        target=TARGET, target_time=TARGET_TIME, tasks=tasks_for(raw.sparkSession, samples.count()),
     )
     hour = hour_of_day(F.col(TIME))
     sin_time, cos_time = cyclical(hour)

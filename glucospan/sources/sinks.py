@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from glucospan.functions.text import nan_to_null
 from glucospan.schema import SERIES, TIME, ForecastTable
+from glucospan.storage import stored
 
 
 # Times in text keep their microseconds; by default they would lose three digits.
@@ -20,9 +21,10 @@ def save_forecast_table(table: ForecastTable, path: str, *, fmt: str = "parquet"
     """Write rows below ``path``/rows and the descriptor below ``path``/descriptor.
 
     Parquet is the default, so later reads prune columns and push filters down; rows are sorted by
-    (id, time), so a filter on an id skips files and row groups. ``fmt="csv"`` writes gzip CSV.
+    (id, time), so a filter on an id skips files and row groups. ``fmt="csv"`` writes gzip CSV. The rows are stored
+    first: the sort reads them twice, once for its ranges.
     """
-    writer = table.frame.orderBy(SERIES, TIME).write.mode("overwrite")
+    writer = stored(table.frame).orderBy(SERIES, TIME).write.mode("overwrite")
     if fmt == "csv":
         writer.options(header=True, compression="gzip", **TEXT_TIMES).csv(f"{path}/rows")
     elif fmt == "parquet":
