@@ -111,8 +111,8 @@ def _standing(placed: DataFrame, series: Sequence[str], lengths: dict[str, int],
         )
 
     rows, s = [row(F.col(SLICE), None, 0, {}, True)], F.col(SLICE)
-    for number, (name, length) in enumerate(lengths.items()):
-        k, own = length // width_us, [c for c, n in columns.items() if n == name]
+    for number, length in enumerate(sorted(set(lengths.values()))):
+        k, own = length // width_us, [c for c, n in columns.items() if lengths[n] == length]
         rows.append(row(s + k, None, 0, {c: F.col(f"_late_{c}") for c in own}, False))
         if k > 1:
             size, sums = k - 1, {c: F.col(c) for c in own}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glucospan.functions.clinical import cyclical, diagnosis_band, hour_of_day
+from glucospan.operators.joins import attach_static
 from glucospan.operators.slices import (
     SLICE,
     US,
@@ -79,9 +80,13 @@ def series_facts(
         .agg(F.min_by(F.struct("source", "rows"), "preference").alias("_best"))
         .select(SERIES, "_best.*")
     )
+    best = stored(best)
     width_us = width_us or measured_width(raw, [SERIES], TIME)
+    # Only the times of the signal in use make a cadence.
+    chosen = attach_static(stamps.drop("preference"), best.select(SERIES, F.col("source").alias("_chosen")), SERIES)
+    chosen = chosen.where(F.col("source") == F.col("_chosen"))
     tasks = tasks_for(raw.sparkSession, stamps.count())
-    pace = cadence(stamps, [SERIES, "source"], TIME, width_us=width_us, tasks=tasks)
+    pace = cadence(chosen, [SERIES, "source"], TIME, width_us=width_us, tasks=tasks)
     return best.join(pace, [SERIES, "source"], "left")
 
 

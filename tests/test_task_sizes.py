@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from glucospan.operators import slices, windows
+from glucospan.operators import slices, sums, windows
 from glucospan.operators.windows import Trailing
 from glucospan.plans import features
 from glucospan.schema import ForecastTable
@@ -88,3 +88,40 @@ def test_the_forecasting_table_does_not_depend_on_tasks(spark, monkeypatch):
         facts = features.series_facts(rows)
         found.append(sorted(map(str, features.forecast_rows(rows, static, facts).collect())))
     assert found[0] == found[1] and len(found[0]) == 3 * (400 - 12)
+
+
+def test_windows_of_one_length_share_the_rows_of_a_slice(spark, monkeypatch):
+    """What stands over whole slices takes a fixed number of rows for each length, not for each window."""
+    df, counted = events(spark), []
+    inner = sums._standing
+
+    def spied(placed, series, lengths, width_us, *more):
+        out = inner(placed, series, lengths, width_us, *more)
+        text = out._jdf.queryExecution().optimizedPlan().toString()
+        counted.append(text[text.index("inline("):].split("\n")[0].count("_order"))
+        return out
+
+    monkeypatch.setattr(sums, "_standing", spied)
+    one = [Trailing("a0", F.col("v"), 120)]
+    four = [Trailing(f"a{i}", F.col("v") * (i + 1), 120) for i in range(4)]
+    keys = ["participant_id"]
+    width = slices.minutes(30)
+    want = {(r[0], r[1]): r["a0"] for r in windows.trailing(df, keys, "timestamp", one, width_us=width).collect()}
+    for r in windows.trailing(df, keys, "timestamp", four, width_us=width).collect():
+        assert [r[f"a{i}"] for i in range(4)] == [want[r[0], r[1]] * (i + 1) for i in range(4)]
+    assert counted[0] == counted[1] > 0
+
+
+def test_cadence_is_measured_on_the_signal_in_use(spark, monkeypatch):
+    rows = raw(spark).withColumn("dexcom", F.when(F.col("_row") % 2 == 0, F.col("dexcom")))
+    rows = rows.withColumn("dexcom", F.when(F.col("participant_id") != "002", F.col("dexcom")))
+    seen, inner = [], features.cadence
+
+    def spied(df, *args, **options):
+        seen.append({(r[0], r[1]): r[2] for r in df.groupBy("participant_id", "source").count().collect()})
+        return inner(df, *args, **options)
+
+    monkeypatch.setattr(features, "cadence", spied)
+    found = {r["participant_id"]: (r["source"], r["rows"], r["cadence_minutes"]) for r in features.series_facts(rows).collect()}
+    assert found == {"000": ("dexcom", 200, 10.0), "001": ("dexcom", 200, 10.0), "002": ("libre", 400, 5.0)}
+    assert seen == [{("000", "dexcom"): 200, ("001", "dexcom"): 200, ("002", "libre"): 400}]
