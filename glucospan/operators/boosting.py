@@ -9,27 +9,33 @@ searched are searched together, with one histogram of (node, feature, bin) for t
 until the queue of greatest gains needs no further one.
 
 * Keys with up to ``own_task`` rows: many keys together in one task, rows streamed in by key.
-* Keys with more: their rows stay where they are. Each wave adds up histograms map-side, then by
-  (key, node, feature); only the best split of a node comes to the driver.
+* Keys with more: their rows are dealt over all tasks that can run at once, which stay for all rounds (a barrier
+  stage). After each wave the tasks add up their histograms through files in the shared folder.
+* Where tasks cannot wait for each other (executors come and go, or too few of them hold the rows), each wave is a
+  job of its own: histograms are added up map-side, then by (key, node, feature); only the best split of a node
+  comes to the driver.
 
-Both give the same trees.
+All give the same trees.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator, Sequence
+import time
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.fs
+from pyspark import BarrierTaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glucospan.storage import stored
+from glucospan.storage import fresh_folder, place, stored
 
 
 @dataclass(frozen=True)
@@ -46,6 +52,8 @@ class Settings:
     own_task: int = 1_000_000
     #: Histogram cells (nodes * features * bins) a task holds at a time.
     cells: int = 4_000_000
+    #: Training rows, of all keys with more than ``own_task``, that a task may hold beside others of a barrier stage.
+    held: int = 8_000_000
 
 
 #: Residuals are whole numbers of a unit that makes the greatest target about this many of them.
@@ -288,6 +296,71 @@ def _search(bins, g, model, node, rows, ask, known, growth, width, settings, mos
                 known[m, v] = (s, n)
 
 
+def fit_part(
+    bins: np.ndarray, y: np.ndarray, base: float, exponent: int, width: int, settings: Settings, added: Callable[..., list[np.ndarray]]
+) -> list[Tree]:
+    """The trees of one model, some of whose rows are here: bins (feature, row) and targets.
+
+    ``added`` gives the sums of arrays over all tasks. Splits follow from sums alone, so all tasks grow the same trees.
+    The rows of a node are a stretch of one list of rows.
+    """
+    scale, count, trees = np.ldexp(1.0, exponent), len(bins), []
+    now, every = np.full(len(y), base), np.arange(len(y))
+    sizes = np.array([np.bincount(b, minlength=width) for b in bins])  # of all rows, the same in every round
+    for _ in range(settings.rounds):
+        g = np.rint((y - now) * scale)
+        growth, rows, span, known = _Growth(settings.leaves), every.copy(), {0: (0, len(y))}, {}
+
+        def searched(nodes: list[int], sums: np.ndarray, counts: np.ndarray) -> None:
+            for v, s, n, split in zip(nodes, sums, counts, best_splits(sums, counts, settings.l2, settings.least)):
+                growth.split[v] = split
+                if split is not None:
+                    known[v] = s, n
+
+        def descend(p: int) -> None:
+            (low, high), (_, f, cut, _, _) = span.pop(p), growth.split[p]
+            own = rows[low:high]
+            beyond = bins[f].take(own) > cut
+            left, right = (own.take(np.flatnonzero(side)) for side in (~beyond, beyond))
+            middle = low + len(left)
+            rows[low:middle], rows[middle:high] = left, right
+            span[growth.left[p]], span[growth.left[p] + 1] = (low, middle), (middle, high)
+
+        sums, counts = added(np.array([[np.bincount(b, g, width) for b in bins]], float), sizes[None])
+        growth.root(int(sums[0, 0].sum()), int(counts[0, 0].sum()))
+        searched([0], sums, counts)
+        while True:
+            order, fresh = growth.wave()
+            if not fresh:
+                break
+            ask = []
+            for p in fresh:  # search the smaller child, the other one is the rest
+                descend(p)
+                low = growth.left[p]
+                ask.append(low if growth.total[low][1] <= growth.total[low + 1][1] else low + 1)
+            sums, counts = np.zeros((len(ask), count, width)), np.zeros((len(ask), count, width), np.int64)
+            for i, v in enumerate(ask):
+                own = rows[slice(*span[v])]
+                units = g.take(own)
+                for f in range(count):
+                    key = bins[f].take(own).astype(np.intp)
+                    sums[i, f] = np.bincount(key, units, width)
+                    counts[i, f] = np.bincount(key, minlength=width)
+            sums, counts = added(sums, counts)
+            above = [known.pop(p) for p in fresh]
+            rest = [2 * growth.left[p] + 1 - v for p, v in zip(fresh, ask)]
+            searched(ask, sums, counts)
+            searched(rest, np.stack([s for s, _ in above]) - sums, np.stack([n for _, n in above]) - counts)
+        for p in order:
+            if p in span:  # children that were not searched
+                descend(p)
+        tree, values = growth.settled(order, 1 / scale, settings.step, settings.l2)
+        trees.append(tree)
+        for v, (low, high) in span.items():
+            now[rows[low:high]] += values[v]
+    return trees
+
+
 def predict(bins: np.ndarray, base: float | np.ndarray, trees: list[Tree]) -> np.ndarray:
     out = np.full(len(bins), base)
     for tree in trees:
@@ -476,36 +549,42 @@ def _large(rows, known, features, target, is_test, prediction, settings) -> Data
 
 
 def fit_spread(rows, known, features, target, is_test, settings: Settings, keep: int = 8) -> tuple[dict, dict[object, list[Tree]]]:
-    """First values and trees of keys with many rows: they stay where they are, and each wave of all keys is one Spark job.
+    """First values and trees of keys with many rows: by tasks side by side, else each wave of all keys is one Spark job.
 
-    The driver holds the trees and a few numbers for each node. Every ``keep`` rounds the rows are stored with their
-    predictions so far, so that a job applies only the trees since then.
+    The driver holds the trees and, with jobs, a few numbers for each node. Every ``keep`` rounds the rows are stored with
+    their predictions so far, so that a job applies only the trees since then.
     """
-    train = rows.where(~F.col(is_test) & F.col(target).isNotNull()).select("_key", "_parts", *dict.fromkeys([target, *features]))
-    both = _with_facts(train, known, settings)
+    train = rows.where(~F.col(is_test) & F.col(target).isNotNull()).select("_key", *dict.fromkeys([target, *features]))
     key_type = rows.schema["_key"].dataType.simpleString()
-    exponent = {r["_key"]: unit_exponent(r["_greatest"] or 0.0) for r in known.select("_key", "_greatest").collect()}
+    told = known.select("_key", "_greatest", "_cuts").collect()  # of keys with many rows, each with fewer numbers than its trees
+    exponent = {r["_key"]: unit_exponent(r["_greatest"] or 0.0) for r in told}
+    cuts = {r["_key"]: r["_cuts"] for r in told}
 
     def packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fact, own in _runs(parts):
-            for batch in own:
-                x = binned(_matrix(batch, features), fact["_cuts"])
-                y = _matrix(batch, [target])[:, 0]
+        for batch in parts:
+            codes = _column(batch, "_key").dictionary_encode(null_encoding="encode")
+            for code, key in enumerate(codes.dictionary.to_pylist()):
+                own = batch if len(codes.dictionary) == 1 else batch.filter(pa.array(codes.indices.to_numpy() == code))
+                x = binned(_matrix(own, features), cuts[key])
+                y = _matrix(own, [target])[:, 0]
                 for low in range(0, len(y), 4096):
                     part = slice(low, low + 4096)
                     yield pa.RecordBatch.from_pydict({
-                        "_key": pa.array([fact["_key"]], batch.schema.field("_key").type),
+                        "_key": pa.array([key], batch.schema.field("_key").type),
                         "bins": pa.array([x[part].tobytes()], pa.binary()),
                         "y": pa.array([y[part].tobytes()], pa.binary()),
                         "now": pa.array([np.zeros(len(y[part])).tobytes()], pa.binary()),
-                        "units": [int(np.rint(y[part] * np.ldexp(1.0, exponent[fact["_key"]])).sum())],
+                        "units": [int(np.rint(y[part] * np.ldexp(1.0, exponent[key])).sum())],
                         "n": [len(y[part])],
                     })
 
     schema = f"_key {key_type}, bins binary, y binary, now binary, units long, n long"
-    work = stored(both.mapInArrow(packed, schema))
+    work = stored(train.mapInArrow(packed, schema))
     totals = {r["_key"]: (int(r["s"]), int(r["n"])) for r in work.groupBy("_key").agg(F.sum("units").alias("s"), F.sum("n").alias("n")).collect()}
     base = {k: s / n / np.ldexp(1.0, exponent[k]) for k, (s, n) in totals.items()}
+    tasks = _tasks_at_once(rows.sparkSession)
+    if tasks and sum(n for _, n in totals.values()) <= tasks * settings.held:
+        return base, _fit_side_by_side(work, tasks, base, exponent, len(features), settings)
     trees: dict[object, list[Tree]] = {k: [] for k in base}
     width, count, since = settings.bins, len(features), 0
 
@@ -552,6 +631,86 @@ def fit_spread(rows, known, features, target, is_test, settings: Settings, keep:
     return base, trees
 
 
+def _tasks_at_once(spark: SparkSession) -> int:
+    """How many tasks a barrier stage may have; none if executors come and go or tasks cannot open the shared folder."""
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return 0
+    try:
+        place(fresh_folder(spark))
+    except (pa.ArrowException, OSError):
+        return 0
+    context = spark.sparkContext._jsc.sc()
+    return context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile())
+
+
+class _Tasks:
+    """The tasks of a barrier stage as seen by one of them: each writes its arrays to a file and reads those of the others.
+
+    A file is whole when it has the length of one's own. Who has read the files of a turn knows that all have read those
+    of the turn before, so each task has two files at most.
+    """
+
+    def __init__(self, folder: str):
+        context = BarrierTaskContext.get()
+        self.number = context.partitionId()
+        # The numbers of this attempt's tasks: a stage that is tried again reads no old file.
+        attempts = context.allGather(str(context.taskAttemptId()))
+        self.system, path = place(folder)
+        self.folder, self.count, self.turn = f"{path}/{min(map(int, attempts))}", len(attempts), 0
+        self.system.create_dir(self.folder)
+
+    def path(self, task: int, turn: int) -> str:
+        return f"{self.folder}/{turn}-{task}"
+
+    def read(self, task: int, length: int) -> bytes:
+        path, pause = self.path(task, self.turn), 0.0005
+        while self.system.get_file_info(path).size != length:
+            time.sleep(pause)
+            pause = min(0.02, 1.2 * pause)
+        with self.system.open_input_file(path) as file:
+            return file.read()
+
+    def added(self, sums: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+        """The sums over all tasks of whole numbers."""
+        counts = counts.astype(np.int32)  # of the rows here
+        told = sums.tobytes() + counts.tobytes()
+        with self.system.open_output_stream(self.path(self.number, self.turn)) as file:
+            file.write(told)
+        out = [sums.copy(), counts.astype(np.float64)]
+        for task in range(self.count):
+            if task != self.number:
+                other = self.read(task, len(told))
+                out[0] += np.frombuffer(other, np.float64, sums.size).reshape(sums.shape)
+                out[1] += np.frombuffer(other, np.int32, counts.size, sums.nbytes).reshape(counts.shape)
+        if self.turn:
+            self.system.delete_file(self.path(self.number, self.turn - 1))
+        self.turn += 1
+        return out
+
+
+def _fit_side_by_side(work, tasks: int, base: dict, exponent: dict, count: int, settings: Settings) -> dict[object, list[Tree]]:
+    """Trees of keys with many rows, one key after the other, by tasks that hold their blocks of rows for all rounds."""
+    folder, keys = fresh_folder(work.sparkSession), list(base)
+
+    def grown(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {k: ([np.zeros((count, 0), np.uint8)], [np.zeros(0)]) for k in keys}
+        for batch in parts:
+            for key, bins, y in zip(*(batch.column(i) for i in range(3))):
+                bins_of, y_of = held[key.as_py()]
+                bins_of.append(np.frombuffer(bins.as_py(), np.uint8).reshape(-1, count).T)
+                y_of.append(np.frombuffer(y.as_py()))
+        others = _Tasks(folder)
+        for i, k in enumerate(keys):
+            bins, y = (np.concatenate(x, axis=-1) for x in held.pop(k))
+            trees = fit_part(np.ascontiguousarray(bins), y, base[k], exponent[k], settings.bins, settings, others.added)
+            if others.number == 0:
+                yield pa.RecordBatch.from_pydict({"key": [i], "trees": [to_json(base[k], trees, [])]})
+
+    blocks = work.select("_key", "bins", "y").repartition(tasks)
+    found = blocks.mapInArrow(grown, "key long, trees string", barrier=True).collect()
+    return {keys[r["key"]]: from_json(r["trees"])[1] for r in found}
+
+
 def _searched(work, blocks, exponent, growth, asked, settings, width, count, key_type) -> dict:
     """The best split, sum and rows of each node asked for."""
     steps = {k: {p: (*growth[k].split[p][1:3], left) for p, left in growth[k].left.items()} for k in asked}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 import warnings
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,6 +33,11 @@ def fresh_folder(spark: SparkSession) -> str:
     return path
 
 
+def place(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """A folder as the Python side of a task opens it."""
+    return pyarrow.fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and go on from the written table.
 

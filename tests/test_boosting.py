@@ -1,6 +1,8 @@
 """Leaf-wise boosted trees against their definition; one task against many; odd keys and rows."""
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
+from threading import Barrier
 
 import numpy as np
 import pytest
@@ -125,3 +127,45 @@ def test_penalty_and_caps_matter():
     fit = lambda **o: boosting.predict(bins, *boosting.fit_batch(bins, y, one, none, replace(SMALL, rounds=30, **o))[0])
     assert np.abs(fit(l2=0.0) - y).mean() < np.abs(fit(l2=50.0) - y).mean()
     assert np.abs(fit(leaves=12) - y).mean() < np.abs(fit(leaves=2) - y).mean()
+
+
+def test_rounds_cost_no_jobs(spark, monkeypatch):
+    """A job for each wave of splits of each round took 6,000,000 events hours: all rounds of long keys are one stage."""
+    split, tracker = rows(spark).cache(), spark.sparkContext.statusTracker()
+
+    def fitted(name, rounds):
+        spark.sparkContext.setJobGroup(name, name)
+        made = boosting.models(split, F.col("key"), NAMES, "y", "held", replace(SMALL, own_task=60, rounds=rounds)).collect()
+        return {r["_key"]: r["model"] for r in made}, len(tracker.getJobIdsForGroup(name))
+
+    try:
+        (two, jobs), (nine, more) = fitted("two rounds", 2), fitted("nine rounds", 9)
+        assert more <= jobs and set(two) == set(nine) == {"a", "b", None, "tiny"}
+        # Where tasks cannot wait for each other, or hold too few rows, jobs give the same trees.
+        monkeypatch.setattr(boosting, "_tasks_at_once", lambda _: 0)
+        assert fitted("jobs", 2)[0] == two
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_trees_do_not_depend_on_which_task_holds_a_row():
+    x, y = data(500)
+    cuts = [np.unique(np.quantile(c, np.arange(1, 9) / 9, method="inverted_cdf")) for c in x.T]
+    bins, exponent, settings = boosting.binned(x, cuts), boosting.unit_exponent(np.abs(y).max()), replace(SMALL, leaves=9)
+    base, want = boosting.fit_batch(bins, y, np.zeros(500, int), np.array([exponent]), settings)[0]
+    for dealt in ([slice(None)], [slice(0, 340), slice(0, 0), slice(340, 500)]):
+        meeting, told = Barrier(len(dealt), timeout=60), {}
+
+        def grown(part):
+            def added(*arrays):
+                told[part] = arrays
+                meeting.wait()
+                sums = [np.sum(of_tasks, axis=0, dtype=float) for of_tasks in zip(*told.values())]
+                meeting.wait()
+                return sums
+
+            own = dealt[part]
+            return boosting.fit_part(np.ascontiguousarray(bins[own].T), y[own], base, exponent, settings.bins, settings, added)
+
+        with ThreadPoolExecutor(len(dealt)) as pool:
+            assert all(trees == want for trees in pool.map(grown, range(len(dealt))))
