@@ -86,16 +86,39 @@ def grown(x: np.ndarray, w: np.ndarray, units: np.ndarray, tree: int, start: int
     g, width, count = w * units, int(x.max(initial=0)) + 1, len(x)
     out: dict[str, list] = {n: [] for n in KINDS}
     at, ids, base, depth = np.zeros(len(w), np.int64), np.array([start], np.uint64), 0, start.bit_length() - 1
+    above = None  # histograms of the nodes split on the level before
     while True:
         k = len(ids)
         total, size = np.bincount(at, g, k), np.bincount(at, w, k)
         feature, cut = np.full(k, -1, np.int16), np.zeros(k, np.uint8)
+        held = None
         if depth < settings.depth and width > 1:
             gain, looks = np.zeros(k), looked_at(tree, ids, count, settings)
+            keep = 2 * k * count * width <= settings.cells
+            if keep:
+                held = np.empty((2, count, k, width))
+            if above is not None:  # count the smaller child of two, the other one is the rest
+                small = 2 * np.arange(k // 2) + (size[1::2] < size[::2])
+                counted = np.zeros(k, bool)
+                # Two children too small for a split need no histogram.
+                counted[small] = np.maximum(size[1::2], size[::2]) >= 2 * settings.least
+                rows = np.flatnonzero(counted[at])
+                place, own, mine = (at.take(rows) >> 1) * width, x.take(rows, axis=1), (g.take(rows), w.take(rows))
+            else:
+                place, own, mine = at * width, x, (g, w)
             for f in range(count):
-                cell = at * width + x[f]
-                sums, rows = (np.bincount(cell, v, k * width).reshape(k, width) for v in (g, w))
-                found, where = best_cuts(sums, rows, total, size, settings.least)
+                cell = place + own[f]
+                if above is not None:
+                    both = []
+                    for v, before in zip(mine, above):
+                        one, pair = np.bincount(cell, v, k // 2 * width).reshape(-1, width), np.empty((k, width))
+                        pair[small], pair[small ^ 1] = one, before[f] - one
+                        both.append(pair)
+                else:
+                    both = [np.bincount(cell, v, k * width).reshape(k, width) for v in mine]
+                if keep:
+                    held[0, f], held[1, f] = both
+                found, where = best_cuts(*both, total, size, settings.least)
                 better = looks[:, f] & (found > gain)
                 feature[better], cut[better], gain[better] = f, where[better], found[better]
         split = feature >= 0
@@ -106,12 +129,13 @@ def grown(x: np.ndarray, w: np.ndarray, units: np.ndarray, tree: int, start: int
         out["value"].append(total / np.maximum(size, 1))
         if not split.any():
             return {n: np.concatenate(v) for n, v in out.items()}
+        above = None if held is None else held[:, :, split]
         rows = np.flatnonzero(split[at])
-        node = at[rows]
-        at = child[node] + (x[feature[node], rows] > cut[node])
-        x, w, g = x[:, rows], w[rows], g[rows]
-        above = ids[split] * np.uint64(2)
-        ids = np.column_stack([above, above + np.uint64(1)]).ravel()
+        node = at.take(rows)
+        at = child[node] + (x.ravel().take(feature[node].astype(np.int64) * x.shape[1] + rows) > cut[node])
+        x, w, g = x.take(rows, axis=1), w.take(rows), g.take(rows)
+        parents = ids[split] * np.uint64(2)
+        ids = np.column_stack([parents, parents + np.uint64(1)]).ravel()
         base, depth = base + k, depth + 1
 
 
@@ -278,17 +302,18 @@ def _level(work: DataFrame, steps: dict, asked: list[tuple[int, int]], count: in
     wanted = {t: steps[t] for t in slots}
 
     def added(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, sizes = (np.zeros((len(asked), count, width), np.int64) for _ in range(2))
+        sums, sizes = (np.zeros((len(asked), count * width), np.int64) for _ in range(2))
         for block, x, units in _blocks(parts, count):
+            cells = x + np.arange(count) * width  # of all features
             for tree, own in slots.items():
                 times = draws(block, len(x), tree, settings)
                 hit = np.flatnonzero(times)
                 node = _routed(x[hit], wanted[tree])
                 for p, i in own.items():
                     mine = hit[node == p]
-                    for f in range(count):
-                        for held, v in ((sums, times[mine] * units[mine].astype(float)), (sizes, times[mine])):
-                            held[i, f] += np.bincount(x[mine, f], v, width).astype(np.int64)
+                    cell, w = cells[mine].ravel(), times[mine]
+                    for held, v in ((sums, w * units[mine].astype(float)), (sizes, w)):
+                        held[i] += np.bincount(cell, np.repeat(v, count), count * width).astype(np.int64)
         for (tree, node), s, n in zip(asked, sums, sizes):
             cells = {"tree": pa.array([tree], pa.int32()), "node": [node], "g": [s.tobytes()], "n": [n.tobytes()]}
             yield pa.RecordBatch.from_pydict(cells)

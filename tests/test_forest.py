@@ -168,3 +168,23 @@ def test_both_models_are_compared_on_one_split(spark):
     assert {r["model_name"] for r in out} == {"hgb", "random_forest"}
     assert {(r["train_samples"], r["test_samples"]) for r in out} == {(320, 80)}
     assert all(r["rmse_mg_dl"] >= r["mae_mg_dl"] for r in out)
+
+
+def test_only_the_smaller_child_is_counted(monkeypatch):
+    """The other one's histogram is the rest of its parent's. Without room to keep the parents', all rows are counted."""
+    rng = np.random.default_rng(5)
+    n, bincount, counted = 20_000, np.bincount, []
+    x, w, units = rng.integers(0, 32, (n, 3)).astype(np.uint8), rng.integers(1, 4, n).astype(np.uint8), rng.integers(-9000, 9000, n)
+
+    def spied(cells, *args, **options):
+        counted.append(len(cells))
+        return bincount(cells, *args, **options)
+
+    monkeypatch.setattr(np, "bincount", spied)
+    made, work = [], []
+    for cells in (4_000_000, 0):
+        counted.clear()
+        made.append(forest.grown(x, w, units, 7, 1, forest.Settings(depth=6, least=5, features=2, cells=cells)))
+        work.append(sum(counted))
+    assert all(np.array_equal(made[0][k], made[1][k]) for k in forest.KINDS) and len(made[0]["left"]) > 50
+    assert work[0] < 0.75 * work[1]
